@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from chatlake.llm.bpe import op10_bpe
+from chatlake.llm.chat_template import OP1_SQL, op1_chat_format
 from chatlake.llm.token_orc import op6_token_orc
+from chatlake.llm.transport_stream import op3_transport_stream
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_transport_stream": op3_transport_stream,
     "op6_token_orc": op6_token_orc,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+}
