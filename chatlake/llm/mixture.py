@@ -128,10 +128,10 @@ def copies_by_size(bins: DataFrame, sources: DataFrame, tilts: DataFrame, cap: i
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, source, text -> doc_id, source, size, source_size, target, rate, copies."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, source, text -> the keys, source, size, source_size, target, rate, copies."""
     sized = materialise(
-        docs.select(F.col(doc_id).alias("doc_id"), "source", n_words(F.col("text")).alias("size")).withColumn("order", F.xxhash64("doc_id", "size")).withColumn("salt", F.pmod(F.col("order"), F.lit(SALTS))), "sizes"
+        docs.select(*keys, "source", n_words(F.col("text")).alias("size")).withColumn("order", F.xxhash64(*keys, "size")).withColumn("salt", F.pmod(F.col("order"), F.lit(SALTS))), "sizes"
     )
     parts = materialise(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "size-parts")
     bins = materialise(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "size-bins")
@@ -148,9 +148,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         .select("o.source", "o.size", "salt", "offset", "rate", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("more"), "s.source_size", "s.target"),
         "mix-plan",
     ).alias("m")
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("order", "doc_id"))).alias("d")
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("order", *keys))).alias("d")
     return ranked.join(plan, F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size")) & (F.col("d.salt") == F.col("m.salt"))).select(
-        "d.doc_id", "d.source", "d.size", "source_size", "target", "rate", (F.col("each") + (F.col("rank") + F.col("offset") <= F.col("more")).cast("int")).cast("bigint").alias("copies")
+        *(f"d.{k}" for k in keys), "d.source", "d.size", "source_size", "target", "rate", (F.col("each") + (F.col("rank") + F.col("offset") <= F.col("more")).cast("int")).cast("bigint").alias("copies")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chatlake.llm.bpe import op10_bpe
 from chatlake.llm.chat_template import OP1_SQL, op1_chat_format
+from chatlake.llm.minhash import op2_minhash
 from chatlake.llm.mixture import op8_mixture
 from chatlake.llm.quality import op7_quality
 from chatlake.llm.token_orc import op6_token_orc
@@ -11,6 +12,7 @@ from chatlake.llm.transport_stream import op3_transport_stream
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_minhash": op2_minhash,
     "op3_transport_stream": op3_transport_stream,
     "op6_token_orc": op6_token_orc,
     "op7_quality": op7_quality,
