@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chatlake.llm.bpe import op10_bpe
 from chatlake.llm.chat_template import OP1_SQL, op1_chat_format
+from chatlake.llm.host_graph import op9_host_graph
 from chatlake.llm.minhash import op2_minhash
 from chatlake.llm.mixture import op8_mixture
 from chatlake.llm.quality import op7_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_token_orc": op6_token_orc,
     "op7_quality": op7_quality,
     "op8_mixture": op8_mixture,
+    "op9_host_graph": op9_host_graph,
     "op10_bpe": op10_bpe,
 }
 
