@@ -7,6 +7,7 @@ from chatlake.llm.chat_template import OP1_SQL, op1_chat_format
 from chatlake.llm.host_graph import op9_host_graph
 from chatlake.llm.minhash import op2_minhash
 from chatlake.llm.mixture import op8_mixture
+from chatlake.llm.neural_lm import op5_neural_lm
 from chatlake.llm.quality import op7_quality
 from chatlake.llm.token_orc import op6_token_orc
 from chatlake.llm.transport_stream import op3_transport_stream
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_minhash": op2_minhash,
     "op3_transport_stream": op3_transport_stream,
+    "op5_neural_lm": op5_neural_lm,
     "op6_token_orc": op6_token_orc,
     "op7_quality": op7_quality,
     "op8_mixture": op8_mixture,
