@@ -5,6 +5,7 @@ from __future__ import annotations
 from chatlake.llm.bpe import op10_bpe
 from chatlake.llm.chat_template import OP1_SQL, op1_chat_format
 from chatlake.llm.host_graph import op9_host_graph
+from chatlake.llm.license_scan import op4_license_scan
 from chatlake.llm.minhash import op2_minhash
 from chatlake.llm.mixture import op8_mixture
 from chatlake.llm.neural_lm import op5_neural_lm
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_minhash": op2_minhash,
     "op3_transport_stream": op3_transport_stream,
+    "op4_license_scan": op4_license_scan,
     "op5_neural_lm": op5_neural_lm,
     "op6_token_orc": op6_token_orc,
     "op7_quality": op7_quality,
