@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from chatlake.jobs import history_queries, run_queries
+
+QUERIES = history_queries.QUERIES | run_queries.QUERIES
+ORACLE_SQL: dict[str, str] = history_queries.ORACLE_SQL | run_queries.ORACLE_SQL
