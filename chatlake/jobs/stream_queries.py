@@ -1,0 +1,121 @@
+"""Structured Streaming and batch runs over the given tables, and the same in DuckDB.
+
+Streams read the tables' files, run until nothing is left (availableNow) and write Parquet to the
+shared folder; the query reads that. Tables are a folder or one file, which Spark lists either way.
+"""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatlake.jobs.run_queries import LIMITS
+from chatlake.jobs.run_queries import ORACLE_SQL as RUN_ORACLES
+from chatlake.jobs.views import RUN_EVENTS, with_views
+from chatlake.operators import batch as B
+from chatlake.streaming import events as E
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; where that isn't set, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    spark, at = stream.sparkSession, _shared(stream.sparkSession)
+    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def _updated(stream: DataFrame) -> DataFrame:
+    """The last state of an aggregation in complete mode, batch by batch overwritten."""
+    spark, at = stream.sparkSession, _shared(stream.sparkSession)
+    q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _stream(spark, sf_dir, "events")
+    return spark.sql(RUN_EVENTS.replace("from events", "from {source}"), source=df).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as one data line an hour apart from the next conversation's, so that sessions are turns' streams."""
+    rows = _stream(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
+    return rows.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("turn")).alias("ts"), line.alias("line"))
+
+
+def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(E.stream_deltas(_deltas(spark, sf_dir))).select("stream_id", "seq", "content", "ends")
+
+
+def assemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.assemble_stream(E.stream_deltas(_deltas(spark, sf_dir)))
+    return _updated(out).select("stream_id", "content", "truncated")
+
+
+def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _updated(E.usage_windows(_events(spark, sf_dir), "1 day"))
+    return out.select(F.date_format("started", "yyyy-MM-dd").alias("day"), "tokens", "requests", "tool_calls")
+
+
+def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return _drained(E.dedup_events(twice.select("run_id", "seq", "ts", "kind"), "400 days")).select("run_id", "seq", "kind")
+
+
+def usage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(E.usage_guard(_events(spark, sf_dir), LIMITS))
+
+
+def scripted(requests: list[list[dict]]) -> list[dict]:
+    """A model by rule: it looks its prompt up once, then answers with what it found."""
+    out = []
+    for messages in requests:
+        last = messages[-1]
+        if last["role"] == "tool":
+            out.append({"content": "found " + last["content"], "input_tokens": 2, "output_tokens": 1})
+        else:
+            out.append({"content": "", "tool_calls": [{"id": "c1", "name": "look", "args": json.dumps({"q": last["content"]})}], "input_tokens": 3, "output_tokens": 2})
+    return out
+
+
+def _look(args: str) -> str:
+    q = json.loads(args)["q"]
+    if q.endswith("7"):
+        raise B.Rejected("no sevens")
+    return q.upper()
+
+
+def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("run_id"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("prompt"))
+    return B.batch_run(prompts, scripted, {"look": _look}).select("run_id", "output", "stage", "input_tokens", "output_tokens", "requests", "tool_calls")
+
+
+QUERIES = {"stream_deltas": stream_deltas, "assemble_stream": assemble_stream, "usage_windows": usage_windows, "dedup_events": dedup_events, "usage_guard": usage_guard, "batch_run": batch_run}
+
+_E = with_views("v_run_events")
+# as check_usage_limits, over rounds that a rejection has ended
+_GUARD = RUN_ORACLES["check_usage_limits"].replace("from r group by 1, 2)", "from r group by 1, 2 having max((kind = 'output_rejected')::int) = 1)")
+ORACLE_SQL = {
+    "stream_deltas": "select conv_id as stream_id, turn as seq, text as content, false as ends from conversations",
+    "assemble_stream": "select conv_id as stream_id, string_agg(text, '' order by turn) as content, true as truncated from conversations group by 1",
+    "usage_windows": f"""{_E} select strftime(ts, '%Y-%m-%d') as day, cast(sum(case when kind = 'model_end' then input_tokens + output_tokens else 0 end) as bigint) as tokens, count(*) filter (kind = 'model_start') as requests, count(*) filter (kind = 'tool_start') as tool_calls from v_run_events group by 1""",
+    "usage_guard": _GUARD,
+    "dedup_events": f"{_E} select run_id, seq, kind from v_run_events",
+    "batch_run": """select c_custkey as run_id, '"found ' || case when c_custkey % 10 = 7 then 'Your tool call was rejected: no sevens. Correct the arguments and call the tool again.' else 'P' || c_custkey end || '"' as output, cast(null as string) as stage, 5::bigint as input_tokens, 3::bigint as output_tokens, 2::bigint as requests, 1::bigint as tool_calls from customer""",
+}
