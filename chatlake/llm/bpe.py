@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import read
+from chatlake.llm.common import Recent, read
 
 #: Fixed by the byte-level format: how a text is cut before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker's caches are emptied beyond so many entries; they only save time.
-CACHE_ENTRIES = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -98,35 +97,29 @@ class PairTree:
         return [x for x in ids if x >= 0]
 
 
-class _Pieces(dict):
+class _Pieces(Recent):
     """Piece -> packed ids."""
 
     def __init__(self, bpe: ByteBPE):
+        super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+    def make(self, piece: str) -> bytes:
         bpe = self.bpe
-        out = np.array(bpe.tree.merged([bpe.byte_ids[b] for b in piece.encode()]), "<u4").tobytes()
-        if len(piece) < 100:
-            self[piece] = out
-        return out
+        return array("I", bpe.tree.merged([bpe.byte_ids[b] for b in piece.encode()])).tobytes()
 
 
-class _Chunks(dict):
+class _Chunks(Recent):
     """What stands between two single spaces -> the packed ids of it and of the space before it."""
 
+    most = 100_000
+
     def __init__(self, pieces: _Pieces):
+        super().__init__()
         self.pieces = pieces
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        out = b"".join(map(self.pieces.__getitem__, self.pieces.bpe.cut(" " + chunk)))
-        if len(chunk) < 60 and "\n" not in chunk:
-            self[chunk] = out
-        return out
+    def make(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pieces.bpe.cut(" " + chunk)))
 
 
 class ByteBPE:

@@ -15,6 +15,7 @@ columns aren't written.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,64 +23,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.bpe import public_vocabulary
-from chatlake.llm.common import materialise, read, scratch_path, texts
+from chatlake.llm.bpe import byte_letters, public_vocabulary
+from chatlake.llm.common import Recent, materialise, read, scratch_path, texts
 
-CACHE_ENTRIES = 500_000
 END_ID = 2
 _LETTER = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
-class WordIds:
-    """A tokenizer that never joins words across white space, with its words' ids kept packed.
+class WordIds(Recent):
+    """Word -> packed ids, for a tokenizer that never joins words across white space.
 
     ASCII white space separates what the library encodes, so a text's ids are its words' ids in
-    order. Each batch encodes the words that it meets first; ``lower`` says that the tokenizer
-    lower-cases, which lets A-Z share entries with a-z.
+    order. ``lower`` says that the tokenizer lower-cases, which lets A-Z share entries with a-z. A
+    word of plain letters is one piece, which goes straight to the library's merges.
     """
 
+    most = 100_000
+
     def __init__(self, path: str, lower: bool = True):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.lower, self.ids = lower, {}
-        self.marks = {m: self._one(m.decode()) for m in (b",", b".")}
-        self.special = tuple(t.content.encode() for t in self.tok.get_added_tokens_decoder().values())
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def split(self, text: bytes) -> list[bytes]:
-        if self.lower and not any(s[:2] in text for s in self.special):
+        self.merges = self.tok.model.tokenize
+        self.lower, self.letters = lower, byte_letters()
+        self.marks = {m: self._whole(m) for m in (b",", b".")}
+        self.special = tuple(t.content.encode()[:2] for t in self.tok.get_added_tokens_decoder().values())
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("i", self.tok.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def make(self, word: bytes) -> bytes:
+        """A comma or full stop after a letter is a token of its own."""
+        if word[-1:] in self.marks and word[-2:-1] and word[-2] in _LETTER:
+            return self[word[:-1]] + self.marks[word[-1:]]
+        if (text := word.decode()).isalpha() and text == text.lower() and max(text) < "\u0250":
+            return array("i", [t.id for t in self.merges(text if text.isascii() else "".join([self.letters[b] for b in word]))]).tobytes()
+        return self._whole(word)
+
+    def encode(self, text: bytes) -> bytes:
+        if self.lower and not any(s in text for s in self.special):
             text = text.lower()
-        return text.split()
-
-    def learn(self, new: set[bytes]) -> None:
-        """Encodes words; a comma or full stop after a letter is a token of its own."""
-        bare = {w[:-1] if w[-1:] in self.marks and w[-2:-1] and w[-2] in _LETTER else w for w in new}
-        todo = [w for w in bare if w not in self.ids]
-        for at in range(0, len(todo), 2000):
-            part = [w.decode() for w in todo[at : at + 2000]]
-            got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ids, offsets = np.array(got.ids, "<i4"), np.array([a for a, _ in got.offsets], np.int64)
-            cuts = np.searchsorted(offsets, starts)
-            for w, a, b in zip(todo[at : at + 2000], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.ids[w] = ids[a:b].tobytes()
-        for w in new:
-            if w not in self.ids:
-                self.ids[w] = self.ids[w[:-1]] + self.marks[w[-1:]]
-
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        if len(self.ids) > CACHE_ENTRIES:
-            self.ids.clear()
-        split = [self.split(t) for t in batch]
-        new = set().union(*split) - self.ids.keys()
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.ids.__getitem__, s)) for s in split]
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -99,7 +86,7 @@ def encode_words(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                packed = [x + end for x in words.encode(list(texts(part, "text")))]
+                packed = [words.encode(x) + end for x in texts(part, "text")]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 rows = pa.array(np.arange(row, row := row + part.num_rows), pa.int64())
