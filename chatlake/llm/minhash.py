@@ -79,70 +79,68 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, digest (of the set; null if empty), bands, sketch (16 bits a minimum)."""
+    """doc_id, text -> doc_id, n_shingles, digest (of the set; null if empty), bands (hashes of the signature's rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, digest, bands, sketch = [], [], [], []
+                n, digest, bands = [], [], []
                 for t in texts(part, "text"):
                     s = shingles(t, size)
                     n.append(len(s))
                     if not len(s):
-                        digest.append(None), bands.append(None), sketch.append(None)
+                        digest.append(None), bands.append(None)
                         continue
-                    m = signature(s)
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    raw = m.tobytes()
+                    raw = signature(s).tobytes()
                     bands.append([_HASH(raw[i * 4 * ROWS : (i + 1) * 4 * ROWS], i) - (1 << 63) for i in range(BANDS)])
-                    sketch.append((m & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text -> doc_id, shingles (binary, sorted 64-bit hashes)."""
+def _evidence(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text -> doc_id, sketch (16 bits of each minimum), shingles (sorted 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t, size).tobytes() for t in texts(part, "text")], pa.binary())], names=["doc_id", "shingles"])
+                sets = [shingles(t, size) for t in texts(part, "text")]
+                sketches = [(signature(s) & np.uint32(0xFFFF)).astype(np.uint16).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sketch", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sketch binary, shingles binary")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Edges from each class to the smallest of each of its buckets; a bucket of one has none."""
     buckets = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return buckets.join(hubs, "bucket").where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
+    hubs = buckets.withColumn("hub", F.min("doc_id").over(Window.partitionBy("bucket")))
+    return hubs.where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def _linked(rows: DataFrame, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, evidence: DataFrame, percent: int) -> DataFrame:
     """Compares each block's queries with its members: u, v of links that join components.
 
-    ``rows``: block (any grouping columns as one string), query (boolean), doc_id, component,
-    sketch, shingles; a block's rows lie together, queries first.
+    ``rows``: block, member, query (booleans), doc_id, component; the evidence joins them last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "query", "doc_id", "component", "sketch", "shingles")), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "member", "query", "doc_id", "component", "sketch", "shingles")), strict=True))
         links = (link for _, own in itertools.groupby(rows, lambda r: r[0]) for link in _links(list(own), percent))
         while part := list(itertools.islice(links, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part], pa.int64()), pa.array([v for _, v in part], pa.int64())], names=["u", "v"])
 
-    return rows.repartition("block").sortWithinPartitions("block", F.col("query").desc(), "doc_id").mapInArrow(run, "u bigint, v bigint")
+    whole = rows.join(evidence, "doc_id").select("block", "member", "query", "doc_id", "component", "sketch", "shingles")
+    return whole.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(run, "u bigint, v bigint")
 
 
 def _links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    queries, members = [r for r in rows if r[1]], [r for r in rows if not r[1]]
-    root = {r[3]: r[3] for r in rows}
+    """rows: (block, member, query, doc_id, component, sketch, shingles) of one block."""
+    queries, members = [r[3:] for r in rows if r[2]], [r[3:] for r in rows if r[1]]
+    root = {r[4]: r[4] for r in rows}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -151,50 +149,64 @@ def _links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
 
     if not queries or not members:
         return
-    sketches = np.frombuffer(b"".join(r[4] for r in members), np.uint16).reshape(len(members), -1)
-    lengths = np.array([len(r[5]) // 8 for r in members])
+    sketches = np.frombuffer(b"".join(r[2] for r in members), np.uint16).reshape(len(members), -1)
+    lengths = np.array([len(r[3]) // 8 for r in members])
     sets: list[frozenset | None] = [None] * len(members)
     # a link's agreement is binomial around percent / 100 at least: 5.5 standard deviations below
     p = percent / 100
     least = (p - 5.5 * (p * (1 - p) / sketches.shape[1]) ** 0.5) * sketches.shape[1]
     for q in queries:
-        n = len(q[5]) // 8
-        agree = (sketches == np.frombuffer(q[4], np.uint16)).sum(axis=1)
+        n = len(q[3]) // 8
+        agree = (sketches == np.frombuffer(q[2], np.uint16)).sum(axis=1)
         near = np.flatnonzero((agree >= least) & (100 * np.minimum(lengths, n) >= percent * np.maximum(lengths, n)))
         own = None
         for i in near[np.argsort(-agree[near], kind="stable")].tolist():
             m = members[i]
-            a, b = find(q[3]), find(m[3])
+            a, b = find(q[1]), find(m[1])
             if a == b:
                 continue
-            own = own if own is not None else frozenset(np.frombuffer(q[5], np.uint64).tolist())
+            own = own if own is not None else frozenset(np.frombuffer(q[3], np.uint64).tolist())
             if sets[i] is None:
-                sets[i] = frozenset(np.frombuffer(m[5], np.uint64).tolist())
+                sets[i] = frozenset(np.frombuffer(m[3], np.uint64).tolist())
             both = len(own & sets[i])
             if 100 * both >= percent * (n + len(sets[i]) - both):
                 root[max(a, b)] = min(a, b)
-                yield q[2], m[2]
+                yield q[0], m[0]
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Adds ``parts`` (how many blocks the cluster needs) and ``part``: cluster, doc_id, n_shingles."""
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
-    return members.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+def _parts(rows: DataFrame, name: str) -> DataFrame:
+    """Adds how many blocks each cluster's rows fill (``name`` + s) and each row's block (``name``)."""
+    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias(f"{name}s"))
+    return rows.join(sizes, "cluster").withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col(f"{name}s")))
 
 
-def _met(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows of blocks: each cluster's query parts against its member parts.
+def _numbers(upto: str):
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(upto) - 1))
+
+
+def _asked(members: DataFrame) -> DataFrame:
+    """The first round's rows: each member in its block, a query set of each cluster in all of its blocks."""
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
+    first = (F.row_number().over(order) <= BLOCK) & ((F.sum("n_shingles").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= BLOCK_SHINGLES) | (F.row_number().over(order) == 1))
+    return members.withColumn("query", first)
 
-    members: cluster, part, parts, doc_id, component, sketch, shingles; queries: the same with
-    ``parts`` for the queries' own count of parts.
-    """
-    counts = queries.groupBy("cluster").agg(F.max("parts").alias("query_parts"))
-    wide = members.groupBy("cluster").agg(F.max("parts").alias("member_parts"))
-    key = F.concat_ws(":", "cluster", "p", "q").alias("block")
-    left = members.join(counts, "cluster").select("*", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_parts") - 1)).alias("q"))
-    right = queries.join(wide, "cluster").select("*", F.col("part").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("member_parts") - 1)).alias("p"))
-    columns = ["doc_id", "component", "sketch", "shingles"]
-    return left.select(key, F.lit(False).alias("query"), *columns).union(right.select(key, F.lit(True).alias("query"), *columns))
+
+def _first_rows(asked: DataFrame) -> DataFrame:
+    block = F.xxhash64("cluster", "p").alias("block")
+    own = asked.select(F.xxhash64("cluster", "part").alias("block"), F.lit(True).alias("member"), "query", "doc_id", F.col("doc_id").alias("component"))
+    away = asked.where("query and parts > 1").select("*", _numbers("parts").alias("p")).where("p != part")
+    return own.union(away.select(block, F.lit(False), "query", "doc_id", "doc_id"))
+
+
+def _second_rows(members: DataFrame, strays: DataFrame) -> DataFrame:
+    """The second round's rows: blocks of strays against blocks of all members of their clusters."""
+    queries = _parts(strays.select("cluster", "doc_id", "n_shingles", "component"), "stray")
+    counts = queries.groupBy("cluster").agg(F.max("strays").alias("strays"))
+    parts = members.groupBy("cluster").agg(F.max("parts").alias("parts"))
+    block = F.xxhash64("cluster", "p", "q").alias("block")
+    left = members.join(counts, "cluster").select("*", F.col("part").alias("p"), _numbers("strays").alias("q"))
+    right = queries.join(parts, "cluster").select("*", F.col("stray").alias("q"), _numbers("parts").alias("p"))
+    return left.select(block, F.lit(True).alias("member"), F.lit(False).alias("query"), "doc_id", "component").union(right.select(block, F.lit(False), F.lit(True), "doc_id", "component"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -204,38 +216,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     by_doc = materialise(hashed.select("doc_id", "n_shingles", "digest").join(first, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("class")), "classes")
     # one signature for each class: its first document's; a repeated id is taken once
     heads = by_doc.where("doc_id = class and n_shingles > 0").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
-    signatures = hashed.select("doc_id", "bands", "sketch").where("bands is not null")
-    clusters = components(_candidates(signatures.join(heads.select("doc_id"), "doc_id", "left_semi")), "candidates")
+    signatures = hashed.select("doc_id", "bands").where("bands is not null").join(heads.select("doc_id"), "doc_id", "left_semi")
+    clusters = components(_candidates(signatures), "candidates")
     members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(heads, "doc_id")
-    held = _blocks(members).join(signatures.select("doc_id", "sketch"), "doc_id").dropDuplicates(["doc_id"])
-    text_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members.select("doc_id"), "doc_id", "left_semi")
-    held = materialise(held.join(_sets(text_of, size), "doc_id").dropDuplicates(["doc_id"]).withColumn("component", F.col("doc_id")), "members")
-    # one bounded query set a cluster: its first members by hash
-    order = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
-    total = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = (
-        held.select("cluster", "doc_id", "n_shingles")
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("sum", F.sum("n_shingles").over(total))
-        .where((F.col("rank") <= BLOCK) & ((F.col("sum") <= BLOCK_SHINGLES) | (F.col("rank") == 1)))
-        .select("doc_id")
-    )
-    first_queries = held.join(chosen, "doc_id", "left_semi").withColumn("parts", F.lit(1).cast("bigint")).withColumn("part", F.lit(0).cast("bigint"))
-    links = materialise(_linked(_met(held, first_queries), percent), "links")
+    asked = materialise(_asked(_parts(members, "part")), "members")
+    texts_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.select("doc_id"), "doc_id", "left_semi")
+    evidence = materialise(_evidence(texts_of, size), "evidence")
+    links = materialise(_linked(_first_rows(asked), evidence, percent), "links")
     groups = components(links, "linked")
-    # what the query set didn't settle: members outside their cluster's largest component
-    now = held.drop("component").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    now = now.join(chosen.withColumn("asked", F.lit(True)), "doc_id", "left")
+    # what the query sets didn't settle: members outside their cluster's largest component
+    now = asked.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = now.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    stray = now.join(largest, "cluster").where((F.col("component") != F.col("largest")) & F.col("asked").isNull()).drop("asked", "largest")
-    stray = materialise(_blocks(stray.drop("parts", "part")), "strays")
-    if stray.isEmpty():
+    strays = materialise(now.where("not query").join(largest, "cluster").where("component != largest").drop("largest"), "strays")
+    if strays.isEmpty():
         final = groups
     else:
-        open_ = now.drop("asked").join(stray.select("cluster").distinct(), "cluster", "left_semi")
-        more = _linked(_met(open_, stray.select(open_.columns)), percent)
-        final = components(links.union(more), "linked")
+        final = components(links.union(_linked(_second_rows(now, strays), evidence, percent)), "linked")
     f = final.select(F.col("node").alias("class"), "component")
     out = by_doc.join(f, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
