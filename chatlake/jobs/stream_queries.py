@@ -79,7 +79,7 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(E.usage_guard(_events(spark, sf_dir), LIMITS))
+    return _drained(E.usage_guard(_events(spark, sf_dir), LIMITS, idle_ms=400 * 86_400_000))
 
 
 def scripted(requests: list[list[dict]]) -> list[dict]:

@@ -55,11 +55,11 @@ _STATE = "input_tokens long, output_tokens long, requests long, tool_calls long,
 _OUT = "run_id long, round long, crossed_kind string, `limit` long, actual long"
 
 
-def usage_guard(events: DataFrame, limits: dict[str, int], idle_ms: int = 3_600_000) -> DataFrame:
+def usage_guard(events: DataFrame, limits: dict[str, int], idle_ms: int = 3_600_000, watermark: str = "1 hour") -> DataFrame:
     """run_id, round, crossed_kind, limit, actual: each run's first crossing, once, as it happens.
 
-    Totals are compared when a round ends (at output_rejected); a run that stays silent is closed
-    with its last round and its state evicted.
+    Totals are compared when a round ends (at output_rejected); a run whose last event lies
+    ``idle_ms`` behind the watermark is closed with its last round and its state evicted.
     """
 
     def check(key: tuple, totals: list[int], round_: int) -> pd.DataFrame | None:
@@ -92,7 +92,7 @@ def usage_guard(events: DataFrame, limits: dict[str, int], idle_ms: int = 3_600_
                     yield hit
                 now[9] += 1
         state.update(tuple(now))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
 
-    slim = events.select("run_id", "seq", "kind", F.coalesce("input_tokens", F.lit(0)).cast("bigint").alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).cast("bigint").alias("output_tokens"))
-    return slim.groupBy("run_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = events.withWatermark("ts", watermark).select("run_id", "seq", "kind", "ts", F.unix_millis("ts").alias("ms"), F.coalesce("input_tokens", F.lit(0)).cast("bigint").alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).cast("bigint").alias("output_tokens"))
+    return slim.groupBy("run_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
