@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from chatlake.functions.scalar import INTERRUPTED, opens_conversation
 
 CALLS = "array<struct<id:string,name:string,args:string>>"
-_CONV = Window.partitionBy("conv_id")
+
+
+def _conv():
+    return Window.partitionBy("conv_id")
 
 
 def _call_events(messages: DataFrame) -> DataFrame:
@@ -63,16 +66,16 @@ def repair_history(messages: DataFrame, text: str = INTERRUPTED) -> DataFrame:
     kinds = dict(messages.dtypes)
     new = added.select(*(values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in messages.columns), F.lit(True).alias("synthesized"), (F.col("ord") + 1).alias("_ord"))
     both = body.select("*", F.lit(False).alias("synthesized"), F.lit(0).alias("_ord")).unionByName(new)
-    return both.withColumn("pos", F.row_number().over(_CONV.orderBy("pos", "_ord")) - 1).drop("_ord")
+    return both.withColumn("pos", F.row_number().over(_conv().orderBy("pos", "_ord")) - 1).drop("_ord")
 
 
 def _trimmed(messages: DataFrame, most: int) -> DataFrame:
     if most < 1:
         raise ValueError(f"the budget must be at least 1, not {most}")
-    newest = F.row_number().over(_CONV.orderBy(F.col("pos").desc()))
-    rows = messages.withColumn("_n", F.count("*").over(_CONV)).withColumn("_newest", newest)
+    newest = F.row_number().over(_conv().orderBy(F.col("pos").desc()))
+    rows = messages.withColumn("_n", F.count("*").over(_conv())).withColumn("_newest", newest)
     opening = F.when((F.col("_newest") <= most) & opens_conversation(F.col("role"), F.col("tool_calls")), F.col("pos"))
-    return rows.withColumn("_first", F.min(opening).over(_CONV))
+    return rows.withColumn("_first", F.min(opening).over(_conv()))
 
 
 def trim_history(messages: DataFrame, most: int) -> DataFrame:
@@ -131,7 +134,7 @@ def build_requests(history: DataFrame, prompts: DataFrame, instructions: Column
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("pos", F.row_number().over(_CONV.orderBy("_kind", "pos")) - 1).drop("_kind")
+    return out.withColumn("pos", F.row_number().over(_conv().orderBy("_kind", "pos")) - 1).drop("_kind")
 
 
 def append_corrections(messages: DataFrame, rejections: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def merge_turns(messages: DataFrame) -> DataFrame:
     """
     wire = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
     rows = messages.where("role is null or role != 'system'").withColumn("wire_role", wire)
-    order = _CONV.orderBy("pos")
+    order = _conv().orderBy("pos")
     change = F.coalesce(F.lag("wire_role").over(order) != F.col("wire_role"), F.lit(True)).cast("int")
     rows = rows.withColumn("_new", change).withColumn("turn", F.sum("_new").over(order) - 1)
     fields = ["pos", *(c for c in messages.columns if c not in ("conv_id", "pos"))]
