@@ -40,6 +40,7 @@ HEAD, OWN, BUCKETS = 131_072, 511, 256
 CLASSES = OWN + 1 + BUCKETS
 FOLDS, HELD_OUT = 7, 2
 DIMENSIONS, NOISE, EPOCHS = 48, 10, 400
+PRIOR = 50.0
 
 
 def fold(doc_id: int | None) -> int:
@@ -196,9 +197,16 @@ class LogBilinear:
         return s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
 
 
-def train(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, epochs: int = EPOCHS, rate: float = 0.03, seed: int = 5) -> LogBilinear:
-    """Maximises the noise-contrastive objective over all pairs with Adam."""
+def train(pairs: np.ndarray, distinct: np.ndarray | None = None, dimensions: int = DIMENSIONS, noise: int = NOISE, epochs: int = EPOCHS, rate: float = 0.03, seed: int = 5) -> LogBilinear:
+    """Maximises the noise-contrastive objective over all pairs with Adam.
+
+    ``distinct``: words of each class. As within classes, each word counts once more, which leaves
+    mass for words not seen yet; ``PRIOR`` tokens of overall frequency steady rare contexts.
+    """
     k, rng = len(pairs), np.random.default_rng(seed)
+    if distinct is not None and pairs.sum() > 0:
+        own = pairs.sum(axis=0) + distinct
+        pairs = pairs + np.outer(pairs.sum(axis=1), distinct) / pairs.sum() + PRIOR * own / own.sum()
     total = max(1.0, pairs.sum())
     frequency = (pairs.sum(axis=0) + 0.5) / (total + 0.5 * k)
     share = np.log(noise * frequency)
@@ -275,7 +283,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """Counts, trains and scores: doc_id, text -> the columns of ``score``."""
     counts = materialise(count_words(docs), "word-counts")
     v = vocabulary(counts)
-    return score(docs, counts, v, train(count_pairs(docs, v)))
+    return score(docs, counts, v, train(count_pairs(docs, v), v.class_distinct))
 
 
 def op5_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
