@@ -38,7 +38,7 @@ class WordIds(Recent):
     word of plain letters is one piece, which goes straight to the library's merges.
     """
 
-    most = 100_000
+    most = 150_000
 
     def __init__(self, path: str, lower: bool = True):
         from tokenizers import Tokenizer

@@ -55,8 +55,8 @@ def test_bpe_columns(spark):
 def test_word_ids_equal_library():
     path = bpe.public_vocabulary("word_bpe_49k.json")
     ours = token_orc.load(path)
-    for s in samples(3000):
-        assert np.frombuffer(ours.encode([s.encode()])[0], "<i4").tolist() == ours.tok.encode(s, add_special_tokens=False).ids
+    for s in [*samples(3000), "e\u0301 \xe9t\xe9, \u01c6 stra\xdfe. ABC, \u0130x \xe0\xe8.", "a" * 5000]:
+        assert np.frombuffer(ours.encode(s.encode()), "<i4").tolist() == ours.tok.encode(s, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
