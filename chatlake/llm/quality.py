@@ -4,8 +4,9 @@ Every document becomes a vector of transformed statistics. Per language and sour
 steps look for the ``H`` of documents whose covariance has the least determinant: starting from
 medians and median deviations, each step takes the documents nearest by Mahalanobis distance and
 computes the centre and covariance of those. Documents far from the last estimate are rejected.
-Sources with fewer than ``LEAST`` documents of a language are estimated together; a group that is
-still smaller rejects nothing.
+A source with fewer than ``LEAST`` documents of a language is judged by the estimate over all
+documents of its language; languages with fewer than ``LEAST`` in all are judged together by one
+estimate over their documents, however few. Only documents that pass the base rules count.
 
 Only column expressions and grouped sums are used. The texts are read once, to make one short row a
 document; steps aggregate those rows map-side, so a hot source costs no more than its share.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from chatlake.llm.common import SPACES, let, materialise, read, words
 
 SYMBOLS = "[#*$%&|<>]"
-#: Share of a group that the estimate rests on, concentration steps, and the smallest group.
+#: Share of a group that the estimate rests on, concentration steps, and the documents that a source or language needs for its own.
 H, STEPS, LEAST = 0.75, 4, 40
 #: Squared distance beyond which a document is an outlier.
 CUTOFF = 60.0
@@ -79,13 +80,24 @@ def _vector() -> list[Column]:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds the vector and its group: language, pooled, source; small sources are pooled."""
-    vectors = stats.select("*", *_vector())
+    """Adds the vector, the group that judges it, and the groups whose estimates it takes part in.
+
+    A group is (level, language, source): level 0 a source within its language, 1 a language, 2 all
+    languages that are too small for 1.
+    """
     sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    v, s = vectors.alias("v"), sizes.alias("s")
+    languages = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    a, b = sizes.alias("a"), languages.alias("b")
+    sizes = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.lang", "a.source", F.when(F.col("a.n") >= LEAST, 0).when(F.col("b.n") >= LEAST, 1).otherwise(2).alias("level"), (F.col("least") < LEAST).alias("asked"))
+    v, s = stats.select("*", *_vector()).alias("v"), sizes.alias("s")
     joined = v.join(s, F.col("v.lang").eqNullSafe(F.col("s.lang")) & F.col("v.source").eqNullSafe(F.col("s.source")), "left")
-    pooled = F.coalesce(F.col("s.n"), F.lit(0)) < LEAST
-    return joined.select("v.*", F.struct(F.col("v.lang").alias("lang"), pooled.alias("pooled"), F.when(~pooled, F.col("v.source")).alias("source")).alias("grp"))
+
+    def group(level: Column) -> Column:
+        return F.struct(level.alias("level"), F.when(level < 2, F.col("v.lang")).alias("lang"), F.when(level < 1, F.col("v.source")).alias("source"))
+
+    # all rows of a source without a passing document fail the base rules anyway
+    own = group(F.coalesce(F.col("s.level"), F.lit(2)))
+    return joined.select("v.*", own.alias("grp"), F.when((F.col("s.level") == 0) & F.col("s.asked"), F.array(own, group(F.lit(1)))).otherwise(F.array(own)).alias("grps"))
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -150,10 +162,9 @@ def judge(docs: DataFrame, keys: list[str], cutoff: float = CUTOFF) -> DataFrame
     """The key columns and statistics of every document, d2 (squared distance) and kept."""
     stats = materialise(statistics(docs, list(dict.fromkeys([*keys, "lang", "source"]))), "statistics")
     rows = materialise(_grouped(stats), "vectors")
-    estimate = mcd(rows.where(~F.col("base_failed")).select("grp", *FEATURES))
-    measured = _measured(rows, estimate)
-    outlier = (F.coalesce(F.col("n"), F.lit(0)) >= LEAST) & (F.coalesce(F.col("d2"), F.lit(0.0)) > cutoff)
-    return measured.withColumn("kept", ~F.col("base_failed") & ~outlier)
+    estimate = mcd(rows.where(~F.col("base_failed")).select(F.explode("grps").alias("grp"), *FEATURES))
+    measured = _measured(rows.drop("grps"), estimate)
+    return measured.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce(F.col("d2"), F.lit(0.0)) > cutoff))
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

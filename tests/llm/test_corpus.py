@@ -114,6 +114,19 @@ def test_quality_rejects_outliers_only(spark):
     assert quality.judge(spark.createDataFrame([], DOCS), ["doc_id"]).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    rnd = random.Random(9)
+    text = lambda mark: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) + mark for _ in range(150))
+    groups = [("en", "big", 60), ("en", "small", 6), ("en", None, 5), ("de", "x", 20), ("de", "y", 21), ("fr", "x", 9), ("fr", None, 4), (None, "x", 7), (None, None, 2)]
+    rows = [(1000 * g + i, text(""), lang, source, 0) for g, (lang, source, n) in enumerate(groups) for i in range(n)]
+    junk = [(1000 * g + 999, text("###"), lang, source, 0) for g, (lang, source, _) in enumerate(groups)]
+    got = {r.doc_id: (r.kept, r.grp.level) for r in quality.judge(spark.createDataFrame(rows + junk, DOCS), ["doc_id"]).collect()}
+    assert all(got[r[0]][0] for r in rows) and not any(got[r[0]][0] for r in junk)
+    assert [got[1000 * g][1] for g in range(len(groups))] == [0, 1, 1, 1, 1, 2, 2, 2, 2]
+    few = spark.createDataFrame([*rows[100:108], junk[0]], DOCS)
+    assert [r.doc_id for r in quality.judge(few, ["doc_id"]).where("not kept").collect()] == [junk[0][0]]
+
+
 def test_mcd_equals_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.round(np.abs(rng.normal(1, 0.5, (200, 4))), 3)
