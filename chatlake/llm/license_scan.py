@@ -1,7 +1,6 @@
-"""License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
+"""License scans: all template runs of two words pick candidates, banded alignment measures them.
 
-The templates' runs of ``GRAM`` words are hashed and winnowed (of each ``WINDOW`` neighbouring runs
-the smallest hash stays), which gives an inverted index fingerprint -> (template, position). It is a
+The templates' runs of ``GRAM`` words give an inverted index run -> (template, position). It is a
 table of the templates alone, so its size never depends on the documents. Texts look up all of their
 runs; only words of the templates' vocabulary can take part, so most of a text is passed over. Hits
 of one template on near diagonals are aligned, word by word, within a band around those diagonals
@@ -9,6 +8,11 @@ of one template on near diagonals are aligned, word by word, within a band aroun
 ``COVERAGE`` of the template; its hits are then set aside and the rest is tried again, so repeated
 notices are all reported.
 
+No alignment is lost. Its score is positive from its first word on, so it begins with two matches in
+a row, which are a hit; it has fewer words and gaps without a match than matches, so it ends within
+twice the template's length, where the text must hold enough of the template's words, and strays from
+its first diagonal by less than that length. Hits that can't begin one are passed over.
+
 Texts are scanned whole inside Arrow batches and never shuffled. Defined cases: null and empty texts
 match nothing; letters compare without case, punctuation separates words; equal rows give equal
 results; a template within another's text is reported beside it.
@@ -16,7 +20,6 @@ results; a template within another's text is reported beside it.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chatlake.llm.common import read, texts
 
-GRAM, WINDOW, COVERAGE = 3, 4, 0.8
+GRAM, COVERAGE = 2, 0.8
 
 #: The public wording of common licences and notices.
 TEMPLATES = {
@@ -62,44 +65,53 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().translate(_PLAIN).split()
 
 
-def winnow(grams: list[int], window: int = WINDOW) -> list[int]:
-    """Positions of the (rightmost) smallest hash of each window; of all, if they don't fill one."""
-    if len(grams) <= window:
-        return list(range(len(grams)))
-    return sorted({max(range(at, at + window), key=lambda i: (-grams[i], i)) for at in range(len(grams) - window + 1)})
-
-
 class LicenseIndex:
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
-        self.gram, self.names = gram, list(templates)
+    def __init__(self, templates: dict[str, str]):
+        self.names = list(templates)
         self.texts = [words(t.encode()) for t in templates.values()]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.texts for w in t}))}
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.coded = [np.array([self.ids[w] for w in t], np.int64) for t in self.texts]
-        for n, coded in enumerate(self.coded):
-            codes = self.codes(coded).tolist() if len(coded) >= gram else []
-            for at in winnow([zlib.crc32(c.to_bytes(16, "big")) for c in codes], window):
-                self.postings[codes[at]].append((n, at))
-        self.fingerprints = np.array(sorted(self.postings), np.int64)
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
+        #: By length of run: code -> (template, position).
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {g: defaultdict(list) for g in (1, GRAM)}
+        for gram, postings in self.postings.items():
+            for n, coded in enumerate(self.coded):
+                for at, code in enumerate(self.codes(coded, gram).tolist()):
+                    postings[code].append((n, at))
+        self.runs = {g: np.array(sorted(p), np.int64) for g, p in self.postings.items()}
+        #: Per template: which word ids are its own.
+        self.members = [np.isin(np.arange(len(self.ids) + 1), coded) for coded in self.coded]
+
+    def codes(self, ids: np.ndarray, gram: int = GRAM) -> np.ndarray:
         """One number for each run of words; runs with a foreign word (0) get -1."""
-        n = len(ids) - self.gram + 1
+        n = max(0, len(ids) - gram + 1)
         out, whole = np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(self.gram):
+        for i in range(gram):
             out = out * (len(self.ids) + 1) + ids[i : i + n]
             whole &= ids[i : i + n] > 0
         return np.where(whole, out, -1)
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Template -> (position in the text, position in the template) of shared fingerprints."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if len(ids) < self.gram or not len(self.fingerprints):
-            return out
-        codes = self.codes(ids)
-        for at in np.flatnonzero(np.isin(codes, self.fingerprints)).tolist():
-            for n, there in self.postings[int(codes[at])]:
-                out[n].append((at, there))
+    def hits(self, ids: np.ndarray, coverage: float = COVERAGE) -> dict[int, list[tuple[int, int]]]:
+        """Template -> (position in the text, position in the template) of runs that may be of a place."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # a single word is enough for the shortest templates only
+        single = {n for n, coded in enumerate(self.coded) if coverage * len(coded) <= 1}
+        for gram in (1, GRAM) if single else (GRAM,):
+            codes = self.codes(ids, gram)
+            for at in np.flatnonzero(np.isin(codes, self.runs[gram])).tolist():
+                for n, there in self.postings[gram][int(codes[at])]:
+                    if (n in single) == (gram == 1):
+                        found[n].append((at, there))
+        out = {}
+        for n, own in found.items():
+            reach = 2 * len(self.coded[n])
+            sums = np.concatenate([[0], np.cumsum(self.members[n][ids])])
+            at = np.array([h[0] for h in own], np.int64)
+            starts = at[sums[np.minimum(at + reach, len(ids))] - sums[at] >= coverage * len(self.coded[n])]
+            if len(starts):
+                # what lies within reach of the last start before it can be of the same place
+                last = np.searchsorted(starts, at, side="right") - 1
+                near = (last >= 0) & (at - starts[last] < reach)
+                out[n] = [h for h, keep in zip(own, near.tolist(), strict=True) if keep]
         return out
 
     def scan(self, text: bytes, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
@@ -107,9 +119,9 @@ class LicenseIndex:
         get = self.ids.get
         ids = np.array([get(w, 0) for w in words(text)], np.int64)
         out = []
-        for n, own in self.hits(ids).items():
+        for n, own in self.hits(ids, coverage).items():
             template, left = self.coded[n].tolist(), ids
-            slack = 4 + len(template) // 8
+            slack = max(4, len(template))
             own = sorted(own, key=lambda h: h[0] - h[1])
             while own:
                 near = [own[0]]

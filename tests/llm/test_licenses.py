@@ -63,3 +63,17 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (None, "All rights reserved."), (2, "a " * 50_000)], "doc_id long, text string").withColumn("license", F.lit("clash"))
     assert [(r.doc_id, r.license) for r in L.scan_licenses(df).collect()] == [(None, "all-rights-reserved")]
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_edits_against_unindexed_alignment():
+    for name, template in L.TEMPLATES.items():
+        w = [x.decode() for x in L.words(template.encode())]
+        edits = [[*w[:i], "changed", *w[i + 1 :]] for i in range(len(w))] + [[*w[:i], *w[i + 1 :]] for i in range(len(w))] + [[*w[:i], "added", *w[i:]] for i in range(1, len(w))]
+        if len(w) > 20:
+            # a sentence in the middle, and a word after every two
+            edits += [[*w[: len(w) // 2], *["more"] * (len(w) // 3), *w[len(w) // 2 :]], [x for i in range(0, len(w), 2) for x in (*w[i : i + 2], "x")]]
+        for edited in edits:
+            text = " ".join(["lead"] * 7 + edited + ["tail"] * 5)
+            assert best(INDEX.scan(text.encode())) == brute(text.encode()), (name, text)
+    assert INDEX.scan(b"Licensed under the Apache Licence, Version 2.0.")[0][:3] == ("apache-2.0-notice", 7 / 8, 7)
+    assert [r[:3] for r in L.LicenseIndex({"one": "Unlicense"}).scan(b"the Unlicense.")] == [("one", 1.0, 1)]
