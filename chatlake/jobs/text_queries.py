@@ -109,6 +109,12 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.octet_length("text").alias("bytes"), truncate_bytes(F.regexp_replace("text", "[^\\x00-\\x7F]", "?"), _CAP, "[fileread: file truncated at {n} bytes]").alias("text"))
 
 
+def truncated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its own bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.octet_length("text").alias("bytes"), truncate_bytes(F.col("text"), _CAP, "[fileread: file truncated at {n} bytes]").alias("text"))
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session a customer: requests from orders, responses to most of them, notifications between."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("k"))
@@ -171,6 +177,7 @@ QUERIES = {
 #: Queries that DuckDB can't express; tests compare them with sequential Python.
 WITHOUT_SQL = {
     "page_text_all": page_text_all,
+    "truncate_bytes_all": truncated_all,
 }
 
 _T = "with t as (select conv_id * 1000 + turn as stream_id, text, cast(greatest(ceil(length(text) / 16.0), 1) as int) as n from conversations)"

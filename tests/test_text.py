@@ -35,3 +35,18 @@ def test_page_text_of_all_pages(spark, tmp_path):
         assert got[i] == page(i, html), i
     assert sum(error is None and i % 5 > 1 and bool(text) for i, (text, error) in got.items()) > 20
     assert any("�" in (text or "") for text, _ in got.values())
+
+
+def test_byte_cap_of_all_documents(spark, tmp_path):
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    # characters of one to four bytes over the cap, at it and on both sides of it
+    rows += [(10**6 + 10 * k + n, "x" * (196 + n) + c + "y" * m) for k, (c, m) in enumerate((c, m) for c in ("z", "é", "€", "😀") for m in (0, 50)) for n in range(6)]
+    rows += [(2 * 10**6, None), (2 * 10**6 + 1, "")]
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.bytes, r.text) for r in entry.queries()["truncate_bytes_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        data = None if text is None else text.encode()
+        want = text if data is None or len(data) <= 200 else data[:200].decode("utf-8", "replace") + "\n\n[fileread: file truncated at 200 bytes]"
+        assert got[i] == (None if data is None else len(data), want), i
+    assert sum("�" in (text or "") for _, text in got.values()) > 10
