@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,46 @@ def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
         yield x or b""
 
 
+class Held(dict):
+    """A bounded cache of key -> packed ids in two generations; keys over ``longest`` aren't held."""
+
+    most, longest = 120_000, 80
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def fill(self, keys: set, make) -> dict:
+        """The values of keys; ``make`` turns the list of unknown ones into theirs."""
+        out, unknown = {}, []
+        for key in keys:
+            value = self.get(key)
+            if value is None:
+                value = self.old.get(key)
+            if value is None:
+                unknown.append(key)
+            else:
+                out[key] = value
+        made = dict(zip(unknown, make(unknown), strict=True)) if unknown else {}
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update((k, v) for k, v in made.items() if len(k) <= self.longest)
+        return out | made
+
+
+def slices(batch: pa.RecordBatch, name: str, rows: int = 2048, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of rows and, longer single rows aside, bytes in a column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and (i - at >= rows or held + n > most):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 class Recent(dict):
     """A bounded cache in two generations: when the young one is full it becomes the old one.
 
