@@ -118,33 +118,6 @@ def slices(batch: pa.RecordBatch, name: str, rows: int = 2048, most: int = 4 <<
         yield batch.slice(at)
 
 
-class Recent(dict):
-    """A bounded cache in two generations: when the young one is full it becomes the old one.
-
-    Subclasses compute values in ``make``; keys longer than ``longest`` aren't held. Used as
-    ``map(cache.__getitem__, keys)``.
-    """
-
-    most, longest = 150_000, 80
-
-    def __init__(self):
-        self.old = {}
-
-    def make(self, key):
-        raise NotImplementedError
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Binds a value to a name inside one expression, so that it is computed once a row."""
     return F.transform(F.array(value), body)[0]

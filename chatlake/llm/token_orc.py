@@ -14,6 +14,9 @@ columns aren't written.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,50 +26,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.bpe import byte_letters, public_vocabulary
-from chatlake.llm.common import Recent, materialise, read, scratch_path, texts
+from chatlake.llm.bpe import beyond_low, byte_letters, low_cut, public_vocabulary
+from chatlake.llm.common import SPACES, Held, column, materialise, read, scratch_path, slices
 
 END_ID = 2
-_LETTER = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Words of one call of the library.
+TOGETHER = 64
 
 
-class WordIds(Recent):
-    """Word -> packed ids, for a tokenizer that never joins words across white space.
+def piece_pattern(spec: dict) -> str | None:
+    """The pattern that cuts texts into what the merges see, where that is all a tokenizer file asks for.
 
-    ASCII white space separates what the library encodes, so a text's ids are its words' ids in
-    order. ``lower`` says that the tokenizer lower-cases, which lets A-Z share entries with a-z. A
-    word of plain letters is one piece, which goes straight to the library's merges.
+    Its normalizers must be NFC, white space to one space, and lower-casing; its pre-tokenizer must
+    keep only a pattern's finds, none of which holds white space, as byte letters; its model must be
+    plain BPE. Then a word's ids depend on the word alone, and a piece's ids on the piece.
+    """
+    normalizers = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and model.get("unk_token") is None and model.get("continuing_subword_prefix") is None
+    if (spec.get("normalizer") or {}).get("normalizers") != normalizers or len(cuts) != 2 or not plain:
+        return None
+    split, letters = cuts
+    pattern = str((split.get("pattern") or {}).get("Regex"))
+    kept = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"]
+    known = re.fullmatch(r"((^|\|)('[a-z]+|\[\\p\{[LN]\}\]\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+))+", pattern)
+    return pattern if kept and known and letters["type"] == "ByteLevel" and not letters["add_prefix_space"] and not letters["use_regex"] else None
+
+
+class WordIds:
+    """Texts -> packed ids by the tokenizers library, each distinct piece or word once a cache generation.
+
+    Where the file's pieces are known (``piece_pattern``), texts are cut by its own pattern and the
+    library merges each distinct piece. Words beyond code point ``LOW``, where normalizing may change
+    more than case, go to the library as words, parted by a special token, whose id parts their ids
+    again. Texts that may hold special tokens, and all texts under other files, go to it whole.
     """
 
-    most = 150_000
-
-    def __init__(self, path: str, lower: bool = True):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        added = spec.get("added_tokens", [])
+        bare = [t for t in added if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        pattern = piece_pattern(spec)
+        self.cut = low_cut(pattern) if pattern and bare == added != [] else None
+        self.mark = (added[0]["content"], added[0]["id"]) if self.cut else None
+        self.special = tuple({t["content"][:2] for t in added})
         self.merges = self.tok.model.tokenize
-        self.lower, self.letters = lower, byte_letters()
-        self.marks = {m: self._whole(m) for m in (b",", b".")}
-        self.special = tuple(t.content.encode()[:2] for t in self.tok.get_added_tokens_decoder().values())
-
-    def _whole(self, word: bytes) -> bytes:
-        return array("i", self.tok.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-
-    def make(self, word: bytes) -> bytes:
-        """A comma or full stop after a letter is a token of its own."""
-        if word[-1:] in self.marks and word[-2:-1] and word[-2] in _LETTER:
-            return self[word[:-1]] + self.marks[word[-1:]]
-        if (text := word.decode()).isalpha() and text == text.lower() and max(text) < "\u0250":
-            return array("i", [t.id for t in self.merges(text if text.isascii() else "".join([self.letters[b] for b in word]))]).tobytes()
-        return self._whole(word)
-
-    def encode(self, text: bytes) -> bytes:
-        if self.lower and not any(s in text for s in self.special):
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
+        self.letters = dict(enumerate(byte_letters()))
+        self.words = re.compile(f"[^{SPACES}]+").findall
+        self.known = Held()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _make(self, keys: list[str]) -> list[bytes]:
+        """A key is a piece, or a line feed and a word."""
+        words = iter(self._together([k[1:] for k in keys if k[0] == "\n"]))
+        return [next(words) if k[0] == "\n" else self._merged(k) for k in keys]
+
+    def _merged(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isalpha()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.merges(piece)]).tobytes()
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            ids = np.array(self.tok.encode_batch_fast([self.mark[0].join(own)], add_special_tokens=False)[0].ids, "<i4")
+            ends = [*np.flatnonzero(ids == self.mark[1]).tolist(), len(ids)]
+            packed = ids.tobytes()
+            out += [packed[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return out
+
+    def _keys(self, text: str) -> list[str]:
+        if not beyond_low(low := text.lower()):
+            return self.cut(low)
+        return [k for w in self.words(text) for k in ([f"\n{w}"] if beyond_low(w.lower()) else self.cut(w.lower()))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        rows = [self._keys(t) if self.cut and not any(s in t for s in self.special) else None for t in texts]
+        distinct: set[str] = set()
+        for own in rows:
+            distinct.update(own or ())
+        get = self.known.fill(distinct, self._make).__getitem__
+        whole = iter(self._whole([t for t, own in zip(texts, rows, strict=True) if own is None]))
+        return [next(whole) if own is None else b"".join(map(get, own)) for own in rows]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -84,9 +136,8 @@ def encode_words(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, row = load(vocabulary), np.array([end_id], "<i4").tobytes(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                packed = [words.encode(x) + end for x in texts(part, "text")]
+            for part in slices(batch, "text"):
+                packed = [x + end for x in words.encode([t or "" for t in column(part, "text")])]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 rows = pa.array(np.arange(row, row := row + part.num_rows), pa.int64())

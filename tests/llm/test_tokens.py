@@ -22,14 +22,16 @@ def samples(n):
 def test_bpe_equals_library():
     path = bpe.public_vocabulary("byte_bpe_50k.json")
     ours, theirs = bpe.load(path), Tokenizer.from_file(path)
-    for s in [*samples(3000), "a" * 50_000, "the " * 3000]:
-        ids = theirs.encode(s, add_special_tokens=False).ids
-        assert np.frombuffer(ours.encode(s), "<u4").tolist() == ids
-        assert ours.decode(ours.encode(s)) == theirs.decode(ids, skip_special_tokens=False) == s
+    texts = [*samples(3000), "", "a" * 50_000, "the " * 3000, *("xyz" * n for n in range(60)), *(chr(c) + " " + chr(c) + "a" for c in range(0x300))]
+    ids = [theirs.encode(s, add_special_tokens=False).ids for s in texts]
+    packed = ours.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packed] == ids
+    assert ours.encode(texts[::-1])[::-1] == packed
+    assert ours.decode(packed).to_pylist() == texts == [theirs.decode(x, skip_special_tokens=False) for x in ids]
     rnd = random.Random(1)
-    for _ in range(500):
-        ids = [rnd.randrange(50_257) for _ in range(9)]
-        assert ours.decode(np.array(ids, "<u4").tobytes()) == theirs.decode(ids, skip_special_tokens=False)
+    some = [[rnd.randrange(50_257) for _ in range(9)] for _ in range(500)]
+    assert ours.decode([np.array(x, "<u4").tobytes() for x in some]).to_pylist() == [theirs.decode(x, skip_special_tokens=False) for x in some]
+    assert ours.decode([np.array([60_000, some[0][0]], "<u4").tobytes(), b""]).to_pylist() == [theirs.decode(some[0][:1], skip_special_tokens=False), ""]
 
 
 def test_pair_tree_takes_leftmost_lowest():
@@ -44,6 +46,35 @@ def test_pair_tree_takes_leftmost_lowest():
         assert bpe.PairTree(ranks).merged(ids) == plain
 
 
+def test_forest_equals_tree():
+    rnd = random.Random(3)
+    for _ in range(20):
+        pairs = {}
+        for rank in range(rnd.randint(1, 60)):
+            pairs.setdefault(rnd.randrange(rank // 3 + 4) << 20 | rnd.randrange(rank // 3 + 4), 4 + rank)
+        ranks = {k: (rank, v) for rank, (k, v) in enumerate(pairs.items())}
+        forest, byte_ids = bpe.PairForest(ranks), np.array([b % 4 for b in range(256)], np.int32)
+        sequences = [bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 2, 3, 4, 8, 9, 17, 30, 64, 65, 127, 128, 129, 300]))) for _ in range(300)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in forest.merged(sequences, byte_ids)]
+        assert got == [bpe.PairTree(ranks).merged([b % 4 for b in x]) for x in sequences]
+
+
+def test_op10_whole_query(spark):
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    theirs = Tokenizer.from_file(bpe.public_vocabulary("byte_bpe_50k.json"))
+    want = {}
+    for r in pq.read_table(f"{SF}/documents.parquet").to_pylist():
+        ids = theirs.encode(r["text"] or "", add_special_tokens=False).ids
+        back = theirs.decode(ids, skip_special_tokens=False)
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    rows = bpe.op10_bpe(spark, SF).collect()
+    assert len(rows) == len(want)
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == want
+
+
 def test_bpe_columns(spark):
     path = bpe.public_vocabulary("byte_bpe_50k.json")
     df = spark.createDataFrame([(1, "Hi there"), (2, None), (2, ""), (None, "x")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
@@ -52,11 +83,24 @@ def test_bpe_columns(spark):
     assert bpe.bpe_encode(df.limit(0), path).count() == 0
 
 
-def test_word_ids_equal_library():
+def test_word_ids_equal_library(tmp_path):
+    import json
+
     path = bpe.public_vocabulary("word_bpe_49k.json")
     ours = token_orc.load(path)
-    for s in [*samples(3000), "e\u0301 \xe9t\xe9, \u01c6 stra\xdfe. ABC, \u0130x \xe0\xe8.", "a" * 5000]:
-        assert np.frombuffer(ours.encode(s.encode()), "<i4").tolist() == ours.tok.encode(s, add_special_tokens=False).ids
+    assert ours.cut
+    texts = [*samples(3000), "", "e\u0301 \xe9t\xe9, \u01c6 stra\xdfe. ABC, \u0130x \u023a\u0181 \xe0\xe8.", "a" * 5000, *(f"a{chr(c)} {chr(c)}b{chr(c)}" for c in range(0xD000))]
+    want = [x.ids for x in ours.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in ours.encode(texts)] == want
+    # another file's pieces aren't assumed to be these
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": []}):
+        other = tmp_path / f"{next(iter(change))}.json"
+        other.write_text(json.dumps(spec | change))
+        theirs = token_orc.load(str(other))
+        assert not theirs.cut
+        assert [np.frombuffer(x, "<i4").tolist() for x in theirs.encode(texts[:300])] == [x.ids for x in theirs.tok.encode_batch(texts[:300], add_special_tokens=False)]
 
 
 @pytest.fixture(scope="module")
