@@ -31,7 +31,8 @@ from chatlake.llm.common import read, texts
 
 GRAM, COVERAGE = 2, 0.8
 
-#: The public wording of common licences and notices.
+#: The public wording of common licences and notices; opening sentences stand beside full texts,
+#: as texts often quote no more.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -40,6 +41,68 @@ TEMPLATES = {
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice shall be included in all copies or substantial portions
         of the Software.""",
+    "mit-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    "isc-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+        WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+        DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+        in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+        on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+        the specific language governing permissions and limitations under the License.""",
+    "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+        your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details. You should have received a copy of the GNU General Public License along
+        with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+        software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+        to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as
+        such, and must not be misrepresented as being the original software. 3. This notice may not be removed or
+        altered from any source distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws,
+        the author or authors of this software dedicate any and all copyright interest in the software to the public
+        domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+        future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -115,64 +178,71 @@ class LicenseIndex:
         return out
 
     def scan(self, text: bytes, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, matched words, first word, word after the last) by place."""
+        """(template, coverage, matched words, first word, word after the last) by place.
+
+        A place spans less than ``reach`` words, so windows of twice that, a reach apart, hold each one
+        whole. Work grows with the text's length times the template's, however often a notice repeats.
+        """
         get = self.ids.get
         ids = np.array([get(w, 0) for w in words(text)], np.int64)
         out = []
         for n, own in self.hits(ids, coverage).items():
-            template, left = self.coded[n].tolist(), ids
-            slack = max(4, len(template))
-            own = sorted(own, key=lambda h: h[0] - h[1])
-            while own:
-                near = [own[0]]
-                for h in own[1:]:
-                    if h[0] - h[1] - (near[-1][0] - near[-1][1]) > slack:
+            template, left, least = self.coded[n], ids.copy(), coverage * len(self.coded[n])
+            reach, slack = 2 * len(template) + 1, max(4, len(template))
+            at = np.array(own, np.int64)
+            at = at[np.argsort(at[:, 0], kind="stable")]
+            first = 0
+            while first < len(at):
+                begin = int(at[first, 0])
+                last, following = np.searchsorted(at[:, 0], [begin + 2 * reach, begin + reach])
+                # what lies before the window can be part of no place that begins in it
+                window = left[begin : begin + 2 * reach].copy()
+                diagonals = at[first:last, 0] - begin - at[first:last, 1]
+                low, high = int(diagonals.min()) - slack, int(diagonals.max()) + slack
+                while True:
+                    matched, start, end = align(template, window, low, high)
+                    if matched < least or end <= start:
                         break
-                    near.append(h)
-                matched, start, end = align(template, left, near[0][0] - near[0][1] - slack, near[-1][0] - near[-1][1] + slack)
-                gone = {h for h in near if start <= h[0] < end} or set(near)
-                if matched >= coverage * len(template):
-                    out.append((self.names[n], matched / len(template), matched, start, end))
-                # what an alignment used is blanked, so that the next one finds another place
-                left = left.copy()
-                left[start:end] = 0
-                own = [h for h in own if h not in gone]
+                    if start < reach:
+                        out.append((self.names[n], matched / len(template), matched, begin + start, begin + end))
+                        left[begin + start : begin + end] = 0
+                    # what an alignment used is blanked, so that the next one finds another place
+                    window[start:end] = 0
+                first = int(following)
         return sorted(out, key=lambda r: (r[3], r[4], r[0]))
 
 
-def align(template: list[int], text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+#: An alignment's score, matched words and first word in one number, compared in this order.
+_SCORE, _MATCH, _START = 1 << 42, 1 << 21, (1 << 21) - 1
+
+
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """The best local alignment with text position - template position in low..high.
 
-    Returns the matched words and the text's span; of equal scores the first to end.
+    Returns the matched words and the text's span; of equal scores the one with more matches, then
+    the first to begin. A template word is a row of the band; skipping words of the text along a row
+    is a running maximum.
     """
-    width = high - low + 1
-    blank = (0, 0, 0)
-    before = [blank] * (width + 1)
-    best = (0, 0, 0, 0)
-    size = len(text)
-    values = text[max(0, low) : max(0, high + len(template))].tolist()
-    shift = max(0, low)
-    for j, word in enumerate(template):
-        now = [blank] * (width + 1)
-        left = blank
-        for d in range(width):
-            i = low + d + j
-            if i < 0 or i >= size:
-                left = blank
-                continue
-            same = values[i - shift] == word
-            score, matched, start = before[d]
-            options = (score + 1, matched + 1, start if score else i) if same else (score - 1, matched, start)
-            up, back = before[d + 1], left
-            if up[0] - 1 > options[0]:
-                options = (up[0] - 1, up[1], up[2])
-            if back[0] - 1 > options[0]:
-                options = (back[0] - 1, back[1], back[2])
-            left = now[d] = options if options[0] > 0 else blank
-            if left[0] > best[0]:
-                best = (*left, i + 1)
+    size, width = len(text), high - low + 1
+    before, ramp = np.zeros(width + 1, np.int64), np.arange(width, dtype=np.int64) * _SCORE
+    begins = _SCORE + _MATCH + _START - np.arange(size, dtype=np.int64)
+    best = end = 0
+    for j, word in enumerate(template.tolist()):
+        a, b = max(0, -low - j), min(width, size - low - j)
+        now = np.zeros(width + 1, np.int64)
+        if a < b:
+            here, i = before[a:b], low + a + j
+            value = np.where(text[i : i + b - a] == word, np.where(here > 0, here + (_SCORE + _MATCH), begins[i : i + b - a]), here - _SCORE)
+            np.maximum(value, before[a + 1 : b + 1] - _SCORE, out=value)
+            value[value < _SCORE] = 0
+            value = np.maximum.accumulate(value + ramp[: b - a]) - ramp[: b - a]
+            value[value < _SCORE] = 0
+            top = int(value.argmax())
+            if value[top] > best:
+                best, end = int(value[top]), i + top + 1
+            now[a:b] = value
         before = now
-    return best[1], best[2], best[3]
+    return best // _MATCH % _MATCH, _START - best % _MATCH if best else 0, end
 
 
 _INDEXES: dict[tuple, LicenseIndex] = {}
