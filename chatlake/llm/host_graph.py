@@ -1,19 +1,27 @@
 """URL filtering: path rules first, then trust and distrust spread over the graph of hosts.
 
-Pages link hosts: an edge runs from a page's host to the host of each absolute link in its HTML,
-weighed by how many links there are. A host and its parent domain (of two labels at least) count as
-linked once each way, so that a site's hosts share what is known of it. Trust is personalised
-PageRank from the hosts of allowed pages along the edges; distrust is the same walk from the hosts of
-blocked pages against the edges (who links to bad hosts is bad). Seeds weigh as many as their pages.
-A url without a rule is blocked if its host's distrust is over ``FACTOR`` times its trust; a host
+Pages link hosts: an edge runs from a page's host to the host of each absolute link in its HTML (with
+a scheme, or beginning with ``//``), weighed by how many links there are; relative links stay on their
+host and are none. A host and its parent domains up to the registrable domain count as linked once
+each way, so that a site's hosts share what is known of it; hosts under a public suffix don't meet
+there. A public suffix is a last label, or a last label of two letters after one of ``SECOND``
+(``co.uk``); a list of further ones is a parameter.
+
+Trust is personalised PageRank from the hosts of allowed pages along the edges; distrust is the same
+walk from the hosts of blocked pages against the edges (who links to bad hosts is bad). Seeds weigh as
+many as their pages, and each walk's seeds and scores sum to 1: what reaches hosts without edges
+returns to the seeds. Steps go on until they move less than ``TOLERANCE`` in all. A url without a rule
+is blocked if its host has more than ``FACTOR`` times as large a share of distrust as of trust; a host
 that neither walk reaches is allowed.
 
-Rows meet in sums by host or by pair of hosts, aggregated before they are shuffled, so a host with a
-third of all links is one row an edge. Ranks are written to the shared folder after each few steps.
+Pages are read once, into a narrow table of hosts, paths and linked hosts. Rows meet in sums by host
+or by pair of hosts, aggregated before they are shuffled; hosts with over a thousandth of all edges
+are salted. Ranks are written to the shared folder after each few steps.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, no rule, and are allowed;
-null HTML has no links; links without a host are the page's own and are skipped; repeated pages are
-judged alike; an empty table gives an empty result.
+null HTML has no links; links without a host are skipped; repeated pages are judged alike, and their
+links count as often; other columns are dropped unless they are keys; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,11 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import materialise, read
+from chatlake.llm.common import joined_apart, materialise, read
 
 #: host, path, verdict
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, STEPS, FACTOR = 0.85, 20, 1.0
+DAMPING, TOLERANCE, FACTOR = 0.85, 1e-4, 1.0
+#: Labels that make a public suffix of two with a country's label after them.
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,59 +57,97 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """url, html -> src, dst, n: links between different hosts."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("(?i)href\\s*=\\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\\s>]+)"), 1)).alias("link"))
-    hosts = links.select("src", host_of(F.col("link")).alias("dst"))
-    return hosts.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-
-
-def kin_edges(pages: DataFrame) -> DataFrame:
-    """url -> src, dst, n: each host and each of its parent domains with the next one up, both ways."""
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host != ''").distinct()
-    labels = F.split("host", "\\.")
-    upward = F.transform(F.sequence(F.lit(1), F.size(labels) - 2), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("a"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("b")))
-    pairs = hosts.where(F.size(labels) > 2).select(F.explode(upward).alias("e")).select("e.a", "e.b").distinct()
-    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit(1).cast("bigint").alias("n"))
-
-
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, every: int = 5) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, n), seeds (host, mass) -> host, score."""
-    out_degree = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = materialise(edges.join(out_degree, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "host-shares")
-    start = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
-    ranks = seeds.select("host", F.col("mass").cast("double").alias("score"))
-    for step in range(steps):
-        moved = shares.join(ranks, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        ranks = moved.union(start).groupBy("host").agg(F.sum("score").alias("score"))
-        if step % every == every - 1:
-            ranks = materialise(ranks, "host-ranks")
-    return ranks
-
-
-def _seeds(judged: DataFrame, verdict: str) -> DataFrame:
-    """Hosts with pages of a verdict, weighed by how many."""
-    return materialise(judged.where((F.col("host") != "") & (F.col("rule.verdict") == verdict)).groupBy("host").agg(F.count("*").alias("mass")), "host-seeds")
-
-
-def host_scores(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """page url, html -> host, trust, distrust: of every host of a page or a link."""
-    judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    edges = materialise(host_edges(pages).union(kin_edges(pages)).groupBy("src", "dst").agg(F.sum("n").alias("n")), "host-edges")
-    trust = spread(edges, _seeds(judged, "allow")).select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust"))
-    reversed_ = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(reversed_, _seeds(judged, "block")).select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust"))
-    return trust.union(distrust).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-
-
-def judge_urls(pages: DataFrame, keys: list[str], rules: tuple = RULES, factor: float = FACTOR) -> DataFrame:
-    """The key columns, host, path, rule, verdict, trust and distrust of every page."""
-    scores = materialise(host_scores(pages, rules), "host-scores")
-    judged = pages.select(*keys, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    joined = judged.join(scores, "host", "left")
+def linked_hosts(html: Column) -> Column:
+    """The hosts of all absolute links of a page, as often as they are linked."""
+    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?i)href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\\s>]+)"), 1)
+    hosts = F.transform(links, lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("x:"), x)).otherwise(x)))
+    return F.filter(hosts, lambda x: x != "")
+
+
+def suffix_labels(labels: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """How many of a host's labels are its public suffix."""
+    two = F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))
+    country = (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, -2).isin(*SECOND)
+    return F.when(F.size(labels) < 2, 1).when(country | two.isin(*suffixes), 2).otherwise(1)
+
+
+def host_edges(judged: DataFrame) -> DataFrame:
+    """host, links -> src, dst, n: links between different hosts."""
+    hosts = judged.select(F.col("host").alias("src"), F.explode("links").alias("dst"))
+    return hosts.where("src != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def kin_edges(judged: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """host -> src, dst, n: each host and its parents up to the registrable domain, both ways."""
+    hosts = judged.where("host != ''").select("host").distinct().select(F.split("host", "\\.").alias("labels"))
+    hosts = hosts.withColumn("steps", F.size("labels") - suffix_labels(F.col("labels"), suffixes) - 1).where("steps > 0")
+    name = lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
+    pairs = hosts.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: F.struct(name(i).alias("a"), name(i + 1).alias("b")))).alias("e")).select("e.*").distinct()
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
+    return both.select("e.*", F.lit(1).cast("bigint").alias("n"))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, every: int = 8, most: int = 240) -> DataFrame:
+    """Personalised PageRank of several walks at once: each walk's scores sum to 1.
+
+    Edges (walk, src, dst, n) and seeds (walk, host, mass) -> walk, host, score. The walk without its
+    dangling mass is stepped; as that mass returns to the seeds, the whole walk's scores are the same
+    up to their sum. Steps shrink what is left by ``damping`` at least. Edges of sources with over a
+    thousandth of all are salted by their targets, and those sources' scores are repeated a salt.
+    """
+    most_edges = max(1000, edges.count() // 1000)
+    out = edges.groupBy("walk", "src").agg(F.sum("n").alias("out"), F.ceil(F.count("*") / most_edges).alias("salts"))
+    out = materialise(out, "host-degrees")
+    shares = edges.join(out, ["walk", "src"]).select("walk", "src", F.pmod(F.xxhash64("dst"), F.col("salts")).alias("salt"), "dst", (F.col("n") / F.col("out")).alias("share"))
+    shares = materialise(shares, "host-shares")
+    hot = F.broadcast(out.where("salts > 1").select("walk", F.col("src").alias("host"), "salts"))
+    sums = seeds.groupBy("walk").agg(F.sum("mass").alias("all"))
+    seeds = materialise(seeds.join(F.broadcast(sums), "walk").select("walk", "host", (F.col("mass") / F.col("all")).alias("score")), "host-seeds")
+    ranks = before = seeds
+    start = seeds.select("walk", "host", ((1 - damping) * F.col("score")).alias("score"))
+    for _ in range(0, most, every):
+        for _ in range(every):
+            before = ranks
+            side = ranks.join(hot, ["walk", "host"], "left").select("walk", F.col("host").alias("src"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "score")
+            moved = shares.join(side, ["walk", "src", "salt"]).select("walk", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+            ranks = moved.union(start).groupBy("walk", "host").agg(F.sum("score").alias("score"))
+        # the last two steps, side by side
+        both = ranks.select("walk", "host", "score", F.lit(0.0).alias("before")).union(before.select("walk", "host", F.lit(0.0), "score"))
+        both = materialise(both.groupBy("walk", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "host-ranks")
+        left = both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
+        ranks = both.select("walk", "host", "score")
+        if left <= tolerance:
+            total = ranks.groupBy("walk").agg(F.sum("score").alias("all"))
+            return ranks.join(F.broadcast(total), "walk").select("walk", "host", (F.col("score") / F.col("all")).alias("score")).where("score > 0")
+    raise RuntimeError(f"the walks still move {left} after {most} steps")
+
+
+def ruled(pages: DataFrame, keys: list[str | Column], rules: tuple = RULES) -> DataFrame:
+    """url, html -> the keys, host, path, fit (rule and verdict), links."""
+    placed = pages.select(*keys, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), linked_hosts(F.col("html")).alias("links"))
+    return placed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+
+
+def host_scores(judged: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``ruled`` -> host, trust, distrust: of every host that a walk reaches."""
+    edges = materialise(host_edges(judged).union(kin_edges(judged, suffixes)).groupBy("src", "dst").agg(F.sum("n").alias("n")), "host-edges")
+    both = edges.select(F.lit("allow").alias("walk"), "src", "dst", "n").union(edges.select(F.lit("block"), "dst", "src", "n"))
+    seeds = judged.where("host != '' and fit is not null").groupBy(F.col("fit.verdict").alias("walk"), "host").agg(F.count("*").alias("mass"))
+    own = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("score")).otherwise(0.0))
+    return spread(both, seeds).groupBy("host").agg(own("allow").alias("trust"), own("block").alias("distrust"))
+
+
+def judge_urls(pages: DataFrame, keys: list[str], rules: tuple = RULES, factor: float = FACTOR, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """url, html -> the key columns, host, path, rule, verdict, trust and distrust of every page."""
+    judged = materialise(ruled(pages, [F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], rules), "ruled-pages")
+    scores = materialise(host_scores(judged, suffixes), "host-scores")
+    pages_of = judged.groupBy("host").agg(F.count("*").alias("n"))
+    hot = scores.join(F.broadcast(pages_of.where(F.col("n") > max(1000, judged.count() // 1000)).select("host")), "host", "left_semi")
+    joined = joined_apart(judged.drop("links"), scores, hot, "host")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     found = F.when(distrust > factor * trust, "block").otherwise("allow")
-    return joined.select(*keys, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", found).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    own = [F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)]
+    return joined.select(*own, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", found).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op9_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
