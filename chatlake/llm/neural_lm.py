@@ -1,23 +1,27 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation in numpy.
 
 1. Words are counted over all training texts; equal words meet in one grouped sum.
-2. Words fall into ``CLASSES``: the ``OWN`` most frequent words and the end are classes of their own,
-   all others share ``BUCKETS`` classes by their last two bytes, which holds unseen words too.
-3. Pairs of neighbouring classes are counted over all training texts. At most CLASSES^2 sums come
-   to the driver, whatever the input.
-4. The model scores class w after class a as ``(q_a C) . r_w + b_w``. Noise-contrastive estimation
-   tells the counted pairs from noise of the classes' own frequencies; as the counts are complete,
-   the noise's expectation is taken exactly rather than sampled. Batched matrix products over all
-   words give the log-probabilities, normalised exactly by their log-sum.
-5. A word's probability is its class's times its share of the class with one added to each count, so
-   that the known words of a class and one unseen word sum to 1.
-
-Scoring reads every text once more. The ``HEAD`` most frequent words travel to the tasks (a bounded
-table); all other tokens meet their counts in a shuffled join. Results hold for any vocabulary size.
+2. The most frequent words get vectors of their own: ``SINGLES`` of them (the end included) are
+   outcomes, the next ``CLASSES * MEMBERS`` are members of classes of like frequency. All other words
+   share ``BUCKETS`` outcomes by their last two bytes, which holds unseen words too.
+3. Every text becomes an array of these ids, written once by round of training.
+4. The vectors of the ``CONTEXT`` tokens before a token, each through its place's matrix, sum to a
+   vector that meets the outcomes' vectors and biases, and within the outcome's class its members'.
+   Both are trained by noise-contrastive estimation with noise sampled from the unigrams: in each
+   round, tasks step through their partitions of new training texts in minibatches, and what they
+   have moved is averaged by how often each row was used. Every training token is stepped through
+   once; no task holds more than a minibatch of them, and only the model reaches the driver.
+5. Batched matrix products over all outcomes, and over all members of a token's class, give the
+   log-probabilities, normalised exactly by their log-sums.
+6. A word in a bucket has the bucket's probability times its share of it with one added to each
+   count, so that the known words of a bucket and one unseen word sum to 1.
+
+The ``HEAD`` most frequent words of at most ``WIDEST`` bytes travel to the tasks (at most 16 MB); all
+other tokens meet their counts in a shuffled join. Results hold for any vocabulary size.
 
 Defined cases: null text is empty (an end alone); a null id counts as the empty text for the split;
-repeated ids are scored as rows of their own; without training texts every word is unseen; an empty
-table gives an empty result.
+repeated ids are scored as rows of their own; without training texts every word is unseen; texts of
+any length are taken whole; an empty table gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,23 +36,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import materialise, read, texts
+from chatlake.llm.common import materialise, read, slices, texts
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
-HEAD, OWN, BUCKETS = 131_072, 511, 256
-CLASSES = OWN + 1 + BUCKETS
+HEAD, WIDEST = 131_072, 96
+SINGLES, CLASSES, MEMBERS, BUCKETS = 128, 64, 256, 128
+#: Ids: the end, the other singles, the members class by class, the buckets; outcomes: singles, classes, buckets.
+MIDDLE, IDS, OUTCOMES = CLASSES * MEMBERS, SINGLES + CLASSES * MEMBERS + BUCKETS, SINGLES + CLASSES + BUCKETS
 FOLDS, HELD_OUT = 7, 2
-DIMENSIONS, NOISE, EPOCHS = 48, 10, 400
-PRIOR = 50.0
+DIMENSIONS, CONTEXT = 32, 4
+#: Noise samples for each token, of outcomes and of members; tokens of a minibatch; learning rate.
+NOISE, MEMBER_NOISE, BATCH, RATE = 256, 64, 8192, 0.05
+#: Rounds by the part of the training texts that each takes, in 16ths; tokens that a task steps through at least.
+ROUNDS, TASK_TOKENS = (2, 2, 4, 8), 2_000_000
+#: Deltas are summed as whole numbers of this, so that sums don't depend on their order.
+GRAIN = 1 << 20
 
 
 def fold(doc_id: int | None) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
+    return _crc(doc_id) % FOLDS
+
+
+def _crc(doc_id: int | None) -> int:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+
+
+def round_of(doc_id: int | None) -> int:
+    """The round that trains on a text; -1 if it is held out."""
+    crc = _crc(doc_id)
+    if crc % FOLDS == HELD_OUT:
+        return -1
+    part = crc // FOLDS % sum(ROUNDS)
+    return next(i for i in range(len(ROUNDS)) if part < sum(ROUNDS[: i + 1]))
 
 
 def bucket(word: bytes) -> int:
-    return OWN + 1 + zlib.crc32(word[-2:]) % BUCKETS
+    return SINGLES + MIDDLE + zlib.crc32(word[-2:]) % BUCKETS
+
+
+def outcome(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < SINGLES, ids, np.where(ids < SINGLES + MIDDLE, SINGLES + (ids - SINGLES) // MEMBERS, ids - MIDDLE + CLASSES))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -80,210 +108,390 @@ class Vocabulary:
 
     rank: dict[bytes, int]
     counts: np.ndarray
-    classes: np.ndarray
-    tokens: int = 0
-    distinct: int = 0
-    #: Per class: tokens and distinct words (of the buckets).
-    class_tokens: np.ndarray | None = None
-    class_distinct: np.ndarray | None = None
+    ids: np.ndarray
+    #: Tokens and distinct words of each id of the model.
+    id_tokens: np.ndarray
+    id_words: np.ndarray
+
+    @property
+    def tokens(self) -> int:
+        return int(self.id_tokens.sum())
+
+    @property
+    def distinct(self) -> int:
+        return int(self.id_words.sum())
 
 
-def head_of(counts: DataFrame, most: int = HEAD) -> DataFrame:
-    """The words whose count is over a threshold that at most ``most`` words pass."""
-    by_n = counts.groupBy("n").agg(F.count("*").alias("words"))
+def head_of(counts: DataFrame, most: int = HEAD) -> tuple[DataFrame, DataFrame]:
+    """The words whose count is over a threshold that at most ``most`` words pass, and all others."""
+    short = F.octet_length("word") <= WIDEST
+    by_n = counts.where(short).groupBy("n").agg(F.count("*").alias("words"))
     over = by_n.withColumn("total", F.sum("words").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     least = over.where(F.col("total") <= most).agg(F.coalesce(F.min("n"), F.lit(1 << 62))).first()[0]
-    return counts.where(F.col("n") >= least)
+    inside = short & (F.col("n") >= least)
+    return counts.where(inside), counts.where(~inside)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    head = head_of(counts).toArrow()
+def vocabulary(counts: DataFrame, head: DataFrame) -> Vocabulary:
+    head = head.toArrow()
     words, n = head.column("word").to_pylist(), head.column("n").to_pylist()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     rank = {words[i]: r for r, i in enumerate(order)}
-    classes, own = np.empty(len(order), np.int64), 0
+    ids, own = np.empty(len(order), np.int32), 1
     for w, r in rank.items():
         if w == END:
-            classes[r] = OWN
-        elif own < OWN:
-            classes[r] = own
+            ids[r] = 0
+        elif own < SINGLES + MIDDLE:
+            ids[r] = own
             own += 1
         else:
-            classes[r] = bucket(w)
-    out = Vocabulary(rank, np.array([n[i] for i in order], np.int64), classes)
-    held = counts.sparkSession.sparkContext.broadcast((rank, classes))
+            ids[r] = bucket(w)
+    held = counts.sparkSession.sparkContext.broadcast((rank, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, classes = held.value
-        tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        rank, ids = held.value
+        tokens, distinct = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
         for b in batches:
-            of = np.array([classes[rank[w]] if w in rank else bucket(w) for w in b.column("word").to_pylist()], np.int64)
+            of = np.array([ids[rank[w]] if w in rank else 0 if w == END else bucket(w) for w in b.column("word").to_pylist()], np.int64)
             np.add.at(tokens, of, b.column("n").to_numpy())
             np.add.at(distinct, of, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(tokens), pa.array(distinct)], names=["class", "tokens", "words"])
+        some = np.flatnonzero(distinct)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(tokens[some]), pa.array(distinct[some])], names=["id", "tokens", "words"])
 
-    sums = counts.mapInArrow(run, "class bigint, tokens bigint, words bigint").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
-    out.class_tokens, out.class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    out.class_tokens[sums.column("class").to_numpy()] = sums.column("tokens").to_numpy()
-    out.class_distinct[sums.column("class").to_numpy()] = sums.column("words").to_numpy()
-    out.tokens, out.distinct = int(out.class_tokens.sum()), int(out.class_distinct.sum())
+    sums = counts.mapInArrow(run, "id bigint, tokens bigint, words bigint").groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
+    out = Vocabulary(rank, np.array([n[i] for i in order], np.int64), ids, np.zeros(IDS, np.int64), np.zeros(IDS, np.int64))
+    out.id_tokens[sums.column("id").to_numpy()] = sums.column("tokens").to_numpy()
+    out.id_words[sums.column("id").to_numpy()] = sums.column("words").to_numpy()
     return out
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of a batch's texts with their ends, and where each text begins."""
-    words: list[bytes] = []
-    starts = []
-    for t in texts(batch, "text"):
-        starts.append(len(words))
-        words += t.lower().split()
-        words.append(END)
-    return words, np.array(starts, np.int64)
-
-
-def _classified(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks (-1 beyond the head) and classes."""
-    get = v.rank.get
-    ranks = np.array([get(w, -1) for w in words], np.int64)
-    classes = np.where(ranks >= 0, v.classes[ranks], 0) if len(v.classes) else np.zeros(len(words), np.int64)
-    for i in np.flatnonzero(ranks < 0).tolist():
-        classes[i] = OWN if words[i] == END else bucket(words[i])
-    return ranks, classes
-
-
-def _before(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The class before each token; a text begins after an end."""
-    out = np.empty_like(classes)
-    out[1:] = classes[:-1]
-    out[starts] = OWN
-    return out
-
-
-def count_pairs(docs: DataFrame, v: Vocabulary) -> np.ndarray:
-    """How often each class follows each, over all training texts."""
-    held = docs.sparkSession.sparkContext.broadcast(v)
+def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, text -> doc_id, round, n_tokens, known, log_count, share (of words in their buckets), tail, ids."""
+    within = np.log10(v.id_tokens + v.id_words + 1.0)
+    within[: SINGLES + MIDDLE] = 0
+    held = docs.sparkSession.sparkContext.broadcast((v.rank, v.ids, np.log10(v.counts + 1.0), within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, seen = held.value, np.zeros(CLASSES * CLASSES, np.int64)
+        rank, inputs, logs, within = held.value
+        inputs, logs = np.append(inputs, 0), np.append(logs, 0.0)
+        get = rank.get
         for batch in batches:
-            train = batch.filter(pa.array([fold(i) != HELD_OUT for i in batch.column("doc_id").to_pylist()], pa.bool_()))
-            for at in range(0, train.num_rows, 256):
-                words, starts = _tokens(train.slice(at, 256))
-                classes = _classified(words, v)[1]
-                np.add.at(seen, _before(classes, starts) * CLASSES + classes, 1)
-        cells = np.flatnonzero(seen)
-        for at in range(0, len(cells), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 100_000]), pa.array(seen[cells[at : at + 100_000]])], names=["cell", "n"])
+            for part in slices(batch, "text"):
+                words: list[bytes] = []
+                ends = []
+                for t in texts(part, "text"):
+                    words += t.lower().split()
+                    words.append(END)
+                    ends.append(len(words))
+                starts = np.array([0, *ends[:-1]], np.int64)
+                ranks = np.array([get(w, -1) for w in words], np.int64)
+                ids, log_count, known = inputs[ranks].astype(np.int32), logs[ranks], ranks >= 0
+                rest = np.flatnonzero(~known)
+                ids[rest] = [0 if words[i] == END else bucket(words[i]) for i in rest.tolist()]
+                share = np.where(ids >= SINGLES + MIDDLE, log_count - within[ids], 0.0)
+                offsets = pa.array(np.array([0, *ends], np.int32))
+                tails = np.concatenate([[0], np.cumsum(~known)])[[0, *ends]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([round_of(i) for i in part.column("doc_id").to_pylist()], pa.int32()),
+                        pa.array(np.diff([0, *ends])),
+                        pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                        pa.array(np.add.reduceat(log_count, starts)),
+                        pa.array(np.add.reduceat(share, starts)),
+                        pa.ListArray.from_arrays(pa.array(tails), pa.array([words[i] for i in rest.tolist()], pa.binary())),
+                        pa.ListArray.from_arrays(offsets, pa.array(ids)),
+                    ],
+                    names=["doc_id", "round", "n_tokens", "known", "log_count", "share", "tail", "ids"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, round int, n_tokens bigint, known bigint, log_count double, share double, tail array<binary>, ids array<int>")
 
-    sums = docs.select("doc_id", "text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES * CLASSES)
-    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    return out.reshape(CLASSES, CLASSES)
+
+def _contexts(ids: np.ndarray, starts: np.ndarray, size: int = CONTEXT) -> np.ndarray:
+    """The tokens before each token, nearest first; before a text stand ends. Shape: places, tokens."""
+    begins = np.zeros(len(ids), np.int64)
+    begins[starts] = starts
+    inside = np.arange(len(ids)) - np.maximum.accumulate(begins)
+    out = np.zeros((size, len(ids)), np.int32)
+    for i in range(size):
+        out[i, i + 1 :] = ids[: len(ids) - i - 1]
+        out[i, inside <= i] = 0
+    return out
+
+
+PARTS = ("q", "c", "r", "b", "w", "u")
 
 
 @dataclass
 class LogBilinear:
-    """Context vectors, the context matrix, target vectors and biases."""
+    """Context vectors q of ids, matrices c of places, vectors r and biases b of outcomes, w and u of members."""
 
     q: np.ndarray
     c: np.ndarray
     r: np.ndarray
     b: np.ndarray
+    w: np.ndarray
+    u: np.ndarray
+    #: The noise: each outcome's share of all tokens, each member's of its class's.
+    noise: np.ndarray
+    member_noise: np.ndarray
+
+    @classmethod
+    def start(cls, id_tokens: np.ndarray, seed: int = 5) -> LogBilinear:
+        rng = np.random.default_rng(seed)
+        of = outcome(np.arange(IDS))
+        noise = np.bincount(of, id_tokens + 0.5, OUTCOMES)
+        noise /= noise.sum()
+        members = id_tokens[SINGLES : SINGLES + MIDDLE].reshape(CLASSES, MEMBERS) + 0.5
+        member_noise = (members / members.sum(axis=1, keepdims=True)).ravel()
+        c = np.stack([np.eye(DIMENSIONS) / (i + 1) for i in range(CONTEXT)])
+        parts = (rng.normal(0, 0.3, (IDS, DIMENSIONS)), c, np.zeros((OUTCOMES, DIMENSIONS)), np.log(noise), np.zeros((MIDDLE, DIMENSIONS)), np.log(member_noise))
+        return cls(*(p.astype(np.float32) for p in parts), noise, member_noise)
+
+    def hidden(self, contexts: np.ndarray) -> np.ndarray:
+        return sum(self.q[x] @ m for x, m in zip(contexts, self.c, strict=True))
+
+    def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of all outcomes after each context, normalised."""
+        s = hidden @ self.r.T + self.b
+        return s - _log_sums(s)[:, None]
+
+    def member_log_probabilities(self, hidden: np.ndarray, of: int) -> np.ndarray:
+        """Natural log-probabilities of all members of a class, given the class, normalised."""
+        own = slice(of * MEMBERS, (of + 1) * MEMBERS)
+        s = hidden @ self.w[own].T + self.u[own]
+        return s - _log_sums(s)[:, None]
+
+    def token_log_probabilities(self, ids: np.ndarray, starts: np.ndarray, batch: int = BATCH) -> np.ndarray:
+        """Natural log-probability of each token of texts that begin at ``starts`` (a bucket's for its words)."""
+        contexts, targets, out = _contexts(ids, starts), outcome(ids), np.empty(len(ids))
+        tables = [self.q @ m for m in self.c]
+        # a column of ones meets the biases
+        outcomes = np.hstack([self.r, self.b[:, None]]).T
+        members = np.hstack([self.w, self.u[:, None]])
+        for at in range(0, len(ids), batch):
+            own = slice(at, at + batch)
+            h = np.ones((len(targets[own]), DIMENSIONS + 1), np.float32)
+            h[:, :-1] = sum(table[x] for table, x in zip(tables, contexts[:, own], strict=True))
+            s = h @ outcomes
+            true = s[np.arange(len(h)), targets[own]]
+            out[own] = true - _log_sums(s)
+            for of, rows in _by_class(ids[own]):
+                s = h[rows] @ members[of * MEMBERS : (of + 1) * MEMBERS].T
+                true = s[np.arange(len(rows)), ids[at + rows] - SINGLES - of * MEMBERS]
+                out[at + rows] += true - _log_sums(s)
+        return out
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials."""
+    top = s.max(axis=1, keepdims=True) if len(s) and s.max() > 60 else np.float32(0)
+    e = s - top if np.ndim(top) else s
+    return np.log(np.exp(e).sum(axis=1)) + (top[:, 0] if np.ndim(top) else top)
+
+
+def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class that occurs, with the rows of its members."""
+    rows = np.flatnonzero((ids >= SINGLES) & (ids < SINGLES + MIDDLE))
+    of = (ids[rows] - SINGLES) // MEMBERS
+    order = np.argsort(of, kind="stable")
+    rows, of = rows[order], of[order]
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(rows) else np.empty(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+        yield int(of[a]), rows[a:b]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """Overwrites x."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+class Stepper:
+    """Steps a copy of a model through minibatches: row-wise Adagrad on the noise-contrastive objective."""
+
+    def __init__(self, model: LogBilinear, seed: int, rate: float = RATE):
+        self.m = LogBilinear(*(np.array(getattr(model, p)) for p in PARTS), model.noise, model.member_noise)
+        self.rng, self.rate = np.random.default_rng(seed), rate
+        self.seen = {p: np.zeros(len(getattr(model, p)), np.float32) for p in PARTS}
+        self.uses = {p: np.zeros(len(getattr(model, p)), np.int64) for p in PARTS}
+        self.log_noise = np.log(NOISE * model.noise).astype(np.float32)
+        self.log_member_noise = np.log(MEMBER_NOISE * model.member_noise).astype(np.float32)
+        self.ends, self.member_ends = np.cumsum(model.noise), np.cumsum(model.member_noise.reshape(CLASSES, MEMBERS), axis=1)
+
+    def _drawn(self, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which outcomes n draws from cumulated shares give, and how often."""
+        return np.unique(np.minimum(np.searchsorted(ends, self.rng.random(n) * ends[-1], side="right"), len(ends) - 1), return_counts=True)
+
+    def _move(self, part: str, rows: np.ndarray, grads: np.ndarray, uses: np.ndarray) -> None:
+        """One ascent step of some distinct rows."""
+        table = getattr(self.m, part)
+        flat = grads.reshape(len(rows), -1)
+        self.seen[part][rows] += (flat * flat).mean(axis=1)
+        pace = self.rate / np.sqrt(self.seen[part][rows] + 1e-6)
+        table[rows] += pace.reshape(-1, *[1] * (grads.ndim - 1)) * grads
+        self.uses[part][rows] += uses
+
+    def _contrast(self, h: np.ndarray, at: np.ndarray, first: int, parts: tuple[str, str], log_noise: np.ndarray, drawn: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Trains vectors and biases of one softmax on tokens against drawn noise; the hidden vectors' gradient."""
+        vectors, biases = getattr(self.m, parts[0]), getattr(self.m, parts[1])
+        noise, times = drawn[0] + first, drawn[1].astype(np.float32)
+        true = at + first
+        own, others = vectors[true], vectors[noise]
+        hit = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) + biases[true] - log_noise[true])
+        miss = h @ others.T
+        miss += biases[noise] - log_noise[noise]
+        miss = _sigmoid(miss)
+        miss *= -times
+        back = hit[:, None] * own
+        back += miss @ others
+        rows, of = np.unique(np.concatenate([true, noise]), return_inverse=True)
+        weights = np.zeros((len(rows), len(h)), np.float32)
+        weights[of[: len(true)], np.arange(len(h))] = hit
+        weights[of[len(true) :]] += miss.T
+        uses = np.bincount(of[: len(true)], minlength=len(rows)) + 1
+        self._move(parts[0], rows, weights @ h, uses)
+        self._move(parts[1], rows, weights.sum(axis=1), uses)
+        return back
+
+    def step(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        contexts = _contexts(ids, starts)
+        m = self.m
+        vectors = [m.q[x] for x in contexts]
+        h = sum(x @ c for x, c in zip(vectors, m.c, strict=True))
+        back = self._contrast(h, outcome(ids), 0, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
+        for of, rows in _by_class(ids):
+            back[rows] += self._contrast(h[rows], ids[rows] - SINGLES - of * MEMBERS, of * MEMBERS, ("w", "u"), self.log_member_noise, self._drawn(self.member_ends[of], MEMBER_NOISE))
+        matrices = np.stack([x.T @ back for x in vectors])
+        # a token's vector gathers what it did as a context of the tokens after it
+        flat, grads = contexts.ravel(), np.concatenate([back @ c.T for c in m.c])
+        order = np.argsort(flat, kind="stable")
+        rows, cuts, uses = np.unique(flat[order], return_index=True, return_counts=True)
+        self._move("q", rows, np.add.reduceat(grads[order], cuts, axis=0), uses)
+        self._move("c", np.arange(CONTEXT), matrices, np.full(CONTEXT, len(ids)))
+
+    def moved(self, model: LogBilinear) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+        """Part, first row, uses and deltas (in grains) of blocks of rows that have moved."""
+        for p in PARTS:
+            deltas = np.rint((getattr(self.m, p) - getattr(model, p)).astype(np.float64) * GRAIN).astype(np.int32).reshape(len(self.uses[p]), -1)
+            for at in range(0, len(deltas), 1024):
+                own = slice(at, at + 1024)
+                if self.uses[p][own].any():
+                    yield p, at, self.uses[p][own], deltas[own]
+
+
+def _minibatches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and starts of runs of texts; a text longer than a minibatch goes on in the next ones."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        col = batch.column("ids")
+        flat, at = col.values.to_numpy(), col.offsets.to_numpy()
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for x in range(a, b, BATCH):
+                held.append(flat[x : min(b, x + BATCH)])
+                size += len(held[-1])
+                if size >= BATCH:
+                    yield np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+                    held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+
+
+def trained(rows: DataFrame, model: LogBilinear, seed: int) -> LogBilinear:
+    """One round: ids -> the model moved by the average of the tasks' steps."""
+    context = rows.sparkSession.sparkContext
+    held = context.broadcast(model)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        stepper = Stepper(held.value, seed * 1_000_003 + TaskContext.get().partitionId())
+        for ids, starts in _minibatches(batches):
+            stepper.step(ids, starts)
+        for part, at, uses, deltas in stepper.moved(held.value):
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([at]), pa.array([uses.tobytes()], pa.binary()), pa.array([deltas.tobytes()], pa.binary())], names=["part", "at", "uses", "deltas"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                uses = np.frombuffer(r["uses"], np.int64)
+                moved = np.frombuffer(r["deltas"], np.int32).reshape(len(uses), -1) * uses[:, None]
+                own = found.setdefault((r["part"], r["at"]), [np.zeros_like(uses), np.zeros_like(moved)])
+                own[0] += uses
+                own[1] += moved
+        for (part, at), (uses, moved) in found.items():
+            mean = (moved / np.maximum(uses, 1)[:, None] / GRAIN).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([at]), pa.array([mean.tobytes()], pa.binary())], names=["part", "at", "mean"])
+
+    moved = rows.select("ids").mapInArrow(steps, "part string, at bigint, uses binary, deltas binary")
+    means = materialise(moved.repartition("part", "at").mapInArrow(sums, "part string, at bigint, mean binary"), "lm-steps").toArrow().to_pylist()
+    out = LogBilinear(*(np.array(getattr(model, p)) for p in PARTS), model.noise, model.member_noise)
+    for r in means:
+        table = getattr(out, r["part"])
+        own = table[r["at"] : r["at"] + 1024]
+        own += np.frombuffer(r["mean"], np.float32).reshape(own.shape)
+    held.unpersist()
+    return out
 
-    def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of all classes after each context, normalised."""
-        s = self.q[contexts] @ self.c @ self.r.T + self.b
-        top = s.max(axis=1, keepdims=True)
-        return s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
-
-
-def train(pairs: np.ndarray, distinct: np.ndarray | None = None, dimensions: int = DIMENSIONS, noise: int = NOISE, epochs: int = EPOCHS, rate: float = 0.03, seed: int = 5) -> LogBilinear:
-    """Maximises the noise-contrastive objective over all pairs with Adam.
 
-    ``distinct``: words of each class. As within classes, each word counts once more, which leaves
-    mass for words not seen yet; ``PRIOR`` tokens of overall frequency steady rare contexts.
-    """
-    k, rng = len(pairs), np.random.default_rng(seed)
-    if distinct is not None and pairs.sum() > 0:
-        own = pairs.sum(axis=0) + distinct
-        pairs = pairs + np.outer(pairs.sum(axis=1), distinct) / pairs.sum() + PRIOR * own / own.sum()
-    total = max(1.0, pairs.sum())
-    frequency = (pairs.sum(axis=0) + 0.5) / (total + 0.5 * k)
-    share = np.log(noise * frequency)
-    model = LogBilinear(rng.normal(0, 0.1, (k, dimensions)), np.eye(dimensions), rng.normal(0, 0.1, (k, dimensions)), np.log(frequency))
-    # every context weighs as much as it occurs, the rarest a little more so that it is learnt at all
-    data, against = pairs / total, noise * np.outer((pairs.sum(axis=1)) / total, frequency)
-    parts = [model.q, model.c, model.r, model.b]
-    first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    for step in range(1, epochs + 1):
-        h = model.q @ model.c
-        p = 1 / (1 + np.exp(-np.clip(h @ model.r.T + model.b - share, -40, 40)))
-        g = data * (1 - p) - against * p
-        gh = g @ model.r
-        grads = [gh @ model.c.T, model.q.T @ gh, g.T @ h, g.sum(axis=0)]
-        pace = rate * min(1.0, 2 * (1 - step / (epochs + 1)))
-        for x, d, m, s in zip(parts, grads, first, second, strict=True):
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            x += pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-10)
+def train(rows: DataFrame, v: Vocabulary) -> LogBilinear:
+    """All rounds, each over its own training texts, in tasks of at least ``TASK_TOKENS`` tokens."""
+    model = LogBilinear.start(v.id_tokens)
+    for n, part in enumerate(ROUNDS):
+        tasks = max(1, v.tokens * part // sum(ROUNDS) // TASK_TOKENS)
+        model = trained(rows.where(F.col("round") == n).coalesce(tasks), model, n)
     return model
 
 
-def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: LogBilinear) -> DataFrame:
-    """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    table = model.log_probabilities(np.arange(CLASSES)) / np.log(10)
-    within = np.log10(v.class_tokens + v.class_distinct + 1.0)
-    within[: OWN + 1] = 0
+def score(rows: DataFrame, rest: DataFrame, v: Vocabulary, model: LogBilinear) -> DataFrame:
+    """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``rest``: the words beyond the head.
+    """
     base = float(np.log10(v.tokens + v.distinct + 1.0))
-    held = docs.sparkSession.sparkContext.broadcast((v, table, within, np.log10(v.counts + 1.0)))
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    kept = ("row", "doc_id", "round", "n_tokens", "known", "log_count", "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table, within, logs = held.value
+        model = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                words, starts = _tokens(part)
-                ranks, classes = _classified(words, v)
-                known = ranks >= 0
-                log_count = np.where(known, logs[ranks], 0.0) if len(logs) else np.zeros(len(words))
-                model_log = table[_before(classes, starts), classes] - within[classes] + np.where(classes > OWN, log_count, 0.0)
-                ends = [*starts[1:].tolist(), len(words)]
-                tail = [[words[i] for i in np.flatnonzero(~known[a:b]) + a] for a, b in zip(starts.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([fold(i) == HELD_OUT for i in part.column("doc_id").to_pylist()], pa.bool_()),
-                        pa.array(np.diff([*starts, len(words)])),
-                        pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(log_count, starts)),
-                        pa.array(np.add.reduceat(model_log, starts)),
-                        pa.array(tail, pa.list_(pa.binary())),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "log_count", "model_log", "tail"],
-                )
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_count double, model_log double, tail array<binary>")
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rest = rows.select("row", F.explode("tail").alias("word")).join(counts.where(F.col("n") < (int(v.counts.min()) if len(v.counts) else 1 << 62)), "word")
-    rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("tail_log"))
-    out = rows.drop("tail").join(rest, "row", "left")
+                col = part.column("ids")
+                cuts = col.offsets.to_numpy().astype(np.int64)
+                ids, starts = col.values.to_numpy()[cuts[0] : cuts[-1]], cuts[:-1] - cuts[0]
+                sums = np.add.reduceat(model.token_log_probabilities(ids, starts), starts) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sums)], names=[*kept, "model_log"])
+
+    scored = rows.select(*kept, "ids").mapInArrow(run, "row bigint, doc_id bigint, round int, n_tokens bigint, known bigint, log_count double, share double, model_log double")
+    tails = rows.select("row", F.explode("tail").alias("word")).join(rest, "word")
+    tails = tails.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("tail_log"))
+    out = scored.join(tails, "row", "left")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return out.select(
         "doc_id",
-        "held_out",
+        (F.col("round") < 0).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("bigint").alias("train_tokens"),
         (F.col("log_count") + tail_log - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model_log") + tail_log).alias("score"),
+        (F.col("model_log") + F.col("share") + tail_log).alias("score"),
     )
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Counts, trains and scores: doc_id, text -> the columns of ``score``."""
     counts = materialise(count_words(docs), "word-counts")
-    v = vocabulary(counts)
-    return score(docs, counts, v, train(count_pairs(docs, v), v.class_distinct))
+    head, rest = head_of(counts)
+    v = vocabulary(counts, head)
+    rows = materialise(encoded(docs, v).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    return score(rows, rest, v, train(rows, v))
 
 
 def op5_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
