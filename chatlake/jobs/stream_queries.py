@@ -7,8 +7,6 @@ shared folder; the query reads that. Tables are a folder or one file, which Spar
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +15,12 @@ from chatlake.jobs.run_queries import LIMITS
 from chatlake.jobs.run_queries import ORACLE_SQL as RUN_ORACLES
 from chatlake.jobs.views import RUN_EVENTS, with_views
 from chatlake.operators import batch as B
+from chatlake.sources.shared import shared_folder
 from chatlake.streaming import events as E
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that isn't set, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _drained(stream: DataFrame) -> DataFrame:
-    spark, at = stream.sparkSession, _shared(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -35,7 +28,7 @@ def _drained(stream: DataFrame) -> DataFrame:
 
 def _updated(stream: DataFrame) -> DataFrame:
     """The last state of an aggregation in complete mode, batch by batch overwritten."""
-    spark, at = stream.sparkSession, _shared(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

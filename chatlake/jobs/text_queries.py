@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.functions.scalar import call_result_text, canonical_json, command_output, content_text, is_text_media_type, normalize_args, truncate_bytes
+from chatlake.functions.scalar import call_result_text, canonical_json, command_output, content_text, data_url, is_text_media_type, normalize_args, truncate_bytes
 from chatlake.jobs.views import messages, with_views
+from chatlake.operators import history as H
 from chatlake.operators import rpc as RPC
 from chatlake.operators import streams as S
 from chatlake.operators import text as X
 from chatlake.sources import messages as M
 from chatlake.sources import streams as SRC
+from chatlake.sources.shared import shared_folder
 
 STEP = 16
 
@@ -89,13 +91,6 @@ def _responses(pages: DataFrame, body: Column) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part that DuckDB can express; ``page_text_all`` is the whole flow."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    out = X.page_text(_responses(pages, F.regexp_replace("html", "[^\\x00-\\x7F]", "?")), 3000)
-    return out.where("error is not null or page_id % 5 = 1").select("page_id", "text", "error")
-
-
-def page_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its own bytes: the cap, then HTML to text, then the marker."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return X.page_text(_responses(pages, F.col("html")), 3000).select("page_id", "text", "error")
@@ -105,11 +100,6 @@ _CAP = 200
 
 
 def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
-    return docs.select("doc_id", F.octet_length("text").alias("bytes"), truncate_bytes(F.regexp_replace("text", "[^\\x00-\\x7F]", "?"), _CAP, "[fileread: file truncated at {n} bytes]").alias("text"))
-
-
-def truncated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its own bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.octet_length("text").alias("bytes"), truncate_bytes(F.col("text"), _CAP, "[fileread: file truncated at {n} bytes]").alias("text"))
@@ -156,6 +146,83 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "pos", "role", "content", call["id"].alias("call_id"), call["args"].alias("args"), "tool_call_id")
 
 
+def _hex(number: Column, width: int) -> Column:
+    return F.lpad(F.hex(number), width, "0")
+
+
+def _frame(kind: Column, payload: Column) -> Column:
+    """The bytes, in hexadecimal, of a binary frame with one header, its event type, and a payload."""
+    name = F.encode(F.lit(":event-type"), "UTF-8")
+    value = F.encode(kind, "UTF-8")
+    header = F.concat(_hex(F.octet_length(name), 2), F.hex(name), F.lit("07"), _hex(F.octet_length(value), 4), F.hex(value))
+    size, body = F.length(header) / 2, F.hex(F.encode(payload, "UTF-8"))
+    start = F.concat(_hex((size + F.length(body) / 2 + 16).cast("bigint"), 8), _hex(size.cast("bigint"), 8))
+    return F.concat(start, _hex(F.crc32(F.unhex(start)), 8), header, body, _hex(F.crc32(F.unhex(F.concat(start, header, body))), 8))
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes to frames to messages; every fifth stream's last frame is spoilt, every seventh's cut off."""
+    f = _fragments(_turns(spark, sf_dir))
+    piece = F.to_json(F.struct(F.lit(0).alias("contentBlockIndex"), F.struct(F.col("piece").alias("text")).alias("delta")))
+    one = f.select("stream_id", F.struct("seq", _frame(F.lit("contentBlockDelta"), piece).alias("hex")).alias("f"))
+    said = one.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["hex"]), "").alias("hex"))
+    end = F.concat(_frame(F.lit("messageStop"), F.lit("{}")), _frame(F.lit("metadata"), F.lit('{"usage":{"inputTokens":4,"outputTokens":9}}')))
+    whole = F.concat("hex", end)
+    spoilt = F.when(F.col("stream_id") % 5 == 0, F.concat(F.substr(whole, F.lit(1), F.length(whole) - 8), F.lit("00000000"))).when(F.col("stream_id") % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 8)).otherwise(whole)
+    return S.assemble_bedrock(SRC.decode_event_frames(said.select("stream_id", F.unhex(spoilt).alias("body")))).select("stream_id", "content", "input_tokens", "output_tokens", "error")
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part a turn, each kind of fault in turn."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    n = (F.col("conv_id") + F.col("turn")) % 6
+    part = F.struct(
+        F.when(n == 1, "audio").otherwise("image").alias("kind"),
+        F.when(n.isin(2, 5), "http://x/y.png").otherwise("").alias("url"),
+        F.when(n.isin(0, 2, 4), F.encode("text", "UTF-8")).alias("data"),
+        F.when(n == 0, "image/png").otherwise("").alias("media_type"),
+    )
+    return H.validate_parts(rows.select("conv_id", F.col("turn").alias("pos"), "role", F.array(part).alias("parts")))
+
+
+def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", data_url(F.lit("text/plain"), F.encode("text", "UTF-8")).alias("url"))
+
+
+def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ("89504E470D0A1A0A", "255044462D312E37", "0001020304", "20203C68746D6C3E", "6869", "47494638396100", "FFD8FFE0")
+    n = F.col("p_partkey") % len(heads)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), X.sniff_content_type(F.unhex(F.element_at(F.array(*map(F.lit, heads)), (n + 1).cast("int")))).alias("media_type"))
+
+
+def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored conversations through real files."""
+    path = shared_folder(spark, "messages")
+    M.write_messages(messages(spark, sf_dir), path)
+    call = F.get("tool_calls", F.lit(0))
+    return M.read_messages(spark, path).select("conv_id", "pos", "role", "content", call["id"].alias("call_id"), call["args"].alias("args"), "tool_call_id")
+
+
+def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies through real files: a body a line, rendering errors left out."""
+    path = shared_folder(spark, "requests")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    body = F.when(F.col("o_orderkey") % 3 > 0, F.to_json(F.struct(F.col("o_orderkey").alias("model"), F.col("o_orderpriority").alias("text"))))
+    M.write_requests(o.select(body.alias("body")), path)
+    return spark.read.text(path).select(F.from_json("value", "struct<model:bigint,text:string>").alias("r")).select("r.model", "r.text")
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a nation: a third in binary, each with the suppliers' names in order."""
+    path = shared_folder(spark, "files")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    lines = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "|").alias("line"))
+    lines.select(F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("\x01"), "line")).otherwise(F.col("line")), "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    read = M.read_text_files(spark, path, 100)
+    return read.select(F.regexp_extract("path", "s_nationkey=(\\d+)", 1).cast("int").alias("nation"), "media_type", "text", "error")
+
+
 QUERIES = {
     "parse_sse": lambda s, d: SRC.parse_sse(_openai(s, d)).groupBy("stream_id").agg(F.count("*").alias("payloads")),
     "parse_sse_events": lambda s, d: SRC.parse_sse_events(_openai(s, d)).groupBy("stream_id").agg(F.count("*").alias("events")),
@@ -165,19 +232,24 @@ QUERIES = {
     "assemble_gemini": assemble_gemini,
     "assemble_bedrock": assemble_bedrock,
     "html_to_text": html_to_text,
-    "page_text": page_text,
     "truncate_bytes": truncated,
     "match_rpc": lambda s, d: RPC.match_rpc(_log(s, d)),
     "collect_tool_lists": tool_lists,
     "call_result_text": result_text,
     "scalar_functions": scalars,
     "stored_messages": stored,
+    "decode_event_frames": event_frames,
+    "validate_parts": validated,
+    "data_url": data_urls,
+    "sniff_content_type": sniffed,
+    "message_files": message_files,
+    "request_files": request_files,
+    "text_files": text_files,
 }
 
 #: Queries that DuckDB can't express; tests compare them with sequential Python.
 WITHOUT_SQL = {
-    "page_text_all": page_text_all,
-    "truncate_bytes_all": truncated_all,
+    "page_text": page_text,
 }
 
 _T = "with t as (select conv_id * 1000 + turn as stream_id, text, cast(greatest(ceil(length(text) / 16.0), 1) as int) as n from conversations)"
@@ -198,10 +270,9 @@ cast(n as bigint) as input_tokens, cast(7 as bigint) as output_tokens, cast(null
     "assemble_gemini": f"""{_T} select stream_id, text as content, 'call-1,call-2' as ids, '{{"a":3}},{{}}' as args, cast(n - 1 as bigint) as input_tokens, cast(1 as bigint) as output_tokens, cast(null as string) as error from t""",
     "assemble_bedrock": f"""{_T} select stream_id, case when n < 2 then text else substr(text, 1, cast(ceil(n / 2.0) as int) * 16) || chr(10) || substr(text, cast(ceil(n / 2.0) as int) * 16 + 1) end as content, cast(4 as bigint) as input_tokens, cast(9 as bigint) as output_tokens, cast(null as string) as error from t""",
     "html_to_text": f"select page_id, {_HTML} as text from pages",
-    "page_text": """with p as (select page_id, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') as html from pages) select page_id, case when page_id % 7 <> 0 and page_id % 5 = 1 then case when strlen(html) > 3000 then substr(html, 1, 3000) || chr(10) || chr(10) || '[webfetch: response truncated at 3000 bytes]' else html end end as text,
-case when page_id % 7 = 0 then 'unexpected status 404' when page_id % 5 = 0 then 'unsupported media type image/png' end as error from p where page_id % 7 = 0 or page_id % 5 < 2""",
-    "truncate_bytes": f"""with d as (select doc_id, strlen(text) as bytes, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as t from documents where lang = 'en')
-select doc_id, cast(bytes as int) as bytes, case when length(t) > {_CAP} then substr(t, 1, {_CAP}) || chr(10) || chr(10) || '[fileread: file truncated at {_CAP} bytes]' else t end as text from d""",
+    # the longest prefix of whole characters within the cap, and one mark for a character that the cap cuts
+    "truncate_bytes": f"""with d as (select doc_id, text, strlen(text) as bytes, case when strlen(text) > {_CAP} then list_max(list_filter(range(0, {_CAP} + 1), lambda n: strlen(left(text, n)) <= {_CAP})) end as whole from documents)
+select doc_id, cast(bytes as int) as bytes, case when bytes > {_CAP} then left(text, whole) || case when strlen(left(text, whole)) < {_CAP} then chr(65533) else '' end || chr(10) || chr(10) || '[fileread: file truncated at {_CAP} bytes]' else text end as text from d""",
     "match_rpc": """select o_custkey as session_id, o_orderkey * 10 as seq, cast(o_orderkey as string) as id, 'tools/call' as method, case when o_orderkey % 4 <> 0 then o_orderkey * 10 + 5 end as response_seq,
 case when o_orderkey % 4 = 1 then '{"ok":true}' end as result, case o_orderkey % 4 when 0 then 'no response' when 2 then 'json-rpc error -32601: no' when 3 then 'response has no result' end as error from orders""",
     "collect_tool_lists": """with p as (select o_custkey as session_id, o_orderkey as k, coalesce(sum((o_orderkey % 3 = 0)::int) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as closed from orders),
@@ -212,4 +283,15 @@ select id, case when id % 2 = 0 then 'tool look failed' || case when t = '' then
     "scalar_functions": """select p_partkey as id, case p_partkey % 3 when 0 then '{"a":1,"b":' || p_partkey || '}' when 1 then 'not json' else '["x"]' end as canonical, case when p_partkey % 2 = 0 then '{}' else '{"a": 1}' end as args, p_partkey % 4 < 2 as is_text,
 case when p_partkey % 3 = 0 then 'hi' else '' end as content, (case when strlen(p_name) > 10 then substr(p_name, 1, 10) || chr(10) || chr(10) || '[shell: output truncated at 10 bytes]' else p_name end) || case when p_partkey % 3 = 0 then '' else chr(10) || chr(10) || '[shell: exited with status ' || (p_partkey % 3) || ']' end as output from part""",
     "stored_messages": f"""{with_views('v_messages')} select conv_id, cast(row_number() over (partition by conv_id order by v_messages.pos) - 1 as int) as pos, role, content, call_id, case when call_id is not null then '{{}}' end as args, tool_call_id from v_messages""",
+    "decode_event_frames": """select conv_id * 1000 + turn as stream_id, case when bad is null then text end as content, case when bad is null then cast(4 as bigint) end as input_tokens, case when bad is null then cast(9 as bigint) end as output_tokens, bad as error
+from (select *, case when (conv_id * 1000 + turn) % 5 = 0 then 'the frame doesn''t match its checksum' when (conv_id * 1000 + turn) % 7 = 0 then 'the frame is cut off' end as bad from conversations)""",
+    "validate_parts": """with p as (select conv_id, turn as pos, role, (conv_id + turn) % 6 as n, strlen(text) > 0 as said from conversations),
+e as (select *, case when role <> 'user' then 'parts belong to user messages only' when n = 1 then 'unsupported part kind audio' when n = 2 and said then 'both url and data are set' when n = 3 or (n in (0, 4) and not said) then 'neither url nor data is set' when n = 4 then 'data needs a media type' end as error from p)
+select conv_id, min(pos) as pos, cast(0 as int) as part, arg_min(error, pos) as error from e where error is not null group by conv_id""",
+    "data_url": "select doc_id, 'data:text/plain;base64,' || base64(encode(text)) as url from documents",
+    "sniff_content_type": """select p_partkey as id, case p_partkey % 7 when 0 then 'image/png' when 1 then 'application/pdf' when 2 then 'application/octet-stream' when 3 then 'text/html; charset=utf-8' when 4 then 'text/plain; charset=utf-8' when 5 then 'image/gif' else 'image/jpeg' end as media_type from part""",
+    "request_files": "select o_orderkey as model, o_orderpriority as text from orders where o_orderkey % 3 > 0",
+    "text_files": """with f as (select s_nationkey as nation, (case when s_nationkey % 3 = 0 then chr(1) else '' end) || string_agg(s_name, '|' order by s_name) || chr(10) as t from supplier group by s_nationkey)
+select cast(nation as int) as nation, case when nation % 3 = 0 then 'application/octet-stream' else 'text/plain; charset=utf-8' end as media_type, case when nation % 3 = 0 then null when strlen(t) > 100 then substr(t, 1, 100) || chr(10) || chr(10) || '[fileread: file truncated at 100 bytes]' else t end as text, case when nation % 3 = 0 then 'unsupported media type application/octet-stream' end as error from f""",
 }
+ORACLE_SQL["message_files"] = ORACLE_SQL["stored_messages"]

@@ -61,11 +61,16 @@ def check_path_args(args: Column) -> Column:
 
 
 def apply_tool_choice(catalog: DataFrame, name: str) -> DataFrame:
-    """The chosen tool alone, or one row with an error if there is no such tool."""
-    known = F.max(F.when(F.col("name") == name, 1).otherwise(0)).over(Window.partitionBy())
-    rows = catalog.withColumn("_known", known).withColumn("error", F.when(F.col("_known") == 0, F.lit(f"tool {name} isn't registered")))
-    first = F.row_number().over(Window.orderBy("name")) == 1
-    return rows.withColumn("_first", first).where((F.col("name") == name) | (F.col("_known") == 0) & F.col("_first")).drop("_known", "_first")
+    """The chosen tool alone, or one row with an error if there is no such tool.
+
+    The error row is the first tool's by name. It comes from one aggregate, combined before it is
+    shuffled; rows of other tools go no further than their scan.
+    """
+    own = F.col("name") == name
+    chosen = catalog.where(own).withColumn("error", F.lit(None).cast("string"))
+    found = catalog.agg(F.max(F.coalesce(own, F.lit(False))).alias("known"), F.min_by(F.struct(*catalog.columns), F.struct(F.col("name").isNull().alias("null"), "name")).alias("first"))
+    missing = found.where("not known").select("first.*", F.lit(f"tool {name} isn't registered").alias("error"))
+    return chosen.unionByName(missing)
 
 
 def validate_catalog(catalog: DataFrame, output_tool: str | None = None) -> DataFrame:

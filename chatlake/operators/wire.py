@@ -24,76 +24,104 @@ def _call(id_: Column, name: Column, args: Column) -> Column:
     return F.struct(F.coalesce(id_, F.lit("")).alias("id"), F.coalesce(name, F.lit("")).alias("name"), normalize_args(F.coalesce(args, F.lit(""))).alias("args"))
 
 
-def _finished(payloads: DataFrame, body: Column, content: Column, calls: Column, tokens: tuple[str, str], missing: Column | None = None, text: str = "") -> DataFrame:
-    rows = payloads.withColumn("_r", body)
-    broken = F.col("_r").isNull() | F.try_parse_json("body").isNull()
-    error = F.when(broken, F.lit(_BROKEN))
-    if missing is not None:
-        error = F.coalesce(error, F.when(missing, F.lit(f"{_BROKEN}: {text}")))
-    rows = rows.withColumn("error", error)
-    ok = F.col("error").isNull()
-    return rows.withColumns(
-        {
-            "content": F.when(ok, F.coalesce(content, F.lit(""))),
-            "tool_calls": F.when(ok, F.coalesce(calls, F.array().cast(_EMPTY))),
-            "input_tokens": F.when(ok, F.coalesce(F.col(tokens[0]), F.lit(0))),
-            "output_tokens": F.when(ok, F.coalesce(F.col(tokens[1]), F.lit(0))),
-        }
-    ).drop("_r")
+def _finished(parsed: Column, read, missing: str | None = None) -> Column:
+    """A struct of the normalized columns; ``read`` maps the parsed body to content, calls, tokens in and out and its list."""
 
+    def fields(r: Column) -> Column:
+        content, calls, tokens_in, tokens_out, listed = read(r)
+        error = F.when(r.isNull() | F.try_parse_json("body").isNull(), F.lit(_BROKEN))
+        if missing:
+            error = F.coalesce(error, F.when(F.coalesce(F.size(listed), F.lit(0)) <= 0, F.lit(f"{_BROKEN}: response contained no {missing}")))
+        none = F.array().cast(_EMPTY)
+        values = {"content": F.coalesce(content, F.lit("")), "tool_calls": F.coalesce(calls, none), "input_tokens": F.coalesce(tokens_in, F.lit(0)), "output_tokens": F.coalesce(tokens_out, F.lit(0))}
+        return F.transform(F.array(error), lambda e: F.struct(e.alias("error"), *(F.when(e.isNull(), v).alias(c) for c, v in values.items())))[0]
 
-def normalize_openai(payloads: DataFrame) -> DataFrame:
+    # bound once, so that the body is parsed once a row
+    return F.transform(F.array(parsed), fields)[0]
+
+
+def _openai() -> Column:
     """The first choice; content if it is a string; arguments are strings of JSON."""
-    first = F.get("_r.choices", F.lit(0))["message"]
     raw = F.try_variant_get(F.try_parse_json("body"), "$.choices[0].message.content", "variant")
-    calls = F.transform(first["tool_calls"], lambda c: _call(c["id"], c["function"]["name"], c["function"]["arguments"]))
-    missing = F.coalesce(F.size("_r.choices"), F.lit(0)) <= 0
-    return _finished(payloads, F.from_json("body", OPENAI), content_text(F.to_json(raw)), calls, ("_r.usage.prompt_tokens", "_r.usage.completion_tokens"), missing, "response contained no choices")
 
+    def read(r: Column) -> tuple[Column, ...]:
+        calls = F.transform(F.get(r["choices"], F.lit(0))["message"]["tool_calls"], lambda c: _call(c["id"], c["function"]["name"], c["function"]["arguments"]))
+        return content_text(F.to_json(raw)), calls, r["usage"]["prompt_tokens"], r["usage"]["completion_tokens"], r["choices"]
 
-def normalize_anthropic(payloads: DataFrame) -> DataFrame:
+    return _finished(F.from_json("body", OPENAI), read, "choices")
+
+
+def _anthropic() -> Column:
     """Text blocks by line, tool_use blocks as calls, other blocks skipped."""
-    text = F.array_join(F.transform(F.filter("_r.content", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    calls = F.transform(F.filter("_r.content", lambda b: b["type"] == "tool_use"), lambda b: _call(b["id"], b["name"], b["input"]))
-    return _finished(payloads, F.from_json("body", ANTHROPIC), text, calls, ("_r.usage.input_tokens", "_r.usage.output_tokens"))
+
+    def read(r: Column) -> tuple[Column, ...]:
+        text = F.array_join(F.transform(F.filter(r["content"], lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+        calls = F.transform(F.filter(r["content"], lambda b: b["type"] == "tool_use"), lambda b: _call(b["id"], b["name"], b["input"]))
+        return text, calls, r["usage"]["input_tokens"], r["usage"]["output_tokens"], r["content"]
+
+    return _finished(F.from_json("body", ANTHROPIC), read)
 
 
 def _has_text(part: Column) -> Column:
     return F.coalesce(part["text"], F.lit("")) != ""
 
 
-def normalize_gemini(payloads: DataFrame) -> DataFrame:
+def _gemini() -> Column:
     """The first candidate; calls get ids call-1, call-2 ...; a part's text wins over its call."""
-    parts = F.get("_r.candidates", F.lit(0))["content"]["parts"]
-    text = F.array_join(F.transform(F.filter(parts, _has_text), lambda p: p["text"]), "\n")
-    own = F.filter(parts, lambda p: ~_has_text(p) & p["functionCall"].isNotNull())
-    calls = F.transform(own, lambda p, i: _call(F.concat(F.lit("call-"), i + 1), p["functionCall"]["name"], p["functionCall"]["args"]))
-    missing = F.coalesce(F.size("_r.candidates"), F.lit(0)) <= 0
-    return _finished(payloads, F.from_json("body", GEMINI), text, calls, ("_r.usageMetadata.promptTokenCount", "_r.usageMetadata.candidatesTokenCount"), missing, "response contained no candidates")
 
+    def read(r: Column) -> tuple[Column, ...]:
+        parts = F.get(r["candidates"], F.lit(0))["content"]["parts"]
+        text = F.array_join(F.transform(F.filter(parts, _has_text), lambda p: p["text"]), "\n")
+        own = F.filter(parts, lambda p: ~_has_text(p) & p["functionCall"].isNotNull())
+        calls = F.transform(own, lambda p, i: _call(F.concat(F.lit("call-"), i + 1), p["functionCall"]["name"], p["functionCall"]["args"]))
+        return text, calls, r["usageMetadata"]["promptTokenCount"], r["usageMetadata"]["candidatesTokenCount"], r["candidates"]
 
-def normalize_bedrock(payloads: DataFrame) -> DataFrame:
+    return _finished(F.from_json("body", GEMINI), read, "candidates")
+
+
+def _bedrock() -> Column:
     """Text blocks by line, toolUse blocks as calls."""
-    blocks = F.col("_r.output.message.content")
-    text = F.array_join(F.transform(F.filter(blocks, _has_text), lambda p: p["text"]), "\n")
-    own = F.filter(blocks, lambda p: ~_has_text(p) & p["toolUse"].isNotNull())
-    calls = F.transform(own, lambda p: _call(p["toolUse"]["toolUseId"], p["toolUse"]["name"], p["toolUse"]["input"]))
-    return _finished(payloads, F.from_json("body", BEDROCK), text, calls, ("_r.usage.inputTokens", "_r.usage.outputTokens"))
+
+    def read(r: Column) -> tuple[Column, ...]:
+        blocks = r["output"]["message"]["content"]
+        text = F.array_join(F.transform(F.filter(blocks, _has_text), lambda p: p["text"]), "\n")
+        own = F.filter(blocks, lambda p: ~_has_text(p) & p["toolUse"].isNotNull())
+        calls = F.transform(own, lambda p: _call(p["toolUse"]["toolUseId"], p["toolUse"]["name"], p["toolUse"]["input"]))
+        return text, calls, r["usage"]["inputTokens"], r["usage"]["outputTokens"], blocks
+
+    return _finished(F.from_json("body", BEDROCK), read)
 
 
-NORMALIZERS = {"openai": normalize_openai, "azure": normalize_openai, "anthropic": normalize_anthropic, "gemini": normalize_gemini, "bedrock": normalize_bedrock}
+READERS = {"openai": _openai, "azure": _openai, "anthropic": _anthropic, "gemini": _gemini, "bedrock": _bedrock}
+
+
+def _normalized(payloads: DataFrame, fields: Column) -> DataFrame:
+    return payloads.withColumn("_n", fields).select(*payloads.columns, "_n.*")
+
+
+def normalize_openai(payloads: DataFrame) -> DataFrame:
+    return _normalized(payloads, _openai())
+
+
+def normalize_anthropic(payloads: DataFrame) -> DataFrame:
+    return _normalized(payloads, _anthropic())
+
+
+def normalize_gemini(payloads: DataFrame) -> DataFrame:
+    return _normalized(payloads, _gemini())
+
+
+def normalize_bedrock(payloads: DataFrame) -> DataFrame:
+    return _normalized(payloads, _bedrock())
 
 
 def normalize_responses(payloads: DataFrame) -> DataFrame:
-    """Each row by its ``provider``; rows of unknown providers get an error."""
-    out = None
-    for provider, normalize in NORMALIZERS.items():
-        rows = normalize(payloads.where(F.col("provider") == provider))
-        out = rows if out is None else out.unionByName(rows)
-    other = payloads.where(F.col("provider").isNull() | ~F.col("provider").isin(*NORMALIZERS))
-    kinds = dict(out.dtypes)
-    blank = other.select("*", F.lit("unknown provider").alias("error"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("content", "tool_calls", "input_tokens", "output_tokens")))
-    return out.unionByName(blank)
+    """Each row by its ``provider``, in one scan; rows of unknown providers get an error."""
+    kinds = {"error": "string", "content": "string", "tool_calls": _EMPTY, "input_tokens": "bigint", "output_tokens": "bigint"}
+    fields = F.struct(F.lit("unknown provider").alias("error"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "error"))
+    for provider, reader in READERS.items():
+        fields = F.when(F.col("provider") == provider, reader()).otherwise(fields)
+    return _normalized(payloads, fields)
 
 
 def quoted(text: Column) -> Column:

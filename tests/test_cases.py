@@ -17,6 +17,7 @@ from chatlake.operators import wire as W
 from chatlake.operators.text import sniffed, visible_text
 from chatlake.sources import messages as M
 from chatlake.sources import streams as SRC
+from tests.conftest import SF
 
 SCHEMA = "conv_id long, pos int, role string, content string, parts array<struct<kind:string,url:string,data:binary,media_type:string>>, tool_calls array<struct<id:string,name:string,args:string>>, tool_call_id string, tool_name string"
 
@@ -177,3 +178,22 @@ def test_rounds_and_limits(spark):
     assert [r["round"] for r in R.number_rounds(df).orderBy("seq").collect()] == [0, 0, 0, 1, 1]
     hit = R.check_usage_limits(df, {"total_tokens": 8}).first()
     assert (hit["round"], hit.crossed_kind, hit.actual) == (1, "total_tokens", 11)
+
+
+def test_one_scan_and_no_single_partition(spark):
+    """Responses are normalized in one scan; choosing a tool sends no rows of other tools to one task."""
+    import contextlib
+    import io
+
+    from chatlake.jobs import registry
+
+    def plan(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        return out.getvalue()
+
+    assert plan(registry.QUERIES["normalize_responses"](spark, SF)).count("FileScan") == 1
+    catalog = spark.read.parquet(f"{SF}/supplier.parquet").select(F.col("s_name").alias("name"), F.lit("{}").alias("schema"))
+    assert "Window" not in plan(T.apply_tool_choice(catalog, "x"))
+    assert [(r.name, r.error) for r in T.apply_tool_choice(spark.createDataFrame([("b", "{}"), ("a", "{}")], "name string, schema string"), "x").collect()] == [("a", "tool x isn't registered")]
+    assert T.apply_tool_choice(spark.createDataFrame([], "name string, schema string"), "x").count() == 0

@@ -29,7 +29,7 @@ def test_page_text_of_all_pages(spark, tmp_path):
     cut += ["<p>a</p>" * 374 + "<a href='" + "u" * 99, "k<script>" + "s" * 4000 + "</script>t", "", None]
     rows += [(10**6 + 35 * i + at, html) for i, html in enumerate(cut) for at in (1, 2, 3)]
     pq.write_table(pa.table({"page_id": pa.array([r[0] for r in rows], pa.int64()), "html": pa.array([r[1] for r in rows], pa.string())}), f"{tmp_path}/pages.parquet")
-    got = {r.page_id: (r.text, r.error) for r in entry.queries()["page_text_all"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: (r.text, r.error) for r in entry.queries()["page_text"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     for i, html in rows:
         assert got[i] == page(i, html), i
@@ -43,7 +43,7 @@ def test_byte_cap_of_all_documents(spark, tmp_path):
     rows += [(10**6 + 10 * k + n, "x" * (196 + n) + c + "y" * m) for k, (c, m) in enumerate((c, m) for c in ("z", "é", "€", "😀") for m in (0, 50)) for n in range(6)]
     rows += [(2 * 10**6, None), (2 * 10**6 + 1, "")]
     pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.bytes, r.text) for r in entry.queries()["truncate_bytes_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.bytes, r.text) for r in entry.queries()["truncate_bytes"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     for i, text in rows:
         data = None if text is None else text.encode()
