@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,12 +56,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Where each table written here lies, by the frame that reads it.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def delete(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and that nothing reads any more; others are left alone."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            _drop(spark, path)
+
+
+def joined(rows: DataFrame, side: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join of rows with a side of one row a key, whichever keys are hot."""
+    most = max(rows.count() // share, share)
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key)
+    return joined_apart(rows, side, side.join(hot, key, "left_semi"), key)
+
+
+def joined_apart(rows: DataFrame, side: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """Left join in which the side's ``hot`` rows are broadcast.
+
+    They must be few by their making: keys with more than a given part of all rows, say. Rows that
+    are served so, and rows with a null key, are dealt out by their content.
+    """
+    kept = [c for c in side.columns if c != key]
+    ready = F.broadcast(hot.select(F.col(key).alias("_joined_key"), F.struct(*kept).alias("_hot")))
+    apart = F.when(F.col(key).isNull() | F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0))
+    dealt = rows.join(ready, F.col(key) == F.col("_joined_key"), "left").drop("_joined_key").withColumn("_apart", apart)
+    rest = side.select(key, F.lit(0).cast("bigint").alias("_apart"), F.struct(*kept).alias("_cold"))
+    return dealt.join(rest, [key, "_apart"], "left").withColumn("_side", F.coalesce("_hot", "_cold")).select(*rows.columns, *(F.col(f"_side.{c}").alias(c) for c in kept))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

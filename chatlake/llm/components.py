@@ -10,37 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import materialise
+from chatlake.llm.common import delete, joined_apart, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _to_least(rows: DataFrame, neighbours: DataFrame, most: int) -> DataFrame:
+    """rows (u, v) with m, the smallest of u and its neighbours; nodes with over ``most`` are broadcast."""
+    least = neighbours.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+    return joined_apart(rows, least.drop("n"), least.where(F.col("n") > most).drop("n"), "u")
+
+
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    larger = edges.select(F.when(F.col("u") < F.col("v"), F.col("u")).otherwise(F.col("v")).alias("u"), F.greatest("u", "v").alias("v"))
-    return larger.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+    larger = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return _to_least(larger, both, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-    moved = down.join(least, F.col("u") == F.col("w")).select("v", "m").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+    moved = _to_least(down, down, most).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(down.groupBy("u").agg(F.min("v").alias("v"))).distinct()
+
 
+def components(edges: DataFrame, name: str = "edges", rounds: int = 60, share: int = 1000) -> DataFrame:
+    """u, v (bigint) -> node, component: the smallest node reachable, for every node with an edge.
 
-def components(edges: DataFrame, name: str = "edges", most: int = 60) -> DataFrame:
-    """u, v (bigint) -> node, component: the smallest node reachable, for every node with an edge."""
+    Nodes with more than one part in ``share`` of the edges, so twice ``share`` at most, are hot.
+    """
     state = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), name)
-    before = None
-    for _ in range(most):
-        state = materialise(_small_star(_large_star(state)), name)
+    before = (state.count(), None)
+    for _ in range(rounds):
+        most = max(before[0] // share, share)
+        last, state = state, materialise(_small_star(_large_star(state, most), most), name)
+        delete(state.sparkSession, last)
         # stars in which nothing moves any more have one edge a node and the same hash sum
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     else:
-        raise RuntimeError(f"components didn't settle in {most} rounds")
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -1,27 +1,31 @@
 """Near-duplicates: universal hash minima, banding, verified links, and components of the links.
 
 1. Each text becomes its set of hashed word shingles (64 bits each) and a digest of that set.
-   Equal sets are one *class*, represented by their smallest document id.
-2. A class's signature is the minima of ``BANDS * ROWS`` multiply-shift hash functions. Classes that
-   share a band's rows are candidates: each is joined to its bucket's smallest, never to all others.
-   A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^6)^42 < 3e-6.
-3. Components of candidates are *clusters*; links are looked for within them, in blocks. First a
-   bounded query set of each cluster (at most ``BLOCK`` members) meets all members; the links found
-   are components already. Then every member outside its cluster's largest component is a query
-   against all members, blocks of queries against blocks of members. A pair that is never compared
-   therefore lies within one component, so no link between components is lost.
+   Equal sets are one *class*, named by the smallest row number among its documents.
+2. A class's signature is the minima of ``BANDS * ROWS`` multiply-add functions. Classes that share a
+   band's rows are candidates: each is joined to the first of its bucket, never to all others. A pair
+   at similarity 0.8 shares no bucket with probability (1 - 0.8^10)^110 < 4e-6, and one at 0.1 shares
+   one with probability 1e-8, so that chance candidates stay few where there are many documents.
+3. Components of candidates are *clusters*; links are looked for within them, in blocks. First one
+   block of each cluster meets all members; the links found are components already. Then every
+   member outside its cluster's largest component is a query against all members, blocks of queries
+   against blocks of members. A pair that is never compared therefore lies within one component, so
+   no link between components is lost.
 4. Within a block, pairs whose signatures agree too little are passed over (a link at 0.8 would have
    to miss by over 5 standard deviations), and the others are confirmed on the full sets unless
    they are connected already.
-5. Components of links by large-star and small-star give the classes' groups; members of classes
-   get theirs by a join.
+5. Components of links by large-star and small-star give the classes' groups; documents get theirs
+   by joins on the class, in which classes and clusters with over a thousandth of all rows (so at
+   most a thousand) are broadcast.
 
-No bucket, cluster or component is gathered: tasks hold one block of members and one of queries, both
-bounded in rows and in shingles. Only convergence counts reach the driver.
+No bucket, cluster or component is gathered: buckets are sorted over ranges that may split them, and
+tasks hold one block of members and one of queries, both bounded in rows and in shingles. Only
+counts reach the driver. What a step no longer needs is deleted once the next one is written.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; a text
-with fewer words than a shingle is one shingle; equal rows share a class; null ids are left out of
-groups and kept; an empty table gives an empty result.
+with fewer words than a shingle is one shingle; equal rows share a class; ids that occur with several
+texts are rows of their own, each in its own text's group; a null id names no group, and its row is
+kept; an empty table gives an empty result; other columns are dropped unless named in ``keys``.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import materialise, read, texts
+from chatlake.llm.common import delete, joined, materialise, read, slices, texts
 from chatlake.llm.components import components
 
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 110, 10
+#: Minima of which a sketch keeps 16 bits each.
+SKETCH = 256
 #: Members and queries of a block, and shingles that all of either may have.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
 _HASH = xxhash.xxh64_intdigest
@@ -60,85 +66,184 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def hash_functions(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and addends of n multiply-shift functions from 32-bit keys to 32 bits."""
+    """Odd multipliers and addends of n functions a * x + b of 32-bit keys to 32 bits."""
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    return rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
 _A, _B = hash_functions(BANDS * ROWS)
+#: A random linear function of a band's minima, and an addend for each band.
+_MIX = np.random.default_rng(8).integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.random.default_rng(9).integers(0, 1 << 63, BANDS, np.uint64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The minima of all functions over a set, as 32-bit integers."""
-    keys = (s >> np.uint64(32)).astype(np.uint64)
-    low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    a, b = _A[:, None], _B[:, None]
-    for at in range(0, len(keys), 512):
-        np.minimum(low, (a * keys[at : at + 512] + b).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+def signature(s: np.ndarray, functions: int = BANDS * ROWS) -> np.ndarray:
+    """The minima of the first functions over a set, as 32-bit integers."""
+    keys = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+    a, b = _A[:functions], _B[:functions]
+    low = np.full(functions, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(keys), 256):
+        values = keys[at : at + 256] * a
+        values += b
+        np.minimum(low, values.min(axis=0), out=low)
+    return low
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, digest (of the set; null if empty), bands (hashes of the signature's rows)."""
+def buckets_of(signatures: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each band of each signature."""
+    mixed = (signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=2, dtype=np.uint64) + _BAND
+    mixed ^= mixed >> np.uint64(31)
+    return (mixed * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def signed(docs: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text -> doc_id, the keys, place, n_shingles, digest (of the set; null if empty), bands.
+
+    ``place`` is a hash of the text, by which the texts that take part are found again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, digest, bands = [], [], []
-                for t in texts(part, "text"):
-                    s = shingles(t, size)
-                    n.append(len(s))
-                    if not len(s):
-                        digest.append(None), bands.append(None)
-                        continue
-                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    raw = signature(s).tobytes()
-                    bands.append([_HASH(raw[i * 4 * ROWS : (i + 1) * 4 * ROWS], i) - (1 << 63) for i in range(BANDS)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
-
-
-def _evidence(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text -> doc_id, sketch (16 bits of each minimum), shingles (sorted 64-bit hashes)."""
+            for part in slices(batch, "text"):
+                sets = [shingles(t, size) for t in texts(part, "text")]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                some = [s for s in sets if len(s)]
+                flat = np.concatenate([buckets_of(signature(s)[None])[0] for s in some]) if some else np.empty(0, np.int64)
+                offsets = np.concatenate([[0], np.cumsum([BANDS if len(s) else 0 for s in sets])]).astype(np.int32)
+                kept = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(part.schema.get_field_index(n)) for n in kept), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    names=[*kept, "n_shingles", "digest", "bands"],
+                )
+
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keys, F.xxhash64("text").alias("place"), "text")
+    schema = own.drop("text").select("*", F.lit(None).cast("bigint").alias("n_shingles"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("array<bigint>").alias("bands")).schema
+    return own.mapInArrow(run, schema)
+
+
+def _hashes(*columns: str, bits: int = 27) -> list:
+    """Three places in a Bloom filter of 2^bits bits."""
+    return [F.shiftrightunsigned(F.xxhash64(*columns, F.lit(i)), 64 - bits).alias(f"h{i}") for i in range(3)]
+
+
+def _sieve(rows: DataFrame, *columns: str, bits: int = 27) -> np.ndarray:
+    """A Bloom filter of 2^bits bits (16 MB whatever the input) over some columns.
+
+    One grouped sum of bits; at most 2^(bits - 6) words of 64 bits reach the driver. What it lets
+    through beside the rows is more work and no other result.
+    """
+    places = rows.select(F.explode(F.array(*_hashes(*columns, bits=bits))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(batch: pa.RecordBatch, sieve: np.ndarray) -> pa.RecordBatch:
+    passed = np.ones(batch.num_rows, bool)
+    for i in range(3):
+        at = batch.column(batch.schema.get_field_index(f"h{i}")).to_numpy()
+        passed &= (sieve[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return batch.filter(pa.array(passed))
+
+
+def _evidence(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """doc_id, text -> digest, sketch (16 bits of each minimum), shingles (sorted 64-bit hashes).
+
+    Of the members' texts, and of the few others that pass the Bloom filter: texts are scanned in
+    place and not shuffled. A row that occurs more than once comes once a partition.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_sieve(members, "doc_id", "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, seen = held.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t, size) for t in texts(part, "text")]
-                sketches = [(signature(s) & np.uint32(0xFFFF)).astype(np.uint16).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sketch", "shingles"])
+            for part in slices(_passes(batch, sieve), "text"):
+                sets = []
+                for first, t in zip(part.column("h").to_pylist(), texts(part, "text"), strict=True):
+                    if first not in seen:
+                        seen.add(first)
+                        sets.append(shingles(t, size))
+                sets = [s for s in sets if len(s)]
+                sketches = [(signature(s, SKETCH) & np.uint32(0xFFFF)).astype(np.uint16).tobytes() for s in sets]
+                packed = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in packed], pa.binary()), pa.array(sketches, pa.binary()), pa.array(packed, pa.binary())], names=["digest", "sketch", "shingles"])
+
+    placed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+    return placed.select("text", F.xxhash64("doc_id", "place").alias("h"), *_hashes("doc_id", "place")).mapInArrow(run, "digest binary, sketch binary, shingles binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sketch binary, shingles binary")
 
+def _buckets(hashed: DataFrame, classes: DataFrame) -> DataFrame:
+    """row, bands -> bucket, node: of the classes' first rows, and of few others of the same classes."""
+    held = hashed.sparkSession.sparkContext.broadcast(_sieve(classes.withColumnRenamed("node", "row"), "row"))
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Edges from each class to the smallest of each of its buckets; a bucket of one has none."""
-    buckets = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = buckets.withColumn("hub", F.min("doc_id").over(Window.partitionBy("bucket")))
-    return hubs.where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _passes(batch, held.value)
+            nodes = np.repeat(own.column("row").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([own.column("bands").flatten(), pa.array(nodes)], names=["bucket", "node"])
+
+    return hashed.where("digest is not null").select("row", "bands", *_hashes("row")).mapInArrow(run, "bucket bigint, node bigint")
+
+
+def _candidates(buckets: DataFrame) -> DataFrame:
+    """bucket, node -> edges from each class to the first of its bucket, within ranges of sorted buckets.
+
+    A range's last bucket may go on in the next range: the first nodes of each range's first and last
+    buckets, two rows a range, are joined to the smallest of their bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = hub = None
+        started = False
+
+        def out(buckets: list, u: list, v: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["bucket", "u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, node = batch.column("bucket").to_numpy(), batch.column("node").to_numpy()
+            first = np.concatenate([[b[0] != bucket if started else True], b[1:] != b[:-1]])
+            starts = np.flatnonzero(first)
+            hubs = np.empty(len(b), np.int64)
+            run_of = np.cumsum(first) - 1
+            hubs[run_of >= 0] = node[starts[run_of[run_of >= 0]]]
+            if len(starts) == 0 or starts[0] > 0:
+                hubs[run_of < 0] = hub
+            if not started:
+                yield out([int(b[0])], [int(node[0])], [None])
+            started, bucket, hub = True, b[-1], hubs[-1]
+            moved = hubs != node
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(moved.sum()), pa.int64()), pa.array(node[moved]), pa.array(hubs[moved])], names=["bucket", "u", "v"])
+        if started:
+            yield out([int(bucket)], [int(hub)], [None])
+
+    found = materialise(buckets.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket bigint, u bigint, v bigint"), "bucket-edges")
+    ends = found.where("v is null").groupBy("bucket").agg(F.min("u").alias("v"))
+    across = found.where("v is null").select("bucket", "u").join(ends, "bucket").select("u", "v").where("u != v")
+    return found.where("v is not null").select("u", "v").union(across)
 
 
 def _linked(rows: DataFrame, evidence: DataFrame, percent: int) -> DataFrame:
     """Compares each block's queries with its members: u, v of links that join components.
 
-    ``rows``: block, member, query (booleans), doc_id, component; the evidence joins them last.
+    ``rows``: block, member, query (booleans), node, component, digest; the evidence joins them last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "member", "query", "doc_id", "component", "sketch", "shingles")), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "member", "query", "node", "component", "sketch", "shingles")), strict=True))
         links = (link for _, own in itertools.groupby(rows, lambda r: r[0]) for link in _links(list(own), percent))
         while part := list(itertools.islice(links, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part], pa.int64()), pa.array([v for _, v in part], pa.int64())], names=["u", "v"])
 
-    whole = rows.join(evidence, "doc_id").select("block", "member", "query", "doc_id", "component", "sketch", "shingles")
-    return whole.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(run, "u bigint, v bigint")
+    # both sides grow with the data: never broadcast, whatever the size at hand
+    whole = rows.join(evidence.hint("merge"), "digest").select("block", "member", "query", "node", "component", "sketch", "shingles")
+    return whole.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "u bigint, v bigint")
 
 
 def _links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """rows: (block, member, query, doc_id, component, sketch, shingles) of one block."""
+    """rows: (block, member, query, node, component, sketch, shingles) of one block."""
     queries, members = [r[3:] for r in rows if r[2]], [r[3:] for r in rows if r[1]]
     root = {r[4]: r[4] for r in rows}
 
@@ -174,69 +279,74 @@ def _links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
                 yield q[0], m[0]
 
 
-def _parts(rows: DataFrame, name: str) -> DataFrame:
-    """Adds how many blocks each cluster's rows fill (``name`` + s) and each row's block (``name``)."""
-    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias(f"{name}s"))
-    return rows.join(sizes, "cluster").withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col(f"{name}s")))
-
-
 def _numbers(upto: str):
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(upto) - 1))
 
 
-def _asked(members: DataFrame) -> DataFrame:
-    """The first round's rows: each member in its block, a query set of each cluster in all of its blocks."""
-    order = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
-    first = (F.row_number().over(order) <= BLOCK) & ((F.sum("n_shingles").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= BLOCK_SHINGLES) | (F.row_number().over(order) == 1))
-    return members.withColumn("query", first)
+def _parted(rows: DataFrame, name: str) -> DataFrame:
+    """Adds how many blocks each cluster's rows fill (``name`` + s) and each row's block (``name``)."""
+    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias(f"{name}s"))
+    return joined(rows, sizes, "cluster").withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")))
 
 
-def _first_rows(asked: DataFrame) -> DataFrame:
+def _first_rows(members: DataFrame) -> DataFrame:
+    """Each member in its block, and each cluster's first block in all of its other blocks."""
     block = F.xxhash64("cluster", "p").alias("block")
-    own = asked.select(F.xxhash64("cluster", "part").alias("block"), F.lit(True).alias("member"), "query", "doc_id", F.col("doc_id").alias("component"))
-    away = asked.where("query and parts > 1").select("*", _numbers("parts").alias("p")).where("p != part")
-    return own.union(away.select(block, F.lit(False), "query", "doc_id", "doc_id"))
+    own = members.select(F.xxhash64("cluster", "part").alias("block"), F.lit(True).alias("member"), (F.col("part") == 0).alias("query"), "node", F.col("node").alias("component"), "digest")
+    away = members.where("part = 0 and parts > 1").select("*", _numbers("parts").alias("p")).where("p != part")
+    return own.union(away.select(block, F.lit(False), F.lit(True), "node", "node", "digest"))
 
 
 def _second_rows(members: DataFrame, strays: DataFrame) -> DataFrame:
-    """The second round's rows: blocks of strays against blocks of all members of their clusters."""
-    queries = _parts(strays.select("cluster", "doc_id", "n_shingles", "component"), "stray")
+    """Blocks of strays against blocks of all members of their clusters."""
+    queries = _parted(strays.select("cluster", "node", "n_shingles", "component", "parts", "digest"), "stray")
     counts = queries.groupBy("cluster").agg(F.max("strays").alias("strays"))
-    parts = members.groupBy("cluster").agg(F.max("parts").alias("parts"))
     block = F.xxhash64("cluster", "p", "q").alias("block")
-    left = members.join(counts, "cluster").select("*", F.col("part").alias("p"), _numbers("strays").alias("q"))
-    right = queries.join(parts, "cluster").select("*", F.col("stray").alias("q"), _numbers("parts").alias("p"))
-    return left.select(block, F.lit(True).alias("member"), F.lit(False).alias("query"), "doc_id", "component").union(right.select(block, F.lit(False), F.lit(True), "doc_id", "component"))
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
-    hashed = materialise(signed(docs, size), "signatures")
-    first = hashed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"))
-    by_doc = materialise(hashed.select("doc_id", "n_shingles", "digest").join(first, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("class")), "classes")
-    # one signature for each class: its first document's; a repeated id is taken once
-    heads = by_doc.where("doc_id = class and n_shingles > 0").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
-    signatures = hashed.select("doc_id", "bands").where("bands is not null").join(heads.select("doc_id"), "doc_id", "left_semi")
-    clusters = components(_candidates(signatures), "candidates")
-    members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(heads, "doc_id")
-    asked = materialise(_asked(_parts(members, "part")), "members")
-    texts_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.select("doc_id"), "doc_id", "left_semi")
-    evidence = materialise(_evidence(texts_of, size), "evidence")
-    links = materialise(_linked(_first_rows(asked), evidence, percent), "links")
+    left = joined(members, counts, "cluster").where("strays is not null").select("*", F.col("part").alias("p"), _numbers("strays").alias("q"))
+    right = queries.select("*", F.col("stray").alias("q"), _numbers("parts").alias("p"))
+    return left.select(block, F.lit(True).alias("member"), F.lit(False).alias("query"), "node", "component", "digest").union(right.select(block, F.lit(False), F.lit(True), "node", "component", "digest"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text -> row, doc_id, the keys, n_shingles, component_id, group, kept (doc_id = component_id).
+
+    ``group`` is null for rows that are linked with nothing, and else the number of the row's group;
+    ``component_id`` is the group's smallest document id, and the row's own id where there is none.
+    """
+    spark = docs.sparkSession
+    signatures = materialise(signed(docs, size, keys), "signatures")
+    hashed = signatures.withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(hashed.drop("bands"), "rows")
+    classes = materialise(
+        rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "doc_id", "place", "n_shingles")).alias("head"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+        .select("digest", F.col("head.row").alias("node"), F.col("head.doc_id").alias("doc_id"), F.col("head.place").alias("place"), F.col("head.n_shingles").alias("n_shingles"), "copies", "least"),
+        "classes",
+    )
+    clusters = components(_candidates(_buckets(hashed, classes)), "candidates")
+    clustered = materialise(clusters.withColumnRenamed("component", "cluster").join(classes.select("node", "digest", "doc_id", "place", "n_shingles"), "node"), "clustered")
+    members = materialise(_parted(clustered, "part"), "members")
+    delete(spark, signatures, clustered)
+    evidence = materialise(_evidence(docs, members, size), "evidence")
+    links = materialise(_linked(_first_rows(members), evidence, percent), "links")
     groups = components(links, "linked")
-    # what the query sets didn't settle: members outside their cluster's largest component
-    now = asked.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # what the first blocks didn't settle: members outside their cluster's largest component
+    now = materialise(members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).select("cluster", "node", "n_shingles", "part", "parts", "component", "digest"), "settled")
     sizes = now.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    strays = materialise(now.where("not query").join(largest, "cluster").where("component != largest").drop("largest"), "strays")
-    if strays.isEmpty():
-        final = groups
-    else:
-        final = components(links.union(_linked(_second_rows(now, strays), evidence, percent)), "linked")
-    f = final.select(F.col("node").alias("class"), "component")
-    out = by_doc.join(f, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    strays = materialise(joined(now.where("part != 0"), largest, "cluster").where("component != largest").drop("largest"), "strays")
+    if not strays.isEmpty():
+        groups = components(links.union(_linked(_second_rows(now, strays), evidence, percent)), "linked")
+    named = materialise(classes.select("digest", "node", "copies", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    delete(spark, evidence, links, members, now, strays, classes)
+    # a class whose group is itself alone, and holds one row, needs no join back
+    least = named.groupBy("component").agg(F.min("least").alias("least_id"), F.sum("copies").alias("copies"))
+    grouped = joined(named.select("digest", "component"), least.where("copies > 1"), "component").where("copies is not null").select("digest", F.col("component").alias("group"), "least_id")
+    grouped = materialise(grouped, "groups")
+    delete(spark, named)
+    out = joined(rows, grouped, "digest")
+    found = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    return out.select("row", "doc_id", *keys, "n_shingles", found.alias("component_id"), "group").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(read(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
