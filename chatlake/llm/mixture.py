@@ -154,7 +154,11 @@ def _swapped(state: DataFrame, cap: int, swaps: int = 6, reach: int = 8) -> Data
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keys, source, text -> the keys, source, size, source_size, target, rate, copies."""
+    """The keys, source, text -> the keys, source, size, source_size, target, source_gap, rate, copies.
+
+    ``source_gap``: the words by which the source's copies miss its target, 0 or near it wherever the
+    sizes allow.
+    """
     sized = materialise(
         docs.select(*keys, "source", n_words(F.col("text")).alias("size")).withColumn("order", F.xxhash64(*keys, "size")).withColumn("salt", F.pmod(F.col("order"), F.lit(SALTS))), "sizes"
     )
@@ -163,19 +167,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     per_source = bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     goals = targets(per_source.select("source", "source_size"), weights, share, float(cap)).alias("g")
     sources = materialise(per_source.alias("p").join(goals, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p.source_size", "docs", "target"), "mix-sources")
-    planned = copies_by_size(bins, sources, dual(bins, sources, float(cap)), cap)
+    planned = materialise(copies_by_size(bins, sources, dual(bins, sources, float(cap)), cap), "mix-copies")
+    # what neither steps nor repairs closed is told with every row
+    gaps = planned.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.max("target")).alias("source_gap")).alias("g")
+    sources = materialise(sources.alias("p").join(gaps, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_gap"), "mix-gaps")
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("source", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).alias("o")
     plan = planned.alias("c")
     plan = materialise(
         offsets.join(plan, F.col("o.source").eqNullSafe(F.col("c.source")) & (F.col("o.size") == F.col("c.size")))
         .join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")))
-        .select("o.source", "o.size", "salt", "offset", "rate", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("more"), "s.source_size", "s.target"),
+        .select("o.source", "o.size", "salt", "offset", "rate", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("more"), "s.source_size", "s.target", "s.source_gap"),
         "mix-plan",
     ).alias("m")
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("order", *keys))).alias("d")
     return ranked.join(plan, F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size")) & (F.col("d.salt") == F.col("m.salt"))).select(
-        *(f"d.{k}" for k in keys), "d.source", "d.size", "source_size", "target", "rate", (F.col("each") + (F.col("rank") + F.col("offset") <= F.col("more")).cast("int")).cast("bigint").alias("copies")
+        *(f"d.{k}" for k in keys), "d.source", "d.size", "source_size", "target", "source_gap", "rate", (F.col("each") + (F.col("rank") + F.col("offset") <= F.col("more")).cast("int")).cast("bigint").alias("copies")
     )
 
 

@@ -47,7 +47,7 @@ MIDDLE, IDS, OUTCOMES = CLASSES * MEMBERS, SINGLES + CLASSES * MEMBERS + BUCKETS
 FOLDS, HELD_OUT = 7, 2
 DIMENSIONS, CONTEXT = 32, 4
 #: Noise samples for each token, of outcomes and of members; tokens of a minibatch; learning rate.
-NOISE, MEMBER_NOISE, BATCH, RATE = 256, 64, 8192, 0.05
+NOISE, MEMBER_NOISE, BATCH, RATE = 256, 96, 16384, 0.05
 #: Rounds by the part of the training texts that each takes, in 16ths; tokens that a task steps through at least.
 ROUNDS, TASK_TOKENS = (2, 2, 4, 8), 2_000_000
 #: Deltas are summed as whole numbers of this, so that sums don't depend on their order.
@@ -297,8 +297,8 @@ def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     of = (ids[rows] - SINGLES) // MEMBERS
     order = np.argsort(of, kind="stable")
     rows, of = rows[order], of[order]
-    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(rows) else np.empty(0, np.int64)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(rows) else np.empty(0, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield int(of[a]), rows[a:b]
 
 
@@ -311,6 +311,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[cuts], np.add.reduceat(rows[order], cuts, axis=0)
+
+
 class Stepper:
     """Steps a copy of a model through minibatches: row-wise Adagrad on the noise-contrastive objective."""
 
@@ -336,42 +344,43 @@ class Stepper:
         table[rows] += pace.reshape(-1, *[1] * (grads.ndim - 1)) * grads
         self.uses[part][rows] += uses
 
-    def _contrast(self, h: np.ndarray, at: np.ndarray, first: int, parts: tuple[str, str], log_noise: np.ndarray, drawn: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Trains vectors and biases of one softmax on tokens against drawn noise; the hidden vectors' gradient."""
-        vectors, biases = getattr(self.m, parts[0]), getattr(self.m, parts[1])
-        noise, times = drawn[0] + first, drawn[1].astype(np.float32)
-        true = at + first
-        own, others = vectors[true], vectors[noise]
-        hit = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) + biases[true] - log_noise[true])
+    def _contrast(self, h: np.ndarray, at: np.ndarray, first: int, size: int, parts: tuple[str, str], log_noise: np.ndarray, drawn: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Trains one softmax, rows first..first + size of its parts, on tokens against drawn noise; the hidden vectors' gradient."""
+        own = slice(first, first + size)
+        vectors, biases, log_noise = getattr(self.m, parts[0])[own], getattr(self.m, parts[1])[own], log_noise[own]
+        noise, times = drawn[0], drawn[1].astype(np.float32)
+        true, others = vectors[at], vectors[noise]
+        hit = 1 - _sigmoid(np.einsum("ij,ij->i", h, true) + (biases - log_noise)[at])
         miss = h @ others.T
-        miss += biases[noise] - log_noise[noise]
+        miss += (biases - log_noise)[noise]
         miss = _sigmoid(miss)
         miss *= -times
-        back = hit[:, None] * own
-        back += miss @ others
-        rows, of = np.unique(np.concatenate([true, noise]), return_inverse=True)
-        weights = np.zeros((len(rows), len(h)), np.float32)
-        weights[of[: len(true)], np.arange(len(h))] = hit
-        weights[of[len(true) :]] += miss.T
-        uses = np.bincount(of[: len(true)], minlength=len(rows)) + 1
-        self._move(parts[0], rows, weights @ h, uses)
-        self._move(parts[1], rows, weights.sum(axis=1), uses)
-        return back
+        true *= hit[:, None]
+        true += miss @ others
+        grads, levels, uses = np.zeros_like(vectors), np.bincount(at, hit, size).astype(np.float32), np.bincount(at, minlength=size)
+        rows, sums = _summed(at, h * hit[:, None])
+        grads[rows] = sums
+        grads[noise] += miss.T @ h
+        levels[noise] += miss.sum(axis=0)
+        uses[noise] += 1
+        rows = np.flatnonzero(uses)
+        self._move(parts[0], rows + first, grads[rows], uses[rows])
+        self._move(parts[1], rows + first, levels[rows], uses[rows])
+        return true
 
     def step(self, ids: np.ndarray, starts: np.ndarray) -> None:
         contexts = _contexts(ids, starts)
         m = self.m
         vectors = [m.q[x] for x in contexts]
         h = sum(x @ c for x, c in zip(vectors, m.c, strict=True))
-        back = self._contrast(h, outcome(ids), 0, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
+        back = self._contrast(h, outcome(ids), 0, OUTCOMES, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
         for of, rows in _by_class(ids):
-            back[rows] += self._contrast(h[rows], ids[rows] - SINGLES - of * MEMBERS, of * MEMBERS, ("w", "u"), self.log_member_noise, self._drawn(self.member_ends[of], MEMBER_NOISE))
+            back[rows] += self._contrast(h[rows], ids[rows] - SINGLES - of * MEMBERS, of * MEMBERS, MEMBERS, ("w", "u"), self.log_member_noise, self._drawn(self.member_ends[of], MEMBER_NOISE))
         matrices = np.stack([x.T @ back for x in vectors])
         # a token's vector gathers what it did as a context of the tokens after it
-        flat, grads = contexts.ravel(), np.concatenate([back @ c.T for c in m.c])
-        order = np.argsort(flat, kind="stable")
-        rows, cuts, uses = np.unique(flat[order], return_index=True, return_counts=True)
-        self._move("q", rows, np.add.reduceat(grads[order], cuts, axis=0), uses)
+        flat = contexts.ravel()
+        rows, sums = _summed(flat, np.concatenate([back @ c.T for c in m.c]))
+        self._move("q", rows, sums, np.bincount(flat, minlength=IDS)[rows])
         self._move("c", np.arange(CONTEXT), matrices, np.full(CONTEXT, len(ids)))
 
     def moved(self, model: LogBilinear) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
