@@ -89,6 +89,7 @@ QUERIES = {
     "number_rounds": lambda s, d: R.number_rounds(_events(s, d)).select("run_id", "seq", "round"),
     "run_usage": lambda s, d: R.run_usage(_events(s, d)),
     "usage_rollup": lambda s, d: R.usage_rollup(_events(s, d)),
+    "tool_usage": lambda s, d: R.tool_usage(_events(s, d)),
     "tool_stats": lambda s, d: R.tool_stats(_events(s, d)),
     "check_usage_limits": lambda s, d: R.check_usage_limits(_events(s, d), LIMITS),
     "pair_run_events": lambda s, d: R.pair_run_events(R.number_rounds(_events(s, d)), ["run_id", "round", "tool_name"]),
@@ -119,7 +120,9 @@ def _crossing() -> str:
 ORACLE_SQL = {
     "number_rounds": f"{_ROUNDS} select run_id, seq, cast(round as bigint) as round from r",
     "run_usage": f"{_E} select run_id, {_SUMS} from v_run_events group by 1",
-    "usage_rollup": f"{_ROUNDS} select run_id, cast(round as bigint) as round, {_SUMS} from r group by rollup (run_id, round)",
+    "usage_rollup": f"""{_ROUNDS}, t as (select *, coalesce(count(*) filter (kind = 'model_end') over (partition by run_id, round order by seq rows between unbounded preceding and 1 preceding), 0) as turn from r)
+select run_id, cast(round as bigint) as round, turn, {_SUMS} from t group by rollup (run_id, round, turn)""",
+    "tool_usage": f"{_E} select tool_name, count(*) as tool_calls, count(distinct run_id) as runs from v_run_events where kind = 'tool_start' group by 1",
     "tool_stats": f"""{_E} select tool_name, count(*) filter (kind = 'tool_start') as executions, count(*) filter (kind = 'tool_end' and err is null) as successes,
 count(*) filter (kind = 'tool_end' and err is not null and err_correctable) as rejections, count(*) filter (kind = 'tool_end' and err is not null and not err_correctable) as failures from v_run_events group by 1""",
     "check_usage_limits": f"""{_ROUNDS}, s as (select run_id, round, {_SUMS} from r group by 1, 2),

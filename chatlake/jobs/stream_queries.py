@@ -99,7 +99,48 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.batch_run(prompts, scripted, {"look": _look}).select("run_id", "output", "stage", "input_tokens", "output_tokens", "requests", "tool_calls")
 
 
-QUERIES = {"stream_deltas": stream_deltas, "assemble_stream": assemble_stream, "usage_windows": usage_windows, "dedup_events": dedup_events, "usage_guard": usage_guard, "batch_run": batch_run}
+class _Flaky:
+    """Answers with the number of messages and the prompt; every third prompt fails once, every fifth always, every seventh for good."""
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def __call__(self, requests: list[list[dict]]) -> list:
+        out = []
+        for messages in requests:
+            prompt = messages[-1]["content"]
+            n = int(prompt)
+            if n % 7 == 0:
+                out.append(ValueError("no such model"))
+            elif n % 5 == 0 or (n % 3 == 0 and prompt not in self.seen):
+                self.seen.add(prompt)
+                out.append(B.Transient("busy"))
+            else:
+                out.append({"content": f"{len(messages)} {prompt}", "input_tokens": 2, "output_tokens": 1})
+        return out
+
+
+def _spare(requests: list[list[dict]]) -> list[dict]:
+    if any(int(m[-1]["content"]) % 11 == 0 for m in requests):
+        raise B.Transient("spare is busy")
+    return [{"content": f"spare {m[-1]['content']}", "input_tokens": 4, "output_tokens": 2} for m in requests]
+
+
+def _checked(text: str) -> str:
+    if text.startswith("spare") and int(text.split()[1]) % 2 == 0:
+        raise B.Rejected("even spare")
+    return text
+
+
+def batch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with a history, a decoder that rejects, retries and a second model; one failing run fails alone."""
+    history = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("hello").alias("content"))))
+    prompts = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("run_id"), F.col("c_custkey").cast("string").alias("prompt"), F.when(F.col("c_custkey") % 2 == 1, history).alias("history"))
+    out = B.batch_run(prompts, [_Flaky(), _spare], decoder=_checked, settings=B.Settings(model_retries=1))
+    return out.select("run_id", "output", "stage", "error", "input_tokens", "output_tokens", "requests")
+
+
+QUERIES = {"stream_deltas": stream_deltas, "assemble_stream": assemble_stream, "usage_windows": usage_windows, "dedup_events": dedup_events, "usage_guard": usage_guard, "batch_run": batch_run, "batch_retries": batch_retries}
 
 _E = with_views("v_run_events")
 # as check_usage_limits, over rounds that a rejection has ended
@@ -111,4 +152,11 @@ ORACLE_SQL = {
     "usage_guard": _GUARD,
     "dedup_events": f"{_E} select run_id, seq, kind from v_run_events",
     "batch_run": """select c_custkey as run_id, '"found ' || case when c_custkey % 10 = 7 then 'Your tool call was rejected: no sevens. Correct the arguments and call the tool again.' else 'P' || c_custkey end || '"' as output, cast(null as string) as stage, 5::bigint as input_tokens, 3::bigint as output_tokens, 2::bigint as requests, 1::bigint as tool_calls from customer""",
+    # 7: fails at once; 5: two attempts, then the spare model, which is busy for 11 and refused by the decoder for even ones; 3: a second attempt
+    "batch_retries": """with c as (select c_custkey as k, case when c_custkey % 7 = 0 then 'bad' when c_custkey % 55 = 0 then 'busy' when c_custkey % 5 = 0 then 'spare' when c_custkey % 3 = 0 then 'again' else 'plain' end as way from customer)
+select k as run_id, case way when 'spare' then case when k % 2 = 1 then '"spare ' || k || '"' end when 'again' then '"' || case when k % 2 = 1 then 3 else 1 end || ' ' || k || '"' when 'plain' then '"' || case when k % 2 = 1 then 3 else 1 end || ' ' || k || '"' end as output,
+case when way in ('bad', 'busy') then 'model' when way = 'spare' and k % 2 = 0 then 'decode' end as stage,
+case when way = 'bad' then 'no such model' when way = 'busy' then 'model failed after 2 attempts: spare is busy' when way = 'spare' and k % 2 = 0 then 'even spare' end as error,
+cast(case way when 'spare' then 4 when 'again' then 2 when 'plain' then 2 else 0 end as bigint) as input_tokens, cast(case way when 'spare' then 2 when 'again' then 1 when 'plain' then 1 else 0 end as bigint) as output_tokens,
+cast(case way when 'busy' then 4 when 'spare' then 3 when 'again' then 2 else 1 end as bigint) as requests from c""",
 }

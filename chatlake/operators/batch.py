@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chatlake.functions.scalar import INTERRUPTED, RECORDED
 from chatlake.operators.runs import LIMITS
@@ -23,21 +24,28 @@ class Rejected(Exception):
     """A correctable refusal; its text goes back to the model."""
 
 
+class Transient(Exception):
+    """A model's failure that another attempt, or the next model, may not have."""
+
+
 @dataclass
 class Settings:
     turns: int = 10
     tool_retries: dict[str, int] = field(default_factory=dict)
     default_retries: int = 1
     output_retries: int = 0
+    #: Attempts of each model at one answer beyond the first.
+    model_retries: int = 0
     output_tool: str | None = None
     limits: dict[str, int] = field(default_factory=dict)
     instructions: str = ""
 
 
 class _Run:
-    def __init__(self, run_id: int, prompt: str, instructions: str):
+    def __init__(self, run_id: int, prompt: str, instructions: str, history: str | None = None):
         self.run_id, self.output, self.stage, self.error = run_id, None, None, None
-        self.messages = ([{"role": "system", "content": instructions}] if instructions else []) + [{"role": "user", "content": prompt}]
+        before = json.loads(history) if history else []
+        self.messages = ([{"role": "system", "content": instructions}] if instructions else []) + before + [{"role": "user", "content": prompt}]
         self.events: list[dict] = []
         self.used = dict.fromkeys(("input_tokens", "output_tokens", "requests", "tool_calls"), 0)
         self.turn, self.round, self.rejections, self.done = 0, 0, {}, False
@@ -122,30 +130,62 @@ def _finish(run: _Run, final: dict | None, calls: list[dict], decoder: Callable[
 RUNS = "run_id bigint, output string, stage string, error string, input_tokens bigint, output_tokens bigint, requests bigint, tool_calls bigint, messages string, events string"
 
 
-def batch_run(prompts: DataFrame, model: Callable[[list[list[dict]]], list[dict]], tools: dict[str, Callable[[str], str]] | None = None, decoder: Callable[[str], object] = str, settings: Settings | None = None, rows: int = 256) -> DataFrame:
-    """run_id, prompt -> one row a run: output or stage and error, usage, messages and events as JSON."""
+def _answers(model: Callable, requests: list[list[dict]]) -> list:
+    """One call for all requests; where it fails as a whole, a call for each, so that only its own run fails."""
+    try:
+        out = list(model(requests))
+        if len(out) != len(requests):
+            raise ValueError(f"the model gave {len(out)} answers to {len(requests)} requests")
+    except Exception as e:  # noqa: BLE001  the model is the user's code; its failure is data
+        return [e] if len(requests) == 1 else [_answers(model, [r])[0] for r in requests]
+    return out
+
+
+def _asked(runs: list[_Run], models: list[Callable], s: Settings) -> list[tuple[_Run, dict]]:
+    """The answers of all runs that get one; transient failures are retried, then passed to the next model."""
+    out, waiting, failures = [], list(runs), {}
+    for model in models:
+        for attempt in range(1, s.model_retries + 2):
+            again = []
+            for r in waiting:
+                r.used["requests"] += 1
+                r.event("model_start")
+            for r, a in zip(waiting, _answers(model, [list(r.messages) for r in waiting]) if waiting else [], strict=True):
+                if not isinstance(a, Exception):
+                    out.append((r, a))
+                elif isinstance(a, Transient):
+                    failures[id(r)] = f"model failed after {attempt} attempts: {a}" if attempt > 1 else str(a)
+                    again.append(r)
+                else:
+                    r.fail("model", str(a))
+            waiting = again
+    for r in waiting:
+        r.fail("model", failures[id(r)])
+    return out
+
+
+def batch_run(prompts: DataFrame, model: Callable[[list[list[dict]]], list[dict]] | list[Callable], tools: dict[str, Callable[[str], str]] | None = None, decoder: Callable[[str], object] = str, settings: Settings | None = None, rows: int = 256) -> DataFrame:
+    """run_id, prompt[, history] -> one row a run: output or stage and error, usage, messages and events as JSON.
+
+    ``history``: the messages before the prompt, as a JSON array. ``model``: one function, or several in
+    the order of fallback; an answer may be an exception, which fails its run alone.
+    """
     tools, s = tools or {}, settings or Settings()
+    models = model if isinstance(model, list) else [model]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                runs = [_Run(i, p or "", s.instructions) for i, p in zip(part.column("run_id").to_pylist(), part.column("prompt").to_pylist(), strict=True)]
+                columns = (part.column(c).to_pylist() for c in ("run_id", "prompt", "history"))
+                runs = [_Run(i, p or "", s.instructions, h) for i, p, h in zip(*columns, strict=True)]
                 while open_ := [r for r in runs if not r.done]:
-                    for r in open_:
-                        r.used["requests"] += 1
-                        r.event("model_start")
-                    try:
-                        answers = model([list(r.messages) for r in open_])
-                    except Exception as e:  # noqa: BLE001  the model is the user's code; its failure is data
-                        for r in open_:
-                            r.fail("model", str(e))
-                        continue
-                    for r, a in zip(open_, answers, strict=True):
+                    for r, a in _asked(open_, models, s):
                         _take(r, a, tools, decoder, s)
                 out = [{"run_id": r.run_id, "output": r.output, "stage": r.stage, "error": r.error, **r.used, "messages": json.dumps(r.messages), "events": json.dumps(r.events)} for r in runs]
                 names = [x.split()[0] for x in RUNS.split(", ")]
                 kinds = [pa.string() if x.endswith("string") else pa.int64() for x in RUNS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return prompts.select("run_id", "prompt").mapInArrow(run, RUNS)
+    history = F.col("history").cast("string") if "history" in prompts.columns else F.lit(None).cast("string")
+    return prompts.select("run_id", "prompt", history.alias("history")).mapInArrow(run, RUNS)

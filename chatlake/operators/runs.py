@@ -40,9 +40,21 @@ def run_usage(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(*_usage())
 
 
+def number_turns(events: DataFrame) -> DataFrame:
+    """Adds ``turn``: how many model calls of its round ended before the event. Needs ``round``."""
+    before = Window.partitionBy("run_id", "round").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("turn", F.count_if(F.col("kind") == "model_end").over(before))
+
+
 def usage_rollup(events: DataFrame) -> DataFrame:
-    """The same by run and round, with subtotals and the grand total (null keys)."""
-    return number_rounds(events).rollup("run_id", "round").agg(*_usage())
+    """The same by run, round and turn, with subtotals and the grand total (null keys)."""
+    return number_turns(number_rounds(events)).rollup("run_id", "round", "turn").agg(*_usage())
+
+
+def tool_usage(events: DataFrame) -> DataFrame:
+    """Per tool: its started calls and the runs that started any."""
+    started = events.where(F.col("kind") == "tool_start")
+    return started.groupBy("tool_name", "run_id").agg(F.count("*").alias("calls")).groupBy("tool_name").agg(F.sum("calls").alias("tool_calls"), F.count("*").alias("runs"))
 
 
 def tool_stats(events: DataFrame) -> DataFrame:
