@@ -42,13 +42,38 @@ def _openai(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sse(_fragments(_turns(spark, sf_dir)), payload, ["[DONE]", '{"choices":[{"delta":{"content":"late"}}]}'])
 
 
+def parsed_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every data line in its place, read back from its JSON."""
+    content = F.get_json_object("data", "$.choices[0].delta.content")
+    return SRC.parse_sse(_openai(spark, sf_dir)).select("stream_id", "seq", content.alias("content"), (F.col("data") == S.DONE).alias("done"))
+
+
+def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event in its place; the last one's data is in two lines."""
+    bodies = _openai(spark, sf_dir).withColumn("body", F.concat("body", F.lit('data: {"choices":[{"delta":\ndata: {"content":"two"}}]}\n\n')))
+    content = F.get_json_object("data", "$.choices[0].delta.content")
+    return SRC.parse_sse_events(bodies).select("stream_id", "seq", content.alias("content"), F.contains("data", F.lit("\n")).alias("lines"))
+
+
+_DELTAS = ("stream_id", "seq", "ord", "content", "call_key", "call_id", "call_name", "args", "input_tokens", "output_tokens", "ends", "error")
+
+
+def delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each payload forwards: text, the first call's parts, usage, the end, and what comes late."""
+    return S.openai_fragments(SRC.parse_sse(_openai(spark, sf_dir))).select(*_DELTAS)
+
+
+def delta_rows_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.anthropic_fragments(SRC.parse_sse(_anthropic(spark, sf_dir))).select("stream_id", "seq", "content", "block", "is_start", "call_id", "call_name", "args", "input_tokens", "output_tokens", "ends", "error")
+
+
 def assemble_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.assemble_openai(SRC.parse_sse(_openai(spark, sf_dir)))
     call = F.get("tool_calls", F.lit(1))
     return out.select("stream_id", "content", F.size("tool_calls").alias("calls"), call["id"].alias("call_id"), call["name"].alias("name"), call["args"].alias("args"), "input_tokens", "output_tokens", "error")
 
 
-def assemble_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), F.col("piece").alias("text")).alias("delta")))
     tail = [
         '{"type":"content_block_start","index":1,"content_block":{"type":"tool_use","id":"t1","name":"look"}}',
@@ -59,7 +84,11 @@ def assemble_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"type":"message_stop"}',
         '{"type":"error","error":{"type":"api_error","message":"late"}}',
     ]
-    out = S.assemble_anthropic(SRC.parse_sse(_sse(_fragments(_turns(spark, sf_dir)), payload, tail)))
+    return _sse(_fragments(_turns(spark, sf_dir)), payload, tail)
+
+
+def assemble_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.assemble_anthropic(SRC.parse_sse(_anthropic(spark, sf_dir)))
     call = F.get("tool_calls", F.lit(0))
     return out.select("stream_id", "content", call["id"].alias("call_id"), call["name"].alias("name"), call["args"].alias("args"), "input_tokens", "output_tokens", "error")
 
@@ -224,9 +253,10 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "parse_sse": lambda s, d: SRC.parse_sse(_openai(s, d)).groupBy("stream_id").agg(F.count("*").alias("payloads")),
-    "parse_sse_events": lambda s, d: SRC.parse_sse_events(_openai(s, d)).groupBy("stream_id").agg(F.count("*").alias("events")),
-    "delta_rows": lambda s, d: S.openai_fragments(SRC.parse_sse(_openai(s, d))).where("content is not null and content != 'late' and not coalesce(ends, false)").groupBy("stream_id").agg(F.count("*").alias("fragments"), F.sum(F.length("content")).alias("chars")),
+    "parse_sse": parsed_sse,
+    "parse_sse_events": parsed_events,
+    "delta_rows": delta_rows,
+    "delta_rows_anthropic": delta_rows_anthropic,
     "assemble_openai": assemble_openai,
     "assemble_anthropic": assemble_anthropic,
     "assemble_gemini": assemble_gemini,
@@ -253,6 +283,7 @@ WITHOUT_SQL = {
 }
 
 _T = "with t as (select conv_id * 1000 + turn as stream_id, text, cast(greatest(ceil(length(text) / 16.0), 1) as int) as n from conversations)"
+_F = _T + ", f as (select stream_id, text, n, unnest(range(n)) as k from t)"
 _BLOCKS = "|".join(sorted(X.BLOCKS, key=lambda x: (-len(x), x)))
 _HTML = f"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<!--.*?-->|<script(?:\\s[^>]*)?>.*?</script[^>]*>|<style(?:\\s[^>]*)?>.*?</style[^>]*>', '', 'g'),
@@ -261,9 +292,19 @@ _HTML = f"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace
  '[ \\t\\r]*\\n\\s*', chr(10), 'g'), '^\\s+', '', 'g'), '\\s+$', '', 'g')"""
 
 ORACLE_SQL = {
-    "parse_sse": f"{_T} select stream_id, cast(n + 2 as bigint) as payloads from t",
-    "parse_sse_events": f"{_T} select stream_id, cast(n + 2 as bigint) as events from t",
-    "delta_rows": f"{_T} select stream_id, cast(n as bigint) as fragments, cast(length(text) as bigint) as chars from t",
+    "parse_sse": f"""{_F} select stream_id, cast(4 * k + 2 as int) as seq, substr(text, 16 * k + 1, 16) as content, false as done from f
+union all select stream_id, 4 * n, null, true from t union all select stream_id, 4 * n + 2, 'late', false from t""",
+    "parse_sse_events": f"""{_F} select stream_id, cast(k as int) as seq, substr(text, 16 * k + 1, 16) as content, false as lines from f
+union all select stream_id, n, null, false from t union all select stream_id, n + 1, 'late', false from t union all select stream_id, n + 2, 'two', true from t""",
+    "delta_rows": f"""{_F} select stream_id, cast(4 * k + 2 as int) as seq, cast(null as int) as ord, substr(text, 16 * k + 1, 16) as content, cast(null as int) as call_key, cast(null as string) as call_id, cast(null as string) as call_name, cast(null as string) as args,
+cast(case when k = n - 1 then n end as bigint) as input_tokens, cast(case when k = n - 1 then 7 end as bigint) as output_tokens, false as ends, cast(null as string) as error from f
+union all select stream_id, 4 * k + 2, 1, null, 1, case when k = 0 then 'c9' end, case when k = 0 then 'look' end, case when k = 0 then '{{"n":' when k = n - 1 then '1}}' else '' end, null, null, null, null from f where n > 1
+union all select stream_id, 4 * n, null, null, null, null, null, null, null, null, true, null from t
+union all select stream_id, 4 * n + 2, null, 'late', null, null, null, null, null, null, false, null from t""",
+    "delta_rows_anthropic": f"""{_F}, tail(i, block, starts, id, name, args, tin, tout, ends, error) as (values (0, 1, true, 't1', 'look', null, null, null, false, null), (1, 1, false, null, null, '{{"a":', null, null, false, null), (2, 1, false, null, null, '2}}', null, null, false, null),
+(3, null, false, null, null, null, 11, 1, false, null), (4, null, false, null, null, null, null, 5, false, null), (5, null, false, null, null, null, null, null, true, null), (6, null, false, null, null, null, null, null, false, 'api_error: late'))
+select stream_id, cast(4 * k + 2 as int) as seq, substr(text, 16 * k + 1, 16) as content, cast(null as int) as block, false as is_start, cast(null as string) as call_id, cast(null as string) as call_name, cast(null as string) as args, cast(null as bigint) as input_tokens, cast(null as bigint) as output_tokens, false as ends, cast(null as string) as error from f
+union all select stream_id, 4 * n + 2 * i, null, block, starts, id, name, args, tin, tout, ends, error from t, tail""",
     "assemble_openai": f"""{_T} select stream_id, text as content, case when n > 1 then 2 else 0 end as calls, case when n > 1 then 'c9' end as call_id, case when n > 1 then 'look' end as name, case when n > 1 then '{{"n":1}}' end as args,
 cast(n as bigint) as input_tokens, cast(7 as bigint) as output_tokens, cast(null as string) as error from t""",
     "assemble_anthropic": f"""{_T} select stream_id, text as content, 't1' as call_id, 'look' as name, '{{"a":2}}' as args, cast(11 as bigint) as input_tokens, cast(5 as bigint) as output_tokens, cast(null as string) as error from t""",
