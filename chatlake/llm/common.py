@@ -94,7 +94,8 @@ def joined_apart(rows: DataFrame, side: DataFrame, hot: DataFrame, key: str) ->
     ready = F.broadcast(hot.select(F.col(key).alias("_joined_key"), F.struct(*kept).alias("_hot")))
     apart = F.when(F.col(key).isNull() | F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0))
     dealt = rows.join(ready, F.col(key) == F.col("_joined_key"), "left").drop("_joined_key").withColumn("_apart", apart)
-    rest = side.select(key, F.lit(0).cast("bigint").alias("_apart"), F.struct(*kept).alias("_cold"))
+    # always 0, but no literal: the optimizer would drop a literal from the join's keys
+    rest = side.select(key, F.pmod(F.xxhash64(key), F.lit(1).cast("bigint")).alias("_apart"), F.struct(*kept).alias("_cold"))
     return dealt.join(rest, [key, "_apart"], "left").withColumn("_side", F.coalesce("_hot", "_cold")).select(*rows.columns, *(F.col(f"_side.{c}").alias(c) for c in kept))
 
 

@@ -41,15 +41,15 @@ from chatlake.llm.common import materialise, read, slices, texts
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
 HEAD, WIDEST = 131_072, 96
-SINGLES, CLASSES, MEMBERS, BUCKETS = 128, 64, 256, 128
+SINGLES, CLASSES, MEMBERS, BUCKETS = 64, 64, 256, 64
 #: Ids: the end, the other singles, the members class by class, the buckets; outcomes: singles, classes, buckets.
 MIDDLE, IDS, OUTCOMES = CLASSES * MEMBERS, SINGLES + CLASSES * MEMBERS + BUCKETS, SINGLES + CLASSES + BUCKETS
 FOLDS, HELD_OUT = 7, 2
-DIMENSIONS, CONTEXT = 32, 4
+DIMENSIONS, CONTEXT = 32, 3
 #: Noise samples for each token, of outcomes and of members; tokens of a minibatch; learning rate.
-NOISE, MEMBER_NOISE, BATCH, RATE = 256, 96, 16384, 0.05
+NOISE, MEMBER_NOISE, BATCH, RATE = 128, 64, 16384, 0.05
 #: Rounds by the part of the training texts that each takes, in 16ths; tokens that a task steps through at least.
-ROUNDS, TASK_TOKENS = (2, 2, 4, 8), 2_000_000
+ROUNDS, TASK_TOKENS = (2, 2, 4, 8), 1_000_000
 #: Deltas are summed as whole numbers of this, so that sums don't depend on their order.
 GRAIN = 1 << 20
 
@@ -255,13 +255,13 @@ class LogBilinear:
     def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of all outcomes after each context, normalised."""
         s = hidden @ self.r.T + self.b
-        return s - _log_sums(s)[:, None]
+        return s - _log_sums(s.copy())[:, None]
 
     def member_log_probabilities(self, hidden: np.ndarray, of: int) -> np.ndarray:
         """Natural log-probabilities of all members of a class, given the class, normalised."""
         own = slice(of * MEMBERS, (of + 1) * MEMBERS)
         s = hidden @ self.w[own].T + self.u[own]
-        return s - _log_sums(s)[:, None]
+        return s - _log_sums(s.copy())[:, None]
 
     def token_log_probabilities(self, ids: np.ndarray, starts: np.ndarray, batch: int = BATCH) -> np.ndarray:
         """Natural log-probability of each token of texts that begin at ``starts`` (a bucket's for its words)."""
@@ -274,9 +274,11 @@ class LogBilinear:
             own = slice(at, at + batch)
             h = np.ones((len(targets[own]), DIMENSIONS + 1), np.float32)
             h[:, :-1] = sum(table[x] for table, x in zip(tables, contexts[:, own], strict=True))
-            s = h @ outcomes
-            true = s[np.arange(len(h)), targets[own]]
-            out[own] = true - _log_sums(s)
+            # parts that stay in the processor's cache
+            for a in range(0, len(h), 1024):
+                s = h[a : a + 1024] @ outcomes
+                true = s[np.arange(len(s)), targets[at + a : at + a + 1024]]
+                out[at + a : at + a + len(s)] = true - _log_sums(s)
             for of, rows in _by_class(ids[own]):
                 s = h[rows] @ members[of * MEMBERS : (of + 1) * MEMBERS].T
                 true = s[np.arange(len(rows)), ids[at + rows] - SINGLES - of * MEMBERS]
@@ -285,10 +287,15 @@ class LogBilinear:
 
 
 def _log_sums(s: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials."""
-    top = s.max(axis=1, keepdims=True) if len(s) and s.max() > 60 else np.float32(0)
-    e = s - top if np.ndim(top) else s
-    return np.log(np.exp(e).sum(axis=1)) + (top[:, 0] if np.ndim(top) else top)
+    """The logarithm of the sum of each row's exponentials; overwrites s."""
+    top = s.max() if s.size else 0
+    if top > 60:
+        high = s.max(axis=1, keepdims=True)
+        s -= high
+        np.exp(s, out=s)
+        return np.log(s.sum(axis=1)) + high[:, 0]
+    np.exp(s, out=s)
+    return np.log(s @ np.ones(s.shape[1], np.float32))
 
 
 def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -351,18 +358,22 @@ class Stepper:
         noise, times = drawn[0], drawn[1].astype(np.float32)
         true, others = vectors[at], vectors[noise]
         hit = 1 - _sigmoid(np.einsum("ij,ij->i", h, true) + (biases - log_noise)[at])
-        miss = h @ others.T
-        miss += (biases - log_noise)[noise]
-        miss = _sigmoid(miss)
-        miss *= -times
         true *= hit[:, None]
-        true += miss @ others
         grads, levels, uses = np.zeros_like(vectors), np.bincount(at, hit, size).astype(np.float32), np.bincount(at, minlength=size)
         rows, sums = _summed(at, h * hit[:, None])
         grads[rows] = sums
-        grads[noise] += miss.T @ h
-        levels[noise] += miss.sum(axis=0)
         uses[noise] += 1
+        against = (biases - log_noise)[noise]
+        # parts that stay in the processor's cache
+        for a in range(0, len(h), 2048):
+            own = slice(a, a + 2048)
+            miss = h[own] @ others.T
+            miss += against
+            miss = _sigmoid(miss)
+            miss *= -times
+            true[own] += miss @ others
+            grads[noise] += miss.T @ h[own]
+            levels[noise] += miss.sum(axis=0)
         rows = np.flatnonzero(uses)
         self._move(parts[0], rows + first, grads[rows], uses[rows])
         self._move(parts[1], rows + first, levels[rows], uses[rows])
