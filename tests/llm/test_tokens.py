@@ -130,3 +130,24 @@ def test_token_files_edges(spark, tmp_path):
         token_orc.write_token_files(part, str(tmp_path / name), bpe.public_vocabulary("word_bpe_49k.json"))
         got = [(r.doc_id, r.start, r.n_tokens) for r in token_orc.token_index(spark, str(tmp_path / name)).collect()]
         assert sorted(got, key=lambda r: r[1]) == want
+
+
+def test_files_hold_indexes_blooms_and_run_lengths(spark, tmp_path):
+    """Stripe footers list row indexes, Bloom filters on ids alone, and second-version run lengths; a filter skips row groups."""
+    path = str(tmp_path / "orc")
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    token_orc.write_token_files(docs.coalesce(1), path, bpe.public_vocabulary("word_bpe_49k.json"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [f for f in sorted(tmp_path.joinpath("orc").iterdir()) if f.suffix == ".orc"]
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        footer = rows.readStripeFooter(reader.getStripes().get(0))
+        streams = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+        assert reader.getRowIndexStride() == 1000 and ("ROW_INDEX", 1) in streams
+        assert {c for kind, c in streams if kind.startswith("BLOOM_FILTER")} == {1}
+        assert {footer.getColumns(c).getKind().toString() for c in (1, 2, 3, 4)} == {"DIRECT_V2"}
+        rows.close()
+    found = token_orc.read_token_files(spark, path, [4321])
+    assert [r.doc_id for r in found.collect()] == [4321]
+    assert "EqualTo(doc_id,4321)" in found._jdf.queryExecution().toString()
