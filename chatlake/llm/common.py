@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlake.sources.shared import shared_folder
+
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 #: Java and RE2 pattern of one run of them.
@@ -28,17 +29,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A folder of this application inside spark.checkpoint.dir, which every executor can read.
 
-    Only where that setting is missing (tests, a laptop) a temporary folder takes its place. The
-    folder is deleted through Hadoop's file system when the driver's Python ends.
+    Only where that setting is missing and the master is local (tests, a laptop) a temporary folder
+    takes its place; a cluster without it is an error. The folder is deleted through Hadoop's file
+    system when the driver's Python ends.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-")
-            sc.setCheckpointDir(base)
-        _SCRATCH[app] = f"{base.rstrip('/')}/chatlake-{app}"
+        _SCRATCH[app] = shared_folder(spark, f"chatlake-{app}")
         atexit.register(_drop, spark, _SCRATCH[app])
     return _SCRATCH[app]
 

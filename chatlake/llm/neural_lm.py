@@ -302,7 +302,7 @@ def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each class that occurs, with the rows of its members."""
     rows = np.flatnonzero((ids >= SINGLES) & (ids < SINGLES + MIDDLE))
     of = (ids[rows] - SINGLES) // MEMBERS
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.uint16), kind="stable")
     rows, of = rows[order], of[order]
     cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(rows) else np.empty(0, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -320,7 +320,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
+    # numpy sorts 16-bit keys by their digits
+    order = np.argsort(keys.astype(np.uint16) if IDS <= 1 << 16 else keys, kind="stable")
     ordered = keys[order]
     cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ordered[cuts], np.add.reduceat(rows[order], cuts, axis=0)
@@ -380,19 +381,37 @@ class Stepper:
         return true
 
     def step(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        contexts = _contexts(ids, starts)
-        m = self.m
-        vectors = [m.q[x] for x in contexts]
+        m, n = self.m, len(ids)
+        own = m.q[ids]
+        # where fewer than i + 1 tokens stand before a token in its text, an end stands in their place
+        begins = np.zeros(n, np.int64)
+        begins[starts] = starts
+        inside = np.arange(n) - np.maximum.accumulate(begins)
+        bare, vectors = [np.flatnonzero(inside <= i) for i in range(CONTEXT)], []
+        for i in range(CONTEXT):
+            x = np.empty_like(own)
+            x[i + 1 :] = own[: n - i - 1]
+            x[bare[i]] = m.q[0]
+            vectors.append(x)
         h = sum(x @ c for x, c in zip(vectors, m.c, strict=True))
         back = self._contrast(h, outcome(ids), 0, OUTCOMES, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
         for of, rows in _by_class(ids):
             back[rows] += self._contrast(h[rows], ids[rows] - SINGLES - of * MEMBERS, of * MEMBERS, MEMBERS, ("w", "u"), self.log_member_noise, self._drawn(self.member_ends[of], MEMBER_NOISE))
         matrices = np.stack([x.T @ back for x in vectors])
         # a token's vector gathers what it did as a context of the tokens after it
-        flat = contexts.ravel()
-        rows, sums = _summed(flat, np.concatenate([back @ c.T for c in m.c]))
-        self._move("q", rows, sums, np.bincount(flat, minlength=IDS)[rows])
-        self._move("c", np.arange(CONTEXT), matrices, np.full(CONTEXT, len(ids)))
+        grads, times, end, ends = np.zeros((n + 1, DIMENSIONS), np.float32), np.zeros(n + 1, np.int64), np.zeros(DIMENSIONS, np.float32), 0
+        for i, c in enumerate(m.c):
+            g = back @ c.T
+            end += g[bare[i]].sum(axis=0)
+            ends += len(bare[i])
+            g[bare[i]] = 0
+            grads[: max(0, n - i - 1)] += g[i + 1 :]
+            times[: max(0, n - i - 1)] += inside[i + 1 :] > i
+        grads[n], times[n] = end, ends
+        keys = np.append(ids, 0)
+        rows, sums = _summed(keys, grads)
+        self._move("q", rows, sums, np.bincount(keys, times, IDS).astype(np.int64)[rows])
+        self._move("c", np.arange(CONTEXT), matrices, np.full(CONTEXT, n))
 
     def moved(self, model: LogBilinear) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
         """Part, first row, uses and deltas (in grains) of blocks of rows that have moved."""

@@ -384,7 +384,8 @@ def test_pipeline_run_equals_brute_force(spark):
     rows = {r.doc_id: r for r in docs.collect() if r.doc_id in kept}
     groups = grouped([(j, x.text) for j, x in rows.items()], 5)
     unique = [r for i, r in rows.items() if groups[i][0] == i]
-    copies = {r.doc_id: r.copies for r in mix(spark.createDataFrame(unique, docs.schema)).collect()}
+    keyed = spark.createDataFrame(unique, docs.schema).withColumn("_key", corpus_pipeline._content())
+    copies = {r.doc_id: r.copies for r in mix(keyed, keys=("doc_id", "_key")).collect()}
     tok = Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
     want = Counter()
     for r in unique:
