@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import delete, joined, materialise, read, slices, texts
@@ -187,7 +187,11 @@ def _buckets(hashed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _candidates(buckets: DataFrame) -> DataFrame:
-    """bucket, node -> edges from each class to the first of its bucket, within ranges of sorted buckets.
+    """bucket, node -> distinct edges that join the classes of each bucket, about one a class.
+
+    Each class meets the first of its buckets, within ranges of sorted buckets. A class has one edge a
+    band at most (and as many again across ranges): it keeps the one to its smallest neighbour, and its
+    other neighbours, few among a group's many classes, are joined to that one instead.
 
     A range's last bucket may go on in the next range: the first nodes of each range's first and last
     buckets, two rows a range, are joined to the smallest of their bucket.
@@ -222,7 +226,8 @@ def _candidates(buckets: DataFrame) -> DataFrame:
     found = materialise(buckets.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket bigint, u bigint, v bigint"), "bucket-edges")
     ends = found.where("v is null").groupBy("bucket").agg(F.min("u").alias("v"))
     across = found.where("v is null").select("bucket", "u").join(ends, "bucket").select("u", "v").where("u != v")
-    return found.where("v is not null").select("u", "v").union(across)
+    edges = found.where("v is not null").select("u", "v").union(across).withColumn("least", F.min("v").over(Window.partitionBy("u")))
+    return edges.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _linked(rows: DataFrame, evidence: DataFrame, percent: int) -> DataFrame:
