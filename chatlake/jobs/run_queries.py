@@ -58,10 +58,27 @@ def decode_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     good = F.format_string('{"status":"%s","priority":%d,"extra":1}', "o_orderstatus", F.col("o_orderkey") % 9)
     content = F.when(F.col("o_orderkey") % 5 == 0, F.concat(good, F.lit(" x"))).when(F.col("o_orderkey") % 5 == 1, F.lit('{"priority":"high"}')).when(F.col("o_orderkey") % 5 == 2, F.lit('{"priority":3}')).otherwise(good)
-    out = T.decode_output(orders.select(F.col("o_orderkey").alias("run_id"), content.alias("content")), "status string, priority int", {"status": "", "priority": 0})
+    out = T.decode_output(orders.select(F.col("o_orderkey").alias("run_id"), content.alias("content")), "status string, priority int")
     return out.select("run_id", F.col("value.status").alias("status"), F.col("value.priority").alias("priority"), F.col("rejection").isNotNull().alias("rejected"))
 
 
+_NESTED = "id bigint, who struct<name:string,tags:array<string>>, lines array<struct<q:int,p:double>>, prices map<string,double>, ok boolean"
+
+
+def decode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested outputs: each order in turn good, wrong at some depth, with missing parts, trailed, or with a key twice."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 10
+    number = F.concat(k.cast("string"), F.when(n == 1, ".0").otherwise(""))
+    who = F.concat(F.lit('"who":{"name":"c'), F.col("o_custkey").cast("string"), F.lit('","tags":["a",'), F.when(n == 2, "7").otherwise('"b"'), F.lit("]},"))
+    lines = F.concat(F.lit('"lines":[{"q":'), F.when(n == 7, "3000000000").otherwise((k % 50).cast("string")), F.lit(',"p":1.5},{"p":2e1,"q":'), F.when(n == 3, '"x"').otherwise("2"), F.lit("}],"))
+    prices = F.concat(F.lit('"prices":'), F.when(n == 8, "[1]").when(n == 4, '{"x":null,"y":2}').otherwise('{"x":1.25,"y":2}'))
+    content = F.concat(F.lit('{"id":'), number, F.lit(","), F.when(n == 5, "").otherwise(F.concat(who, lines)), prices, F.lit(',"more":{"deep":[[1]]}'), F.when(n == 9, ',"id":1').otherwise(""), F.lit("}"), F.when(n == 6, "]").otherwise(""))
+    out = T.decode_output(orders.select(k.alias("run_id"), content.alias("content")), _NESTED)
+    v = F.col("value")
+    return out.select("run_id", v["id"].alias("id"), v["who"]["name"].alias("name"), F.array_join(v["who"]["tags"], "|").alias("tags"), F.aggregate(v["lines"], F.lit(0), lambda a, x: a + x["q"]).alias("q"), F.aggregate(v["lines"], F.lit(0.0), lambda a, x: a + x["p"]).alias("p"), v["prices"]["x"].alias("x"), F.size(v["prices"]).alias("prices"), v["ok"].alias("ok"), "rejection")
+
+
 def argument_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     n = F.col("p_partkey")
@@ -106,6 +123,7 @@ QUERIES = {
     "schedule_tool_groups": lambda s, d: T.schedule_tool_groups(view(s, d, "v_calls"), catalog(s)),
     "close_output_calls": lambda s, d: T.close_output_calls(view(s, d, "v_calls"), "tool_3"),
     "decode_output": decode_output,
+    "decode_nested": decode_nested,
     "argument_checks": argument_checks,
     "validate_catalog": validate_catalog,
     "delegations": delegations,
@@ -159,6 +177,11 @@ select *, row_number() over (partition by run_id, turn order by grp, event desc,
 select run_id, turn, ord, call_id, name, case when ord = out then '{RECORDED}' else '{INTERRUPTED}' end as content, case when ord = out then args end as final from v_calls join f using (run_id)""",
     "decode_output": """select o_orderkey as run_id, case when o_orderkey % 5 < 2 then null when o_orderkey % 5 = 2 then '' else o_orderstatus end as status,
 case when o_orderkey % 5 < 2 then null when o_orderkey % 5 = 2 then 3 else o_orderkey % 9 end::int as priority, o_orderkey % 5 < 2 as rejected from orders""",
+    "decode_nested": """with o as (select o_orderkey as k, o_custkey as c, o_orderkey % 10 as n from orders), r as (select *, case n when 1 then '$.id: not of type bigint' when 2 then '$.who.tags[1]: not of type string'
+ when 3 then '$.lines[1].q: not of type int' when 6 then 'not JSON' when 7 then '$.lines[0].q: not of type int' when 8 then '$.prices: not of type map<string,double>' when 9 then 'a key is repeated' end as wrong from o)
+select k as run_id, case when wrong is null then k end as id, case when wrong is null then case when n = 5 then '' else 'c' || c end end as name, case when wrong is null then case when n = 5 then '' else 'a|b' end end as tags,
+cast(case when wrong is null then case when n = 5 then 0 else k % 50 + 2 end end as int) as q, case when wrong is null then case when n = 5 then 0.0 else 21.5 end end::double as p, case when wrong is null then case when n = 4 then 0 else 1.25 end end::double as x,
+cast(case when wrong is null then 2 end as int) as prices, case when wrong is null then false end as ok, 'output isn''t JSON of the expected type: ' || wrong as rejection from r""",
     "argument_checks": """select p_partkey as id, case p_partkey % 4 when 0 then 'url is required' when 1 then null when 2 then 'url must be an absolute http or https URL' else 'arguments must be a JSON object with a string "url"' end as url_error,
 case p_partkey % 3 when 0 then 'path must be relative' when 1 then null else 'path must stay inside the root' end as path_error from part""",
     "validate_catalog": """with c as (select p_partkey as id, case when p_partkey % 7 = 0 then '' else 't' || (p_partkey % 500) end as name, p_partkey % 5 = 0 as bad, p_partkey % 3 - 1 as retries from part)

@@ -1,9 +1,11 @@
-"""Pages and files to text: visible text of HTML, media types, byte caps, sniffing."""
+"""Pages and files to text: visible text of HTML, media types, byte caps, sniffing; column expressions.
+
+Only texts with rare character entities visit Python, where the standard library knows them all.
+"""
 
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,46 +19,60 @@ from chatlake.functions.scalar import is_text_media_type, media_type_of, truncat
 BLOCKS = frozenset(
     "address article aside blockquote br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table td th title tr ul".split()
 )
-#: White space that lines are trimmed of; Python's own strip() also takes the separators U+001C to U+001F.
-_TRIM = "\t\n\v\f\r \x85\xa0                　"
-_TAG = re.compile(r"/?([A-Za-z0-9!-]+)")
-_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
-_CLOSE = {n: re.compile(f"</{n}[^>]*>", re.I | re.S) for n in ("script", "style")}
-
-
-def visible_text(page: str) -> str:
-    """What a reader sees: markup, comments, scripts and styles go; what an open construct begins goes too."""
-    out, at = [], 0
-    while True:
-        lt = page.find("<", at)
-        out.append(html.unescape(page[at:] if lt < 0 else page[at:lt]))
-        if lt < 0:
-            break
-        at = lt + 1
-        if page.startswith("!--", at):
-            end = page.find("-->", at + 3)
-            if end < 0:
-                break
-            at = end + 3
-            continue
-        tag = _TAG.match(page, at)
-        if not tag:
-            break
-        name = tag[1].lower()
-        end = (_CLOSE[name].search(page, tag.end()) if name in _CLOSE else _REST.match(page, at))
-        if not end:
-            break
-        at = end.end()
-        if name in BLOCKS:
-            out.append("\n")
-    lines = (line.strip(_TRIM) for line in "".join(out).split("\n"))
-    return "\n".join(line for line in lines if line)
+#: White space that lines are trimmed of: the Unicode property, without the separators U+001C to U+001F.
+_TRIM = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+#: Entities that are replaced in place, the ampersand's own last.
+ENTITIES = ("lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "bull", "hellip", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "euro", "pound", "sect", "para", "deg", "times", "amp")
+
+# The pieces that a page is made of. Repetitions are possessive, so that matching neither backtracks
+# nor recurses however long a page or a tag is.
+_NAME = "[A-Za-z0-9!-]"
+_TEXT = "[^<]++"
+_COMMENT = "<!--.*?-->"
+_RAW = f"</?+script(?!{_NAME}).*?</script[^>]*+>|</?+style(?!{_NAME}).*?</style[^>]*+>"
+_END = """(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_BLOCK = f"</?+(?:{'|'.join(sorted(BLOCKS))})(?!{_NAME}){_END}"
+_INLINE = f"<(?!!--)(?!/?+(?:script|style)(?!{_NAME}))/?+{_NAME}++{_END}"
+#: Stands after each piece. It can't occur within one, as no tag is without a name.
+_MARK = "<>"
 
 
 @F.pandas_udf(T.StringType())
-def html_to_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for p in pages:
-        yield p.map(lambda x: None if x is None else visible_text(x))
+def _any_entities(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Every entity of each marked run of text; the marks go."""
+    for part in runs:
+        yield part.map(lambda x: None if x is None else "".join(map(html.unescape, x.split(_MARK))))
+
+
+def _unescaped(marked: Column) -> Column:
+    """Entities to characters within each run; the marks go.
+
+    An ampersand that begins no entity of its run is escaped first, so that runs can be joined
+    without making an entity across a tag.
+    """
+    common = "|".join(ENTITIES)
+    rare = F.regexp_like(marked, F.lit(f"&(?!(?:{common});)[A-Za-z0-9#]"))
+    plain = F.replace(F.regexp_replace(marked, f"&(?!(?:{common});)", "&amp;"), F.lit(_MARK), F.lit(""))
+    for name in ENTITIES:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
+    # nulls go to Python, and come back, where nothing is rare
+    return F.coalesce(_any_entities(F.when(rare, marked)), F.when(F.contains(marked, F.lit("&")), plain).otherwise(F.replace(marked, F.lit(_MARK), F.lit(""))))
+
+
+def html_to_text(page: Column) -> Column:
+    """What a reader sees: markup, comments, scripts and styles go, and blocks begin lines.
+
+    1. The page is read as far as it consists of whole pieces; an open comment, script, style or tag,
+       or a ``<`` that begins none, ends it.
+    2. A mark is put after each piece of text and each block's tag, and in place of all others.
+    3. Blocks' tags become line breaks; entities become characters between marks, and marks go.
+    4. Lines are trimmed, and empty ones dropped.
+    """
+    whole = F.regexp_extract(page, f"(?si)^(?:{_TEXT}|{_COMMENT}|{_RAW}|{_INLINE})*+", 0)
+    marked = F.regexp_replace(whole, f"(?si)({_TEXT}|{_BLOCK})|{_COMMENT}|{_RAW}|{_INLINE}", f"$1{_MARK}")
+    broken = F.regexp_replace(marked, f"(?s)<(?!>){_END}", "\n")
+    lines = F.transform(F.split(_unescaped(broken), "\n"), lambda x: F.btrim(x, F.lit(_TRIM)))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def page_text(pages: DataFrame, most: int = 1 << 20) -> DataFrame:
@@ -75,34 +91,69 @@ def page_text(pages: DataFrame, most: int = 1 << 20) -> DataFrame:
     return rows.withColumn("text", F.when(F.octet_length("body") > most, F.concat(text, F.lit("\n\n" + marker))).otherwise(text)).drop("_cut")
 
 
-#: What files of these types begin with.
+#: What files of these types begin with, first match first. Bytes in hexadecimal, ``..`` for any.
 _SIGNATURES = (
-    (b"%PDF-", "application/pdf"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF87a", "image/gif"), (b"GIF89a", "image/gif"),
-    (b"PK\x03\x04", "application/zip"), (b"\x1f\x8b\x08", "application/x-gzip"), (b"BM", "image/bmp"),
-)
-_HTML = re.compile(rb"[\t\n\f\r ]*<(?:!doctype html|html|head|script|iframe|h1|div|font|table|a|style|title|b|body|br|p|!--)[ >]", re.I)
-_BINARY = bytes(i for i in range(32) if i not in (9, 10, 12, 13, 27))
-
-
-def sniffed(head: bytes) -> str:
-    """The media type that the first bytes speak for."""
-    head = head[:512]
-    if _HTML.match(head):
-        return "text/html; charset=utf-8"
-    if head.lstrip(b"\t\n\f\r ").startswith(b"<?xml"):
-        return "text/xml; charset=utf-8"
-    for sign, kind in _SIGNATURES:
-        if head.startswith(sign):
-            return kind
-    if head[:4] == b"RIFF" and head[8:14] == b"WEBPVP":
-        return "image/webp"
-    return "application/octet-stream" if head.translate(None, _BINARY) != head else "text/plain; charset=utf-8"
+    ("3C3F786D6C", "text/xml; charset=utf-8", True),
+    ("255044462D", "application/pdf", False),
+    ("252150532D41646F62652D", "application/postscript", False),
+    ("FEFF....", "text/plain; charset=utf-16be", False),
+    ("FFFE....", "text/plain; charset=utf-16le", False),
+    ("EFBBBF..", "text/plain; charset=utf-8", False),
+    ("00000100", "image/x-icon", False),
+    ("00000200", "image/x-icon", False),
+    ("424D", "image/bmp", False),
+    ("474946383761", "image/gif", False),
+    ("474946383961", "image/gif", False),
+    ("52494646........574542505650", "image/webp", False),
+    ("89504E470D0A1A0A", "image/png", False),
+    ("FFD8FF", "image/jpeg", False),
+    ("464F524D........41494646", "audio/aiff", False),
+    ("494433", "audio/mpeg", False),
+    ("4F67675300", "application/ogg", False),
+    ("4D54686400000006", "audio/midi", False),
+    ("52494646........41564920", "video/avi", False),
+    ("52494646........57415645", "audio/wave", False),
+    ("1A45DFA3", "video/webm", False),
+    ("." * 68 + "4C50", "application/vnd.ms-fontobject", False),
+    ("00010000", "font/ttf", False),
+    ("4F54544F", "font/otf", False),
+    ("74746366", "font/collection", False),
+    ("774F4646", "font/woff", False),
+    ("774F4632", "font/woff2", False),
+    ("1F8B08", "application/x-gzip", False),
+    ("504B0304", "application/zip", False),
+    ("526172211A0700", "application/x-rar-compressed", False),
+    ("526172211A070100", "application/x-rar-compressed", False),
+    ("0061736D", "application/wasm", False),
+)
+#: Tags that HTML begins with, before a space or the tag's end.
+_OPENERS = ("!DOCTYPE HTML", "HTML", "HEAD", "SCRIPT", "IFRAME", "H1", "DIV", "FONT", "TABLE", "A", "STYLE", "TITLE", "B", "BODY", "BR", "P")
+_WHITE = "(?:09|0A|0C|0D|20)*+"
 
 
-@F.pandas_udf(T.StringType())
-def sniff_content_type(heads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for h in heads:
-        yield h.map(lambda x: sniffed(bytes(x or b"")))
+def _either_case(text: str) -> str:
+    """A pattern of a text's bytes in hexadecimal, letters in either case."""
+    return "".join(f"(?:{ord(c.upper()):02X}|{ord(c.lower()):02X})" if c.isalpha() else f"{ord(c):02X}" for c in text)
+
+
+def sniff_content_type(head: Column) -> Column:
+    """The media type that the first 512 bytes speak for, by a table of masked signatures.
+
+    White space may stand before markup only. Without a signature, bytes that no text holds make
+    a file binary; empty and null content is text.
+    """
+    data = F.substring(head, 1, 512)
+    hexed = F.coalesce(F.hex(data), F.lit(""))
+    opened = "|".join(_either_case(f"<{t}") for t in _OPENERS)
+    out = F.when(hexed.rlike(f"^{_WHITE}(?:(?:{opened})(?:20|3E)|{_either_case('<!--')})"), "text/html; charset=utf-8")
+    for sign, kind, white in _SIGNATURES:
+        out = out.when(hexed.rlike(f"^{_WHITE if white else ''}{sign}"), kind)
+    # a box of a multiple of four bytes, all there, of a brand that begins with mp4
+    size = F.coalesce(F.conv(F.substring(hexed, 1, 8), 16, 10).cast("bigint"), F.lit(0))
+    box = F.substr(hexed, F.lit(1), (2 * size).cast("int"))
+    is_mp4 = (size >= 12) & (size % 4 == 0) & (2 * size <= F.length(hexed)) & box.rlike("^.{8}66747970(?:6D7034|.{16}(?:.{8})*?6D7034)")
+    out = out.when(is_mp4, "video/mp4")
+    return out.when(hexed.rlike("^(?:..)*?(?:0[0-8BEF]|1[0-9AC-F])"), "application/octet-stream").otherwise("text/plain; charset=utf-8")
 
 
 def file_text(content: Column, most: int) -> Column:

@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlake.functions.json_text import decoded, is_json
 from chatlake.functions.scalar import INTERRUPTED, RECORDED
 
 
-def _constant(_: str) -> None:
-    raise ValueError("not JSON")
-
-
-def _is_json(text: str | None) -> bool:
-    try:
-        json.loads(text, parse_constant=_constant)
-    except (TypeError, ValueError, RecursionError):
-        return False
-    return True
-
-
-@F.pandas_udf(T.BooleanType())
-def strict_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether the whole text is one JSON value; built-in parsers let trailing characters pass."""
-    for t in texts:
-        yield t.map(_is_json).astype(bool)
-
-
 def _field(args: Column, field: str) -> Column:
     return F.get_json_object(args, f"$.{field}")
 
@@ -43,7 +21,7 @@ def _kind(args: Column, field: str) -> Column:
 def check_string_args(args: Column, field: str) -> Column:
     """null if the arguments are an object with a non-empty string field, else what is wrong."""
     kind = F.schema_of_variant(F.try_parse_json(args))
-    bad = F.coalesce(~kind.startswith("OBJECT"), F.lit(True)) | ~strict_json(args) | ~F.coalesce(_kind(args, field), F.lit("STRING")).isin("STRING", "VOID")
+    bad = F.coalesce(~kind.startswith("OBJECT"), F.lit(True)) | ~is_json(args) | ~F.coalesce(_kind(args, field), F.lit("STRING")).isin("STRING", "VOID")
     return F.when(bad, F.lit(f'arguments must be a JSON object with a string "{field}"')).when(F.coalesce(_field(args, field), F.lit("")) == "", F.lit(f"{field} is required"))
 
 
@@ -75,12 +53,14 @@ def apply_tool_choice(catalog: DataFrame, name: str) -> DataFrame:
 
 def validate_catalog(catalog: DataFrame, output_tool: str | None = None) -> DataFrame:
     """Adds ``error``: the first thing wrong with each declared tool, or null."""
-    copies = F.count("*").over(Window.partitionBy("name"))
+    # rows without a name are dealt out, as their number doesn't matter
+    apart = F.when(F.coalesce("name", F.lit("")) == "", F.pmod(F.xxhash64(*catalog.columns), F.lit(1024))).otherwise(F.lit(0))
+    copies = F.count("*").over(Window.partitionBy("name", apart))
     name, schema = F.coalesce("name", F.lit("")), F.coalesce("schema", F.lit(""))
     error = (
         F.when(name == "", "a tool needs a name")
         .when(schema == "", "a tool needs a schema")
-        .when(~strict_json(F.col("schema")), "the schema isn't JSON")
+        .when(~is_json(F.col("schema")), "the schema isn't JSON")
         .when(F.coalesce(F.col("max_retries") < 0, F.lit(False)), "retries can't be negative")
         .when(F.coalesce(F.col("timeout_ms") < 0, F.lit(False)), "the timeout can't be negative")
         .when(F.col("_copies") > 1, "the name is taken")
@@ -153,14 +133,12 @@ def delegations(calls: DataFrame, child_runs: DataFrame) -> DataFrame:
     return joined.select("run_id", "call_id", F.when(F.col("error").isNull(), text).alias("content"), F.col("error"), F.when(F.col("error").isNotNull(), "tool").alias("stage"))
 
 
-def decode_output(outputs: DataFrame, schema: str, zeros: dict[str, object]) -> DataFrame:
-    """Adds ``value`` (struct), ``rejection`` to run_id, content: JSON decoded to a type.
+def decode_output(outputs: DataFrame, schema: str | T.DataType) -> DataFrame:
+    """Adds ``value`` and ``rejection`` to run_id, content: JSON decoded to a type, however nested.
 
     Unknown fields are ignored, missing ones get their type's zero; anything else is a correctable
-    rejection.
+    rejection that names what is wrong and where (see ``decoded``).
     """
-    parsed = F.from_json("content", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = outputs.withColumn("_parsed", parsed)
-    good = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt_record").isNull() & strict_json(F.col("content"))
-    value = F.struct(*(F.coalesce(F.col(f"_parsed.{c}"), F.lit(z)).alias(c) for c, z in zeros.items()))
-    return rows.withColumn("_good", good).select(*outputs.columns, F.when(F.col("_good"), value).alias("value"), F.when(~F.col("_good"), "output isn't JSON of the expected type").alias("rejection"))
+    rows = outputs.withColumn("_read", decoded(F.col("content"), schema))
+    wrong = F.col("_read.error")
+    return rows.select(*outputs.columns, F.when(wrong.isNull(), F.col("_read.value")).alias("value"), F.concat(F.lit("output isn't JSON of the expected type: "), wrong).alias("rejection"))

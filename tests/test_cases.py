@@ -14,7 +14,6 @@ from chatlake.operators import runs as R
 from chatlake.operators import streams as ST
 from chatlake.operators import tools as T
 from chatlake.operators import wire as W
-from chatlake.operators.text import sniffed, visible_text
 from chatlake.sources import messages as M
 from chatlake.sources import streams as SRC
 from tests.conftest import SF
@@ -84,22 +83,6 @@ def test_message_json(spark):
     assert [r.role for r in back] == ["user", "assistant", "tool"] and bytes(back[0].parts[0].data) == b"abc"
 
 
-@pytest.mark.parametrize(
-    "page, text",
-    [
-        ("<p>a<br>b</p>", "a\nb"), ("x<!-- y --><b>z</b>", "xz"), ("<script>1</script>k<style>p</style>", "k"), ("a &amp; b&copy", "a & b©"), ("a < b", "a"), ("a<b", "a"),
-        ("<a title='>'>q</a>", "q"), ("<!DOCTYPE html>t", "t"), ("<!-- open", ""), ("<script>never", ""), ("  a \n\n b ", "a\nb"), ("<td>1</td><td>2</td>", "1\n2"),
-    ],
-)
-def test_visible_text(page, text):
-    assert visible_text(page) == text
-
-
-def test_sniffing():
-    assert sniffed(b"\x89PNG\r\n\x1a\n") == "image/png" and sniffed(b"hi") == "text/plain; charset=utf-8"
-    assert sniffed(b"\x00\x01") == "application/octet-stream" and sniffed(b"  <html>").startswith("text/html") and sniffed(b"") == "text/plain; charset=utf-8"
-
-
 def frame(headers, payload):
     block = b"".join(bytes([len(k)]) + k.encode() + v for k, v in headers)
     head = struct.pack(">II", 16 + len(block) + len(payload), len(block))
@@ -167,11 +150,6 @@ def test_loop(spark):
     assert got.stage == "usage" and calls["n"] == 0
 
 
-def test_strict_json(spark):
-    rows = spark.createDataFrame([('{"a":1}',), ('{"a":1} x',), ("NaN",), (None,)], "t string")
-    assert [r[0] for r in rows.select(T.strict_json("t")).collect()] == [True, False, False, False]
-
-
 def test_rounds_and_limits(spark):
     rows = [(1, i, k, None, a, b) for i, (k, a, b) in enumerate([("model_start", 0, 0), ("model_end", 3, 1), ("output_rejected", 0, 0), ("model_start", 0, 0), ("model_end", 5, 2)])]
     df = spark.createDataFrame(rows, "run_id long, seq long, kind string, tool_name string, input_tokens int, output_tokens int")

@@ -1,12 +1,111 @@
-"""Whole text queries against sequential Python over every row, with the rows' own bytes."""
+"""Whole text queries against sequential Python over every row, with the rows' own bytes; JSON and signatures."""
+
+import html as entities
+import json
+import random
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chatlake.operators.text import visible_text
+from chatlake.functions.json_text import decoded, is_json
+from chatlake.operators.text import BLOCKS, html_to_text, sniff_content_type
 from tests.conftest import SF
 
+PIECE = re.compile(
+    r"""(?P<text>[^<]+)|(?P<comment><!--.*?-->)|</?(?P<raw>script|style)(?![\w!-]).*?</(?P=raw)[^>]*>|(?P<tag></?(?P<name>(?!!--)[a-z0-9!-]+)(?:[^>"']|"[^"]*"|'[^']*')*>)""",
+    re.I | re.S | re.A,
+)
+
+
+def visible_text(page: str) -> str:
+    """The pieces of a page one after another, up to what is none."""
+    at, out = 0, ""
+    for m in iter(lambda: PIECE.match(page, at), None):
+        if m["tag"] and m["name"].lower() in ("script", "style"):
+            break
+        out += entities.unescape(m["text"]) if m["text"] else "\n" if m["name"] and m["name"].lower() in BLOCKS else ""
+        at = m.end()
+    white = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+    return "\n".join(filter(None, (line.strip(white) for line in out.split("\n"))))
+
+
+PAGES = [
+    ("<p>one<br>two</p>three", "one\ntwo\nthree"), ("left<!-- gone --><i>right</i>", "leftright"), ("<style>p{}</style>k<script>if (a<b) {}</script>ept", "kept"), ("fish &amp; chips&copy", "fish & chips©"),
+    ("2 < 3", "2"), ("2<x", "2"), ("<a title='1>0' rel=\"<p>\">q</a>", "q"), ("<!DOCTYPE html>body", "body"), ("seen<!-- open", "seen"), ("seen<script>open", "seen"), (" \t a \n\n  b ", "a\nb"),
+    ("<TD>1</TD><td >2</td>", "1\n2"), ("&lt;p> and &amp;lt;", "<p> and &lt;"), ("&am<b>p;", "&amp;"), ("&#233;&#x2014;&notin;&unknown;", "é—∉&unknown;"), ("a<br/>b<hr>", "a\nb"), ("<p-x>in<b-c>line", "inline"), ("", ""), (None, None),
+]
+
+
+def test_html_cases(spark):
+    df = spark.createDataFrame(list(enumerate(p for p, _ in PAGES)), "i int, page string")
+    assert [r[0] for r in df.select(html_to_text(F.col("page")), "i").orderBy("i").collect()] == [t for _, t in PAGES]
+
+
+def test_html_of_random_pieces_and_long_pages(spark):
+    r = random.Random(4)
+    parts = ["<", "<p>", "</li>", "<b>", "<br/>", "<!--", "-->", "<script", "<script>", "</script x>", "<style>", "</style>", "'", '"', "=", ">", "&amp;", "&am", "p;", "&lt;", "&copy", "&#65;", "&", "\n", " ", "x", "é", "　", "<a href='", "\x1c", "$1", "\\", "<>", "&amp;lt;"]
+    pages = ["".join(r.choice(parts) for _ in range(r.randrange(1, 14))) for _ in range(6000)]
+    pages += ["a" * 300_000 + "<p>" * 30_000 + "<a " + "b='c' " * 100_000 + ">z", "<a" + " 'q'" * 50_000, " " * 100_000 + "x", "<!-- x -->" * 50_000 + "y"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, page string").repartition(4)
+    got = {x["i"]: x["t"] for x in df.select("i", html_to_text(F.col("page")).alias("t")).collect()}
+    assert [got[i] for i in range(len(pages))] == [visible_text(p) for p in pages]
+
+
+HEADS = [
+    (b"\x89PNG\r\n\x1a\n", "image/png"), (b"hi", "text/plain; charset=utf-8"), (b"\0\1", "application/octet-stream"), (b" \n<hTmL>", "text/html; charset=utf-8"), (b"<html5", "text/plain; charset=utf-8"), (b"<!-- x", "text/html; charset=utf-8"),
+    (b"", "text/plain; charset=utf-8"), (None, "text/plain; charset=utf-8"), (b"\t<?xml ", "text/xml; charset=utf-8"), (b" %PDF-", "text/plain; charset=utf-8"), (b"%PDF-1", "application/pdf"), (b"\xfe\xff\0a", "text/plain; charset=utf-16be"),
+    (b"RIFF....WEBPVP8 ", "image/webp"), (b"RIFF....WAVE", "audio/wave"), (b"RIFF....AVI ", "video/avi"), (b"FORM....AIFF", "audio/aiff"), (b"ID3x", "audio/mpeg"), (b"OggS\0", "application/ogg"), (b"\x1a\x45\xdf\xa3", "video/webm"),
+    (b"\0\0\0\x10ftypmp42....", "video/mp4"), (b"\0\0\0\x14ftypisom....mp41", "video/mp4"), (b"\0\0\0\x14ftypisom....avc1", "application/octet-stream"), (b"\0\0\0\x11ftypmp42.....", "application/octet-stream"), (b"\0\0\x01\0", "image/x-icon"),
+    (b"\0" * 34 + b"LP", "application/vnd.ms-fontobject"), (b"wOF2", "font/woff2"), (b"PK\3\4", "application/zip"), (b"Rar!\x1a\7\1\0", "application/x-rar-compressed"), (b"\0asm", "application/wasm"), (b"a\x1bb", "text/plain; charset=utf-8"), (b"a" * 600 + b"\0", "text/plain; charset=utf-8"),
+]
+
+
+def test_sniffing(spark):
+    df = spark.createDataFrame([(i, None if h is None else bytearray(h)) for i, (h, _) in enumerate(HEADS)], "i int, head binary")
+    assert [r[0] for r in df.select(sniff_content_type(F.col("head")), "i").orderBy("i").collect()] == [k for _, k in HEADS]
+
+
+def _python_accepts(text: str | None) -> bool:
+    try:
+        json.loads(text, parse_constant=lambda _: 1 / 0)
+    except (TypeError, ValueError, ZeroDivisionError, RecursionError):
+        return False
+    return True
+
+
+def test_is_json_equals_the_standard_parser(spark):
+    r = random.Random(6)
+    parts = ['{"a":', "}", "[", "]", ",", '"b"', "1", "-1.5e3", "null", "true", " ", "\n", ":", '"\\u00e9"', "'c'", "NaN", "01", '"', "\\", "x", '{"a":1,"a":2}', "\ufeff", "\t"]
+    texts = [None, "", " ", "{}", '{"a":1} x', "1,2", "1]", '1],["x"', "-", "+1", ".5", "1.", "nul", '"\t"', "/**/1", *("".join(r.choice(parts) for _ in range(r.randrange(1, 7))) for _ in range(8000))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", is_json(F.col("t")).alias("ok")).orderBy("i").collect()
+    assert [x["ok"] for x in got] == [_python_accepts(t) for t in texts]
+    assert sum(x["ok"] for x in got) > 300
+
+
+def test_decoded_values_zeros_ranges_and_paths(spark):
+    cases = [
+        ('{"n":{"i":127,"d":1},"l":[[1],[2,3]],"m":{"k":{"s":"x"}},"v":[1,"y"]}', (127, 1.0, [[1], [2, 3]], {"k": "x"}), None),
+        ("{}", (0, 0.0, [], {}), None), ('{"n":null,"l":null,"m":null,"z":5}', (0, 0.0, [], {}), None), ('{"m":{"k":{}},"l":[[]]}', (0, 0.0, [[]], {"k": ""}), None),
+        ('{"n":{"i":128}}', None, "$.n.i: not of type tinyint"), ('{"n":{"i":1.0}}', None, "$.n.i: not of type tinyint"), ('{"n":{"i":1e1}}', None, "$.n.i: not of type tinyint"), ('{"n":{"d":1e999}}', None, "$.n.d: not of type double"),
+        ('{"l":[[1],[2,"3"]]}', None, "$.l[1][1]: not of type int"), ('{"l":[1]}', None, "$.l[0]: not of type array<int>"), ('{"m":{"k":{"s":1}}}', None, "$.m.k.s: not of type string"), ('{"n":[]}', None, "$.n: not of type struct<i:tinyint,d:double>"),
+        ("[]", None, "$: not of type"), ("x", None, "not JSON"), ("{} {}", None, "not JSON"), (None, None, "not JSON"), ('{"n":{"i":1,"i":2}}', None, "a key is repeated"),
+    ]
+    df = spark.createDataFrame(list(enumerate(c[0] for c in cases)), "i int, t string")
+    read = decoded(F.col("t"), "n struct<i:tinyint,d:double>, l array<array<int>>, m map<string,struct<s:string>>, v variant")
+    for (text, want, error), r in zip(cases, df.select("i", read.alias("r")).orderBy("i").collect(), strict=True):
+        if error is None:
+            v = r["r"]["value"]
+            assert r["r"]["error"] is None and (v["n"]["i"], v["n"]["d"], v["l"], {k: x["s"] for k, x in v["m"].items()}) == want, text
+        else:
+            assert r["r"]["error"].startswith(error), text
+    for bad in ("d date", "m map<int,string>"):
+        with pytest.raises(ValueError):
+            decoded(F.col("t"), bad)
+
 
 def page(page_id, html, most=3000):
     if page_id % 7 == 0:
