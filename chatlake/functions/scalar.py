@@ -117,3 +117,8 @@ def content_text(value: Column) -> Column:
 def classify_stage(source: Column, error: Column) -> Column:
     """The stage at which a run failed: tool, loop, none for cancellations, and else model."""
     return F.when(source.isin("cancelled", "deadline"), F.lit(None)).when(source == "tool", "tool").when(source == "turn_limit", "loop").when(source.isin("usage", "decode"), source).when(error.isNotNull(), "model")
+
+
+def stage_text(stage: Column, error: Column) -> Column:
+    """A failed run's error with the stage at which it arose; errors without a stage stand alone."""
+    return F.when(error.isNotNull(), F.concat(F.coalesce(F.concat(stage, F.lit(" stage: ")), F.lit("")), error))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalar import INTERRUPTED, opens_conversation, resolve_instructions
 from chatlake.jobs.views import messages, with_views
 from chatlake.operators import history as H
+from chatlake.sources.messages import write_ordered
+from chatlake.sources.shared import shared_folder
 
 BUDGET = 4
 _M = with_views("v_messages")
@@ -63,6 +65,34 @@ def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.trim_history(messages(spark, sf_dir), BUDGET).select("conv_id", "pos", "role", "content")
 
 
+def _without_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drops tool results; conversations that begin with a system message can't be handled."""
+    first = rows.groupBy("conv_id").agg(F.min_by("role", "pos").alias("first")).where("first = 'system'")
+    return rows.where("role <> 'tool'"), first.select("conv_id", F.lit("begins with a system message").alias("error"))
+
+
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two processors in turn: what is left of each history, or the step and error that it failed with."""
+    kept, failed = H.process_history(messages(spark, sf_dir), _without_errors, H.trimmed(3))
+    counts = kept.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    return counts.select("conv_id", "n", "first_pos", F.lit(None).cast("int").alias("step"), F.lit(None).cast("string").alias("error")).unionByName(failed.select("conv_id", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("first_pos"), "step", "error"))
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages through ordered files: how many of each conversation, in how many files, and whether each follows its predecessor."""
+    path = shared_folder(spark, "ordered")
+    write_ordered(messages(spark, sf_dir), path, file_bytes=256 << 10)
+    read = spark.read.parquet(path).select("conv_id", "pos", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    own = Window.partitionBy("file").orderBy("row")
+    here = F.struct("conv_id", "pos")
+    rows = read.withColumn("follows", F.coalesce(F.lag(here).over(own) <= here, F.lit(True)))
+    # files don't overlap: a conversation that lies in two files ends one and begins the next
+    ends = rows.groupBy("file").agg(F.min(here).alias("low"), F.max(here).alias("high"))
+    apart = rows.groupBy("conv_id", "file").agg(F.count("*").alias("n"), F.bool_and("follows").alias("follows"), F.min(here).alias("own_low"), F.max(here).alias("own_high")).join(ends, "file")
+    inside = (F.col("own_low") == F.col("low")) | (F.col("own_high") == F.col("high"))
+    return apart.groupBy("conv_id").agg(F.sum("n").alias("n"), (F.bool_and("follows") & ((F.count("*") == 1) | F.bool_and(inside))).alias("in_order"))
+
+
 QUERIES = {
     "repair_counts": repair_counts,
     "repair_history": lambda s, d: H.repair_history(messages(s, d)).select("conv_id", "pos", "role", "content", "tool_call_id", "tool_name", "synthesized"),
@@ -76,9 +106,17 @@ QUERIES = {
     "append_corrections": append_corrections,
     "conversation_arrays": conversation_arrays,
     "merge_turns": merge_turns,
+    "process_history": processed,
+    "write_ordered": ordered,
 }
 
 ORACLE_SQL = {
+    "write_ordered": f"{_M} select conv_id, count(*) as n, true as in_order from v_messages group by 1",
+    "process_history": f"""{_M}, b as (select conv_id, arg_min(role, pos) = 'system' as bad from v_messages group by 1), k as (select m.*, row_number() over (partition by m.conv_id order by m.pos desc) as newest, count(*) over (partition by m.conv_id) as n from v_messages m join b using (conv_id) where not bad and role <> 'tool'),
+f as (select *, min(case when newest <= 3 and not (role = 'assistant' and call_id is not null) then pos end) over (partition by conv_id) as first from k)
+select conv_id, count(*) as n, min(pos) as first_pos, cast(null as int) as step, cast(null as string) as error from f where n <= 3 or (newest <= 3 and pos >= first) group by 1
+union all select conv_id, null, null, 0, 'history processor: ' || case when bad then 'begins with a system message' else 'the history processor left no messages' end from b where bad or conv_id not in (select conv_id from v_messages where role <> 'tool')
+union all select distinct conv_id, null, null, 1, 'history processor: trimming left no messages; history of ' || n || ' messages has no turn that can open a request' from f where n > 3 and first is null""",
     "repair_counts": f"""{_REPAIRED}, a as (select conv_id, count(*) as total, count(*) filter (synthesized) as s from repaired group by 1), b as (select conv_id, count(*) as before from v_messages group by 1)
 select b.conv_id, coalesce(total, 0) - coalesce(s, 0) as kept, before + coalesce(s, 0) - coalesce(total, 0) as dropped, coalesce(s, 0) as synthesized from b left join a using (conv_id)""",
     "repair_history": f"{_REPAIRED} select * from repaired",

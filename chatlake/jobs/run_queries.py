@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.functions.scalar import INTERRUPTED, RECORDED, STATUS_TEXT, backoff_ms, classify_stage, rejection_text, trim_error_type
+from chatlake.functions.scalar import INTERRUPTED, RECORDED, STATUS_TEXT, backoff_ms, classify_stage, rejection_text, stage_text, trim_error_type
 from chatlake.jobs.views import catalog, view, with_views
 from chatlake.operators import runs as R
 from chatlake.operators import tools as T
@@ -37,7 +37,7 @@ def classify_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.resolve_fallback(view(spark, sf_dir, "v_attempts").withColumn("emitted", F.col("output_tokens") == 8))
+    return R.resolve_fallback(view(spark, sf_dir, "v_attempts").withColumn("emitted", F.col("output_tokens") == 8).withColumn("cancelled", F.col("input_tokens") % 110 == 0))
 
 
 def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def rejection_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("status") == 429, "turn_limit").when(F.col("status") == 503, "cancelled").when(F.col("model_rank") % 4 == 0, "tool").otherwise("provider")
     rows = view(spark, sf_dir, "v_attempts").where("status <> 200")
-    return rows.select("request_id", "model_rank", classify_stage(source, F.lit("x")).alias("stage"))
+    stage, error = classify_stage(source, F.lit("x")), F.concat(F.lit("status "), F.col("status").cast("string"))
+    return rows.select("request_id", "model_rank", stage.alias("stage"), stage_text(stage, error).alias("text"))
 
 
 def decode_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ QUERIES = {
     "tool_usage": lambda s, d: R.tool_usage(_events(s, d)),
     "tool_stats": lambda s, d: R.tool_stats(_events(s, d)),
     "check_usage_limits": lambda s, d: R.check_usage_limits(_events(s, d), LIMITS),
-    "pair_run_events": lambda s, d: R.pair_run_events(R.number_rounds(_events(s, d)), ["run_id", "round", "tool_name"]),
+    "pair_run_events": lambda s, d: R.pair_run_events(R.number_turns(R.number_rounds(_events(s, d)))),
     "classify_errors": classify_errors,
     "classify_stream_errors": classify_stream_errors,
     "resolve_fallback": fallback,
@@ -121,6 +122,7 @@ QUERIES = {
     "undeclared_calls": lambda s, d: T.undeclared_calls(view(s, d, "v_calls"), catalog(s)).select("run_id", "ord", "name", "error"),
     "apply_tool_choice": lambda s, d: T.apply_tool_choice(view(s, d, "v_calls").select("run_id", "ord", "name"), "tool_2"),
     "schedule_tool_groups": lambda s, d: T.schedule_tool_groups(view(s, d, "v_calls"), catalog(s)),
+    "schedule_single_calls": lambda s, d: T.schedule_tool_groups(view(s, d, "v_calls"), catalog(s), parallel=False),
     "close_output_calls": lambda s, d: T.close_output_calls(view(s, d, "v_calls"), "tool_3"),
     "decode_output": decode_output,
     "decode_nested": decode_nested,
@@ -147,20 +149,25 @@ count(*) filter (kind = 'tool_end' and err is not null and err_correctable) as r
 c as (select run_id, round, sum(input_tokens) over w as input_tokens, sum(output_tokens) over w as output_tokens, sum(input_tokens + output_tokens) over w as total_tokens, sum(requests) over w as requests, sum(tool_calls) over w as tool_calls from s window w as (partition by run_id order by round)),
 x as (select run_id, cast(round as bigint) as round, {_crossing()} from c)
 select * from x where crossed_kind is not null qualify row_number() over (partition by run_id order by round) = 1""",
-    "pair_run_events": f"""{_ROUNDS}, p as (select run_id, cast(round as bigint) as round, tool_name, split_part(kind, '_', 1) as family, min(case when kind like '%start' then seq end) as started, min(case when kind like '%end' then seq end) as ended from r where kind <> 'output_rejected' group by 1, 2, 3, 4)
-select *, started is not null and ended is null as interrupted from p""",
+    "pair_run_events": f"""{_ROUNDS}, u as (select *, count(*) filter (kind = 'model_end') over (partition by run_id, round order by seq rows between unbounded preceding and 1 preceding) as turn from r),
+b as (select run_id, cast(round as bigint) as round, turn, case when kind like 'tool%' then tool_name end as tool_name, split_part(kind, '_', 1) as family, seq, kind like '%start' as s from u where kind <> 'output_rejected'),
+c as (select *, count(*) filter (s) over o as starts, count(*) filter (not s) over o as ends, coalesce(lag(s) over (partition by run_id, round, turn, tool_name, family order by seq), false) as opened from b window o as (partition by run_id, round, turn, tool_name, family order by seq rows between unbounded preceding and current row)),
+l as (select *, greatest(max(ends - starts) over (partition by run_id, round, turn, tool_name, family order by seq rows between unbounded preceding and current row), 0) as lost from c),
+n as (select *, not s and case when family = 'model' then not opened else lost > coalesce(lag(lost) over (partition by run_id, round, turn, tool_name, family order by seq), 0) end as stray from l),
+k as (select *, case when stray then null when s or family = 'model' then starts else ends - lost end as number, case when stray then seq end as alone from n)
+select run_id, round, turn, tool_name, family, number, min(seq) filter (s) as started, min(seq) filter (not s) as ended, count(*) filter (s) > 0 and count(*) filter (not s) = 0 as interrupted from k group by run_id, round, turn, tool_name, family, number, alone""",
     "classify_errors": f"""{_A} select request_id, model_rank, case when model_rank % 3 = 0 then 'no ' || model_rank else {_TEXTS} end as message, case when model_rank % 3 = 0 then cast(status as string) else '' end as code,
 case when model_rank % 5 = 0 then true when model_rank % 5 = 4 then false else {_RETRYABLE} end as retryable from v_attempts where status <> 200""",
     "classify_stream_errors": f"""{_A}, e as (select request_id, model_rank, model_rank % 2 = 0 as own, case status when 429 then 'throttlingException' when 503 then 'overloaded_error' else 'other' end as error_type from v_attempts)
 select request_id, model_rank, case when own then 0 when error_type = 'throttlingException' then 429 else 500 end as status, case when own then error_type = 'overloaded_error' else true end as retryable, error_type from e""",
-    "resolve_fallback": f"""{_A}, t as (select *, status = 200 or not {_RETRYABLE} or output_tokens = 8 as final from v_attempts),
+    "resolve_fallback": f"""{_A}, t as (select *, status = 200 or not {_RETRYABLE} or output_tokens = 8 or input_tokens % 110 = 0 as final from v_attempts),
 p as (select request_id, coalesce(min(model_rank) filter (final), max(model_rank)) as model_rank from t group by 1)
-select request_id, p.model_rank, status, case when status = 200 then 'answered' else 'failed' end as outcome, p.model_rank - 1 as skipped from p join t using (request_id, model_rank)""",
+select request_id, p.model_rank, status, case when status = 200 then 'answered' when input_tokens % 110 = 0 then 'cancelled' else 'failed' end as outcome, p.model_rank - 1 as skipped from p join t using (request_id, model_rank)""",
     "resolve_retries": f"""{_A}, t as (select *, status = 200 or not {_RETRYABLE} or model_rank >= 4 as final from v_attempts),
 p as (select request_id, coalesce(min(model_rank) filter (final), max(model_rank)) as model_rank from t group by 1)
 select request_id, p.model_rank as attempts, status, cast(500 * (power(2, p.model_rank - 1) - 1) as bigint) as waited_ms, case when status = 200 then null when p.model_rank > 1 then 'model failed after ' || p.model_rank || ' attempts: ' || {_TEXTS} else {_TEXTS} end as error from p join t using (request_id, model_rank)""",
     "backoff_ms": f"{_A} select request_id, model_rank, cast(least(500 * power(2, model_rank - 1), 30000) as bigint) as wait_ms from v_attempts",
-    "classify_stage": f"{_A} select request_id, model_rank, case when status = 503 then null when status = 429 then 'loop' when model_rank % 4 = 0 then 'tool' else 'model' end as stage from v_attempts where status <> 200",
+    "classify_stage": f"{_A}, s as (select request_id, model_rank, status, case when status = 503 then null when status = 429 then 'loop' when model_rank % 4 = 0 then 'tool' else 'model' end as stage from v_attempts where status <> 200) select request_id, model_rank, stage, coalesce(stage || ' stage: ', '') || 'status ' || status as text from s",
     "apply_rejection_budget": f"""{_ROUNDS}, x as (select run_id, seq, tool_name, cast(round as bigint) as round, row_number() over (partition by run_id, round, tool_name order by seq) as rejection, err from r where kind = 'tool_end' and err is not null and err_correctable),
 y as (select *, rejection <= cast(right(tool_name, 1) as int) % 3 as within from x)
 select run_id, seq, tool_name, round, rejection, case when within then 'corrected' else 'failed' end as verdict, case when within then null when rejection > 1 then 'tool failed after ' || rejection || ' attempts: ' || err else err end as error from y""",
@@ -168,6 +175,8 @@ select run_id, seq, tool_name, round, rejection, case when within then 'correcte
 when 1 then 'Your result was rejected: ' || err || '. Correct the arguments and call ' || tool_name || ' again.' else 'Your previous response was rejected: ' || err || '. Correct it and respond again.' end as text from v_run_events where err is not null""",
     "undeclared_calls": f"{_C} select run_id, ord, name, 'tool was not declared for this run' as error from v_calls where name = 'tool_6'",
     "apply_tool_choice": f"{_C} select run_id, ord, name, cast(null as string) as error from v_calls where name = 'tool_2'",
+    "schedule_single_calls": f"""{_C}, e as (select run_id, turn, ord, unnest(['start', 'end']) as event from v_calls)
+select run_id, turn, ord, event, cast(row_number() over (partition by run_id, turn, event order by ord) - 1 as bigint) as grp, row_number() over (partition by run_id, turn order by ord, event desc) - 1 as seq from e""",
     "schedule_tool_groups": f"""{_C}, a as (select run_id, turn, ord, name in ('tool_0', 'tool_3') as alone from v_calls),
 o as (select *, alone or coalesce(lag(alone) over (partition by run_id, turn order by ord), true) as opens from a),
 g as (select run_id, turn, cast(sum(opens::int) over (partition by run_id, turn order by ord) - 1 as bigint) as grp, ord from o),

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalar import call_result_text, canonical_json, command_output, content_text, data_url, is_text_media_type, normalize_args, truncate_bytes
+from chatlake.jobs import live
 from chatlake.jobs.views import messages, with_views
+from chatlake.jobs.wire_queries import ORACLE_SQL as WIRE_ORACLES
+from chatlake.jobs.wire_queries import rendered
 from chatlake.operators import history as H
 from chatlake.operators import rpc as RPC
 from chatlake.operators import streams as S
@@ -67,6 +70,17 @@ def delta_rows_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.anthropic_fragments(SRC.parse_sse(_anthropic(spark, sf_dir))).select("stream_id", "seq", "content", "block", "is_start", "call_id", "call_name", "args", "input_tokens", "output_tokens", "ends", "error")
 
 
+def delta_rows_of(provider: str):
+    """What the streams of one provider forward."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = live.bodies(spark, sf_dir).where(F.col("provider") == provider)
+        payloads = SRC.decode_event_frames(own).withColumn("data", F.coalesce("payload", F.lit(""))) if provider == "bedrock" else SRC.parse_sse(own.select("stream_id", F.col("body").cast("string").alias("body")))
+        return S.delta_rows(payloads, provider)
+
+    return query
+
+
 def assemble_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.assemble_openai(SRC.parse_sse(_openai(spark, sf_dir)))
     call = F.get("tool_calls", F.lit(1))
@@ -234,12 +248,10 @@ def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request bodies through real files: a body a line, rendering errors left out."""
+    """Rendered bodies through real files: a body a line, requests with errors left out."""
     path = shared_folder(spark, "requests")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    body = F.when(F.col("o_orderkey") % 3 > 0, F.to_json(F.struct(F.col("o_orderkey").alias("model"), F.col("o_orderpriority").alias("text"))))
-    M.write_requests(o.select(body.alias("body")), path)
-    return spark.read.text(path).select(F.from_json("value", "struct<model:bigint,text:string>").alias("r")).select("r.model", "r.text")
+    M.write_requests(rendered(spark, sf_dir, "gemini"), path)
+    return spark.read.text(path).select(canonical_json(F.col("value")).alias("body"))
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +269,9 @@ QUERIES = {
     "parse_sse_events": parsed_events,
     "delta_rows": delta_rows,
     "delta_rows_anthropic": delta_rows_anthropic,
+    "forwarded_anthropic": delta_rows_of("anthropic"),
+    "delta_rows_gemini": delta_rows_of("gemini"),
+    "delta_rows_bedrock": delta_rows_of("bedrock"),
     "assemble_openai": assemble_openai,
     "assemble_anthropic": assemble_anthropic,
     "assemble_gemini": assemble_gemini,
@@ -291,6 +306,16 @@ _HTML = f"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace
  '(?is)<(?:"[^"]*"|''[^'']*''|[^>"''])*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
  '[ \\t\\r]*\\n\\s*', chr(10), 'g'), '^\\s+', '', 'g'), '\\s+$', '', 'g')"""
 
+
+
+def _live(provider: str, lines: int) -> str:
+    """The text that the streams of a provider forward; a payload has so many lines."""
+    seq = f"{lines} * k + 1" if lines > 1 else "k"
+    return f"""with s as (select *, cast(ceil(length(text) / 48.0) as bigint) as n, (stream_id // 4) % 4 as kind from (select conv_id * 1000 + turn as stream_id, coalesce(text, '') as text from conversations)
+ where ['openai', 'anthropic', 'gemini', 'bedrock'][stream_id % 4 + 1] = '{provider}'),
+f as (select *, unnest(range(n)) as k from s) select stream_id, cast({seq} as {'int' if lines > 1 else 'bigint'}) as seq, cast(0 as int) as ord, substr(text, 48 * k + 1, 48) as content, cast(null as int) as call_key, cast(null as string) as call_id, cast(null as string) as call_name, cast(null as string) as args from f union all"""
+
+
 ORACLE_SQL = {
     "parse_sse": f"""{_F} select stream_id, cast(4 * k + 2 as int) as seq, substr(text, 16 * k + 1, 16) as content, false as done from f
 union all select stream_id, 4 * n, null, true from t union all select stream_id, 4 * n + 2, 'late', false from t""",
@@ -305,6 +330,9 @@ union all select stream_id, 4 * n + 2, null, 'late', null, null, null, null, nul
 (3, null, false, null, null, null, 11, 1, false, null), (4, null, false, null, null, null, null, 5, false, null), (5, null, false, null, null, null, null, null, true, null), (6, null, false, null, null, null, null, null, false, 'api_error: late'))
 select stream_id, cast(4 * k + 2 as int) as seq, substr(text, 16 * k + 1, 16) as content, cast(null as int) as block, false as is_start, cast(null as string) as call_id, cast(null as string) as call_name, cast(null as string) as args, cast(null as bigint) as input_tokens, cast(null as bigint) as output_tokens, false as ends, cast(null as string) as error from f
 union all select stream_id, 4 * n + 2 * i, null, block, starts, id, name, args, tin, tout, ends, error from t, tail""",
+    "forwarded_anthropic": f"""{_live('anthropic', 3)} select stream_id, cast(3 * (n + i) + 1 as int), 0, null, 0, case when i = 2 then 'c1' end, case when i = 2 then 'look' end, case when i = 2 then '{{"a":' else '1}}' end from s, range(2, 4) t(i) where kind = 3""",
+    "delta_rows_gemini": f"""{_live('gemini', 3)} select stream_id, cast(3 * n + 1 as int), cast(i as int), null, cast(i - 1 as int), 'call-' || i, case when i = 1 then 'look' else 'put' end, case when i = 1 then '{{"a":1}}' else '{{}}' end from s, range(1, 3) t(i) where kind = 3""",
+    "delta_rows_bedrock": f"""{_live('bedrock', 1)} select stream_id, n + i, 0, null, case when i = 1 then 1 else 0 end, case i when 0 then 'c1' when 1 then 'c3' end, case i when 0 then 'look' when 1 then 'put' end, case i when 2 then '{{"a":' when 3 then '1}}' else '' end from s, range(4) t(i) where kind = 3""",
     "assemble_openai": f"""{_T} select stream_id, text as content, case when n > 1 then 2 else 0 end as calls, case when n > 1 then 'c9' end as call_id, case when n > 1 then 'look' end as name, case when n > 1 then '{{"n":1}}' end as args,
 cast(n as bigint) as input_tokens, cast(7 as bigint) as output_tokens, cast(null as string) as error from t""",
     "assemble_anthropic": f"""{_T} select stream_id, text as content, 't1' as call_id, 'look' as name, '{{"a":2}}' as args, cast(11 as bigint) as input_tokens, cast(5 as bigint) as output_tokens, cast(null as string) as error from t""",
@@ -331,7 +359,7 @@ e as (select *, case when role <> 'user' then 'parts belong to user messages onl
 select conv_id, min(pos) as pos, cast(0 as int) as part, arg_min(error, pos) as error from e where error is not null group by conv_id""",
     "data_url": "select doc_id, 'data:text/plain;base64,' || base64(encode(text)) as url from documents",
     "sniff_content_type": """select p_partkey as id, case p_partkey % 7 when 0 then 'image/png' when 1 then 'application/pdf' when 2 then 'application/octet-stream' when 3 then 'text/html; charset=utf-8' when 4 then 'text/plain; charset=utf-8' when 5 then 'image/gif' else 'image/jpeg' end as media_type from part""",
-    "request_files": "select o_orderkey as model, o_orderpriority as text from orders where o_orderkey % 3 > 0",
+    "request_files": f"select body from ({WIRE_ORACLES["render_gemini"]}) where body is not null",
     "text_files": """with f as (select s_nationkey as nation, (case when s_nationkey % 3 = 0 then chr(1) else '' end) || string_agg(s_name, '|' order by s_name) || chr(10) as t from supplier group by s_nationkey)
 select cast(nation as int) as nation, case when nation % 3 = 0 then 'application/octet-stream' else 'text/plain; charset=utf-8' end as media_type, case when nation % 3 = 0 then null when strlen(t) > 100 then substr(t, 1, 100) || chr(10) || chr(10) || '[fileread: file truncated at 100 bytes]' else t end as text, case when nation % 3 = 0 then 'unsupported media type application/octet-stream' end as error from f""",
 }

@@ -7,6 +7,8 @@ exchange, as windows by (conv_id, call id) are satisfied by that partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,36 @@ def trim_errors(messages: DataFrame, most: int) -> DataFrame:
     return lost.select("conv_id", F.format_string("trimming left no messages; history of %d messages has no turn that can open a request", F.col("_n")).alias("error"))
 
 
+def trimmed(most: int) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """``trim_history`` as a processor for ``process_history``."""
+    return lambda messages: (trim_history(messages, most), trim_errors(messages, most))
+
+
+def process_history(messages: DataFrame, *processors: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Runs histories through processors in turn -> the processed messages; conv_id, step, error of those that failed.
+
+    A processor takes messages and returns messages, or those and its errors (conv_id, error). It runs
+    over all histories at once, and before their parts are validated. A history that a processor fails, or
+    leaves without messages where it had some and says nothing, is out of all later steps: no request is
+    made of it. The first error of a step counts. A processor that raises fails the job, as
+    its error is the program's.
+    """
+    failed = None
+    for step, processor in enumerate(processors):
+        made = processor(messages)
+        made, errors = made if isinstance(made, tuple) else (made, None)
+        gone = messages.select("conv_id").distinct().join(made.select("conv_id").distinct(), "conv_id", "left_anti").withColumn("error", F.lit("the history processor left no messages"))
+        told = gone.withColumn("_last", F.lit(1))
+        if errors is not None:
+            told = told.unionByName(errors.select("conv_id", "error").withColumn("_last", F.lit(0)))
+        told = told.groupBy("conv_id").agg(F.min(F.struct("_last", "error"))["error"].alias("error")).select("conv_id", F.lit(step).alias("step"), F.concat(F.lit("history processor: "), "error").alias("error"))
+        messages = made.join(told.select("conv_id"), "conv_id", "left_anti").select(*made.columns)
+        failed = told if failed is None else failed.unionByName(told)
+    if failed is None:
+        failed = messages.select("conv_id", F.lit(0).alias("step"), F.lit("").alias("error")).limit(0)
+    return messages, failed
+
+
 def validate_parts(messages: DataFrame) -> DataFrame:
     """conv_id, pos, part, error: each conversation's first bad part."""
     parts = messages.select("conv_id", "pos", "role", F.posexplode("parts").alias("part", "p"))

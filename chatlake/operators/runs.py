@@ -87,12 +87,28 @@ def check_usage_limits(events: DataFrame, limits: dict[str, int]) -> DataFrame:
     return first.select("run_id", "f.round", F.col("f.hit.kind").alias("crossed_kind"), F.col("f.hit.limit").alias("limit"), F.col("f.hit.actual").alias("actual"))
 
 
-def pair_run_events(events: DataFrame, key: list[str]) -> DataFrame:
-    """key, family, started, ended, interrupted: the brackets of model attempts and tool calls."""
+def pair_run_events(events: DataFrame, key: tuple[str, ...] = ("run_id", "round", "turn"), call: tuple[str, ...] = ("tool_name",)) -> DataFrame:
+    """key, call, family, number, started, ended, interrupted: the brackets of model attempts and tool calls.
+
+    Model attempts follow one another within ``key``, so an end belongs to the start just before it, and a
+    start that the next start follows was interrupted: ``number`` is the attempt. Calls may overlap; of
+    those that ``key`` and ``call`` (null for attempts) don't tell apart, the first end belongs to
+    the first start that is open. Ends without a start have rows of their own and no number.
+    """
     family = F.regexp_extract("kind", "^(model|tool)_(?:start|end)$", 1)
     rows = events.withColumn("family", family).where("family != ''")
-    paired = rows.groupBy(*key, "family").agg(F.min(F.when(F.col("kind").endswith("_start"), F.col("seq"))).alias("started"), F.min(F.when(F.col("kind").endswith("_end"), F.col("seq"))).alias("ended"))
-    return paired.withColumn("interrupted", F.col("started").isNotNull() & F.col("ended").isNull())
+    rows = rows.withColumns({c: F.when(F.col("family") == "tool", F.col(c)) for c in call}).withColumn("_start", F.col("kind").endswith("_start"))
+    keys = [*key, *call, "family"]
+    own = Window.partitionBy(*keys).orderBy("seq")
+    before = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"_starts": F.count_if(F.col("_start")).over(before), "_ends": F.count_if(~F.col("_start")).over(before), "_opened": F.coalesce(F.lag("_start").over(own), F.lit(False))})
+    # ends without a start, so far: how far the ends have ever been ahead of the starts
+    rows = rows.withColumn("_lost", F.greatest(F.max(F.col("_ends") - F.col("_starts")).over(before), F.lit(0)))
+    rows = rows.withColumn("_stray", ~F.col("_start") & F.when(F.col("family") == "model", ~F.col("_opened")).otherwise(F.col("_lost") > F.coalesce(F.lag("_lost").over(own), F.lit(0))))
+    number = F.when(F.col("_stray"), F.lit(None)).when(F.col("_start") | (F.col("family") == "model"), F.col("_starts")).otherwise(F.col("_ends") - F.col("_lost"))
+    rows = rows.withColumns({"number": number, "_alone": F.when(F.col("_stray"), F.col("seq"))})
+    paired = rows.groupBy(*keys, "number", "_alone").agg(F.min(F.when(F.col("_start"), F.col("seq"))).alias("started"), F.min(F.when(~F.col("_start"), F.col("seq"))).alias("ended"))
+    return paired.withColumn("interrupted", F.col("started").isNotNull() & F.col("ended").isNull()).drop("_alone")
 
 
 def classify_errors(attempts: DataFrame) -> DataFrame:
@@ -127,17 +143,20 @@ def classify_stream_errors(frames: DataFrame) -> DataFrame:
 def resolve_fallback(attempts: DataFrame) -> DataFrame:
     """request_id, model_rank, status, outcome, skipped: the first success or final failure, else the last failure.
 
-    A failure ends the search if it isn't retryable or if a fragment was already emitted. Failures
-    passed over are counted, not reported.
+    A failure ends the search if it isn't retryable, if a fragment was already emitted, or if the caller
+    had cancelled by then (``cancelled``, where that column is there; the outcome then). Failures passed
+    over are counted, not reported.
     """
     ok = F.col("status") == 200
-    final = ok | ~is_retryable(F.col("status")) | F.coalesce("emitted", F.lit(False))
+    stopped = F.coalesce("cancelled", F.lit(False)) & ~ok if "cancelled" in attempts.columns else F.lit(False)
+    attempts = attempts.withColumn("_stopped", stopped)
+    final = ok | ~is_retryable(F.col("status")) | F.coalesce("emitted", F.lit(False)) | F.col("_stopped")
     picked = attempts.groupBy("request_id").agg(
-        F.min_by(F.struct("model_rank", "status"), F.when(final, F.col("model_rank"))).alias("first"), F.max_by(F.struct("model_rank", "status"), "model_rank").alias("last"), F.min("model_rank").alias("lowest")
+        F.min_by(F.struct("model_rank", "status", "_stopped"), F.when(final, F.col("model_rank"))).alias("first"), F.max_by(F.struct("model_rank", "status", "_stopped"), "model_rank").alias("last"), F.min("model_rank").alias("lowest")
     )
     chosen = F.coalesce("first", "last")
-    out = picked.select("request_id", chosen["model_rank"].alias("model_rank"), chosen["status"].alias("status"), "lowest")
-    return out.select("request_id", "model_rank", "status", F.when(F.col("status") == 200, "answered").otherwise("failed").alias("outcome"), (F.col("model_rank") - F.col("lowest")).alias("skipped"))
+    out = picked.select("request_id", chosen["model_rank"].alias("model_rank"), chosen["status"].alias("status"), chosen["_stopped"].alias("stopped"), "lowest")
+    return out.select("request_id", "model_rank", "status", F.when(F.col("status") == 200, "answered").when(F.col("stopped"), "cancelled").otherwise("failed").alias("outcome"), (F.col("model_rank") - F.col("lowest")).alias("skipped"))
 
 
 def resolve_retries(attempts: DataFrame, most: int) -> DataFrame:

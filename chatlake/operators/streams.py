@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.functions.json_text import is_json
 from chatlake.functions.scalar import normalize_args
 
 DONE = "[DONE]"
@@ -121,7 +122,7 @@ def response_parts(payloads: DataFrame, provider: str | None = None) -> DataFram
 
     Without a provider the column of that name says how each payload is read; one pass serves all.
     """
-    read = payloads.withColumns({"_as": F.lit(provider) if provider else F.coalesce(F.create_map(*(F.lit(x) for pair in _LIKE.items() for x in pair))[F.col("provider")], F.col("provider")), "_bad": F.try_parse_json("data").isNull()})
+    read = payloads.withColumns({"_as": F.lit(provider) if provider else F.coalesce(F.create_map(*(F.lit(x) for pair in _LIKE.items() for x in pair))[F.col("provider")], F.col("provider")), "_bad": ~is_json(F.col("data"))})
     kinds = [_LIKE.get(provider, provider)] if provider else list(_SCHEMAS)
     read = read.withColumns({f"_{k}": F.from_json(F.when(F.col("_as") == k, F.col("data")), _SCHEMAS[k]) for k in kinds})
     data, bad = F.col("data"), F.col("_bad")
@@ -249,8 +250,9 @@ def assemble_openai(payloads: DataFrame) -> DataFrame:
 
 def assemble_anthropic(payloads: DataFrame) -> DataFrame:
     out = assemble(numbered(anthropic_fragments(payloads)))
-    bad = F.exists("tool_calls", lambda c: F.try_parse_json(c["args"]).isNull())
-    return out.withColumn("error", F.coalesce("error", F.when(bad, "a tool's input is not valid JSON")))
+    bad = F.exists("tool_calls", lambda c: ~is_json(c["args"]))
+    out = out.withColumn("error", F.coalesce("error", F.when(bad, "a tool's input is not valid JSON")))
+    return out.select("stream_id", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("content", "tool_calls", "input_tokens", "output_tokens")), "error")
 
 
 def assemble_gemini(payloads: DataFrame) -> DataFrame:

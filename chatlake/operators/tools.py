@@ -88,15 +88,15 @@ def apply_rejection_budget(events: DataFrame, catalog: DataFrame, default: int =
     return rows.select("run_id", "seq", "tool_name", "round", "rejection", F.when(within, "corrected").otherwise("failed").alias("verdict"), error.alias("error"))
 
 
-def schedule_tool_groups(calls: DataFrame, catalog: DataFrame) -> DataFrame:
+def schedule_tool_groups(calls: DataFrame, catalog: DataFrame, parallel: bool = True) -> DataFrame:
     """run_id, turn, grp, seq, ord, event: the order in which calls start and end.
 
     Calls run together up to a tool that must run alone; a group starts all of its calls before it
-    ends them, in the order in which they were made.
+    ends them, in the order in which they were made. Without ``parallel`` each call is its own group.
     """
     own = Window.partitionBy("run_id", "turn").orderBy("ord")
     rows = calls.join(catalog.select("name", F.coalesce("sequential", F.lit(False)).alias("alone")), "name", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
-    opens = F.col("alone") | F.coalesce(F.lag("alone").over(own), F.lit(True))
+    opens = F.lit(not parallel) | F.col("alone") | F.coalesce(F.lag("alone").over(own), F.lit(True))
     rows = rows.withColumn("_opens", opens.cast("int")).withColumn("grp", F.sum("_opens").over(own) - 1)
     events = rows.select("run_id", "turn", "grp", "ord", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("event"))
     order = Window.partitionBy("run_id", "turn").orderBy("grp", F.col("event").desc(), "ord")

@@ -52,6 +52,19 @@ def write_requests(bodies: DataFrame, path: str) -> None:
     bodies.where("body is not null").select("body").write.text(path)
 
 
+def write_ordered(rows: DataFrame, path: str, order: tuple[str, ...] = ("conv_id", "pos"), file_bytes: int = 128 << 20) -> None:
+    """Writes Parquet files that ascend by ``order``, across files and within them, near ``file_bytes`` of row data each.
+
+    One pass measures the rows; ranges of their keys are dealt to as many files and sorted there, so no
+    task sees more than its range, and readers that filter by the first column skip files and row
+    groups by their statistics. A key with more rows than a file holds makes one larger file; ``order``
+    should tell rows apart.
+    """
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))).alias("n")).first()["n"] or 0
+    dealt = rows.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
+    dealt.write.parquet(path)
+
+
 def read_text_files(spark: SparkSession, root: str, most: int = 1 << 20) -> DataFrame:
     """path, media_type, text, error: files below a folder; binary ones are refused by their first bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -30,34 +30,43 @@ SMALLEST, LARGEST = 16, 16 << 20
 _WIDTHS = {0: 0, 1: 0, 2: 1, 3: 2, 4: 4, 5: 8, 8: 8, 9: 16}
 
 
+def next_frame(body: bytes, at: int) -> tuple[int, dict[str, str] | None, str | None, str | None] | None:
+    """(its end, headers, payload, error) of the frame that begins at a place; None if it isn't whole yet."""
+    if len(body) - at < 12:
+        return None
+    total, head = struct.unpack_from(">II", body, at)
+    if not SMALLEST <= total <= LARGEST or head > total - SMALLEST:
+        return at, None, None, "the frame's length is out of bounds"
+    if zlib.crc32(body[at : at + 8]) != struct.unpack_from(">I", body, at + 8)[0]:
+        return at, None, None, "the frame's start doesn't match its checksum"
+    if len(body) - at < total:
+        return None
+    inner = body[at + 12 : at + total - 4]
+    if zlib.crc32(inner, zlib.crc32(body[at : at + 8])) != struct.unpack_from(">I", body, at + total - 4)[0]:
+        return at, None, None, "the frame doesn't match its checksum"
+    try:
+        return at + total, _headers(inner[:head]), inner[head:].decode("utf-8", "replace"), None
+    except (IndexError, KeyError, struct.error):
+        return at, None, None, "a header can't be read"
+
+
+def cut_off(rest: bytes) -> str:
+    """What is wrong with a body that ends in part of a frame."""
+    return "the frame's start is cut off" if len(rest) < 12 else "the frame is cut off"
+
+
 def frames(body: bytes) -> Iterator[tuple[dict[str, str] | None, str | None, str | None]]:
     """(headers, payload, error) of each frame, up to the first bad one."""
     at = 0
     while at < len(body):
-        if len(body) - at < 12:
-            yield None, None, "the frame's start is cut off"
-            return
-        total, head = struct.unpack_from(">II", body, at)
-        if not SMALLEST <= total <= LARGEST or head > total - SMALLEST:
-            yield None, None, "the frame's length is out of bounds"
-            return
-        if zlib.crc32(body[at : at + 8]) != struct.unpack_from(">I", body, at + 8)[0]:
-            yield None, None, "the frame's start doesn't match its checksum"
-            return
-        if len(body) - at < total:
-            yield None, None, "the frame is cut off"
-            return
-        inner = body[at + 12 : at + total - 4]
-        if zlib.crc32(inner, zlib.crc32(body[at : at + 8])) != struct.unpack_from(">I", body, at + total - 4)[0]:
-            yield None, None, "the frame doesn't match its checksum"
+        found = next_frame(body, at)
+        if found is None:
+            yield None, None, cut_off(body[at:])
             return
-        try:
-            headers = _headers(inner[:head])
-        except (IndexError, KeyError, struct.error):
-            yield None, None, "a header can't be read"
+        at, headers, payload, error = found
+        yield headers, payload, error
+        if error:
             return
-        yield headers, inner[head:].decode("utf-8", "replace"), None
-        at += total
 
 
 def _headers(block: bytes) -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Structured Streaming over fragments and run events: projection, assembly, metering, limits, deduplication.
+"""Structured Streaming over run events: metering, deduplication, limits.
 
 Each function takes a streaming (or batch) DataFrame and returns one; sources and sinks are the
 caller's. Event time is ``ts`` (TIMESTAMP); rows later than the watermark are dropped.
@@ -7,31 +7,15 @@ caller's. Event time is ``ts`` (TIMESTAMP); rows later than the watermark are dr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from chatlake.operators.runs import LIMITS
-
-
-def stream_deltas(lines: DataFrame) -> DataFrame:
-    """stream_id, seq, ts, line -> stream_id, seq, ts, content, ends: the fragments as lines arrive."""
-    data = F.btrim(F.substring("line", 6, 1 << 30), F.lit(" \t\r"))
-    rows = lines.where(F.startswith("line", F.lit("data:"))).withColumn("data", data)
-    parsed = F.from_json("data", "struct<choices:array<struct<delta:struct<content:string>>>>")
-    return rows.select("stream_id", "seq", "ts", F.get(parsed["choices"], F.lit(0))["delta"]["content"].alias("content"), (F.col("data") == "[DONE]").alias("ends"))
-
-
-def assemble_stream(deltas: DataFrame, gap: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """stream_id, started, content, truncated: a response is closed by silence; one without its end is truncated."""
-    grouped = deltas.withWatermark("ts", watermark).groupBy("stream_id", F.session_window("ts", gap).alias("w"))
-    pieces = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("v"), F.coalesce("ends", F.lit(False)).alias("ends"))))
-    whole = grouped.agg(pieces.alias("p"))
-    end = F.array_min(F.transform(F.filter("p", lambda x: x["ends"]), lambda x: x["seq"]))
-    kept = F.filter("p", lambda x: F.col("_end").isNull() | (x["seq"] <= F.col("_end")))
-    return whole.withColumn("_end", end).select("stream_id", F.col("w.start").alias("started"), F.array_join(F.transform(kept, lambda x: x["v"]), "").alias("content"), F.col("_end").isNull().alias("truncated"))
+from chatlake.streaming.responses import Silent, rows_of
 
 
 def usage_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -51,48 +35,69 @@ def dedup_events(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run_id", "seq"])
 
 
-_STATE = "input_tokens long, output_tokens long, requests long, tool_calls long, crossed boolean, open_input long, open_output long, open_requests long, open_calls long, round long"
-_OUT = "run_id long, round long, crossed_kind string, `limit` long, actual long"
+_COUNTED = ("input_tokens", "output_tokens", "requests", "tool_calls")
+_KINDS = ("model_start", "model_end", "tool_start", "tool_end", "output_rejected")
 
 
-def usage_guard(events: DataFrame, limits: dict[str, int], idle_ms: int = 3_600_000, watermark: str = "1 hour") -> DataFrame:
-    """run_id, round, crossed_kind, limit, actual: each run's first crossing, once, as it happens.
+class _Guard(Silent):
+    """State of a run: totals of its finished rounds and of the open one, and whether it has crossed a limit."""
 
-    Totals are compared when a round ends (at output_rejected); a run whose last event lies
-    ``idle_ms`` behind the watermark is closed with its last round and its state evicted.
-    """
+    def __init__(self, gap_ms: int, limits: dict[str, int]):
+        self.gap_ms, self.limits = gap_ms, limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", f"{', '.join(f'{c} bigint, open_{c} bigint' for c in _COUNTED)}, round bigint, crossed boolean, timer bigint")
 
-    def check(key: tuple, totals: list[int], round_: int) -> pd.DataFrame | None:
-        values = dict(zip(("input_tokens", "output_tokens", "requests", "tool_calls"), totals, strict=True))
-        values["total_tokens"] = values["input_tokens"] + values["output_tokens"]
-        for name in LIMITS:
-            if 0 < limits.get(name, 0) < values[name]:
-                return pd.DataFrame({"run_id": [key[0]], "round": [round_], "crossed_kind": [name], "limit": [limits[name]], "actual": [values[name]]})
-        return None
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else [0, 0, 0, 0, False, 0, 0, 0, 0, 0]
-        if state.hasTimedOut:
-            if not now[4] and (hit := check(key, [a + b for a, b in zip(now[:4], now[5:9], strict=True)], now[9])) is not None:
-                yield hit
-            state.remove()
+    def _ended(self, key: tuple, now: dict) -> pd.DataFrame | None:
+        """Adds the open round to the totals; the crossing, if this round is the first to cross a limit."""
+        for c in _COUNTED:
+            now[c] += now[f"open_{c}"]
+            now[f"open_{c}"] = 0
+        totals = {**now, "total_tokens": now["input_tokens"] + now["output_tokens"]}
+        hit = next((c for c in LIMITS if 0 < self.limits.get(c, 0) < totals[c]), None)
+        if now["crossed"] or hit is None:
+            return None
+        now["crossed"] = True
+        return pd.DataFrame({"run_id": [key[0]], "round": [now["round"]], "crossed_kind": [hit], "limit": [self.limits[hit]], "actual": [totals[hit]]})
+
+    def _fields(self) -> list[str]:
+        return [x for c in _COUNTED for x in (c, f"open_{c}")] + ["round", "crossed", "timer"]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = rows_of(rows, ["seq"])
+        batch = batch[batch["kind"].isin(_KINDS)]
+        if not len(batch):
             return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for kind, a, b in zip(rows["kind"], rows["input_tokens"], rows["output_tokens"], strict=True):
+        fields = self._fields()
+        now = dict(zip(fields, self.head.get() if self.head.exists() else [0] * 9 + [False, None], strict=True))
+        for kind, a, b in zip(batch["kind"], batch["input_tokens"], batch["output_tokens"], strict=True):
             if kind == "model_end":
-                now[5] += int(a)
-                now[6] += int(b)
-            now[7] += kind == "model_start"
-            now[8] += kind == "tool_start"
+                now["open_input_tokens"] += int(a)
+                now["open_output_tokens"] += int(b)
+            now["open_requests"] += kind == "model_start"
+            now["open_tool_calls"] += kind == "tool_start"
             if kind == "output_rejected":
-                now[:4] = [x + y for x, y in zip(now[:4], now[5:9], strict=True)]
-                now[5:9] = [0, 0, 0, 0]
-                if not now[4] and (hit := check(key, now[:4], now[9])) is not None:
-                    now[4] = True
+                if (hit := self._ended(key, now)) is not None:
                     yield hit
-                now[9] += 1
-        state.update(tuple(now))
-        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+                now["round"] += 1
+        now["timer"] = self.moved(now["timer"], max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()))
+        self.head.update(tuple(now[f] for f in fields))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = dict(zip(self._fields(), self.head.get(), strict=True))
+        if (hit := self._ended(key, now)) is not None:
+            yield hit
+        self.head.clear()
+
 
+def usage_guard(events: DataFrame, limits: dict[str, int], idle_ms: int = 3_600_000, watermark: str = "1 hour") -> DataFrame:
+    """run_id, round, crossed_kind, limit, actual: each run's first crossing, once, as it happens.
+
+    Totals are compared when a round ends: at output_rejected, and for a run's last round when the
+    watermark passes its last event by ``idle_ms``; then the run's state goes. Events of other kinds
+    move time on. Needs the RocksDB state store.
+    """
+    kind = dict(events.dtypes)["run_id"]
     slim = events.withWatermark("ts", watermark).select("run_id", "seq", "kind", "ts", F.unix_millis("ts").alias("ms"), F.coalesce("input_tokens", F.lit(0)).cast("bigint").alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).cast("bigint").alias("output_tokens"))
-    return slim.groupBy("run_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy("run_id").transformWithStateInPandas(_Guard(idle_ms, limits), f"run_id {kind}, round bigint, crossed_kind string, `limit` bigint, actual bigint", "Append", "EventTime")

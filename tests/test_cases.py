@@ -175,3 +175,87 @@ def test_one_scan_and_no_single_partition(spark):
     assert "Window" not in plan(T.apply_tool_choice(catalog, "x"))
     assert [(r.name, r.error) for r in T.apply_tool_choice(spark.createDataFrame([("b", "{}"), ("a", "{}")], "name string, schema string"), "x").collect()] == [("a", "tool x isn't registered")]
     assert T.apply_tool_choice(spark.createDataFrame([], "name string, schema string"), "x").count() == 0
+
+
+def _brackets(spark, rows):
+    df = spark.createDataFrame([(1, 0, 0, seq, kind, name) for seq, (kind, name) in enumerate(rows)], "run_id long, round int, turn int, seq long, kind string, tool_name string")
+    return sorted(((r.family, r.tool_name, r.number or 0, r.started, r.ended, r.interrupted) for r in R.pair_run_events(df).collect()), key=str)
+
+
+def test_brackets_of_repeated_attempts_and_calls(spark):
+    retried = [("model_start", None), ("model_end", None), ("model_start", "x"), ("model_end", "y")]
+    assert _brackets(spark, retried) == [("model", None, 1, 0, 1, False), ("model", None, 2, 2, 3, False)]
+    broken = [("model_start", None), ("model_start", None), ("model_end", None), ("model_end", None)]
+    assert {b[2:] for b in _brackets(spark, broken)} == {(0, None, 3, False), (1, 0, None, True), (2, 1, 2, False)}
+    pair = [("tool_start", "a"), ("tool_start", "b"), ("tool_start", "a"), ("tool_end", "a"), ("tool_end", "b"), ("tool_end", "a"), ("tool_start", "a")]
+    assert _brackets(spark, pair) == [("tool", "a", 1, 0, 3, False), ("tool", "a", 2, 2, 5, False), ("tool", "a", 3, 6, None, True), ("tool", "b", 1, 1, 4, False)]
+    stray = [("tool_end", "a"), ("tool_start", "a"), ("tool_end", "a"), ("tool_end", "a")]
+    got = {(r[2], r[3], r[4]) for r in _brackets(spark, stray)}
+    assert got == {(0, None, 0), (1, 1, 2), (0, None, 3)}
+
+
+def test_cancellation_ends_a_fallback(spark):
+    rows = [(1, 1, 503, False), (1, 2, 503, True), (1, 3, 200, False), (2, 1, 503, False), (2, 2, 200, True), (3, 1, 400, True)]
+    got = R.resolve_fallback(spark.createDataFrame([(*r, False) for r in rows], "request_id long, model_rank int, status int, cancelled boolean, emitted boolean"))
+    assert sorted((r.request_id, r.model_rank, r.outcome) for r in got.collect()) == [(1, 2, "cancelled"), (2, 2, "answered"), (3, 1, "cancelled")]
+
+
+def test_history_processors_run_before_validation_and_fail_alone(spark):
+    rows = [(1, 0, "assistant", "old", [("image", "u", None, None)], None, None, None), (1, 1, "user", "keep", None, None, None, None), (2, 0, "tool", "x", None, None, "a", None), (2, 1, "tool", "y", None, None, "b", None), (3, 0, "user", "z", None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def compress(messages):
+        return messages.where("content <> 'z'")
+
+    kept, failed = H.process_history(df, H.trimmed(1), compress)
+    assert [(r.conv_id, r.content) for r in kept.collect()] == [(1, "keep")] and H.validate_parts(kept).count() == 0
+    assert sorted((r.conv_id, r.step, r.error) for r in failed.collect()) == [(2, 0, "history processor: trimming left no messages; history of 2 messages has no turn that can open a request"), (3, 1, "history processor: the history processor left no messages")]
+    same, none = H.process_history(df)
+    assert same.count() == 5 and none.count() == 0
+    assert H.build_requests(kept, spark.createDataFrame([(1, "next")], "conv_id long, content string")).count() == 2
+
+
+def test_ordered_files_ascend_and_are_skipped(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(40_000).select((F.col("id") * 7919 % 500).alias("conv_id"), F.col("id").alias("pos"), F.repeat(F.lit("x"), 50).alias("content"))
+    M.write_ordered(rows, f"{tmp_path}/o", file_bytes=200 << 10)
+    files = sorted(f for f in tmp_path.joinpath("o").iterdir() if f.suffix == ".parquet")
+    ranges = []
+    for f in files:
+        own = [(r["conv_id"], r["pos"]) for r in pq.read_table(f, columns=["conv_id", "pos"]).to_pylist()]
+        assert own == sorted(own)
+        ranges.append((own[0], own[-1]))
+    assert len(files) > 10 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and max(f.stat().st_size for f in files) < 400 << 10
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = spark.read.parquet(f"{tmp_path}/o").where("conv_id = 77")
+        assert one.count() == 80
+        frame = one.select("pos")
+        plan = frame._jdf.queryExecution().executedPlan()
+        frame._jdf.collectToPython()
+        leaf = plan.collectLeaves().apply(0)
+        assert leaf.metrics().apply("numOutputRows").value() < 10_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_deltas_carry_a_call_s_identity_once(spark):
+    data = ['{"type":"content_block_start","index":2,"content_block":{"type":"tool_use","id":"c","name":"n"}}', '{"type":"content_block_delta","index":2,"delta":{"type":"input_json_delta","partial_json":"{"}}', '{"type":"content_block_delta","index":2,"delta":{"type":"input_json_delta","partial_json":"}"}}']
+    rows = ST.delta_rows(spark.createDataFrame([(1, i, d) for i, d in enumerate(data)], "stream_id long, seq int, data string"), "anthropic").orderBy("seq").collect()
+    assert [(r.seq, r.call_key, r.call_id, r.call_name, r.args) for r in rows] == [(1, 0, "c", "n", "{"), (2, 0, None, None, "}")]
+    several = '{"candidates":[{"content":{"parts":[{"text":"a"},{"functionCall":{"name":"f"}},{"text":"b"}]}}]}'
+    rows = ST.delta_rows(spark.createDataFrame([(1, 0, several)], "stream_id long, seq int, data string"), "gemini").orderBy("ord").collect()
+    assert [(r.content, r.call_id, r.args) for r in rows] == [("b", None, None), (None, "call-1", "{}")]
+    assert ST.assemble_gemini(spark.createDataFrame([(1, 0, several)], "stream_id long, seq int, data string")).first().content == "ab"
+
+
+def test_a_stream_is_parsed_once_and_dealt_out_once(spark):
+    import contextlib
+    import io
+
+    df = ST.assemble_openai(SRC.parse_sse(spark.read.parquet(f"{SF}/conversations.parquet").select(F.col("conv_id").alias("stream_id"), F.col("text").alias("body"))))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    plan = out.getvalue()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
