@@ -1,9 +1,10 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, natively.
 
 Every document becomes a vector of transformed statistics. Per language and source, concentration
-steps look for the ``H`` of documents whose covariance has the least determinant: starting from
-medians and median deviations, each step takes the documents nearest by Mahalanobis distance and
-computes the centre and covariance of those. Documents far from the last estimate are rejected.
+steps look for the ``H`` of documents whose covariance has the least determinant: each step takes the
+documents nearest by Mahalanobis distance and computes the centre and covariance of those, until
+no determinant falls any more. There are two starts, medians with median deviations and plain means
+with covariances; the smaller determinant counts. Documents far from that estimate are rejected.
 A source with fewer than ``LEAST`` documents of a language is judged by the estimate over all
 documents of its language; languages with fewer than ``LEAST`` in all are judged together by one
 estimate over their documents, however few. Only documents that pass the base rules count.
@@ -19,22 +20,48 @@ groups of their own; equal and repeated rows are all counted; an empty table giv
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import SPACES, let, materialise, read, words
 
 SYMBOLS = "[#*$%&|<>]"
-#: Share of a group that the estimate rests on, concentration steps, and the documents that a source or language needs for its own.
-H, STEPS, LEAST = 0.75, 4, 40
-#: Squared distance beyond which a document is an outlier.
-CUTOFF = 60.0
+#: Share of a group that the estimate rests on, and the documents that a source or language needs for its own.
+H, LEAST = 0.75, 40
+#: Steps stop once no logarithm of a determinant falls by more than the one; so many suffice by far.
+SETTLED, STEPS = 1e-4, 60
+#: Share of normal vectors that would be taken for outliers.
+TAIL = 4e-8
 #: Smallest standard deviation of each feature, so that a constant one doesn't reject its first exception.
 FLOORS = (0.08, 0.15, 0.5, 0.5)
 FEATURES = ("x0", "x1", "x2", "x3")
 P = len(FEATURES)
 
 
+def _beyond(x: float, degrees: int) -> float:
+    """The chi-squared tail beyond x, for an even number of degrees of freedom."""
+    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def _quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 2000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _beyond(middle, degrees) > tail else (low, middle)
+    return low
+
+
+def cutoff_of(tail: float = TAIL, h: float = H) -> float:
+    """The squared distance that a share ``tail`` of normal vectors exceeds.
+
+    The covariance of the nearest ``h`` of normal vectors is too small by a known factor, which
+    widens the distances; the cut-off is widened by the same.
+    """
+    return _quantile(tail, P) * h / (1 - _beyond(_quantile(1 - h, P), P + 2))
+
+
 def _repeated(w: Column) -> Column:
     """Words in windows of three that occur twice or more: the union of those windows' positions."""
     n = F.size(w)
@@ -142,29 +169,53 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return _cholesky(sums.select("grp", "n", *(f"m{i}" for i in range(P)), *((F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in _pairs())))
 
 
-def mcd(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
+def _log_determinant() -> Column:
+    out = F.log(F.col("l00"))
+    for i in range(1, P):
+        out = out + F.log(F.col(f"l{i}{i}"))
+    return 2 * out
+
+
+def mcd(rows: DataFrame, h: float = H, steps: int = STEPS, settled: float = SETTLED) -> DataFrame:
     """grp, x* -> grp, n (the whole group's), m*, l*: the estimate of each group."""
     medians = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(FEATURES)))
     centred = rows.alias("r").join(medians.alias("e"), F.col("r.grp").eqNullSafe(F.col("e.grp"))).select("r.grp", "e.n", *(f"m{i}" for i in range(P)), *(F.round(F.abs(F.col(x) - F.col(f"m{i}")), 3).alias(x) for i, x in enumerate(FEATURES)))
     spread = centred.groupBy("grp", "n", *(f"m{i}" for i in range(P))).agg(*(((1.4826 * F.percentile(x, F.lit(0.5))) ** 2).alias(f"c{i}{i}") for i, x in enumerate(FEATURES)))
-    start = spread.select("*", *(F.lit(0.0).alias(f"c{i}{j}") for i, j in _pairs() if i != j))
-    estimate = materialise(_cholesky(start), "mcd-estimate")
-    totals = estimate.select("grp", F.col("n").alias("all"))
+    start = _cholesky(spread.select("*", *(F.lit(0.0).alias(f"c{i}{j}") for i, j in _pairs() if i != j)))
+    # each start is a group of its own
+    named = lambda df, i: df.withColumn("grp", F.struct(F.lit(i).alias("start"), F.col("grp").alias("of")))
+    plain = _estimate(rows)
+    estimate = materialise(named(start, 0).unionByName(named(plain, 1)).withColumn("log_det", F.lit(float("inf"))), "mcd-estimate")
+    totals = estimate.where("grp.start = 0").select(F.col("grp.of").alias("grp"), F.col("n").alias("all"))
+    twice = rows.withColumn("grp", F.explode(F.array(*(F.struct(F.lit(i).alias("start"), F.col("grp").alias("of")) for i in range(2)))))
     for _ in range(steps):
-        measured = _measured(rows, estimate).withColumn("ring", F.floor(F.log(F.col("d2") + 1e-6) * 200))
+        measured = _measured(twice, estimate.drop("log_det")).withColumn("ring", F.floor(F.log(F.col("d2") + 1e-6) * 200))
         bound = measured.groupBy("grp").agg(F.percentile("ring", F.lit(h)).alias("bound"))
         near = measured.alias("a").join(bound.alias("b"), F.col("a.grp").eqNullSafe(F.col("b.grp"))).where(F.col("ring") <= F.col("bound")).select("a.grp", *FEATURES)
-        estimate = materialise(_estimate(near), "mcd-estimate")
-    return estimate.alias("e").join(totals.alias("t"), F.col("e.grp").eqNullSafe(F.col("t.grp"))).select("e.grp", F.col("all").alias("n"), *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in _pairs()))
-
-
-def judge(docs: DataFrame, keys: list[str], cutoff: float = CUTOFF) -> DataFrame:
-    """The key columns and statistics of every document, d2 (squared distance) and kept."""
+        before, after = estimate.alias("a"), _estimate(near).withColumn("log_det", _log_determinant()).alias("b")
+        # a step that doesn't lessen the determinant is not taken
+        better = F.col("b.log_det") < F.col("a.log_det") - settled
+        chosen = before.join(after, F.col("a.grp").eqNullSafe(F.col("b.grp"))).select("a.grp", better.alias("better"), *(F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in estimate.columns if c != "grp"))
+        stepped = materialise(chosen, "mcd-estimate")
+        estimate = stepped.drop("better")
+        if stepped.where("better").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"the estimates didn't settle in {steps} steps")
+    best = estimate.groupBy("grp.of").agg(F.min_by(F.struct(*(c for c in estimate.columns if c != "grp")), F.struct("log_det", "grp.start")).alias("best")).select(F.col("of").alias("grp"), "best.*")
+    return best.alias("e").join(totals.alias("t"), F.col("e.grp").eqNullSafe(F.col("t.grp"))).select("e.grp", F.col("all").alias("n"), *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in _pairs()))
+
+
+def judge(docs: DataFrame, keys: list[str], cutoff: float | None = None) -> DataFrame:
+    """The key columns and statistics of every document, d2 (squared distance) and kept.
+
+    ``cutoff``: the largest squared distance that is kept; by default that of ``cutoff_of()``.
+    """
     stats = materialise(statistics(docs, list(dict.fromkeys([*keys, "lang", "source"]))), "statistics")
     rows = materialise(_grouped(stats), "vectors")
     estimate = mcd(rows.where(~F.col("base_failed")).select(F.explode("grps").alias("grp"), *FEATURES))
     measured = _measured(rows.drop("grps"), estimate)
-    return measured.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce(F.col("d2"), F.lit(0.0)) > cutoff))
+    return measured.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce(F.col("d2"), F.lit(0.0)) > (cutoff_of() if cutoff is None else cutoff)))
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
