@@ -78,3 +78,23 @@ def test_hot_source_nulls_and_ties(spark):
         assert abs(taken - want) <= 3
     assert {r.copies for r in out if r.source == "empty"} == {1}
     assert mixture.mix(df.limit(0)).count() == 0
+
+
+def test_op8_whole_query(spark):
+    """Every document once; taken in whole copies, at most two; each source within its reported gap of its target."""
+    from chatlake.llm.mixture import op8_mixture
+    from tests.conftest import SF
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op8_mixture(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    by_source: dict = {}
+    for r in rows:
+        size = len(docs[r.doc_id].text.encode().split())
+        assert r.size == size and r.taken in (0, size, 2 * size)
+        by_source.setdefault(docs[r.doc_id].source, []).append(r)
+    for own in by_source.values():
+        assert {r.source_size for r in own} == {sum(r.size for r in own)} and len({(r.target, r.source_gap) for r in own}) == 1
+        assert abs(sum(r.taken for r in own) - own[0].target - own[0].source_gap) < 1e-6 and abs(own[0].source_gap) <= max(1, min(r.size for r in own if r.size))
+    again = {r.doc_id: r.taken for r in op8_mixture(spark, SF).collect()}
+    assert again == {r.doc_id: r.taken for r in rows}
