@@ -8,11 +8,12 @@ there. A public suffix is a last label, or a last label of two letters after one
 (``co.uk``); a list of further ones is a parameter.
 
 Trust is personalised PageRank from the hosts of allowed pages along the edges; distrust is the same
-walk from the hosts of blocked pages against the edges (who links to bad hosts is bad). Seeds weigh as
-many as their pages, and each walk's seeds and scores sum to 1: what reaches hosts without edges
-returns to the seeds. Steps go on until they move less than ``TOLERANCE`` in all. A url without a rule
-is blocked if its host has more than ``FACTOR`` times as large a share of distrust as of trust; a host
-that neither walk reaches is allowed.
+walk from the hosts of blocked pages against the edges (who links to bad hosts is bad). A seed weighs as
+much as it has pages, in either walk alike: a walk's scores sum to its part of all seeds' pages, so
+that a blocked page counts as much as an allowed one however many there are of each. What reaches hosts
+without edges returns to the seeds. Steps go on until they move less than ``TOLERANCE`` in all. A url
+without a rule is blocked if its host has more than ``FACTOR`` times as much distrust as trust; a
+host that neither walk reaches is allowed.
 
 Pages are read once, into a narrow table of hosts, paths and linked hosts. Rows meet in sums by host
 or by pair of hosts, aggregated before they are shuffled; hosts with over a thousandth of all edges
@@ -87,8 +88,8 @@ def kin_edges(judged: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     return both.select("e.*", F.lit(1).cast("bigint").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, every: int = 8, most: int = 240) -> DataFrame:
-    """Personalised PageRank of several walks at once: each walk's scores sum to 1.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, every: int = 8, most: int = 240, whole: bool = True) -> DataFrame:
+    """Personalised PageRank of several walks at once: each walk's scores sum to 1, or else are in units of its seeds' mass.
 
     Edges (walk, src, dst, n) and seeds (walk, host, mass) -> walk, host, score. The walk without its
     dangling mass is stepped; as that mass returns to the seeds, the whole walk's scores are the same
@@ -102,7 +103,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     shares = materialise(shares, "host-shares")
     hot = F.broadcast(out.where("salts > 1").select("walk", F.col("src").alias("host"), "salts"))
     sums = seeds.groupBy("walk").agg(F.sum("mass").alias("all"))
-    seeds = materialise(seeds.join(F.broadcast(sums), "walk").select("walk", "host", (F.col("mass") / F.col("all")).alias("score")), "host-seeds")
+    masses = materialise(sums, "host-masses")
+    seeds = materialise(seeds.join(F.broadcast(masses), "walk").select("walk", "host", (F.col("mass") / F.col("all")).alias("score")), "host-seeds")
     ranks = before = seeds
     start = seeds.select("walk", "host", ((1 - damping) * F.col("score")).alias("score"))
     for _ in range(0, most, every):
@@ -117,8 +119,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
         left = both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
         ranks = both.select("walk", "host", "score")
         if left <= tolerance:
-            total = ranks.groupBy("walk").agg(F.sum("score").alias("all"))
-            return ranks.join(F.broadcast(total), "walk").select("walk", "host", (F.col("score") / F.col("all")).alias("score")).where("score > 0")
+            factor = ranks.groupBy("walk").agg((1 / F.sum("score")).alias("by")) if whole else masses.select("walk", F.col("all").alias("by"))
+            return ranks.join(F.broadcast(factor), "walk").select("walk", "host", (F.col("score") * F.col("by")).alias("score")).where("score > 0")
     raise RuntimeError(f"the walks still move {left} after {most} steps")
 
 
@@ -134,7 +136,7 @@ def host_scores(judged: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     both = edges.select(F.lit("allow").alias("walk"), "src", "dst", "n").union(edges.select(F.lit("block"), "dst", "src", "n"))
     seeds = judged.where("host != '' and fit is not null").groupBy(F.col("fit.verdict").alias("walk"), "host").agg(F.count("*").alias("mass"))
     own = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("score")).otherwise(0.0))
-    return spread(both, seeds).groupBy("host").agg(own("allow").alias("trust"), own("block").alias("distrust"))
+    return spread(both, seeds, whole=False).groupBy("host").agg(own("allow").alias("trust"), own("block").alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, keys: list[str], rules: tuple = RULES, factor: float = FACTOR, suffixes: tuple[str, ...] = ()) -> DataFrame:
