@@ -13,6 +13,12 @@ a row, which are a hit; it has fewer words and gaps without a match than matches
 twice the template's length, where the text must hold enough of the template's words, and strays from
 its first diagonal by less than that length. Hits that can't begin one are passed over.
 
+An alignment names its licence only if nothing tells it from the template: the template's telling words
+(``TELLING``; of other short templates, all but the ``USUAL`` ones) must stand in it in their order;
+words that make another licence of it (``TURNING``), unless they are the template's, must not stand in
+it, nor a denial in it or just before it. Of alignments over much the same words, the one that covers
+most of its template, then the longest, is reported.
+
 Texts are scanned whole inside Arrow batches and never shuffled. Defined cases: null and empty texts
 match nothing; letters compare without case, punctuation separates words; equal rows give equal
 results; a template within another's text is reported beside it.
@@ -119,7 +125,67 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "public-domain": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "gpl-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
+        your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License,
+        or (at your option) any later version. This library is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Lesser General Public License for more details.""",
+    "lgpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+        GNU Lesser General Public License for more details.""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+        GNU Affero General Public License for more details.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+        MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names
+        of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+        DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
+#: What must stand in an alignment of longer templates, in this order.
+TELLING = {
+    "gpl": "gnu general public 3", "gpl-3.0-header": "gnu general public 3", "gpl-2.0-header": "gnu general public 2", "lgpl-2.1-header": "gnu lesser general public 2 1", "lgpl-3.0-header": "gnu lesser general public 3",
+    "agpl-3.0-header": "gnu affero general public 3", "apache-2.0": "apache 2 0", "apache-2.0-header": "apache 2 0", "mpl-2.0-header": "mozilla public 2 0",
+}
+#: Words of short templates that tell nothing: many licences' notices hold them, and texts vary them.
+USUAL = frozenset("a an and are be by-line commons creative free in into is international it licence license licensed of or release released software terms that the this to under unencumbered version work".split())
+#: Words of a template that counts as short, and what turns one licence into another or denies it.
+SHORT = 16
+TURNING = frozenset("affero lesser library nc nd noncommercial noderivatives noderivs sa sharealike".split())
+DENIALS = frozenset("cannot neither never nor not".split())
+#: Part of both spans that two alignments share if they are over much the same words.
+SAME = 0.8
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -129,9 +195,13 @@ def words(text: bytes) -> list[bytes]:
 
 
 class LicenseIndex:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], telling: dict[str, str] | None = None):
         self.names = list(templates)
         self.texts = [words(t.encode()) for t in templates.values()]
+        given = {n: words(t.encode()) for n, t in (TELLING if telling is None else telling).items()}
+        #: By template: the words that must stand in an alignment, and those that must not.
+        self.telling = [given[n] if n in given else [w for w in t if w.decode("utf-8", "replace") not in USUAL] if len(t) <= SHORT else [] for n, t in zip(self.names, self.texts, strict=True)]
+        self.turning = [frozenset(w.encode() for w in TURNING | (DENIALS if len(t) <= SHORT else frozenset())) - set(t) for t in self.texts]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.texts for w in t}))}
         self.coded = [np.array([self.ids[w] for w in t], np.int64) for t in self.texts]
         #: By length of run: code -> (template, position).
@@ -177,14 +247,40 @@ class LicenseIndex:
                 out[n] = [h for h, keep in zip(own, near.tolist(), strict=True) if keep]
         return out
 
+    def names_it(self, n: int, text: list[bytes], start: int, end: int) -> bool:
+        """Whether the words of an alignment name its template's licence, and no other."""
+        left = iter(text[start:end])
+        if not all(w in left for w in self.telling[n]) or self.turning[n].intersection(text[start:end]):
+            return False
+        before = text[max(0, start - 3) : start]
+        return not any(w.decode("utf-8", "replace") in DENIALS or (w == b"t" and i and before[i - 1].endswith(b"n")) for i, w in enumerate(before))
+
     def scan(self, text: bytes, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, matched words, first word, word after the last) by place.
+        """(template, coverage, matched words, first word, word after the last) of the licences named, by place."""
+        raw = words(text)
+        number = {name: n for n, name in enumerate(self.names)}
+        named = [r for r in self.places(raw, coverage) if self.names_it(number[r[0]], raw, r[3], r[4])]
+        out: list[tuple[str, float, int, int, int]] = []
+        # what overlaps much of a better one goes; places are few, and those near each other fewer
+        better = sorted(named, key=lambda r: (-r[1], -r[2], r[3], r[0]))
+        kept: dict[int, list[tuple]] = defaultdict(list)
+        for r in better:
+            size = r[4] - r[3]
+            # a span that shares most of this one's words begins within its length
+            rivals = (q for block in range((r[3] - size) // 64, r[4] // 64 + 1) for q in kept[block])
+            if not any(q[0] != r[0] and min(r[4], q[4]) - max(r[3], q[3]) >= SAME * max(size, q[4] - q[3]) for q in rivals):
+                kept[r[3] // 64].append(r)
+                out.append(r)
+        return sorted(out, key=lambda r: (r[3], r[4], r[0]))
+
+    def places(self, raw: list[bytes], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
+        """(template, coverage, matched words, first word, word after the last) of all alignments, by place.
 
         A place spans less than ``reach`` words, so windows of twice that, a reach apart, hold each one
         whole. Work grows with the text's length times the template's, however often a notice repeats.
         """
         get = self.ids.get
-        ids = np.array([get(w, 0) for w in words(text)], np.int64)
+        ids = np.array([get(w, 0) for w in raw], np.int64)
         out = []
         for n, own in self.hits(ids, coverage).items():
             template, left, least = self.coded[n], ids.copy(), coverage * len(self.coded[n])
