@@ -58,7 +58,7 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
     "trim": lambda x: str(x).strip(),
     "upper": lambda x: str(x).upper(),
     "lower": lambda x: str(x).lower(),
-    "length": lambda x: len(x),
+    "length": lambda x: 0 if x is None else len(x),
     "string": str,
 }
 
@@ -124,15 +124,25 @@ class Generation:
 _OPS: dict[str, Callable[..., Any]] = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
-    "<": lambda a, b: a < b,
-    "<=": lambda a, b: a <= b,
-    ">": lambda a, b: a > b,
-    ">=": lambda a, b: a >= b,
-    "in": lambda a, b: a in b,
-    "+": lambda a, b: a + b,
+    "<": lambda a, b: None not in (a, b) and a < b,
+    "<=": lambda a, b: None not in (a, b) and a <= b,
+    ">": lambda a, b: None not in (a, b) and a > b,
+    ">=": lambda a, b: None not in (a, b) and a >= b,
+    "in": lambda a, b: b is not None and a in b,
+    "+": lambda a, b: b if a is None else a if b is None else a + b,
     "~": lambda a, b: f"{a}{b}",
     "not": lambda a: not a,
 }
+
+
+def _applied(name: str, function: Callable[..., Any], *args: Any) -> Any:
+    """An operation's or filter's value; one that its arguments' types don't allow is the template's error."""
+    try:
+        return function(*args)
+    except TypeError as e:
+        raise TemplateError(f"{name} can't take {' and '.join(type(a).__name__ for a in args)}") from e
+
+
 _TOKEN = re.compile(r"\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|([A-Za-z]\w*)|(==|!=|<=|>=|[<>+~|.\[\]()=]))")
 _TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?).*?(-?)#\}", re.S)
 
@@ -321,11 +331,11 @@ def fold(node: Any) -> Any:
             if isinstance(args[0], Const):
                 return args[1] if bool(args[0].value) == (node.op == "and") else args[0]
         elif all(isinstance(a, Const) for a in args):
-            return Const(_OPS[node.op](*(a.value for a in args)))
+            return Const(_applied(node.op, _OPS[node.op], *(a.value for a in args)))
         return Op(node.op, args)
     if isinstance(node, Filter):
         of = fold(node.of)
-        return Const(FILTERS[node.name](of.value)) if isinstance(of, Const) else Filter(of, node.name)
+        return Const(_applied(node.name, FILTERS[node.name], of.value)) if isinstance(of, Const) else Filter(of, node.name)
     if isinstance(node, Field):
         return Field(fold(node.of), fold(node.key))
     if isinstance(node, Out):
@@ -364,14 +374,14 @@ def _value(node: Any) -> Callable[[dict], Any]:
         return lambda env: _field(of(env), key(env))
     if isinstance(node, Filter):
         of, apply = _value(node.of), FILTERS[node.name]
-        return lambda env: apply(of(env))
+        return lambda env, n=node.name: _applied(n, apply, of(env))
     args = [_value(a) for a in node.args]
     if node.op == "and":
         return lambda env: args[0](env) and args[1](env)
     if node.op == "or":
         return lambda env: args[0](env) or args[1](env)
     op = _OPS[node.op]
-    return (lambda env: op(args[0](env))) if len(args) == 1 else (lambda env: op(args[0](env), args[1](env)))
+    return (lambda env: op(args[0](env))) if len(args) == 1 else (lambda env, n=node.op: _applied(n, op, args[0](env), args[1](env)))
 
 
 Render = Callable[[dict], Iterator[tuple[str, bool]]]

@@ -86,3 +86,12 @@ def test_media_nulls(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (None, "é")], "doc_id long, text string").withColumn("payload", F.lit(1))
     rows = T.demux_column(T.mux_column(df, ["doc_id"], "text")).collect()
     assert sorted(len(r.payload) for r in rows) == [64, 64, 64] and T.demux_column(T.mux_column(df.limit(0), ["doc_id"], "text")).count() == 0
+
+
+def test_missing_values_and_types_that_don_t_fit():
+    """Missing values have no length, are in no order and hold nothing; other misfits are the template's error."""
+    shown = lambda template: "".join(t for t, _ in C.compile_template(template)({"m": "x"}))
+    assert shown("{{ gone | length }}{{ gone < 1 }}{{ 1 >= gone }}{{ 'a' in gone }}{{ gone + 'b' }}{{ 1 + gone }}") == shown("{{ 0 }}{{ false }}{{ false }}{{ false }}b1")
+    for wrong in ("{{ m < 1 }}", "{{ m + 1 }}", "{{ 1 in 2 }}", "{{ 1 | length }}", "{{ 'a' in 1 + m }}"):
+        with pytest.raises(C.TemplateError):
+            shown(wrong)
