@@ -342,6 +342,20 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     return df.mapInArrow(run, _added(df, text, "string"))
 
 
+def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` of what it made, by one worker a task; the text itself is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary)
+        for batch in batches:
+            for part in slices(batch, text):
+                packed = bpe.encode([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
+                kept = [i for i, n in enumerate(part.schema.names) if n not in (text, ids, decoded)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(packed, pa.binary()), bpe.decode(packed)], names=[*(part.schema.names[i] for i in kept), ids, decoded])
+
+    return df.mapInArrow(run, df.drop(text, ids, decoded).select("*", F.lit(None).cast("binary").alias(ids), F.lit(None).cast("string").alias(decoded)).schema)
+
+
 def public_vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -350,7 +364,7 @@ def public_vocabulary(name: str) -> str:
 
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encodes and decodes every document and returns the digests of both."""
-    out = bpe_decode(bpe_encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    out = bpe_round_trip(docs.select("doc_id", "text"), vocabulary)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
