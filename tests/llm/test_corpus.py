@@ -160,14 +160,33 @@ def test_mcd_equals_numpy(spark):
     floors = np.diag(np.square(quality.FLOORS))
     m = np.median(x, axis=0)
     c = np.diag(np.square(1.4826 * np.median(np.round(np.abs(x - m), 3), axis=0))) + floors
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        ring = np.floor(np.log(d + 1e-6) * 200)
-        near = x[ring <= np.quantile(ring, quality.H)]
-        m, c = near.mean(axis=0), np.cov(near.T, bias=True) + floors
+    found = []
+    for m, c in ((m, c), (x.mean(axis=0), np.cov(x.T, bias=True) + floors)):
+        low = np.inf
+        for _ in range(100):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            ring = np.floor(np.log(d + 1e-6) * 200)
+            near = x[ring <= np.quantile(ring, quality.H)]
+            m2, c2 = near.mean(axis=0), np.cov(near.T, bias=True) + floors
+            if np.linalg.slogdet(c2)[1] >= low - quality.SETTLED:
+                break
+            m, c, low = m2, c2, np.linalg.slogdet(c2)[1]
+        found.append((low, len(found), m, c))
+    _, _, m, c = min(found, key=lambda f: f[:2])
     assert np.allclose([got[f"m{i}"] for i in range(4)], m) and np.allclose([got[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], np.linalg.cholesky(c)[np.tril_indices(4)])
 
 
+def test_cutoff_is_the_tail_s_quantile():
+    """Four normal features: the tail is exp(-x/2)(1 + x/2), and the nearest three quarters are narrower by a known factor."""
+    x = quality._quantile(1e-3, 4)
+    assert math.isclose(math.exp(-x / 2) * (1 + x / 2), 1e-3, rel_tol=1e-6) and math.isclose(x, 18.4668, rel_tol=1e-4)
+    rng = np.random.default_rng(3)
+    d = np.sort((rng.normal(size=(400_000, 4)) ** 2).sum(axis=1))
+    inner = rng.normal(size=(400_000, 4))
+    near = inner[np.argsort((inner**2).sum(axis=1))[: 300_000]]
+    assert math.isclose(quality.cutoff_of(1e-3), d[-400] / near.var(), rel_tol=0.05)
+
+
 def test_language_model(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(None, None), (10**6, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
@@ -256,18 +275,18 @@ def test_urls(spark):
     assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow") and got[8] == ("y.org", "/", "org/", "allow") and got[9][2] is None and got[10][:2] == ("b:", "//c.org/")
 
 
-def walked(edges, seeds, hosts, damping=0.85):
-    """PageRank by power iteration with the dangling mass returned to the seeds."""
+def walked(edges, seeds, hosts, damping=0.85, returned=True):
+    """PageRank by power iteration, the dangling mass returned to the seeds, or lost and in units of the seeds' mass."""
     at = {h: i for i, h in enumerate(hosts)}
     m = np.zeros((len(hosts), len(hosts)))
     for a, b, n in edges:
         m[at[b], at[a]] += n
     out = m.sum(axis=0)
     m = m / np.where(out > 0, out, 1)
-    s = np.array([seeds.get(h, 0.0) for h in hosts]) / max(1, sum(seeds.values()))
+    s = np.array([seeds.get(h, 0.0) for h in hosts]) / (max(1, sum(seeds.values())) if returned else 1)
     score = s.copy()
     for _ in range(400):
-        score = (1 - damping) * s + damping * (m @ score + score[out == 0].sum() * s)
+        score = (1 - damping) * s + damping * (m @ score + (score[out == 0].sum() * s if returned else 0))
     return dict(zip(hosts, score, strict=True))
 
 
@@ -309,6 +328,14 @@ def test_urls_of_nothing_repeated_and_clashing(spark):
     assert sorted(((r.page_id or 0, r.verdict) for r in got if not r.score)) == [(0, "block"), (2, "allow")]
 
 
+def test_both_verdicts_among_reached_hosts(spark):
+    """Three allowed pages far away don't outweigh, nor are outweighed by, one blocked page: each host is judged by its own neighbours."""
+    url = lambda i, host, path="/": (i, f"http://{host}{path}", None)
+    rows = [url(i, "far.org") for i in range(30)] + [url(100, "a.one.com", "/fr/x"), url(101, "a.one.com", "/fr/y"), url(102, "one.com"), url(103, "b.one.com", "/de/x"), url(104, "a.two.com", "/de/x"), url(105, "a.two.com", "/de/y"), url(106, "two.com"), url(107, "b.two.com", "/fr/x"), url(108, "none.net")]
+    got = {r.page_id: (r.verdict, r.trust + r.distrust > 0) for r in host_graph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got[102] == ("allow", True) and got[106] == ("block", True) and got[108] == ("allow", False)
+
+
 def test_op9_whole_query(spark):
     """All pages against rules and walks in plain Python."""
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
@@ -332,12 +359,13 @@ def test_op9_whole_query(spark):
     edges.update(want)
     hosts = sorted({x for e in edges for x in e} | {f[0] for f in fits.values()})
     seeds = {v: Counter(f[0] for f in fits.values() if f[3] == v and f[0]) for v in ("allow", "block")}
-    trust = walked([(a, b, n) for (a, b), n in edges.items()], seeds["allow"], hosts)
-    distrust = walked([(b, a, n) for (a, b), n in edges.items()], seeds["block"], hosts)
+    trust = walked([(a, b, n) for (a, b), n in edges.items()], seeds["allow"], hosts, returned=False)
+    distrust = walked([(b, a, n) for (a, b), n in edges.items()], seeds["block"], hosts, returned=False)
+    close = 1e-3 * (seeds["allow"].total() + seeds["block"].total())
     for r in host_graph.op9_host_graph(spark, SF).collect():
         host, path, rule, verdict = fits.pop(r.page_id)
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        if verdict or abs(trust[host] - distrust[host]) > 1e-3 or trust[host] + distrust[host] < 1e-9:
+        if verdict or abs(trust[host] - distrust[host]) > close or trust[host] + distrust[host] < 1e-9:
             assert r.verdict == (verdict or ("block" if distrust[host] > trust[host] else "allow")), host
     assert not fits
 
