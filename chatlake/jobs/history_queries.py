@@ -9,7 +9,7 @@ from chatlake.functions.scalar import INTERRUPTED, opens_conversation, resolve_i
 from chatlake.jobs.views import messages, with_views
 from chatlake.operators import history as H
 from chatlake.sources.messages import write_ordered
-from chatlake.sources.shared import shared_folder
+from chatlake.sources.shared import scratch_folder
 
 BUDGET = 4
 _M = with_views("v_messages")
@@ -80,7 +80,7 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages through ordered files: how many of each conversation, in how many files, and whether each follows its predecessor."""
-    path = shared_folder(spark, "ordered")
+    path = scratch_folder(spark, "ordered")
     write_ordered(messages(spark, sf_dir), path, file_bytes=256 << 10)
     read = spark.read.parquet(path).select("conv_id", "pos", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     own = Window.partitionBy("file").orderBy("row")

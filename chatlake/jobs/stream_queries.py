@@ -19,7 +19,7 @@ from chatlake.jobs.run_queries import LIMITS
 from chatlake.jobs.run_queries import ORACLE_SQL as RUN_ORACLES
 from chatlake.jobs.views import RUN_EVENTS, with_views
 from chatlake.operators import batch as B
-from chatlake.sources.shared import shared_folder
+from chatlake.sources.shared import scratch_folder
 from chatlake.streaming import events as E
 from chatlake.streaming import responses as R
 
@@ -45,7 +45,7 @@ def _state_settings(spark: SparkSession) -> Iterator[None]:
 
 
 def _drained(stream: DataFrame) -> DataFrame:
-    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
+    spark, at = stream.sparkSession, scratch_folder(stream.sparkSession, "stream")
     with _state_settings(spark):
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -16,7 +16,7 @@ from chatlake.operators import streams as S
 from chatlake.operators import text as X
 from chatlake.sources import messages as M
 from chatlake.sources import streams as SRC
-from chatlake.sources.shared import shared_folder
+from chatlake.sources.shared import scratch_folder
 
 STEP = 16
 
@@ -241,7 +241,7 @@ def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored conversations through real files."""
-    path = shared_folder(spark, "messages")
+    path = scratch_folder(spark, "messages")
     M.write_messages(messages(spark, sf_dir), path)
     call = F.get("tool_calls", F.lit(0))
     return M.read_messages(spark, path).select("conv_id", "pos", "role", "content", call["id"].alias("call_id"), call["args"].alias("args"), "tool_call_id")
@@ -249,14 +249,14 @@ def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered bodies through real files: a body a line, requests with errors left out."""
-    path = shared_folder(spark, "requests")
+    path = scratch_folder(spark, "requests")
     M.write_requests(rendered(spark, sf_dir, "gemini"), path)
     return spark.read.text(path).select(canonical_json(F.col("value")).alias("body"))
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a nation: a third in binary, each with the suppliers' names in order."""
-    path = shared_folder(spark, "files")
+    path = scratch_folder(spark, "files")
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     lines = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "|").alias("line"))
     lines.select(F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("\x01"), "line")).otherwise(F.col("line")), "s_nationkey").write.partitionBy("s_nationkey").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,3 +21,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system, if the session is still there to do it."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone already; the folder's owner cleans up
+        pass
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A shared folder that is deleted when the driver's Python ends."""
+    path = shared_folder(spark, name)
+    atexit.register(drop, spark, path)
+    return path

@@ -94,7 +94,7 @@ def test_responses_equal_the_batch_s_and_their_state_goes(spark, tmp_path):
         payloads = SRC.decode_event_frames(own) if providers == ("bedrock",) else SRC.parse_sse(own.select("stream_id", F.col("body").cast("string").alias("body")))
         want |= {r["stream_id"]: (r["content"], r["tool_calls"], r["input_tokens"], r["output_tokens"], r["error"]) for r in assembled(payloads).collect()}
     assert got == want and made.count() == len(got) > 40
-    assert len({e for *_, e in got.values()}) > 6 and sum(len(c or ()) for _, c, *_ in got.values()) > 10
+    assert len({e for *_, e in got.values()}) > 6 and sum(len(c or ()) for _, c, *_ in got.values()) > 5
     # what is left are streams that only the last silence has flushed; while they ran, a few rows a stream were held
     assert progress[-1].stateOperators[1].numRowsTotal == 0 and progress[-1].stateOperators[0].numRowsTotal <= 20
     assert max(p.stateOperators[0].numRowsTotal for p in progress) < 40 * len(bodies)
