@@ -121,6 +121,7 @@ QUERIES = {
     "rejection_text": lambda s, d: _events(s, d).where("err is not null").select("run_id", "seq", rejection_text(F.element_at(F.array(F.lit("tool"), F.lit("output_tool"), F.lit("text")), (F.col("seq") % 3 + 1).cast("int")), F.col("err"), F.col("tool_name")).alias("text")),
     "undeclared_calls": lambda s, d: T.undeclared_calls(view(s, d, "v_calls"), catalog(s)).select("run_id", "ord", "name", "error"),
     "apply_tool_choice": lambda s, d: T.apply_tool_choice(view(s, d, "v_calls").select("run_id", "ord", "name"), "tool_2"),
+    "missing_tool_choice": lambda s, d: T.apply_tool_choice(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")), "tool_9"),
     "schedule_tool_groups": lambda s, d: T.schedule_tool_groups(view(s, d, "v_calls"), catalog(s)),
     "schedule_single_calls": lambda s, d: T.schedule_tool_groups(view(s, d, "v_calls"), catalog(s), parallel=False),
     "close_output_calls": lambda s, d: T.close_output_calls(view(s, d, "v_calls"), "tool_3"),
@@ -175,6 +176,7 @@ select run_id, seq, tool_name, round, rejection, case when within then 'correcte
 when 1 then 'Your result was rejected: ' || err || '. Correct the arguments and call ' || tool_name || ' again.' else 'Your previous response was rejected: ' || err || '. Correct it and respond again.' end as text from v_run_events where err is not null""",
     "undeclared_calls": f"{_C} select run_id, ord, name, 'tool was not declared for this run' as error from v_calls where name = 'tool_6'",
     "apply_tool_choice": f"{_C} select run_id, ord, name, cast(null as string) as error from v_calls where name = 'tool_2'",
+    "missing_tool_choice": "select s_name as name, s_suppkey as id, 'tool tool_9 isn''t registered' as error from supplier order by s_name limit 1",
     "schedule_single_calls": f"""{_C}, e as (select run_id, turn, ord, unnest(['start', 'end']) as event from v_calls)
 select run_id, turn, ord, event, cast(row_number() over (partition by run_id, turn, event order by ord) - 1 as bigint) as grp, row_number() over (partition by run_id, turn order by ord, event desc) - 1 as seq from e""",
     "schedule_tool_groups": f"""{_C}, a as (select run_id, turn, ord, name in ('tool_0', 'tool_3') as alone from v_calls),

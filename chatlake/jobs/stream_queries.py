@@ -19,6 +19,8 @@ from chatlake.jobs.run_queries import LIMITS
 from chatlake.jobs.run_queries import ORACLE_SQL as RUN_ORACLES
 from chatlake.jobs.views import RUN_EVENTS, with_views
 from chatlake.operators import batch as B
+from chatlake.operators import streams as S
+from chatlake.sources import streams as SRC
 from chatlake.sources.shared import scratch_folder
 from chatlake.streaming import events as E
 from chatlake.streaming import responses as R
@@ -85,6 +87,21 @@ def assemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", "content", calls.alias("calls"), "input_tokens", "output_tokens", "error")
 
 
+def assemble_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streams as whole bodies in batch: missing ends, bad JSON, errors and calls of every provider."""
+    path = scratch_folder(spark, "bodies")
+    live.bodies(spark, sf_dir).select("stream_id", "provider", "body").write.partitionBy("provider").parquet(path)
+    whole = spark.read.parquet(path)
+    out = None
+    for provider, assembled in (("openai", S.assemble_openai), ("anthropic", S.assemble_anthropic), ("gemini", S.assemble_gemini), ("bedrock", S.assemble_bedrock)):
+        own = whole.where(F.col("provider") == provider)
+        payloads = SRC.decode_event_frames(own) if provider == "bedrock" else SRC.parse_sse(own.select("stream_id", F.col("body").cast("string").alias("body")))
+        rows = assembled(payloads)
+        out = rows if out is None else out.unionByName(rows)
+    calls = F.array_join(F.transform("tool_calls", lambda c: F.concat_ws(" ", c["id"], c["name"], c["args"])), ";")
+    return out.select("stream_id", "content", calls.alias("calls"), "input_tokens", "output_tokens", "error")
+
+
 def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _drained(E.usage_windows(_ticked(_events(spark, sf_dir)), "1 day"))
     return out.select(F.date_format("started", "yyyy-MM-dd").alias("day"), "tokens", "requests", "tool_calls")
@@ -166,7 +183,7 @@ def batch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "output", "stage", "error", "input_tokens", "output_tokens", "requests")
 
 
-QUERIES = {"stream_deltas": stream_deltas, "assemble_stream": assemble_stream, "usage_windows": usage_windows, "dedup_events": dedup_events, "usage_guard": usage_guard, "batch_run": batch_run, "batch_retries": batch_retries}
+QUERIES = {"stream_deltas": stream_deltas, "assemble_stream": assemble_stream, "assemble_bodies": assemble_bodies, "usage_windows": usage_windows, "dedup_events": dedup_events, "usage_guard": usage_guard, "batch_run": batch_run, "batch_retries": batch_retries}
 
 _E = with_views("v_run_events")
 _S = "with s as (select conv_id * 1000 + turn as stream_id, coalesce(text, '') as text, cast(ceil(length(coalesce(text, '')) / 48.0) as bigint) as n, ['openai', 'anthropic', 'gemini', 'bedrock'][(conv_id * 1000 + turn) % 4 + 1] as provider, ((conv_id * 1000 + turn) // 4) % 4 as kind from conversations)"
@@ -202,3 +219,4 @@ case when way = 'bad' then 'no such model' when way = 'busy' then 'model failed
 cast(case way when 'spare' then 4 when 'again' then 2 when 'plain' then 2 else 0 end as bigint) as input_tokens, cast(case way when 'spare' then 2 when 'again' then 1 when 'plain' then 1 else 0 end as bigint) as output_tokens,
 cast(case way when 'busy' then 4 when 'spare' then 3 when 'again' then 2 else 1 end as bigint) as requests from c""",
 }
+ORACLE_SQL["assemble_bodies"] = ORACLE_SQL["assemble_stream"]
