@@ -26,6 +26,7 @@ any length are taken whole; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +49,8 @@ FOLDS, HELD_OUT = 7, 2
 DIMENSIONS, CONTEXT = 32, 3
 #: Noise samples for each token, of outcomes and of members; tokens of a minibatch; learning rate.
 NOISE, MEMBER_NOISE, BATCH, RATE = 128, 64, 16384, 0.05
+#: Tokens of one class that meet its noise in one product.
+BLOCK = 64
 #: Rounds by the part of the training texts that each takes, in 16ths; tokens that a task steps through at least.
 ROUNDS, TASK_TOKENS = (2, 2, 4, 8), 1_000_000
 #: Deltas are summed as whole numbers of this, so that sums don't depend on their order.
@@ -184,7 +187,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
                     words.append(END)
                     ends.append(len(words))
                 starts = np.array([0, *ends[:-1]], np.int64)
-                ranks = np.array([get(w, -1) for w in words], np.int64)
+                ranks = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
                 ids, log_count, known = inputs[ranks].astype(np.int32), logs[ranks], ranks >= 0
                 rest = np.flatnonzero(~known)
                 ids[rest] = [0 if words[i] == END else bucket(words[i]) for i in rest.tolist()]
@@ -263,7 +266,7 @@ class LogBilinear:
         s = hidden @ self.w[own].T + self.u[own]
         return s - _log_sums(s.copy())[:, None]
 
-    def token_log_probabilities(self, ids: np.ndarray, starts: np.ndarray, batch: int = BATCH) -> np.ndarray:
+    def token_log_probabilities(self, ids: np.ndarray, starts: np.ndarray, batch: int = 4 * BATCH) -> np.ndarray:
         """Natural log-probability of each token of texts that begin at ``starts`` (a bucket's for its words)."""
         contexts, targets, out = _contexts(ids, starts), outcome(ids), np.empty(len(ids))
         tables = [self.q @ m for m in self.c]
@@ -337,7 +340,9 @@ class Stepper:
         self.uses = {p: np.zeros(len(getattr(model, p)), np.int64) for p in PARTS}
         self.log_noise = np.log(NOISE * model.noise).astype(np.float32)
         self.log_member_noise = np.log(MEMBER_NOISE * model.member_noise).astype(np.float32)
-        self.ends, self.member_ends = np.cumsum(model.noise), np.cumsum(model.member_noise.reshape(CLASSES, MEMBERS), axis=1)
+        self.ends, ends = np.cumsum(model.noise), np.cumsum(model.member_noise.reshape(CLASSES, MEMBERS), axis=1)
+        #: Each class's cumulated shares, after those of the classes before it.
+        self.flat_member_ends = (ends / ends[:, -1:] + np.arange(CLASSES)[:, None]).ravel()
 
     def _drawn(self, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Which outcomes n draws from cumulated shares give, and how often."""
@@ -380,6 +385,55 @@ class Stepper:
         self._move(parts[1], rows + first, levels[rows], uses[rows])
         return true
 
+    def _contrast_members(self, h: np.ndarray, ids: np.ndarray, back: np.ndarray) -> None:
+        """``_contrast`` for the members of all classes together, each against its class's noise; adds to ``back``.
+
+        Tokens are sorted by class and dealt into blocks of one class, so that a few batched products
+        serve all classes. Noise that is drawn twice stands twice.
+        """
+        rows = np.flatnonzero((ids >= SINGLES) & (ids < SINGLES + MIDDLE))
+        if not len(rows):
+            return
+        at = ids[rows] - SINGLES
+        order = np.argsort((at // MEMBERS).astype(np.uint16), kind="stable")
+        rows, at = rows[order], at[order]
+        sizes = np.bincount(at // MEMBERS, minlength=CLASSES)
+        blocks = -(-sizes // BLOCK)
+        of = np.repeat(np.arange(CLASSES), blocks)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        places = (np.repeat(np.cumsum(sizes) - sizes, blocks) + inner * BLOCK)[:, None] + np.arange(BLOCK)
+        empty = inner[:, None] * BLOCK + np.arange(BLOCK) >= sizes[of][:, None]
+        places[empty] = 0
+        noise = np.minimum(np.searchsorted(self.flat_member_ends, self.rng.random((CLASSES, MEMBER_NOISE)) + np.arange(CLASSES)[:, None], side="right"), np.arange(1, CLASSES + 1)[:, None] * MEMBERS - 1)
+        vectors, biases = self.m.w, self.m.u
+        own, true = h[rows], vectors[at]
+        hit = 1 - _sigmoid(np.einsum("ij,ij->i", own, true) + (biases - self.log_member_noise)[at])
+        others, against = vectors[noise], (biases - self.log_member_noise)[noise]
+        back[rows] += true * hit[:, None]
+        grads, levels = np.empty((len(of), MEMBER_NOISE, DIMENSIONS), np.float32), np.empty((len(of), MEMBER_NOISE), np.float32)
+        # parts that stay in the processor's cache
+        for a in range(0, len(of), 16):
+            part = slice(a, a + 16)
+            x, theirs = own[places[part]], others[of[part]]
+            miss = _sigmoid(x @ theirs.transpose(0, 2, 1) + against[of[part]][:, None, :])
+            np.negative(miss, out=miss)
+            miss[empty[part]] = 0
+            filled = ~empty[part]
+            back[rows[places[part][filled]]] += (miss @ theirs)[filled]
+            grads[part] = miss.transpose(0, 2, 1) @ x
+            levels[part] = miss.sum(axis=1)
+        met = np.flatnonzero(blocks)
+        firsts = (np.cumsum(blocks) - blocks)[met]
+        keys = np.concatenate([at, noise[met].ravel()])
+        moved = np.empty((len(keys), DIMENSIONS + 1), np.float32)
+        moved[: len(at), :-1], moved[: len(at), -1] = own * hit[:, None], hit
+        moved[len(at) :, :-1], moved[len(at) :, -1] = np.add.reduceat(grads, firsts, axis=0).reshape(-1, DIMENSIONS), np.add.reduceat(levels, firsts, axis=0).ravel()
+        used = np.bincount(at, minlength=MIDDLE)
+        used[np.unique(noise[met])] += 1
+        found, sums = _summed(keys, moved)
+        self._move("w", found, sums[:, :-1], used[found])
+        self._move("u", found, sums[:, -1], used[found])
+
     def step(self, ids: np.ndarray, starts: np.ndarray) -> None:
         m, n = self.m, len(ids)
         own = m.q[ids]
@@ -395,8 +449,7 @@ class Stepper:
             vectors.append(x)
         h = sum(x @ c for x, c in zip(vectors, m.c, strict=True))
         back = self._contrast(h, outcome(ids), 0, OUTCOMES, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
-        for of, rows in _by_class(ids):
-            back[rows] += self._contrast(h[rows], ids[rows] - SINGLES - of * MEMBERS, of * MEMBERS, MEMBERS, ("w", "u"), self.log_member_noise, self._drawn(self.member_ends[of], MEMBER_NOISE))
+        self._contrast_members(h, ids, back)
         matrices = np.stack([x.T @ back for x in vectors])
         # a token's vector gathers what it did as a context of the tokens after it
         grads, times, end, ends = np.zeros((n + 1, DIMENSIONS), np.float32), np.zeros(n + 1, np.int64), np.zeros(DIMENSIONS, np.float32), 0
