@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.sources.shared import scratch_folder
+from chatlake.sources.shared import drop, scratch_folder
 
 STEP, FILES, START = 48, 3, 1_700_000_000
 PROVIDERS = ("openai", "anthropic", "gemini", "bedrock")
@@ -120,9 +120,12 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ahead = (F.col("seq") % 7 == 3) & (at > 0)
     rows = rows.select("stream_id", "provider", "seq", "chunk", "last", "ts", (at - ahead.cast("int")).cast("int").alias("file"))
     tick = spark.range(1).select(F.lit(-1).cast("bigint").alias("stream_id"), F.lit("none").alias("provider"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("binary").alias("chunk"), F.lit(False).alias("last"), F.timestamp_seconds(F.lit(START + 10 * 86_400)).alias("ts"), F.lit(FILES - 1).alias("file"))
-    path = scratch_folder(spark, "chunks")
-    written = rows.union(tick).repartition(FILES, "file")
+    path, once = scratch_folder(spark, "chunks"), scratch_folder(spark, "cut")
+    rows = rows.union(tick)
+    # made once, in parallel; then a file a micro-batch
+    rows.write.partitionBy("file").parquet(once)
+    schema = rows.drop("file").schema
     for i in range(FILES):
-        written.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/{i}")
-    schema = written.drop("file").schema
+        spark.read.schema(schema).parquet(f"{once}/file={i}").coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    drop(spark, once)
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)

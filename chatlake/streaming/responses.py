@@ -4,7 +4,7 @@
 micro-batches apart. ``assemble_stream`` folds payloads into responses and emits each at its provider's own
 end. Both work in append mode on ``transformWithStateInPandas``, so the query needs the RocksDB state store
 (``spark.sql.streaming.stateStore.providerClass``); event time is ``ts``. What silence closes, timers of
-event time close, and every key's state is gone ``gap`` after its last row.
+event time close, and every stream's state is gone ``gap`` after its last row.
 
 Rows that come twice, or after their stream was closed, are ignored; rows that come early wait for
 those before them. A row with a null chunk or null fragments only moves time on.
@@ -12,12 +12,14 @@ those before them. A row with a null chunk or null fragments only moves time on.
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,134 +54,195 @@ class Silent(StatefulProcessor):
         pass
 
 
-def _millis(ts: pd.Series) -> int:
-    return int(pd.Timestamp(ts.max()).timestamp() * 1000)
-
-
 def rows_of(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     """A key's rows of one micro-batch in order."""
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
 
-class _Reader(Silent):
-    """State of a stream: the bytes of its last, unfinished line or frame, and chunks that came early."""
+#: Groups of streams that share one value of state, fixed for a checkpoint's life.
+BUCKETS = 512
 
-    def __init__(self, gap_ms: int, longest: int):
-        self.gap_ms, self.longest = gap_ms, longest
+
+class Bucketed(StatefulProcessor):
+    """A processor of buckets of streams, each closed ``gap_ms`` after its last row in event time.
+
+    State lies behind a socket, and a trip to it costs more than a stream's own work. So the streams of a
+    bucket are one value, read and written once a micro-batch that has rows for it, and share one timer: the
+    earliest that any of them was due when it was set. A timer that finds later rows is set anew.
+    """
+
+    gap_ms: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "provider string, status int, chunk bigint, line bigint, payload bigint, waiting int, timer bigint, rest binary")
-        self.early = handle.getMapState("early", "chunk bigint", "body binary, last boolean")
+        self.held = handle.getValueState("streams", "timer bigint, streams binary")
+
+    def close(self) -> None:
+        pass
+
+    def read(self, now: Any, rows: list[tuple], key: Any) -> Iterator[tuple]:
+        """Output rows, without their time, of one stream's rows; changes the stream's state."""
+        raise NotImplementedError
+
+    def ended(self, now: Any, key: Any) -> Iterator[tuple]:
+        """Output rows, without their time, of a stream that fell silent."""
+        raise NotImplementedError
+
+    def opened(self, provider: str) -> Any:
+        """State of a new stream: an object with a slot ``due``."""
+        raise NotImplementedError
+
+    #: Columns that a stream's rows are sorted by and read with; columns that come out.
+    order: list[str]
+    taken: list[str]
+    made: list[str]
+
+    def _frame(self, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(self.made, map(list, zip(*found, strict=True)), strict=True)))
+
+    def _kept(self) -> tuple[int | None, dict]:
+        timer, streams = self.held.get() if self.held.exists() else (None, None)
+        return timer, pickle.loads(bytes(streams)) if streams is not None else {}
+
+    def _keep(self, timer: int | None, streams: dict) -> None:
+        if not streams:
+            self.held.clear()
+            return
+        due = min(now.due for now in streams.values())
+        if timer is not None and due < timer:
+            self.handle.deleteTimer(timer)
+            timer = None
+        if timer is None:
+            self.handle.registerTimer(due)
+            timer = due
+        self.held.update((timer, pickle.dumps(streams, pickle.HIGHEST_PROTOCOL)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = rows_of(rows, ["stream_id", *self.order])
+        batch = batch[batch[self.taken[0]].notna()]
+        if not len(batch):
+            return
+        timer, streams = self._kept()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        found: list[tuple] = []
+        columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in ("stream_id", "provider", "ts", *self.taken)]
+        for stream, own in groupby(zip(*columns, strict=True), key=itemgetter(0)):
+            own = list(own)
+            now = streams.get(stream)
+            if now is None:
+                now = streams[stream] = self.opened(own[0][1])
+            last = max(row[2] for row in own)
+            now.due = max(now.due, watermark + self.gap_ms, int(pd.Timestamp(last).timestamp() * 1000) + self.gap_ms)
+            found += [(stream, now.provider, *x, last) for x in self.read(now, [row[3:] for row in own], stream)]
+        self._keep(timer, streams)
+        if found:
+            yield self._frame(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        _, streams = self._kept()
+        reached = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        found: list[tuple] = []
+        for stream, now in [x for x in streams.items() if x[1].due <= reached]:
+            found += [(stream, now.provider, *x, pd.Timestamp(now.due, unit="ms", tz="UTC")) for x in self.ended(now, stream)]
+            del streams[stream]
+        self._keep(None, streams)
+        if found:
+            yield self._frame(found)
+
+
+def bucketed(rows: DataFrame, buckets: int) -> GroupedData:
+    """Rows that have a stream, grouped by its bucket."""
+    return rows.where("stream_id is not null").withColumn("bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).cast("int")).groupBy("bucket")
+
+
+class _Unread:
+    """State of a stream: the bytes of its last, unfinished line or frame, and chunks that came early."""
+
+    def __init__(self, provider: str):
+        self.provider, self.status, self.due = provider, OPEN, 0
+        self.chunk = self.line = self.payload = 0
+        self.rest = b""
+        self.early: dict[int, tuple[bytes, bool]] = {}
+
 
-    def _lines(self, rest: bytes, now: dict, last: bool) -> Iterator[tuple]:
+class _Reader(Bucketed):
+    order, taken = ["seq"], ["chunk", "seq", "last"]
+    made = ["stream_id", "provider", "seq", "line", "data", "headers", "error", "ts"]
+
+    def __init__(self, gap_ms: int, longest: int):
+        self.gap_ms, self.longest, self.opened = gap_ms, longest, _Unread
+
+    def _lines(self, rest: bytes, now: _Unread, last: bool) -> Iterator[tuple]:
         """(line, data, headers, error) of all lines that are complete, and of the rest at the end."""
         *lines, rest = rest.split(b"\n")
         for line in [*lines, rest] if last else lines:
             if len(line) > self.longest:
                 break
             if line.startswith(b"data:"):
-                yield now["line"], line[5:].strip(b" \t\r").decode("utf-8", "replace"), None, None
-            now["line"] += 1
+                yield now.line, line[5:].strip(b" \t\r").decode("utf-8", "replace"), None, None
+            now.line += 1
         else:
             line = rest
-        now["rest"] = b"" if last else rest
+        now.rest = b"" if last else rest
         if len(line) > self.longest:
-            now["status"] = CLOSED
-            yield now["line"], None, None, f"a line is longer than {self.longest} bytes"
+            now.status = CLOSED
+            yield now.line, None, None, f"a line is longer than {self.longest} bytes"
 
-    def _frames(self, rest: bytes, now: dict, last: bool) -> Iterator[tuple]:
+    def _frames(self, rest: bytes, now: _Unread, last: bool) -> Iterator[tuple]:
         at = 0
         while at < len(rest) and (found := next_frame(rest, at)) is not None:
             at, headers, payload, error = found
-            yield now["line"], payload, headers, error
-            now["line"] += 1
+            yield now.line, payload, headers, error
+            now.line += 1
             if error:
-                now["status"] = CLOSED
+                now.status = CLOSED
                 break
-        now["rest"] = rest[at:] if now["status"] == OPEN else b""
-        if last and now["rest"]:
-            yield now["line"], None, None, cut_off(now["rest"])
-
-    def _read(self, now: dict, body: bytes, last: bool) -> Iterator[tuple]:
-        read = self._frames if now["provider"] in FRAMED else self._lines
-        for line, data, headers, error in read(now["rest"] + body, now, last):
-            yield now["payload"], line, data, headers, error
-            now["payload"] += 1
+        now.rest = rest[at:] if now.status == OPEN else b""
+        if last and now.rest:
+            yield now.line, None, None, cut_off(now.rest)
+
+    def _read(self, now: _Unread, body: bytes, last: bool) -> Iterator[tuple]:
+        read = self._frames if now.provider in FRAMED else self._lines
+        for line, data, headers, error in read(now.rest + body, now, last):
+            yield now.payload, line, data, headers, error
+            now.payload += 1
         if last:
-            now["status"] = CLOSED
-        if now["status"] == CLOSED:
-            now["rest"] = b""
-
-    def _made(self, now: dict, found: list[tuple], ts: pd.Timestamp) -> pd.DataFrame:
-        cols = list(zip(*found, strict=True)) if found else [()] * 5
-        out = dict(zip(("seq", "line", "data", "headers", "error"), map(list, cols), strict=True))
-        return pd.DataFrame({"stream_id": [self.key] * len(found), "provider": [now["provider"]] * len(found), **out, "ts": [ts] * len(found)})
+            now.status = CLOSED
+        if now.status == CLOSED:
+            now.rest = b""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        (self.key,) = key
-        batch = rows_of(rows, ["seq"])
-        batch = batch[batch["chunk"].notna()]
-        if not len(batch):
-            return
-        fields = ("provider", "status", "chunk", "line", "payload", "waiting", "timer", "rest")
-        now = dict(zip(fields, self.head.get() if self.head.exists() else (batch["provider"].iloc[0], OPEN, 0, 0, 0, 0, None, b""), strict=True))
-        now["rest"] = bytes(now["rest"] or b"")
-        found: list[tuple] = []
-        for n, chunk, last in zip(batch["seq"], batch["chunk"], batch["last"], strict=True):
-            if now["status"] == CLOSED or n < now["chunk"]:
-                continue
-            if n > now["chunk"]:
-                now["waiting"] += not self.early.containsKey((int(n),))
-                self.early.updateValue((int(n),), (bytes(chunk), bool(last)))
+    def read(self, now: _Unread, rows: list[tuple], key: Any) -> Iterator[tuple]:
+        for chunk, n, last in rows:
+            if now.status == CLOSED or n < now.chunk:
                 continue
-            body, end = bytes(chunk), bool(last)
-            while True:
-                found += self._read(now, body, end)
-                now["chunk"] += 1
-                at = (now["chunk"],)
-                if now["status"] == CLOSED or not now["waiting"] or not self.early.containsKey(at):
-                    break
-                body, end = self.early.getValue(at)
-                self.early.removeKey(at)
-                now["waiting"] -= 1
-        now["timer"] = self.moved(now["timer"], max(_millis(batch["ts"]), timerValues.getCurrentWatermarkInMs()))
-        if now["status"] == CLOSED and now["waiting"]:
-            self.early.clear()
-            now["waiting"] = 0
-        self.head.update(tuple(now[f] for f in fields))
-        if found:
-            yield self._made(now, found, batch["ts"].max())
+            now.early[n] = bytes(chunk), bool(last)
+            while now.status == OPEN and now.chunk in now.early:
+                body, end = now.early.pop(now.chunk)
+                yield from self._read(now, body, end)
+                now.chunk += 1
+        if now.status == CLOSED:
+            now.early.clear()
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        """Silence: the unfinished rest is read as the end, and chunks behind a lost one in their order."""
-        (self.key,) = key
-        fields = ("provider", "status", "chunk", "line", "payload", "waiting", "timer", "rest")
-        now = dict(zip(fields, self.head.get(), strict=True))
-        if now["status"] == OPEN:
-            now["rest"] = bytes(now["rest"] or b"")
-            early = sorted((n, bytes(v[0])) for (n,), v in self.early.iterator()) if now["waiting"] else []
-            found = list(self._read(now, b"".join(body for _, body in early), True))
-            if found:
-                yield self._made(now, found, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms", tz="UTC"))
-        self.early.clear()
-        self.head.clear()
+    def ended(self, now: _Unread, key: Any) -> Iterator[tuple]:
+        """The unfinished rest is read as the end, and chunks behind a lost one in their order."""
+        if now.status == OPEN:
+            yield from self._read(now, b"".join(body for _, (body, _) in sorted(now.early.items())), True)
 
 
 _PAYLOAD = "stream_id {kind}, provider string, seq bigint, line bigint, data string, headers map<string,string>, error string, ts timestamp"
 
 
-def stream_payloads(chunks: DataFrame, gap_ms: int = 600_000, watermark: str = "1 hour", longest: int = LONGEST) -> DataFrame:
+def stream_payloads(chunks: DataFrame, gap_ms: int = 600_000, watermark: str = "1 hour", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """stream_id, provider, seq, chunk (binary), last, ts -> stream_id, provider, seq, line, data, headers, error, ts.
 
     Chunks are numbered from 0 by ``seq``; ``last`` marks a stream's last one, where the network tells.
     Payloads are numbered anew; ``line`` is the number of their line or frame in the body, as
     ``parse_sse`` and ``decode_event_frames`` count. The state of a stream is at most one line or frame
-    and the chunks that wait for an earlier one.
+    and the chunks that wait for an earlier one; the streams of a bucket are held as one value.
     """
     kind = dict(chunks.dtypes)["stream_id"]
     rows = chunks.select("stream_id", "provider", F.col("seq").cast("bigint").alias("seq"), "chunk", F.coalesce("last", F.lit(False)).alias("last"), "ts").withWatermark("ts", watermark)
-    return rows.groupBy("stream_id").transformWithStateInPandas(_Reader(gap_ms, longest), _PAYLOAD.format(kind=kind), "Append", "EventTime", eventTimeColumnName="ts")
+    return bucketed(rows, buckets).transformWithStateInPandas(_Reader(gap_ms, longest), _PAYLOAD.format(kind=kind), "Append", "EventTime", eventTimeColumnName="ts")
 
 
 def stream_deltas(payloads: DataFrame) -> DataFrame:
@@ -189,7 +252,7 @@ def stream_deltas(payloads: DataFrame) -> DataFrame:
 
 
 class Response:
-    """What a stream has said so far, fragment by fragment; only what is new is kept here as lists."""
+    """What a stream has said so far, fragment by fragment."""
 
     def __init__(self, provider: str, calls: int = 0, most: int = -1, block: int | None = None, ended: bool = False, tokens: tuple = (None, None)):
         self.provider, self.calls, self.most, self.block, self.ended, self.tokens = provider, calls, most, block, ended, list(tokens)
@@ -249,109 +312,69 @@ class Response:
 _FRAGMENT_FIELDS = ("content", "block", "is_start", "call_key", "call_id", "call_name", "args", "input_tokens", "output_tokens", "ends", "error")
 
 
-class _Assembler(Silent):
-    """State of a stream: its text and arguments so far as lists, its calls and blocks as maps, payloads that came early."""
+class _Unsaid:
+    """State of a stream: its response so far, the number of the next payload, and payloads that came early."""
+
+    def __init__(self, provider: str):
+        self.provider, self.status, self.due = provider, OPEN, 0
+        self.at = 0
+        self.response: Response | None = Response(provider)
+        self.early: dict[int, list[dict]] = {}
+
+
+class _Assembler(Bucketed):
+    order, taken = ["seq", "ord"], ["seq", *_FRAGMENT_FIELDS]
+    made = ["stream_id", "provider", "content", "tool_calls", "input_tokens", "output_tokens", "error", "ts"]
 
     def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+        self.gap_ms, self.opened = gap_ms, _Unsaid
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.head = handle.getValueState("head", "provider string, status int, next bigint, waiting int, timer bigint, calls int, most int, block int, ended boolean, input_tokens bigint, output_tokens bigint")
-        self.texts = handle.getListState("texts", "text string")
-        self.pieces = handle.getListState("pieces", "call int, piece string")
-        self.names = handle.getMapState("names", "call int", "id string, name string")
-        self.blocks = handle.getMapState("blocks", "block int", "call int")
-        self.early = handle.getMapState("early", "seq bigint", "fragments string")
-
-    def _resumed(self, head: tuple) -> Response:
-        provider, _, _, _, _, calls, most, block, ended, *tokens = head
-        out = Response(provider, calls, most, block, ended, tuple(tokens))
-        if most >= 0:
-            out.names = {k: list(v) for (k,), v in self.names.iterator()}
-        if calls:
-            out.blocks = {k: v for (k,), (v,) in self.blocks.iterator()}
-        return out
-
-    def _cleared(self) -> None:
-        for state in (self.texts, self.pieces, self.names, self.blocks, self.early):
-            state.clear()
-
-    def _answer(self, now: Response) -> pd.DataFrame:
+    def _frame(self, found: list[tuple]) -> pd.DataFrame:
+        return super()._frame(found).drop(columns="ts").astype({"input_tokens": "Int64", "output_tokens": "Int64"})
+
+    def _answer(self, now: Response) -> tuple:
         if now.error is None and not now.ended and now.provider in SENTINELS:
             now.error = "stream ended without its last event"
-        ok = now.error is None
-        content = "".join([*(t for (t,) in self.texts.get()), *now.texts]) if ok else None
-        calls = None
-        if ok:
-            args: dict[int, list[str]] = {}
-            for k, piece in [*self.pieces.get(), *now.pieces]:
-                args.setdefault(k, []).append(piece)
-            calls = [dict(zip(("id", "name", "args"), (*now.names.get(k, ("", "")), "".join(args.get(k, ()))), strict=True)) for k in range(now.most + 1)]
-        tokens = [t or 0 for t in now.tokens] if ok else [None, None]
-        out = {"stream_id": [self.key], "provider": [now.provider], "content": [content], "tool_calls": [calls], "input_tokens": tokens[:1], "output_tokens": tokens[1:], "error": [now.error]}
-        return pd.DataFrame(out).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        (self.key,) = key
-        batch = rows_of(rows, ["seq", "ord"])
-        if not len(batch):
+        if now.error is not None:
+            return None, None, None, None, now.error
+        args: dict[int, list[str]] = {}
+        for k, piece in now.pieces:
+            args.setdefault(k, []).append(piece)
+        calls = [dict(zip(("id", "name", "args"), (*now.names.get(k, ("", "")), "".join(args.get(k, ()))), strict=True)) for k in range(now.most + 1)]
+        return "".join(now.texts), calls, *(t or 0 for t in now.tokens), None
+
+    def read(self, now: _Unsaid, rows: list[tuple], key: Any) -> Iterator[tuple]:
+        if now.status == CLOSED:
             return
-        head = self.head.get() if self.head.exists() else (batch["provider"].iloc[0], OPEN, 0, 0, None, 0, -1, None, False, None, None)
-        now, status, at, waiting = self._resumed(head), head[1], head[2], head[3]
         payloads: dict[int, list[dict]] = {}
-        own_columns = batch[["seq", *_FRAGMENT_FIELDS]]
-        for row in own_columns.astype(object).where(own_columns.notna(), None).to_dict("records"):
-            n = int(row.pop("seq"))
-            if n >= at:
-                payloads.setdefault(n, []).append({k: int(v) if isinstance(v, float) else v for k, v in row.items()})
-        for n, own in payloads.items() if status == OPEN else ():
-            if n > at:
-                waiting += not self.early.containsKey((n,))
-                self.early.updateValue((n,), (json.dumps(own, default=int),))
-            while n == at and status == OPEN:
-                now.take(own)
-                at += 1
-                if now.over():
-                    status = CLOSED
-                elif waiting and self.early.containsKey((at,)):
-                    n, own = at, json.loads(self.early.getValue((at,))[0])
-                    self.early.removeKey((at,))
-                    waiting -= 1
-        timer = self.moved(head[4], max(_millis(batch["ts"]), timerValues.getCurrentWatermarkInMs()))
-        if status == CLOSED and head[1] == OPEN:
-            yield self._answer(now)
-            self._cleared()
-            now = Response(now.provider)
-            waiting = 0
-        elif status == OPEN:
-            if now.texts:
-                self.texts.appendList([(t,) for t in now.texts])
-            if now.pieces:
-                self.pieces.appendList(now.pieces)
-            for k, v in now.names.items():
-                self.names.updateValue((k,), tuple(v))
-            for k, v in now.blocks.items():
-                self.blocks.updateValue((k,), (v,))
-        self.head.update((now.provider, status, at, waiting, timer, now.calls, now.most, now.block, now.ended, *now.tokens))
+        for n, *row in rows:
+            if n >= now.at:
+                payloads.setdefault(int(n), []).append({k: int(v) if isinstance(v, float) else v for k, v in zip(_FRAGMENT_FIELDS, row, strict=True)})
+        now.early |= payloads
+        while now.status == OPEN and now.at in now.early:
+            now.response.take(now.early.pop(now.at))
+            now.at += 1
+            if now.response.over():
+                now.status = CLOSED
+        if now.status == CLOSED:
+            yield self._answer(now.response)
+            now.response = None
+            now.early.clear()
+        else:
+            now.response.texts = ["".join(now.response.texts)]
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        (self.key,) = key
-        head = self.head.get()
-        if head[1] == OPEN:
-            now = self._resumed(head)
-            for _, own in sorted((n, json.loads(v)) for (n,), (v,) in self.early.iterator()) if head[3] else ():
-                if not now.over():
-                    now.take(own)
-            yield self._answer(now)
-        self._cleared()
-        self.head.clear()
+    def ended(self, now: _Unsaid, key: Any) -> Iterator[tuple]:
+        if now.status == OPEN:
+            for _, own in sorted(now.early.items()):
+                if not now.response.over():
+                    now.response.take(own)
+            yield self._answer(now.response)
 
 
 _RESPONSE = "stream_id {kind}, provider string, content string, tool_calls " + CALLS + ", input_tokens bigint, output_tokens bigint, error string"
 
 
-def assemble_stream(payloads: DataFrame, gap_ms: int = 600_000) -> DataFrame:
+def assemble_stream(payloads: DataFrame, gap_ms: int = 600_000, buckets: int = BUCKETS) -> DataFrame:
     """Payloads (``stream_payloads``) -> stream_id, provider, content, tool_calls, input_tokens, output_tokens, error.
 
     A response is emitted when its provider's end, or an error, arrives; usage that follows a framed
@@ -361,7 +384,7 @@ def assemble_stream(payloads: DataFrame, gap_ms: int = 600_000) -> DataFrame:
     """
     kind = dict(payloads.dtypes)["stream_id"]
     fragments = stream_deltas(payloads).where("provider is not null").select("stream_id", "provider", "seq", "ord", "ts", *_FRAGMENT_FIELDS)
-    made = fragments.groupBy("stream_id").transformWithStateInPandas(_Assembler(gap_ms), _RESPONSE.format(kind=kind), "Append", "EventTime")
+    made = bucketed(fragments, buckets).transformWithStateInPandas(_Assembler(gap_ms), _RESPONSE.format(kind=kind), "Append", "EventTime")
     calls = F.transform("tool_calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), normalize_args(c["args"]).alias("args")))
     made = made.withColumn("tool_calls", calls)
     wrong = (F.col("provider") == "anthropic") & F.exists("tool_calls", lambda c: ~is_json(c["args"]))
