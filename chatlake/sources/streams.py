@@ -88,13 +88,31 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def decode_event_frames(bodies: DataFrame) -> DataFrame:
-    """stream_id, body (binary) -> stream_id, seq, headers, payload, error; a stream ends with its first bad frame."""
+_KINDS = (pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, n, list(h.items()) if h is not None else None, p, e) for i, b in zip(batch.column("stream_id").to_pylist(), batch.column("body").to_pylist(), strict=True) for n, (h, p, e) in enumerate(frames(b or b""))]
-            kinds = (pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["stream_id", "seq", "headers", "payload", "error"])
 
-    return bodies.select("stream_id", "body").mapInArrow(run, "stream_id bigint, seq bigint, headers map<string,string>, payload string, error string")
+def _decoded(batches: Iterator[pa.RecordBatch], most_rows: int, most_chars: int) -> Iterator[pa.RecordBatch]:
+    """The frames of all bodies, passed on as soon as there are so many frames or characters of them."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=["stream_id", "seq", "headers", "payload", "error"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for i, body in zip(batch.column("stream_id"), batch.column("body"), strict=True):
+            for n, (h, p, e) in enumerate(frames(body.as_py() or b"")):
+                rows.append((i.as_py(), n, list(h.items()) if h is not None else None, p, e))
+                held += len(p or "")
+                if len(rows) >= most_rows or held >= most_chars:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+
+def decode_event_frames(bodies: DataFrame, most_rows: int = 4096, most_chars: int = 4 << 20) -> DataFrame:
+    """stream_id, body (binary) -> stream_id, seq, headers, payload, error; a stream ends with its first bad frame.
+
+    A task holds one Arrow batch of bodies and so many decoded frames, or characters of theirs, at a time.
+    """
+    return bodies.select("stream_id", "body").mapInArrow(lambda batches: _decoded(batches, most_rows, most_chars), "stream_id bigint, seq bigint, headers map<string,string>, payload string, error string")

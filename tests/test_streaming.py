@@ -116,3 +116,38 @@ def test_a_run_s_last_round_closes_on_silence_and_each_run_crosses_once(spark, t
     got = sorted((r["run_id"], r["round"], r["crossed_kind"], r["limit"], r["actual"]) for r in out.collect())
     assert got == [(1, 0, "input_tokens", 5, 6), (2, 1, "input_tokens", 5, 6), (3, 0, "input_tokens", 5, 9)]
     assert progress[-1].stateOperators[0].numRowsTotal == 0
+
+
+def test_streams_share_state_by_bucket_and_close_each_in_its_own_time(spark, tmp_path):
+    """Hundreds of streams in two buckets: a value of state and a timer each; a stream that goes on isn't closed with the silent ones."""
+    n = 300
+    text = [f'data: {{"candidates":[{{"content":{{"parts":[{{"text":"{x}"}}]}}}}]}}\n'.encode() for x in "abc"]
+    first = [(i, "gemini", 0, bytearray(text[0]), False, START) for i in range(n)]
+    second = [(i, "gemini", 1, bytearray(text[1]), False, START + 500) for i in range(0, n, 3)] + [(-1, "none", 0, None, False, START + 4500)]
+    third = [(i, "gemini", 2, bytearray(text[2]), True, START + 4600) for i in range(0, n, 3)] + [(-1, "none", 0, None, False, START + 10**6)]
+    # a gap that the first silence passes for two streams of three, and the others only just don't
+    source = _source(spark, [first, second, third], PAYLOAD, f"{tmp_path}/in")
+    made, progress = _drain(R.assemble_stream(R.stream_payloads(source, gap_ms=700_000, buckets=2), gap_ms=700_000, buckets=2), str(tmp_path))
+    assert sorted((r["stream_id"], r["content"], r["error"]) for r in made.collect()) == [(i, "abc" if i % 3 == 0 else "a", None) for i in range(n)]
+    assert max(s.numRowsTotal for p in progress for s in p.stateOperators) <= 4 and sum(s.numRowsTotal for s in progress[-1].stateOperators) == 0
+
+
+def test_decoded_frames_leave_in_small_batches():
+    """A batch of bodies never becomes one batch of all their frames."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    def frame(payload: bytes) -> bytes:
+        start = struct.pack(">II", len(payload) + 16, 0)
+        start += struct.pack(">I", zlib.crc32(start))
+        return start + payload + struct.pack(">I", zlib.crc32(payload, zlib.crc32(start[:8])))
+
+    bodies = [b"".join(frame(b"%d %d" % (i, n)) for n in range(50)) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(bodies)], names=["stream_id", "body"])
+    for most in ((64, 1 << 20), (1 << 20, 128)):
+        made = list(SRC._decoded(iter([batch]), *most))
+        assert max(b.num_rows for b in made) <= 64
+        rows = [(r["stream_id"], r["seq"], r["payload"], r["error"]) for b in made for r in b.to_pylist()]
+        assert rows == [(i, n, f"{i} {n}", None) for i in range(20) for n in range(50)]
