@@ -104,10 +104,10 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(whole: DataFrame, width: Column) -> DataFrame:
     """stream_id, provider, seq, chunk, last, ts, n: bodies cut every ``width`` bytes, a second apart.
 
-    A broken stream's last chunk isn't marked.
+    A broken stream's last chunk isn't marked. There is always a chunk; an inner explode would make each body once more to see that.
     """
     n = F.greatest(F.ceil(F.length("body") / F.col("_width")), F.lit(1)).cast("int")
-    rows = whole.withColumn("_width", width.cast("int")).withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
+    rows = whole.withColumn("_width", width.cast("int")).withColumn("n", n).select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
     chunk = F.substr("body", F.col("seq") * F.col("_width") + 1, F.col("_width"))
     last = (F.col("seq") == F.col("n") - 1) & (F.col("kind") != BROKEN)
     return rows.select("stream_id", "provider", F.col("seq").cast("bigint").alias("seq"), chunk.alias("chunk"), last.alias("last"), F.timestamp_seconds(F.lit(START) + F.col("seq")).alias("ts"), "n")

@@ -136,7 +136,13 @@ def response_parts(payloads: DataFrame, provider: str | None = None) -> DataFram
 
 
 def _exploded(parts: DataFrame) -> DataFrame:
-    return parts.select("stream_id", "seq", F.explode("parts").alias("f")).select("stream_id", "seq", "f.*")
+    """A row a fragment.
+
+    Before an inner explode Spark tests that its array is there and not empty, and parses the payload once
+    more for that; an outer one has no such test.
+    """
+    rows = parts.select("stream_id", "seq", F.explode_outer("parts").alias("f")).where("f is not null")
+    return rows.select("stream_id", "seq", "f.*")
 
 
 def openai_fragments(payloads: DataFrame) -> DataFrame:

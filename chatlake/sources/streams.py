@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def parse_sse(bodies: DataFrame) -> DataFrame:
     """stream_id, body -> stream_id, seq, data: every ``data:`` line, trimmed; other lines are skipped."""
-    lines = bodies.select("stream_id", F.posexplode(F.split("body", "\n")).alias("seq", "line"))
+    # outer, so that a body isn't made and split once more to see whether it has lines; none has no line that begins so
+    lines = bodies.select("stream_id", F.posexplode_outer(F.split("body", "\n")).alias("seq", "line"))
     return lines.where(F.startswith("line", F.lit("data:"))).select("stream_id", "seq", F.btrim(F.substring("line", 6, 1 << 30), F.lit(" \t\r")).alias("data"))
 
 

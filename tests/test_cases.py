@@ -259,3 +259,14 @@ def test_a_stream_is_parsed_once_and_dealt_out_once(spark):
         df.explain()
     plan = out.getvalue()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_payload_is_parsed_once_and_not_again_by_a_filter(spark):
+    """No filter of the plans reads JSON or cuts bodies; empty arrays and bodies without data lines give no rows."""
+    bodies = spark.createDataFrame([(1, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: [DONE]\n'), (2, ""), (3, None), (4, "x: y\n")], "stream_id long, body string")
+    for read in (ST.openai_fragments, ST.anthropic_fragments, ST.gemini_fragments):
+        made = read(SRC.parse_sse(bodies))
+        plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        filters = [line for line in plan if line.lstrip(" +-:*").startswith("Filter")]
+        assert filters and not [f for f in filters if "from_json" in f or "split" in f]
+        assert {r["stream_id"] for r in made.collect()} == {1}
