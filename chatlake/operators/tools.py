@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from chatlake.functions.json_text import decoded, is_json
 from chatlake.functions.scalar import INTERRUPTED, RECORDED
+from chatlake.operators.dealt import dealt
 
 
 def _field(args: Column, field: str) -> Column:
@@ -95,12 +96,17 @@ def schedule_tool_groups(calls: DataFrame, catalog: DataFrame, parallel: bool =
     ends them, in the order in which they were made. Without ``parallel`` each call is its own group.
     """
     own = Window.partitionBy("run_id", "turn").orderBy("ord")
-    rows = calls.join(catalog.select("name", F.coalesce("sequential", F.lit(False)).alias("alone")), "name", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    rows = calls.join(catalog.select("name", F.coalesce("sequential", F.lit(False)).alias("alone")), "name", "left")
+    rows = dealt(rows.select("run_id", "turn", "ord", F.coalesce("alone", F.lit(False)).alias("alone")), "run_id", "turn")
     opens = F.lit(not parallel) | F.col("alone") | F.coalesce(F.lag("alone").over(own), F.lit(True))
     rows = rows.withColumn("_opens", opens.cast("int")).withColumn("grp", F.sum("_opens").over(own) - 1)
-    events = rows.select("run_id", "turn", "grp", "ord", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("event"))
-    order = Window.partitionBy("run_id", "turn").orderBy("grp", F.col("event").desc(), "ord")
-    return events.withColumn("seq", F.row_number().over(order) - 1)
+    # a group's n calls start at its first's place doubled, and end n later: no sort of both events
+    rows = rows.withColumn("_at", F.row_number().over(own) - 1)
+    group = Window.partitionBy("run_id", "turn", "grp")
+    rows = rows.withColumns({"_first": F.min("_at").over(group), "_n": F.count("*").over(group)})
+    events = rows.select("*", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("event"))
+    seq = F.col("_first") + F.col("_at") + F.when(F.col("event") == "end", F.col("_n")).otherwise(0)
+    return events.select("run_id", "turn", "grp", "ord", "event", seq.cast("int").alias("seq"))
 
 
 def close_output_calls(calls: DataFrame, output_tool: str, rejections: DataFrame | None = None) -> DataFrame:

@@ -270,3 +270,19 @@ def test_a_payload_is_parsed_once_and_not_again_by_a_filter(spark):
         filters = [line for line in plan if line.lstrip(" +-:*").startswith("Filter")]
         assert filters and not [f for f in filters if "from_json" in f or "split" in f]
         assert {r["stream_id"] for r in made.collect()} == {1}
+
+
+def test_schedules_histories_and_tool_lists_are_dealt_to_all_partitions(spark):
+    """Plans with the session's number of partitions by key, which adaptive execution doesn't join; one sort's worth of rows for both events."""
+    from chatlake.operators import rpc
+
+    calls = spark.range(8).selectExpr("id % 2 as run_id", "0 as turn", "cast(id as int) as ord", "concat('t', id % 3) as name")
+    catalog = spark.createDataFrame([("t0", True), ("t1", False)], "name string, sequential boolean")
+    made = T.schedule_tool_groups(calls, catalog)
+    log = spark.createDataFrame([(1, 1, '{"id":1,"method":"tools/list"}')], "session_id long, seq long, raw string")
+    kept, _ = H.process_history(conversation(spark, ("user",)), H.trimmed(1))
+    for df, key in ((made, "run_id"), (rpc.collect_tool_lists(log), "session_id"), (kept, "conv_id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert any("RepartitionByExpression" in line and key in line and ", 4" in line for line in plan.splitlines())
+    rows = [(r["run_id"], r["seq"], r["grp"], r["ord"], r["event"]) for r in made.orderBy("run_id", "seq").collect()]
+    assert [r[1:] for r in rows if r[0] == 0] == [(0, 0, 0, "start"), (1, 0, 0, "end"), (2, 1, 2, "start"), (3, 1, 4, "start"), (4, 1, 2, "end"), (5, 1, 4, "end"), (6, 2, 6, "start"), (7, 2, 6, "end")]
