@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalar import INTERRUPTED, opens_conversation
+from chatlake.operators.dealt import dealt
 
 CALLS = "array<struct<id:string,name:string,args:string>>"
 
@@ -106,7 +107,7 @@ def process_history(messages: DataFrame, *processors: Callable[[DataFrame], Data
     made of it. The first error of a step counts. A processor that raises fails the job, as
     its error is the program's.
     """
-    failed = None
+    failed, messages = None, dealt(messages, "conv_id")
     for step, processor in enumerate(processors):
         made = processor(messages)
         made, errors = made if isinstance(made, tuple) else (made, None)
