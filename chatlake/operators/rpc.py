@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalar import canonical_json
+from chatlake.operators.dealt import dealt
 
 _MESSAGE = "struct<id:string,method:string,params:string,result:string,error:struct<code:bigint,message:string>>"
 
@@ -39,7 +40,7 @@ def match_rpc(log: DataFrame) -> DataFrame:
 
 def collect_tool_lists(log: DataFrame) -> DataFrame:
     """session_id, ord, name, description, schema: the pages of tools/list up to the first without a cursor."""
-    pages = match_rpc(log).where("method = 'tools/list' and error is null").withColumn("p", F.from_json("result", "struct<tools:array<struct<name:string,description:string,inputSchema:string>>,nextCursor:string>"))
+    pages = match_rpc(dealt(log, "session_id")).where("method = 'tools/list' and error is null").withColumn("p", F.from_json("result", "struct<tools:array<struct<name:string,description:string,inputSchema:string>>,nextCursor:string>"))
     before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     closed = F.coalesce(F.sum(F.when(F.coalesce("p.nextCursor", F.lit("")) == "", 1).otherwise(0)).over(before), F.lit(0))
     tools = pages.withColumn("_closed", closed).where("_closed = 0").select("session_id", "seq", F.posexplode("p.tools").alias("i", "t"))
