@@ -97,7 +97,7 @@ def schedule_tool_groups(calls: DataFrame, catalog: DataFrame, parallel: bool =
     """
     own = Window.partitionBy("run_id", "turn").orderBy("ord")
     rows = calls.join(catalog.select("name", F.coalesce("sequential", F.lit(False)).alias("alone")), "name", "left")
-    rows = dealt(rows.select("run_id", "turn", "ord", F.coalesce("alone", F.lit(False)).alias("alone")), "run_id", "turn")
+    rows = dealt(rows.select("run_id", "turn", "ord", F.coalesce("alone", F.lit(False)).alias("alone")), "run_id")
     opens = F.lit(not parallel) | F.col("alone") | F.coalesce(F.lag("alone").over(own), F.lit(True))
     rows = rows.withColumn("_opens", opens.cast("int")).withColumn("grp", F.sum("_opens").over(own) - 1)
     # a group's n calls start at its first's place doubled, and end n later: no sort of both events
