@@ -67,6 +67,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reopened(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """What ``materialise`` wrote, read in another session of the same application."""
+    return spark.read.schema(df.schema).parquet(_WRITTEN[df])
+
+
 def delete(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that ``materialise`` wrote and that nothing reads any more; others are left alone."""
     for table in tables:
