@@ -57,8 +57,15 @@ def _leaf(v: Column, kind: Column, wanted: T.DataType) -> tuple[Column, Column,
 
 
 def _decoded(v: Column, wanted: T.DataType, path: Column) -> Column:
-    """variant -> struct<value, error>: error tells the first place that doesn't fit, in the schema's order."""
-    kind = F.schema_of_variant(v)
+    """variant -> struct<value, error>: error tells the first place that doesn't fit, in the schema's order.
+
+    Each value and its kind are bound: unbound, each use at each depth would read it anew from the text.
+    """
+    return _bound(v, lambda v: _bound(F.schema_of_variant(v), lambda kind: _read(v, kind, wanted, path)))
+
+
+def _read(v: Column, kind: Column, wanted: T.DataType, path: Column) -> Column:
+    """``_decoded`` of a bound value of a kind."""
     absent = v.isNull() | (kind == "VOID")
 
     def wrong(fits: Column) -> Column:
@@ -86,7 +93,7 @@ def _decoded(v: Column, wanted: T.DataType, path: Column) -> Column:
         items = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), _decoded(e["value"], wanted.valueType, F.concat(path, F.lit("."), e["key"])).alias("d")))
         return _bound(items, lambda d: both(F.coalesce(F.map_from_entries(F.transform(d, lambda x: F.struct(x["key"], x["d"]["value"]))), F.create_map().cast(wanted.simpleString())), F.coalesce(wrong(kind.startswith("OBJECT")), first(F.transform(d, lambda x: x["d"])))))
     fits, value, zero = _leaf(v, kind, wanted)
-    return both(F.when(F.coalesce(fits, F.lit(False)), value).otherwise(zero), wrong(fits))
+    return _bound(F.when(F.coalesce(fits, F.lit(False)), F.struct(value.alias("own"))), lambda x: both(F.when(x.isNotNull(), x["own"]).otherwise(zero), wrong(x.isNotNull())))
 
 
 def decoded(text: Column, schema: str | T.DataType) -> Column:

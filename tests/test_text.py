@@ -107,6 +107,13 @@ def test_decoded_values_zeros_ranges_and_paths(spark):
             decoded(F.col("t"), bad)
 
 
+def test_decoding_parses_a_text_twice_at_any_depth(spark):
+    """Once for the values and once for repeated keys; each use at each depth parsed it anew."""
+    for schema in ("a int", "n struct<i:tinyint,d:double>, l array<array<int>>, m map<string,struct<s:string>>, o struct<o:struct<o:struct<o:bigint>>>"):
+        plan = spark.createDataFrame([], "t string").select(decoded(F.col("t"), schema).alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("parse_json(") == 2, schema
+
+
 def page(page_id, html, most=3000):
     if page_id % 7 == 0:
         return None, "unexpected status 404"
