@@ -273,19 +273,25 @@ class LogBilinear:
         # a column of ones meets the biases
         outcomes = np.hstack([self.r, self.b[:, None]]).T
         members = np.hstack([self.w, self.u[:, None]])
+        # parts that stay in the processor's cache, in the same memory throughout
+        rows_at_once = 512
+        outcome_room, member_room = np.empty((rows_at_once, OUTCOMES), np.float32), np.empty((rows_at_once, MEMBERS), np.float32)
         for at in range(0, len(ids), batch):
             own = slice(at, at + batch)
             h = np.ones((len(targets[own]), DIMENSIONS + 1), np.float32)
             h[:, :-1] = sum(table[x] for table, x in zip(tables, contexts[:, own], strict=True))
-            # parts that stay in the processor's cache
-            for a in range(0, len(h), 1024):
-                s = h[a : a + 1024] @ outcomes
-                true = s[np.arange(len(s)), targets[at + a : at + a + 1024]]
+            for a in range(0, len(h), rows_at_once):
+                part = h[a : a + rows_at_once]
+                s = np.matmul(part, outcomes, out=outcome_room[: len(part)])
+                true = s[np.arange(len(s)), targets[at + a : at + a + rows_at_once]]
                 out[at + a : at + a + len(s)] = true - _log_sums(s)
-            for of, rows in _by_class(ids[own]):
-                s = h[rows] @ members[of * MEMBERS : (of + 1) * MEMBERS].T
-                true = s[np.arange(len(rows)), ids[at + rows] - SINGLES - of * MEMBERS]
-                out[at + rows] += true - _log_sums(s)
+            for of, found in _by_class(ids[own]):
+                theirs = members[of * MEMBERS : (of + 1) * MEMBERS].T
+                for a in range(0, len(found), rows_at_once):
+                    rows = found[a : a + rows_at_once]
+                    s = np.matmul(h[rows], theirs, out=member_room[: len(rows)])
+                    true = s[np.arange(len(rows)), ids[at + rows] - SINGLES - of * MEMBERS]
+                    out[at + rows] += true - _log_sums(s)
         return out
 
 
@@ -321,13 +327,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sums of their rows."""
+def _summed(keys: np.ndarray, rows: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their rows, which are sorted into ``room``."""
     # numpy sorts 16-bit keys by their digits
     order = np.argsort(keys.astype(np.uint16) if IDS <= 1 << 16 else keys, kind="stable")
     ordered = keys[order]
     cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[cuts], np.add.reduceat(rows[order], cuts, axis=0)
+    return ordered[cuts], np.add.reduceat(np.take(rows, order, axis=0, out=room, mode="clip"), cuts, axis=0)
 
 
 class Stepper:
@@ -343,6 +349,17 @@ class Stepper:
         self.ends, ends = np.cumsum(model.noise), np.cumsum(model.member_noise.reshape(CLASSES, MEMBERS), axis=1)
         #: Each class's cumulated shares, after those of the classes before it.
         self.flat_member_ends = (ends / ends[:, -1:] + np.arange(CLASSES)[:, None]).ravel()
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that every minibatch uses again, as fetching new pages for each took a quarter of the time."""
+        size = int(np.prod(shape))
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size + size // 4, np.float32)
+        return self.rooms[name][:size].reshape(shape)
+
+    def _taken(self, name: str, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.take(table, rows, axis=0, out=self._room(name, len(rows), table.shape[1]), mode="clip")
 
     def _drawn(self, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Which outcomes n draws from cumulated shares give, and how often."""
@@ -362,22 +379,22 @@ class Stepper:
         own = slice(first, first + size)
         vectors, biases, log_noise = getattr(self.m, parts[0])[own], getattr(self.m, parts[1])[own], log_noise[own]
         noise, times = drawn[0], drawn[1].astype(np.float32)
-        true, others = vectors[at], vectors[noise]
+        true, others = self._taken("back", vectors, at), vectors[noise]
         hit = 1 - _sigmoid(np.einsum("ij,ij->i", h, true) + (biases - log_noise)[at])
         true *= hit[:, None]
         grads, levels, uses = np.zeros_like(vectors), np.bincount(at, hit, size).astype(np.float32), np.bincount(at, minlength=size)
-        rows, sums = _summed(at, h * hit[:, None])
+        rows, sums = _summed(at, np.multiply(h, hit[:, None], out=self._room("product", *h.shape)), self._room("sorted", *h.shape))
         grads[rows] = sums
         uses[noise] += 1
         against = (biases - log_noise)[noise]
         # parts that stay in the processor's cache
         for a in range(0, len(h), 2048):
             own = slice(a, a + 2048)
-            miss = h[own] @ others.T
+            miss = np.matmul(h[own], others.T, out=self._room("miss", len(h[own]), len(noise)))
             miss += against
             miss = _sigmoid(miss)
             miss *= -times
-            true[own] += miss @ others
+            true[own] += np.matmul(miss, others, out=self._room("product", len(miss), DIMENSIONS))
             grads[noise] += miss.T @ h[own]
             levels[noise] += miss.sum(axis=0)
         rows = np.flatnonzero(uses)
@@ -406,55 +423,62 @@ class Stepper:
         places[empty] = 0
         noise = np.minimum(np.searchsorted(self.flat_member_ends, self.rng.random((CLASSES, MEMBER_NOISE)) + np.arange(CLASSES)[:, None], side="right"), np.arange(1, CLASSES + 1)[:, None] * MEMBERS - 1)
         vectors, biases = self.m.w, self.m.u
-        own, true = h[rows], vectors[at]
+        own, true = self._taken("own", h, rows), self._taken("true", vectors, at)
         hit = 1 - _sigmoid(np.einsum("ij,ij->i", own, true) + (biases - self.log_member_noise)[at])
         others, against = vectors[noise], (biases - self.log_member_noise)[noise]
-        back[rows] += true * hit[:, None]
-        grads, levels = np.empty((len(of), MEMBER_NOISE, DIMENSIONS), np.float32), np.empty((len(of), MEMBER_NOISE), np.float32)
+        true *= hit[:, None]
+        back[rows] += true
+        grads, levels = self._room("gradients", len(of), MEMBER_NOISE, DIMENSIONS), np.empty((len(of), MEMBER_NOISE), np.float32)
         # parts that stay in the processor's cache
         for a in range(0, len(of), 16):
             part = slice(a, a + 16)
             x, theirs = own[places[part]], others[of[part]]
-            miss = _sigmoid(x @ theirs.transpose(0, 2, 1) + against[of[part]][:, None, :])
+            miss = np.matmul(x, theirs.transpose(0, 2, 1), out=self._room("misses", len(x), BLOCK, MEMBER_NOISE))
+            miss += against[of[part]][:, None, :]
+            miss = _sigmoid(miss)
             np.negative(miss, out=miss)
             miss[empty[part]] = 0
             filled = ~empty[part]
             back[rows[places[part][filled]]] += (miss @ theirs)[filled]
-            grads[part] = miss.transpose(0, 2, 1) @ x
+            np.matmul(miss.transpose(0, 2, 1), x, out=grads[part])
             levels[part] = miss.sum(axis=1)
         met = np.flatnonzero(blocks)
         firsts = (np.cumsum(blocks) - blocks)[met]
         keys = np.concatenate([at, noise[met].ravel()])
-        moved = np.empty((len(keys), DIMENSIONS + 1), np.float32)
-        moved[: len(at), :-1], moved[: len(at), -1] = own * hit[:, None], hit
+        moved = self._room("moved", len(keys), DIMENSIONS + 1)
+        np.multiply(own, hit[:, None], out=moved[: len(at), :-1])
+        moved[: len(at), -1] = hit
         moved[len(at) :, :-1], moved[len(at) :, -1] = np.add.reduceat(grads, firsts, axis=0).reshape(-1, DIMENSIONS), np.add.reduceat(levels, firsts, axis=0).ravel()
         used = np.bincount(at, minlength=MIDDLE)
         used[np.unique(noise[met])] += 1
-        found, sums = _summed(keys, moved)
+        found, sums = _summed(keys, moved, self._room("sorted", *moved.shape))
         self._move("w", found, sums[:, :-1], used[found])
         self._move("u", found, sums[:, -1], used[found])
 
     def step(self, ids: np.ndarray, starts: np.ndarray) -> None:
         m, n = self.m, len(ids)
-        own = m.q[ids]
+        own = self._taken("own", m.q, ids)
         # where fewer than i + 1 tokens stand before a token in its text, an end stands in their place
         begins = np.zeros(n, np.int64)
         begins[starts] = starts
         inside = np.arange(n) - np.maximum.accumulate(begins)
         bare, vectors = [np.flatnonzero(inside <= i) for i in range(CONTEXT)], []
         for i in range(CONTEXT):
-            x = np.empty_like(own)
+            x = self._room(f"context {i}", *own.shape)
             x[i + 1 :] = own[: n - i - 1]
             x[bare[i]] = m.q[0]
             vectors.append(x)
-        h = sum(x @ c for x, c in zip(vectors, m.c, strict=True))
+        h, product = np.matmul(vectors[0], m.c[0], out=self._room("hidden", *own.shape)), self._room("product", *own.shape)
+        for x, c in zip(vectors[1:], m.c[1:], strict=True):
+            h += np.matmul(x, c, out=product)
         back = self._contrast(h, outcome(ids), 0, OUTCOMES, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
         self._contrast_members(h, ids, back)
         matrices = np.stack([x.T @ back for x in vectors])
         # a token's vector gathers what it did as a context of the tokens after it
-        grads, times, end, ends = np.zeros((n + 1, DIMENSIONS), np.float32), np.zeros(n + 1, np.int64), np.zeros(DIMENSIONS, np.float32), 0
+        grads, times, end, ends = self._room("gathered", n + 1, DIMENSIONS), np.zeros(n + 1, np.int64), np.zeros(DIMENSIONS, np.float32), 0
+        grads.fill(0)
         for i, c in enumerate(m.c):
-            g = back @ c.T
+            g = np.matmul(back, c.T, out=product)
             end += g[bare[i]].sum(axis=0)
             ends += len(bare[i])
             g[bare[i]] = 0
@@ -462,7 +486,7 @@ class Stepper:
             times[: max(0, n - i - 1)] += inside[i + 1 :] > i
         grads[n], times[n] = end, ends
         keys = np.append(ids, 0)
-        rows, sums = _summed(keys, grads)
+        rows, sums = _summed(keys, grads, self._room("sorted", *grads.shape))
         self._move("q", rows, sums, np.bincount(keys, times, IDS).astype(np.int64)[rows])
         self._move("c", np.arange(CONTEXT), matrices, np.full(CONTEXT, n))
 
