@@ -79,6 +79,15 @@ def delete(spark: SparkSession, *tables: DataFrame) -> None:
             _drop(spark, path)
 
 
+def gathered(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """In tasks of some 100,000 rows; or, for a table of one row a group, in as many as there are cores.
+
+    However many partitions the session shuffles into: the driver keeps an account of every task, and a step of
+    several shuffles of a few rows would add thousands.
+    """
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism) if rows is None else rows // 100_000 + 1)
+
+
 def joined(rows: DataFrame, side: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """Left join of rows with a side of one row a key, whichever keys are hot."""
     most = max(rows.count() // share, share)

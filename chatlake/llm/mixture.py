@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import materialise, n_words, read
+from chatlake.llm.common import gathered, materialise, n_words, read
 
 #: Weights by the sources' rank, repeating.
 WEIGHTS = (3, 1, 2)
@@ -72,7 +72,7 @@ def dual(bins: DataFrame, sources: DataFrame, cap: float = 2.0, rounds: int = 8,
     for _ in range(rounds):
         for _ in range(steps):
             state = _step(bins, state, cap)
-        state = materialise(state, "mix-tilts")
+        state = materialise(gathered(state), "mix-tilts")
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
     # sums of floating-point numbers differ in their last digits from run to run; the tilt doesn't
@@ -90,6 +90,7 @@ def _step(bins: DataFrame, state: DataFrame, cap: float) -> DataFrame:
         .groupBy(*key)
         .agg(F.sum("words").alias("words"), F.sum("curve").alias("curve"))
     )
+    sums = gathered(sums)
     miss = F.col("words") - F.col("target")
     newton = F.col("tilt") - F.try_divide(miss, F.col("curve"))
     high, low = F.when(miss > 0, F.col("tilt")).otherwise(F.col("high")), F.when(miss > 0, F.col("low")).otherwise(F.col("tilt"))
@@ -163,14 +164,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         docs.select(*keys, "source", n_words(F.col("text")).alias("size")).withColumn("order", F.xxhash64(*keys, "size")).withColumn("salt", F.pmod(F.col("order"), F.lit(SALTS))), "sizes"
     )
     parts = materialise(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "size-parts")
-    bins = materialise(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "size-bins")
-    per_source = bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    bins = materialise(gathered(parts.groupBy("source", "size").agg(F.sum("n").alias("n"))), "size-bins")
+    per_source = gathered(bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")))
     goals = targets(per_source.select("source", "source_size"), weights, share, float(cap)).alias("g")
-    sources = materialise(per_source.alias("p").join(goals, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p.source_size", "docs", "target"), "mix-sources")
-    planned = materialise(copies_by_size(bins, sources, dual(bins, sources, float(cap)), cap), "mix-copies")
+    sources = materialise(gathered(per_source.alias("p").join(goals, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p.source_size", "docs", "target")), "mix-sources")
+    planned = materialise(gathered(copies_by_size(bins, sources, dual(bins, sources, float(cap)), cap)), "mix-copies")
     # what neither steps nor repairs closed is told with every row
     gaps = planned.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.max("target")).alias("source_gap")).alias("g")
-    sources = materialise(sources.alias("p").join(gaps, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_gap"), "mix-gaps")
+    sources = materialise(gathered(sources.alias("p").join(gaps, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_gap")), "mix-gaps")
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("source", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).alias("o")
     plan = planned.alias("c")

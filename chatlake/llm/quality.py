@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import SPACES, let, materialise, read, words
+from chatlake.llm.common import SPACES, gathered, let, materialise, read, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Share of a group that the estimate rests on, and the documents that a source or language needs for its own.
@@ -112,8 +112,8 @@ def _grouped(stats: DataFrame) -> DataFrame:
     A group is (level, language, source): level 0 a source within its language, 1 a language, 2 all
     languages that are too small for 1.
     """
-    sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    languages = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    sizes = gathered(stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")))
+    languages = gathered(sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.min("n").alias("least")))
     a, b = sizes.alias("a"), languages.alias("b")
     sizes = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.lang", "a.source", F.when(F.col("a.n") >= LEAST, 0).when(F.col("b.n") >= LEAST, 1).otherwise(2).alias("level"), (F.col("least") < LEAST).alias("asked"))
     v, s = stats.select("*", *_vector()).alias("v"), sizes.alias("s")
@@ -166,7 +166,7 @@ def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def _estimate(rows: DataFrame) -> DataFrame:
     """Centre and covariance of each group's rows."""
     sums = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)), *(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i, j in _pairs()))
-    return _cholesky(sums.select("grp", "n", *(f"m{i}" for i in range(P)), *((F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in _pairs())))
+    return _cholesky(gathered(sums).select("grp", "n", *(f"m{i}" for i in range(P)), *((F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in _pairs())))
 
 
 def _log_determinant() -> Column:
@@ -179,30 +179,31 @@ def _log_determinant() -> Column:
 def mcd(rows: DataFrame, h: float = H, steps: int = STEPS, settled: float = SETTLED) -> DataFrame:
     """grp, x* -> grp, n (the whole group's), m*, l*: the estimate of each group."""
     medians = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(FEATURES)))
-    centred = rows.alias("r").join(medians.alias("e"), F.col("r.grp").eqNullSafe(F.col("e.grp"))).select("r.grp", "e.n", *(f"m{i}" for i in range(P)), *(F.round(F.abs(F.col(x) - F.col(f"m{i}")), 3).alias(x) for i, x in enumerate(FEATURES)))
+    centred = rows.alias("r").join(gathered(medians).alias("e"), F.col("r.grp").eqNullSafe(F.col("e.grp"))).select("r.grp", "e.n", *(f"m{i}" for i in range(P)), *(F.round(F.abs(F.col(x) - F.col(f"m{i}")), 3).alias(x) for i, x in enumerate(FEATURES)))
     spread = centred.groupBy("grp", "n", *(f"m{i}" for i in range(P))).agg(*(((1.4826 * F.percentile(x, F.lit(0.5))) ** 2).alias(f"c{i}{i}") for i, x in enumerate(FEATURES)))
-    start = _cholesky(spread.select("*", *(F.lit(0.0).alias(f"c{i}{j}") for i, j in _pairs() if i != j)))
+    start = _cholesky(gathered(spread).select("*", *(F.lit(0.0).alias(f"c{i}{j}") for i, j in _pairs() if i != j)))
     # each start is a group of its own
     named = lambda df, i: df.withColumn("grp", F.struct(F.lit(i).alias("start"), F.col("grp").alias("of")))
     plain = _estimate(rows)
-    estimate = materialise(named(start, 0).unionByName(named(plain, 1)).withColumn("log_det", F.lit(float("inf"))), "mcd-estimate")
+    estimate = materialise(gathered(named(start, 0).unionByName(named(plain, 1)).withColumn("log_det", F.lit(float("inf")))), "mcd-estimate")
     totals = estimate.where("grp.start = 0").select(F.col("grp.of").alias("grp"), F.col("n").alias("all"))
     twice = rows.withColumn("grp", F.explode(F.array(*(F.struct(F.lit(i).alias("start"), F.col("grp").alias("of")) for i in range(2)))))
     for _ in range(steps):
         measured = _measured(twice, estimate.drop("log_det")).withColumn("ring", F.floor(F.log(F.col("d2") + 1e-6) * 200))
         bound = measured.groupBy("grp").agg(F.percentile("ring", F.lit(h)).alias("bound"))
-        near = measured.alias("a").join(bound.alias("b"), F.col("a.grp").eqNullSafe(F.col("b.grp"))).where(F.col("ring") <= F.col("bound")).select("a.grp", *FEATURES)
+        near = measured.alias("a").join(gathered(bound).alias("b"), F.col("a.grp").eqNullSafe(F.col("b.grp"))).where(F.col("ring") <= F.col("bound")).select("a.grp", *FEATURES)
         before, after = estimate.alias("a"), _estimate(near).withColumn("log_det", _log_determinant()).alias("b")
         # a step that doesn't lessen the determinant is not taken
         better = F.col("b.log_det") < F.col("a.log_det") - settled
         chosen = before.join(after, F.col("a.grp").eqNullSafe(F.col("b.grp"))).select("a.grp", better.alias("better"), *(F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in estimate.columns if c != "grp"))
-        stepped = materialise(chosen, "mcd-estimate")
+        stepped = materialise(gathered(chosen), "mcd-estimate")
         estimate = stepped.drop("better")
         if stepped.where("better").isEmpty():
             break
     else:
         raise RuntimeError(f"the estimates didn't settle in {steps} steps")
     best = estimate.groupBy("grp.of").agg(F.min_by(F.struct(*(c for c in estimate.columns if c != "grp")), F.struct("log_det", "grp.start")).alias("best")).select(F.col("of").alias("grp"), "best.*")
+    best = gathered(best)
     return best.alias("e").join(totals.alias("t"), F.col("e.grp").eqNullSafe(F.col("t.grp"))).select("e.grp", F.col("all").alias("n"), *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in _pairs()))
 
 

@@ -482,3 +482,34 @@ def test_pipeline_run_equals_brute_force(spark):
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_pipeline_of_nothing(spark, stage):
     assert stage(spark, spark.createDataFrame([], DOCS), SF).count() == 0
+
+
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    """Each shuffle of a few rows had as many tasks as the session has partitions; 211 of them filled the driver in the pipeline."""
+    from chatlake.llm import components, mixture
+
+    tasks, write = [], common.materialise
+
+    def kept(df, name):
+        tasks.append((name, df._jdf.queryExecution().toRdd().getNumPartitions()))
+        return write(df, name)
+
+    for module in (components, mixture):
+        monkeypatch.setattr(module, "materialise", kept)
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        found = components.components(spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "u long, v long").coalesce(1))
+        assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+        parts = dict(tasks[1:])
+        assert parts == {"edges": 1}
+        bins = spark.createDataFrame([("a", n, 3) for n in range(1, 9)], "source string, size long, n long").coalesce(1)
+        sources = spark.createDataFrame([("a", 108, 24, 120.0)], "source string, source_size long, docs long, target double").coalesce(1)
+        tasks.clear()
+        assert mixture.dual(bins, sources).count() == 1
+        assert tasks and all(n <= spark.sparkContext.defaultParallelism for _, n in tasks)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
