@@ -28,16 +28,16 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import materialise, read, slices, texts
+from chatlake.llm.common import materialise, read, slices
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
@@ -49,8 +49,8 @@ FOLDS, HELD_OUT = 7, 2
 DIMENSIONS, CONTEXT = 32, 3
 #: Noise samples for each token, of outcomes and of members; tokens of a minibatch; learning rate.
 NOISE, MEMBER_NOISE, BATCH, RATE = 128, 64, 16384, 0.05
-#: Tokens of one class that meet its noise in one product.
-BLOCK = 64
+#: Words whose counts are sent on together.
+COUNTED = 1 << 22
 #: Rounds by the part of the training texts that each takes, in 16ths; tokens that a task steps through at least.
 ROUNDS, TASK_TOKENS = (2, 2, 4, 8), 1_000_000
 #: Deltas are summed as whole numbers of this, so that sums don't depend on their order.
@@ -82,25 +82,40 @@ def outcome(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < SINGLES, ids, np.where(ids < SINGLES + MIDDLE, SINGLES + (ids - SINGLES) // MEMBERS, ids - MIDDLE + CLASSES))
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-cased, and how many each text has; by Arrow, as Python made an object of every word."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(bare)
+    words, empty = lists.flatten(), pc.equal(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # they split into one empty word
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+    return words, lists.value_lengths().to_numpy().astype(np.int64) - empty
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """doc_id, text -> word (binary), n: of the training texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Array] = []
+        size = ends = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            found = pa.chunked_array(held).value_counts()
+            return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
 
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
-                if fold(i) != HELD_OUT:
-                    seen.update(t.lower().split())
-                    seen[END] += 1
-                    if len(seen) > 300_000:
-                        yield out()
-                        seen.clear()
-        if seen:
+            training = pa.array([fold(i) != HELD_OUT for i in batch.column("doc_id").to_pylist()], pa.bool_())
+            ends += training.true_count
+            for part in slices(batch.filter(training), "text"):
+                held.append(words_of(part.column("text"))[0])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield out()
+                    held, size = [], 0
+        if size:
             yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends])], names=["word", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -180,29 +195,33 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
         get = rank.get
         for batch in batches:
             for part in slices(batch, "text"):
-                words: list[bytes] = []
-                ends = []
-                for t in texts(part, "text"):
-                    words += t.lower().split()
-                    words.append(END)
-                    ends.append(len(words))
-                starts = np.array([0, *ends[:-1]], np.int64)
-                ranks = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
-                ids, log_count, known = inputs[ranks].astype(np.int32), logs[ranks], ranks >= 0
-                rest = np.flatnonzero(~known)
-                ids[rest] = [0 if words[i] == END else bucket(words[i]) for i in rest.tolist()]
+                words, sizes = words_of(part.column("text"))
+                coded = words.dictionary_encode()
+                distinct = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+                own_ranks = np.fromiter(map(get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+                own_ids = inputs[own_ranks].astype(np.int32)
+                for i in np.flatnonzero(own_ranks < 0).tolist():
+                    own_ids[i] = 0 if distinct[i] == END else bucket(distinct[i])
+                # each text's words, then its end
+                ends = np.cumsum(sizes + 1)
+                starts = ends - sizes - 1
+                which = np.full(ends[-1], len(distinct) - 1, np.int64)
+                which[np.delete(np.arange(ends[-1]), ends - 1)] = coded.indices.to_numpy()
+                ranks, ids = own_ranks[which], own_ids[which]
+                log_count, known = logs[ranks], ranks >= 0
+                rest = pa.array(distinct, pa.binary()).take(pa.array(which[~known]))
                 share = np.where(ids >= SINGLES + MIDDLE, log_count - within[ids], 0.0)
-                offsets = pa.array(np.array([0, *ends], np.int32))
-                tails = np.concatenate([[0], np.cumsum(~known)])[[0, *ends]].astype(np.int32)
+                offsets = pa.array(np.append(0, ends).astype(np.int32))
+                tails = np.concatenate([[0], np.cumsum(~known)])[np.append(0, ends)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([round_of(i) for i in part.column("doc_id").to_pylist()], pa.int32()),
-                        pa.array(np.diff([0, *ends])),
+                        pa.array(sizes + 1),
                         pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                         pa.array(np.add.reduceat(log_count, starts)),
                         pa.array(np.add.reduceat(share, starts)),
-                        pa.ListArray.from_arrays(pa.array(tails), pa.array([words[i] for i in rest.tolist()], pa.binary())),
+                        pa.ListArray.from_arrays(pa.array(tails), rest),
                         pa.ListArray.from_arrays(offsets, pa.array(ids)),
                     ],
                     names=["doc_id", "round", "n_tokens", "known", "log_count", "share", "tail", "ids"],
@@ -258,82 +277,118 @@ class LogBilinear:
     def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of all outcomes after each context, normalised."""
         s = hidden @ self.r.T + self.b
-        return s - _log_sums(s.copy())[:, None]
+        return s - _log_sums(s)[:, None]
 
     def member_log_probabilities(self, hidden: np.ndarray, of: int) -> np.ndarray:
         """Natural log-probabilities of all members of a class, given the class, normalised."""
         own = slice(of * MEMBERS, (of + 1) * MEMBERS)
         s = hidden @ self.w[own].T + self.u[own]
-        return s - _log_sums(s.copy())[:, None]
+        return s - _log_sums(s)[:, None]
 
     def token_log_probabilities(self, ids: np.ndarray, starts: np.ndarray, batch: int = 4 * BATCH) -> np.ndarray:
         """Natural log-probability of each token of texts that begin at ``starts`` (a bucket's for its words)."""
         contexts, targets, out = _contexts(ids, starts), outcome(ids), np.empty(len(ids))
-        tables = [self.q @ m for m in self.c]
-        # a column of ones meets the biases
+        # a column of ones, which the nearest token brings, meets the biases
+        tables = [np.hstack([self.q @ m, np.full((IDS, 1), i == 0, np.float32)]) for i, m in enumerate(self.c)]
         outcomes = np.hstack([self.r, self.b[:, None]]).T
         members = np.hstack([self.w, self.u[:, None]])
-        # parts that stay in the processor's cache, in the same memory throughout
-        rows_at_once = 512
-        outcome_room, member_room = np.empty((rows_at_once, OUTCOMES), np.float32), np.empty((rows_at_once, MEMBERS), np.float32)
+        # the same memory throughout
+        most = min(batch, len(ids))
+        hidden, more, room = *(np.empty((most, DIMENSIONS + 1), np.float32) for _ in range(2)), np.empty((512, max(OUTCOMES, MEMBERS)), np.float32).ravel()
         for at in range(0, len(ids), batch):
             own = slice(at, at + batch)
-            h = np.ones((len(targets[own]), DIMENSIONS + 1), np.float32)
-            h[:, :-1] = sum(table[x] for table, x in zip(tables, contexts[:, own], strict=True))
-            for a in range(0, len(h), rows_at_once):
-                part = h[a : a + rows_at_once]
-                s = np.matmul(part, outcomes, out=outcome_room[: len(part)])
-                true = s[np.arange(len(s)), targets[at + a : at + a + rows_at_once]]
-                out[at + a : at + a + len(s)] = true - _log_sums(s)
-            for of, found in _by_class(ids[own]):
-                theirs = members[of * MEMBERS : (of + 1) * MEMBERS].T
-                for a in range(0, len(found), rows_at_once):
-                    rows = found[a : a + rows_at_once]
-                    s = np.matmul(h[rows], theirs, out=member_room[: len(rows)])
-                    true = s[np.arange(len(rows)), ids[at + rows] - SINGLES - of * MEMBERS]
-                    out[at + rows] += true - _log_sums(s)
+            h, x = hidden[: len(targets[own])], more[: len(targets[own])]
+            np.take(tables[0], contexts[0, own], axis=0, out=h, mode="clip")
+            for table, before in zip(tables[1:], contexts[1:, own], strict=True):
+                h += np.take(table, before, axis=0, out=x, mode="clip")
+            out[own] = _log_shares(h, outcomes, targets[own], room)
+            rows, cuts = _by_class(ids[own])
+            theirs, of = np.take(h, rows, axis=0, out=more[: len(rows)], mode="clip"), ids[own][rows] - SINGLES
+            got = [_log_shares(theirs[a:b], members[c * MEMBERS : (c + 1) * MEMBERS].T, of[a:b] - c * MEMBERS, room) for c, a, b in cuts]
+            if got:
+                out[at + rows] += np.concatenate(got)
         return out
 
 
+def _log_shares(h: np.ndarray, weights: np.ndarray, targets: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's target, a column of the weights, normalised over all columns."""
+    width = weights.shape[1]
+    true, sums, ones, firsts = np.empty(len(h), np.float32), np.empty(len(h), np.float32), np.ones(width, np.float32), np.arange(512) * width
+    # parts that stay in the processor's cache
+    for a in range(0, len(h), 512):
+        part = h[a : a + 512]
+        flat = room[: len(part) * width]
+        s = np.matmul(part, weights, out=flat.reshape(len(part), width))
+        true[a : a + 512] = flat[firsts[: len(part)] + targets[a : a + 512]]
+        with np.errstate(over="ignore"):
+            np.exp(s, out=s)
+        np.matmul(s, ones, out=sums[a : a + 512])
+    out = np.log(sums, dtype=np.float32, where=sums > 0, out=np.zeros_like(sums))
+    odd = np.flatnonzero(~((sums > 1e-30) & (sums < np.inf)))
+    for a in range(0, len(odd), 512):
+        out[odd[a : a + 512]] = _log_sums(h[odd[a : a + 512]] @ weights)
+    return true - out
+
+
 def _log_sums(s: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials; overwrites s."""
-    top = s.max() if s.size else 0
-    if top > 60:
-        high = s.max(axis=1, keepdims=True)
-        s -= high
-        np.exp(s, out=s)
-        return np.log(s.sum(axis=1)) + high[:, 0]
-    np.exp(s, out=s)
-    return np.log(s @ np.ones(s.shape[1], np.float32))
-
-
-def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class that occurs, with the rows of its members."""
+    """The logarithm of the sum of each row's exponentials."""
+    high = s.max(axis=1, keepdims=True)
+    return np.log(np.exp(s - high).sum(axis=1)) + high[:, 0]
+
+
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The rows of members, by class, and each class that occurs with the bounds of its rows."""
     rows = np.flatnonzero((ids >= SINGLES) & (ids < SINGLES + MIDDLE))
     of = (ids[rows] - SINGLES) // MEMBERS
     order = np.argsort(of.astype(np.uint16), kind="stable")
-    rows, of = rows[order], of[order]
-    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(rows) else np.empty(0, np.int64)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(of[a]), rows[a:b]
+    ends = np.cumsum(np.bincount(of, minlength=CLASSES)).tolist()
+    return rows[order], [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Overwrites x."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+#: Rows of a key that are summed one after the other; a key with more has several blocks of them.
+RUN = 16
 
 
-def _summed(keys: np.ndarray, rows: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sums of their rows, which are sorted into ``room``."""
-    # numpy sorts 16-bit keys by their digits
-    order = np.argsort(keys.astype(np.uint16) if IDS <= 1 << 16 else keys, kind="stable")
-    ordered = keys[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[cuts], np.add.reduceat(np.take(rows, order, axis=0, out=room, mode="clip"), cuts, axis=0)
+class Groups:
+    """The rows of equal keys, found once for all sums by these keys.
+
+    A key's rows are dealt into blocks of ``RUN``; the j-th rows of all blocks that have one are added
+    at once. ``np.add.reduceat`` over rows starts anew for each key and column, which took longer than
+    the products where most keys have few rows.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        # numpy sorts 16-bit keys by their digits
+        order = np.argsort(keys.astype(np.uint16) if IDS <= 1 << 16 else keys, kind="stable")
+        ordered = keys[order]
+        firsts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        sizes = np.diff(np.append(firsts, len(keys)))
+        self.keys, self.inverse = ordered[firsts], np.empty(len(keys), np.int64)
+        self.inverse[order] = np.repeat(np.arange(len(firsts)), sizes)
+        blocks = -(-sizes // RUN)
+        heads = np.cumsum(blocks) - blocks
+        inner = np.arange(blocks.sum()) - np.repeat(heads, blocks)
+        begins, lengths = np.repeat(firsts, blocks) + inner * RUN, np.minimum(np.repeat(sizes, blocks) - inner * RUN, RUN)
+        longest = np.argsort(-lengths, kind="stable")
+        begins, lengths = begins[longest], lengths[longest]
+        self.rows = [order[begins[: np.count_nonzero(lengths > j)] + j] for j in range(int(lengths[0]))]
+        at = np.empty(len(longest), np.int64)
+        at[longest] = np.arange(len(longest))
+        #: Where each key's first block is, and the keys of several blocks with all of theirs.
+        self.at, self.long = at[heads], np.flatnonzero(blocks > 1)
+        self.parts = at[np.repeat(blocks > 1, blocks)]
+        self.cuts = np.cumsum(blocks[self.long]) - blocks[self.long]
+
+    def sums(self, table: np.ndarray, room: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The sums of the table's rows by key; ``room`` has two rows for each row of the table."""
+        total, more = room[: len(self.rows[0])], room[len(self.rows[0]) :]
+        np.take(table, self.rows[0], axis=0, out=total, mode="clip")
+        for rows in self.rows[1:]:
+            total[: len(rows)] += np.take(table, rows, axis=0, out=more[: len(rows)], mode="clip")
+        np.take(total, self.at, axis=0, out=out, mode="clip")
+        if len(self.long):
+            out[self.long] = np.add.reduceat(total[self.parts], self.cuts, axis=0)
+        return out
 
 
 class Stepper:
@@ -369,125 +424,130 @@ class Stepper:
         """One ascent step of some distinct rows."""
         table = getattr(self.m, part)
         flat = grads.reshape(len(rows), -1)
-        self.seen[part][rows] += (flat * flat).mean(axis=1)
-        pace = self.rate / np.sqrt(self.seen[part][rows] + 1e-6)
-        table[rows] += pace.reshape(-1, *[1] * (grads.ndim - 1)) * grads
+        seen = self.seen[part][rows] + np.einsum("ij,ij->i", flat, flat) / flat.shape[1]
+        self.seen[part][rows] = seen
+        flat *= (self.rate / np.sqrt(seen + 1e-6))[:, None]
+        table[rows] += grads
         self.uses[part][rows] += uses
 
-    def _contrast(self, h: np.ndarray, at: np.ndarray, first: int, size: int, parts: tuple[str, str], log_noise: np.ndarray, drawn: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Trains one softmax, rows first..first + size of its parts, on tokens against drawn noise; the hidden vectors' gradient."""
-        own = slice(first, first + size)
-        vectors, biases, log_noise = getattr(self.m, parts[0])[own], getattr(self.m, parts[1])[own], log_noise[own]
-        noise, times = drawn[0], drawn[1].astype(np.float32)
-        true, others = self._taken("back", vectors, at), vectors[noise]
-        hit = 1 - _sigmoid(np.einsum("ij,ij->i", h, true) + (biases - log_noise)[at])
+    def _hits(self, h: np.ndarray, true: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """How far each token's own logit is from certain."""
+        return 1 / (1 + np.exp(np.einsum("ij,ij->i", h, true) + levels))
+
+    def _misses(self, h: np.ndarray, others: np.ndarray, against: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Minus the probability that noise is true, times how often it was drawn; ``others`` and ``against`` negated."""
+        miss = np.matmul(h, others.T, out=self._room("miss", len(h), len(others)))
+        miss += against
+        np.exp(miss, out=miss)
+        miss += 1
+        return np.divide(times, miss, out=miss)
+
+    def _contrast(self, h: np.ndarray, ids: np.ndarray, groups: Groups, back: np.ndarray) -> None:
+        """Trains the outcomes on tokens against drawn noise; ``back`` becomes the hidden vectors' gradient."""
+        n, at = len(ids), outcome(ids)
+        vectors, levels = self.m.r, self.m.b - self.log_noise
+        noise, times = self._drawn(self.ends, NOISE)
+        others, against, drawn = -vectors[noise], -levels[noise], -times.astype(np.float32)
+        true = np.take(vectors, at, axis=0, out=back[:n], mode="clip")
+        hit = self._hits(h[:n], true, levels[at])
         true *= hit[:, None]
-        grads, levels, uses = np.zeros_like(vectors), np.bincount(at, hit, size).astype(np.float32), np.bincount(at, minlength=size)
-        rows, sums = _summed(at, np.multiply(h, hit[:, None], out=self._room("product", *h.shape)), self._room("sorted", *h.shape))
-        grads[rows] = sums
+        grads, moved, uses = np.zeros_like(vectors), np.bincount(at, hit, OUTCOMES).astype(np.float32), np.bincount(at, minlength=OUTCOMES)
+        # ids are sorted by their outcomes, so the sums by id are summed once more
+        sums, of = self._summed(h, hit, groups), outcome(groups.keys)
+        firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        grads[of[firsts]] = np.add.reduceat(sums, firsts, axis=0)
         uses[noise] += 1
-        against = (biases - log_noise)[noise]
         # parts that stay in the processor's cache
-        for a in range(0, len(h), 2048):
-            own = slice(a, a + 2048)
-            miss = np.matmul(h[own], others.T, out=self._room("miss", len(h[own]), len(noise)))
-            miss += against
-            miss = _sigmoid(miss)
-            miss *= -times
-            true[own] += np.matmul(miss, others, out=self._room("product", len(miss), DIMENSIONS))
+        for a in range(0, n, 1024):
+            own = slice(a, min(a + 1024, n))
+            miss = self._misses(h[own], others, against, drawn)
+            true[own] -= np.matmul(miss, others, out=self._room("product", len(miss), DIMENSIONS))
             grads[noise] += miss.T @ h[own]
-            levels[noise] += miss.sum(axis=0)
+            moved[noise] += np.ones(len(miss), np.float32) @ miss
         rows = np.flatnonzero(uses)
-        self._move(parts[0], rows + first, grads[rows], uses[rows])
-        self._move(parts[1], rows + first, levels[rows], uses[rows])
-        return true
-
-    def _contrast_members(self, h: np.ndarray, ids: np.ndarray, back: np.ndarray) -> None:
-        """``_contrast`` for the members of all classes together, each against its class's noise; adds to ``back``.
-
-        Tokens are sorted by class and dealt into blocks of one class, so that a few batched products
-        serve all classes. Noise that is drawn twice stands twice.
-        """
-        rows = np.flatnonzero((ids >= SINGLES) & (ids < SINGLES + MIDDLE))
-        if not len(rows):
+        self._move("r", rows, grads[rows], uses[rows])
+        self._move("b", rows, moved[rows], uses[rows])
+
+    def _summed(self, h: np.ndarray, by: np.ndarray, groups: Groups) -> np.ndarray:
+        """The sums by id of hidden vectors times a number each; the row after the last token counts nothing."""
+        product = self._room("product", len(by) + 1, DIMENSIONS)
+        np.multiply(h[: len(by)], by[:, None], out=product[:-1])
+        product[-1] = 0
+        return groups.sums(product, self._room("sorted", 2 * len(product), DIMENSIONS), self._room("sums", len(groups.keys), DIMENSIONS))
+
+    def _contrast_members(self, h: np.ndarray, ids: np.ndarray, groups: Groups, back: np.ndarray) -> None:
+        """``_contrast`` for the members of all classes, each against its class's noise; adds to ``back``."""
+        rows, cuts = _by_class(ids)
+        if not cuts:
             return
+        draws = np.searchsorted(self.flat_member_ends, self.rng.random((CLASSES, MEMBER_NOISE)) + np.arange(CLASSES)[:, None], side="right")
+        noise, times = np.unique(np.minimum(draws, np.arange(1, CLASSES + 1)[:, None] * MEMBERS - 1), return_counts=True)
         at = ids[rows] - SINGLES
-        order = np.argsort((at // MEMBERS).astype(np.uint16), kind="stable")
-        rows, at = rows[order], at[order]
-        sizes = np.bincount(at // MEMBERS, minlength=CLASSES)
-        blocks = -(-sizes // BLOCK)
-        of = np.repeat(np.arange(CLASSES), blocks)
-        inner = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        places = (np.repeat(np.cumsum(sizes) - sizes, blocks) + inner * BLOCK)[:, None] + np.arange(BLOCK)
-        empty = inner[:, None] * BLOCK + np.arange(BLOCK) >= sizes[of][:, None]
-        places[empty] = 0
-        noise = np.minimum(np.searchsorted(self.flat_member_ends, self.rng.random((CLASSES, MEMBER_NOISE)) + np.arange(CLASSES)[:, None], side="right"), np.arange(1, CLASSES + 1)[:, None] * MEMBERS - 1)
-        vectors, biases = self.m.w, self.m.u
-        own, true = self._taken("own", h, rows), self._taken("true", vectors, at)
-        hit = 1 - _sigmoid(np.einsum("ij,ij->i", own, true) + (biases - self.log_member_noise)[at])
-        others, against = vectors[noise], (biases - self.log_member_noise)[noise]
+        levels = self.m.u - self.log_member_noise
+        own, true = self._taken("own", h, rows), self._taken("true", self.m.w, at)
+        hit = self._hits(own, true, levels[at])
         true *= hit[:, None]
-        back[rows] += true
-        grads, levels = self._room("gradients", len(of), MEMBER_NOISE, DIMENSIONS), np.empty((len(of), MEMBER_NOISE), np.float32)
-        # parts that stay in the processor's cache
-        for a in range(0, len(of), 16):
-            part = slice(a, a + 16)
-            x, theirs = own[places[part]], others[of[part]]
-            miss = np.matmul(x, theirs.transpose(0, 2, 1), out=self._room("misses", len(x), BLOCK, MEMBER_NOISE))
-            miss += against[of[part]][:, None, :]
-            miss = _sigmoid(miss)
-            np.negative(miss, out=miss)
-            miss[empty[part]] = 0
-            filled = ~empty[part]
-            back[rows[places[part][filled]]] += (miss @ theirs)[filled]
-            np.matmul(miss.transpose(0, 2, 1), x, out=grads[part])
-            levels[part] = miss.sum(axis=1)
-        met = np.flatnonzero(blocks)
-        firsts = (np.cumsum(blocks) - blocks)[met]
-        keys = np.concatenate([at, noise[met].ravel()])
-        moved = self._room("moved", len(keys), DIMENSIONS + 1)
-        np.multiply(own, hit[:, None], out=moved[: len(at), :-1])
-        moved[: len(at), -1] = hit
-        moved[len(at) :, :-1], moved[len(at) :, -1] = np.add.reduceat(grads, firsts, axis=0).reshape(-1, DIMENSIONS), np.add.reduceat(levels, firsts, axis=0).ravel()
+        hits = np.zeros(len(ids), np.float32)
+        hits[rows] = hit
+        met = np.isin(noise // MEMBERS, [c for c, _, _ in cuts])
+        noise, times = noise[met], times[met]
+        others, against, drawn = -self.m.w[noise], -levels[noise], -times.astype(np.float32)
+        grads, moved = self._room("members", MIDDLE, DIMENSIONS), np.bincount(at, hit, MIDDLE).astype(np.float32)
         used = np.bincount(at, minlength=MIDDLE)
-        used[np.unique(noise[met])] += 1
-        found, sums = _summed(keys, moved, self._room("sorted", *moved.shape))
-        self._move("w", found, sums[:, :-1], used[found])
-        self._move("u", found, sums[:, -1], used[found])
+        used[noise] += 1
+        touched = np.flatnonzero(used)
+        grads[touched] = 0
+        found = np.searchsorted(groups.keys, [SINGLES, SINGLES + MIDDLE])
+        grads[groups.keys[found[0] : found[1]] - SINGLES] = self._summed(h, hits, groups)[found[0] : found[1]]
+        theirs = np.searchsorted(noise, np.arange(CLASSES + 1) * MEMBERS)
+        for c, a, b in cuts:
+            n = slice(theirs[c], theirs[c + 1])
+            miss = self._misses(own[a:b], others[n], against[n], drawn[n])
+            true[a:b] -= np.matmul(miss, others[n], out=self._room("product", len(miss), DIMENSIONS))
+            grads[noise[n]] += miss.T @ own[a:b]
+            moved[noise[n]] += np.ones(len(miss), np.float32) @ miss
+        back[rows] += true
+        self._move("w", touched, self._taken("own", grads, touched), used[touched])
+        self._move("u", touched, moved[touched], used[touched])
 
     def step(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        with np.errstate(over="ignore"):  # a logit far below 0 gives 1 / inf
+            self._step(ids, starts)
+
+    def _step(self, ids: np.ndarray, starts: np.ndarray) -> None:
         m, n = self.m, len(ids)
-        own = self._taken("own", m.q, ids)
-        # where fewer than i + 1 tokens stand before a token in its text, an end stands in their place
+        # each distinct token once; one more end, whose key comes first, stands where fewer than i + 1 tokens stand before a token in its text
+        keys = np.append(ids, 0)
+        groups = Groups(keys)
         begins = np.zeros(n, np.int64)
         begins[starts] = starts
         inside = np.arange(n) - np.maximum.accumulate(begins)
-        bare, vectors = [np.flatnonzero(inside <= i) for i in range(CONTEXT)], []
-        for i in range(CONTEXT):
-            x = self._room(f"context {i}", *own.shape)
-            x[i + 1 :] = own[: n - i - 1]
-            x[bare[i]] = m.q[0]
-            vectors.append(x)
-        h, product = np.matmul(vectors[0], m.c[0], out=self._room("hidden", *own.shape)), self._room("product", *own.shape)
-        for x, c in zip(vectors[1:], m.c[1:], strict=True):
-            h += np.matmul(x, c, out=product)
-        back = self._contrast(h, outcome(ids), 0, OUTCOMES, ("r", "b"), self.log_noise, self._drawn(self.ends, NOISE))
-        self._contrast_members(h, ids, back)
-        matrices = np.stack([x.T @ back for x in vectors])
+        bare = [np.flatnonzero(inside <= i) for i in range(CONTEXT)]
+        own = self._taken("vectors", m.q, groups.keys)
+        h, table = self._room("hidden", n + 1, DIMENSIONS), self._room("placed", *own.shape)
+        h.fill(0)
+        for i, c in enumerate(m.c):
+            before = np.zeros(n, np.int64)
+            before[i + 1 :] = groups.inverse[: max(0, n - i - 1)]
+            before[bare[i]] = 0
+            h[:n] += np.take(np.matmul(own, c, out=table), before, axis=0, out=self._room("product", n, DIMENSIONS), mode="clip")
+        back = self._room("back", n + 1 + CONTEXT, DIMENSIONS)
+        back[n:] = 0
+        self._contrast(h, ids, groups, back)
+        self._contrast_members(h, ids, groups, back)
         # a token's vector gathers what it did as a context of the tokens after it
-        grads, times, end, ends = self._room("gathered", n + 1, DIMENSIONS), np.zeros(n + 1, np.int64), np.zeros(DIMENSIONS, np.float32), 0
+        grads, times, matrices = self._room("gathered", *own.shape), np.zeros(n + 1, np.int64), np.empty_like(m.c)
         grads.fill(0)
+        ends = [back[b].sum(axis=0) for b in bare]
         for i, c in enumerate(m.c):
-            g = np.matmul(back, c.T, out=product)
-            end += g[bare[i]].sum(axis=0)
-            ends += len(bare[i])
-            g[bare[i]] = 0
-            grads[: max(0, n - i - 1)] += g[i + 1 :]
+            back[bare[i]] = 0
+            did = groups.sums(back[i + 1 : i + n + 2], self._room("sorted", 2 * n + 2, DIMENSIONS), self._room("sums", *own.shape))
+            did[0] += ends[i]
+            matrices[i] = own.T @ did
+            grads += np.matmul(did, c.T, out=table)
             times[: max(0, n - i - 1)] += inside[i + 1 :] > i
-        grads[n], times[n] = end, ends
-        keys = np.append(ids, 0)
-        rows, sums = _summed(keys, grads, self._room("sorted", *grads.shape))
-        self._move("q", rows, sums, np.bincount(keys, times, IDS).astype(np.int64)[rows])
+            times[n] += len(bare[i])
+        self._move("q", groups.keys, grads, np.bincount(groups.inverse, times, len(groups.keys)).astype(np.int64))
         self._move("c", np.arange(CONTEXT), matrices, np.full(CONTEXT, n))
 
     def moved(self, model: LogBilinear) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:

@@ -7,6 +7,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,55 @@ def test_minibatches_use_the_same_memory():
     assert peak < 6 * ids.size * neural_lm.DIMENSIONS * 4
 
 
+def test_sums_by_key_are_those_of_a_scatter():
+    """Few and many rows a key, over and under a block; ``np.add.reduceat`` took most of what the products left."""
+    rng = np.random.default_rng(4)
+    for keys in (np.array([0]), np.array([7] * 16 + [3]), np.array([7] * 17), (rng.zipf(1.3, 5000) % neural_lm.IDS), np.zeros(700, int)):
+        keys = keys.astype(np.int32)
+        table = rng.normal(size=(len(keys), 5)).astype(np.float32)
+        groups = neural_lm.Groups(keys)
+        want = np.zeros((neural_lm.IDS, 5))
+        np.add.at(want, keys, table)
+        assert groups.keys.tolist() == sorted(set(keys.tolist())) and (groups.keys[groups.inverse] == keys).all()
+        got = groups.sums(table, np.empty((2 * len(keys), 5), np.float32), np.empty((len(groups.keys), 5), np.float32))
+        assert np.allclose(got, want[groups.keys], atol=1e-3)
+
+
+def test_tokens_are_scored_as_by_whole_rows():
+    """Scores of tokens equal those of all words; exponentials beyond single precision too."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, neural_lm.IDS, 1500).astype(np.int32)
+    starts = np.array([0, 1, 700])
+    model = stepped(ids, starts, 3)[1].m
+    for shift in (0, 500, -500):
+        model.b += np.float32(shift)
+        model.u += np.float32(shift)
+        hidden, want = model.hidden(neural_lm._contexts(ids, starts)), np.zeros(len(ids))
+        outcomes = model.log_probabilities(hidden)
+        for i, x in enumerate(ids.tolist()):
+            want[i] = outcomes[i, neural_lm.outcome(np.array([x]))[0]]
+            if 0 <= x - neural_lm.SINGLES < neural_lm.MIDDLE:
+                c, member = divmod(x - neural_lm.SINGLES, neural_lm.MEMBERS)
+                want[i] += model.member_log_probabilities(hidden[i : i + 1], c)[0, member]
+        assert np.allclose(model.token_log_probabilities(ids, starts), want, atol=1e-3 if shift else 1e-4), shift
+        assert np.allclose(model.token_log_probabilities(ids, starts, 700), want, atol=1e-3 if shift else 1e-4), shift
+        model.b -= np.float32(shift)
+        model.u -= np.float32(shift)
+
+
+def test_words_are_cut_without_an_object_each():
+    """As bytes are split; a batch's Python memory is its distinct words, not all of them."""
+    some = ["", None, "  ", " A\x0bB\x0c c\r\n", "\x1ca\x85b\xa0C \u00c9", "one", "ONE one\t\ttwo ", "\n"]
+    words, sizes = neural_lm.words_of(pa.array(some))
+    want = [(t or "").encode().lower().split() for t in some]
+    assert words.cast(pa.binary()).to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+    tracemalloc.start()
+    words, sizes = neural_lm.words_of(pa.array(["word other " * 50_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.tolist() == [100_000] and len(words.dictionary_encode().dictionary) == 2 and peak < 2_000_000
+
+
 def test_tail_words_meet_their_counts(spark, monkeypatch):
     monkeypatch.setattr(neural_lm.head_of, "__defaults__", (3,))
     long = "w" * 200
