@@ -26,7 +26,7 @@ any length are taken whole; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import itertools
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -78,6 +78,20 @@ def bucket(word: bytes) -> int:
     return SINGLES + MIDDLE + zlib.crc32(word[-2:]) % BUCKETS
 
 
+@functools.cache
+def _endings() -> np.ndarray:
+    """The buckets of words of one byte, then of all endings of two."""
+    return np.array([bucket(bytes([b])) for b in range(256)] + [bucket(bytes([a, b])) for a in range(256) for b in range(256)])
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    """``bucket`` of each of an array of words (binary, none empty)."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+    data, short = np.frombuffer(words.buffers()[2], np.uint8), pc.binary_length(words).to_numpy() < 2
+    last = data[ends - 1].astype(np.int64)
+    return _endings()[np.where(short, last, 256 + 256 * data[ends - 2 + short].astype(np.int64) + last)]
+
+
 def outcome(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < SINGLES, ids, np.where(ids < SINGLES + MIDDLE, SINGLES + (ids - SINGLES) // MEMBERS, ids - MIDDLE + CLASSES))
 
@@ -187,21 +201,19 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """doc_id, text -> doc_id, round, n_tokens, known, log_count, share (of words in their buckets), tail, ids."""
     within = np.log10(v.id_tokens + v.id_words + 1.0)
     within[: SINGLES + MIDDLE] = 0
-    held = docs.sparkSession.sparkContext.broadcast((v.rank, v.ids, np.log10(v.counts + 1.0), within))
+    held = docs.sparkSession.sparkContext.broadcast((pa.array(list(v.rank), pa.binary()), v.ids, np.log10(v.counts + 1.0), within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, inputs, logs, within = held.value
+        head, inputs, logs, within = held.value
         inputs, logs = np.append(inputs, 0), np.append(logs, 0.0)
-        get = rank.get
         for batch in batches:
             for part in slices(batch, "text"):
                 words, sizes = words_of(part.column("text"))
                 coded = words.dictionary_encode()
-                distinct = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
-                own_ranks = np.fromiter(map(get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
-                own_ids = inputs[own_ranks].astype(np.int32)
-                for i in np.flatnonzero(own_ranks < 0).tolist():
-                    own_ids[i] = 0 if distinct[i] == END else bucket(distinct[i])
+                distinct = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+                own_ranks = pc.fill_null(pc.index_in(distinct, head), -1).to_numpy().astype(np.int64)
+                own_ids = np.where(own_ranks < 0, buckets(distinct), inputs[own_ranks]).astype(np.int32)
+                own_ids[-1] = 0
                 # each text's words, then its end
                 ends = np.cumsum(sizes + 1)
                 starts = ends - sizes - 1
@@ -209,7 +221,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 which[np.delete(np.arange(ends[-1]), ends - 1)] = coded.indices.to_numpy()
                 ranks, ids = own_ranks[which], own_ids[which]
                 log_count, known = logs[ranks], ranks >= 0
-                rest = pa.array(distinct, pa.binary()).take(pa.array(which[~known]))
+                rest = distinct.take(pa.array(which[~known]))
                 share = np.where(ids >= SINGLES + MIDDLE, log_count - within[ids], 0.0)
                 offsets = pa.array(np.append(0, ends).astype(np.int32))
                 tails = np.concatenate([[0], np.cumsum(~known)])[np.append(0, ends)].astype(np.int32)

@@ -312,6 +312,7 @@ def test_words_are_cut_without_an_object_each():
     words, sizes = neural_lm.words_of(pa.array(some))
     want = [(t or "").encode().lower().split() for t in some]
     assert words.cast(pa.binary()).to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+    assert neural_lm.buckets(words.cast(pa.binary())[2:]).tolist() == [neural_lm.bucket(w) for ws in want for w in ws][2:]
     tracemalloc.start()
     words, sizes = neural_lm.words_of(pa.array(["word other " * 50_000]))
     peak = tracemalloc.get_traced_memory()[1]
